@@ -1,0 +1,41 @@
+"""Connected components by alternating large-star and small-star steps, all in DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+
+def _distinct(edges: DataFrame) -> DataFrame:
+    return edges.filter("a <> b").distinct()
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is linked with the node's least neighbour (or itself)."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    return _distinct(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every smaller neighbour of a node, and the node, are linked with the least of them."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    return _distinct(down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b), in either direction -> (node, label): for each node of an edge but the least ones of their components,
+
+    the least node that it is linked with. Least nodes themselves have no row. Self-links are dropped. Each round is
+    written to the shared folder; the number of rounds grows with the logarithm of the longest path.
+    """
+    now, before = materialise(_distinct(edges.select("a", "b")), "edges"), None
+    while True:
+        now = materialise(_small_star(_large_star(now)), "edges")
+        said = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if said == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        before = said
