@@ -10,6 +10,7 @@ from .common import documents
 from .oracles import ORACLES
 from .minhash import near_duplicates
 from .pii import find_pii
+from .mixing import mix
 from .quality_rules import quality_rules
 
 
@@ -25,8 +26,12 @@ def op3_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
+def op2_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii,)}
+    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii, op2_entropy_balancing,)}
 
 
 def oracle_sql() -> dict[str, str]:
