@@ -3,8 +3,8 @@
 The piece lattice of a text falls apart where no piece can cross: before a run of word marks and around characters that
 only stand alone. Each part gets a forward Viterbi pass. Its scores are exact heuristics for an A* search that runs back
 from the end of the part: what it takes from its agenda is always on one of the N best paths. The N best of the text
-are sums over the parts; a part's loss by its second-best path, which a backward pass gives without a search, tells which
-N - 1 parts can differ at all in the N best of the text, and only these are searched.
+are sums over the parts; a part's loss by its second-best path, which the forward pass gives as well, tells which N - 1
+parts can differ at all in the N best of the text, and only these are searched.
 
 Byte-pair models hold merge ranks and not log-probabilities; ranks become scores by Zipf's law. Scores are whole
 thousandths, so sums are exact and ties are ties.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ class Lattice:
     """The pieces of a model (its bytes), and segmentation with them."""
 
     #: Parts held with their results; then all are dropped.
-    most = 400_000
+    most = 700_000
 
     def __init__(self, proto: bytes, n_best: int = N_BEST):
         import sentencepiece
@@ -70,7 +71,7 @@ class Lattice:
                 self.bytes_of[i] = bytes([b])
         glue = "".join(map(re.escape, sorted(joined - {MARK})))
         self.parts = re.compile(rf"(?s:.+)" if crossing else rf"{MARK}*[{glue}]+|{MARK}+|[^{glue}{MARK}]").findall
-        self.known: dict[str, tuple[bytes, int, float, int]] = {}
+        self.known: dict[str, tuple[bytes, float, int]] = {}
         self.lists: dict[str, list[tuple[int, list[int]]]] = {}
 
     def _arcs(self, part: str) -> list[tuple[int, int, int, int]]:
@@ -111,40 +112,60 @@ class Lattice:
                 score[j], back[j] = s, arc
         return score, back
 
-    def best(self, part: str) -> tuple[bytes, int, float, int]:
-        """The best segmentation's ids as 32-bit numbers, how many, the loss by the second best, and the score."""
-        out = self.known.get(part)
-        if out is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            arcs = self._arcs(part)
-            forward, back = self._forward(part, arcs)
-            n = len(part)
-            path, j = [], n
-            on = set()
-            while j:
-                arc = back[j]
-                on.add(arc)
-                path.append((arc[0], arc[1], arc[3]))
-                j = arc[0]
-            total, loss = forward[n], math.inf
-            if len(arcs) > len(path):
-                least = -(1 << 60)
-                backward = [least] * n + [0]
-                for i, j, s, _ in reversed(arcs):
-                    s += backward[j]
-                    if s > backward[i]:
-                        backward[i] = s
-                loss = total - max(forward[a[0]] + a[2] + backward[a[1]] for a in arcs if a not in on)
-            ids = self._ids(part, path[::-1])
-            out = self.known[part] = (np.array(ids, np.int32).tobytes(), len(ids), loss, total)
-        return out
+    def best(self, part: str) -> tuple[bytes, float, int]:
+        """The best segmentation's ids as 32-bit numbers, the loss by the second best, and the score.
+
+        Forward passes for the best and the second-best score of each place at once.
+        """
+        get, n, least = self.table.get, len(part), -(1 << 60)
+        first, second = [least] * (n + 1), [least] * (n + 1)
+        back = [None] * (n + 1)
+        first[0] = 0
+        for i in range(n):
+            one, two = first[i], second[i]
+            single = False
+            for j in range(i + 1, n + 1):
+                found = get(part[i:j])
+                if found is None:
+                    break
+                if found:
+                    s = found[0]
+                    t = one + s
+                    if t > first[j]:  # of equal ones the first, so the longest last piece
+                        u = first[j]
+                        s += two
+                        second[j] = u if u > s else s
+                        first[j] = t
+                        back[j] = (i, found[1])
+                    elif t > second[j]:
+                        second[j] = t
+                    if j == i + 1:
+                        single = True
+            if not single:
+                j = i + 1
+                t = one + self.unknown_score
+                if t > first[j]:
+                    second[j] = max(first[j], two + self.unknown_score)
+                    first[j] = t
+                    back[j] = (i, -1)
+                elif t > second[j]:
+                    second[j] = t
+        path, j = [], n
+        while j:
+            i, piece = back[j]
+            path.append(piece if piece >= 0 else (i, j, -1))
+            j = i
+        path.reverse()
+        if any(type(x) is tuple for x in path):
+            path = [y for x in path for y in (self._ids(part, [x]) if type(x) is tuple else [x])]
+        loss = first[n] - second[n] if second[n] > least // 2 else math.inf
+        return array("i", path).tobytes(), loss, first[n]
 
     def search(self, part: str) -> list[tuple[int, list[int]]]:
         """The N best segmentations of a part as (score, ids), the best first; of equal ones, those with longer last pieces."""
         out = self.lists.get(part)
         if out is None:
-            if len(self.lists) >= self.most // 10:
+            if len(self.lists) >= self.most // 20:
                 self.lists.clear()
             arcs = self._arcs(part)
             forward, _ = self._forward(part, arcs)
@@ -172,12 +193,21 @@ class Lattice:
     def encode(self, text: str) -> tuple[np.ndarray, list[int], list[list[tuple[int, int, list[int]]]]]:
         """The best ids, the scores of the N best, and for each but the best how it differs from it: (place, ids dropped, ids there instead)."""
         parts = self.parts(MARK + text.replace(" ", MARK))
-        found = [self.best(p) for p in parts]
-        ids = np.frombuffer(b"".join([x[0] for x in found]), np.int32)
-        total = sum([x[3] for x in found])
-        losses = [x[2] for x in found]
-        chosen = sorted(heapq.nsmallest(self.n_best - 1, range(len(parts)), key=losses.__getitem__)) if self.n_best > 1 else []
-        chosen = [k for k in chosen if losses[k] < math.inf]
+        found = list(map(self.known.get, parts))
+        if None in found:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            for k, x in enumerate(found):
+                if x is None:
+                    x = self.known.get(parts[k])
+                    if x is None:
+                        x = self.known[parts[k]] = self.best(parts[k])
+                    found[k] = x
+        pieces, losses, points = zip(*found)
+        ids = np.frombuffer(b"".join(pieces), np.int32)
+        total = sum(points)
+        order = np.argsort(np.array(losses), kind="stable")[: self.n_best - 1]
+        chosen = sorted(k for k in order.tolist() if losses[k] < math.inf)
         lists = [self.search(parts[k]) for k in chosen]
         # choices are tuples of places in the lists; every one but the first is reached once, by raising its last place that isn't 0
         agenda, scores, ways = [(-total, (0,) * len(chosen), 0)], [], []
@@ -190,8 +220,8 @@ class Lattice:
                     new = (*choice[:k], choice[k] + 1, *choice[k + 1 :])
                     heapq.heappush(agenda, (loss + lists[k][choice[k]][0] - lists[k][choice[k] + 1][0], new, k))
         if len(ways) > 1:
-            at = np.concatenate([[0], np.cumsum([x[1] for x in found])])
-        return ids, scores, [[(int(at[k]), found[k][1], lists[x][way[x]][1]) for x, k in enumerate(chosen) if way[x]] for way in ways[1:]]
+            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in pieces])])
+        return ids, scores, [[(int(at[k]), len(pieces[k]) // 4, lists[x][way[x]][1]) for x, k in enumerate(chosen) if way[x]] for way in ways[1:]]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")

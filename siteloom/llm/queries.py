@@ -11,6 +11,7 @@ from .oracles import ORACLES
 from .minhash import near_duplicates
 from .pii import find_pii
 from .mixing import mix
+from .pieces import segment
 from .quality_rules import quality_rules
 
 
@@ -30,8 +31,12 @@ def op2_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op4_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii, op2_entropy_balancing,)}
+    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii, op2_entropy_balancing, op4_nbest_segmentation,)}
 
 
 def oracle_sql() -> dict[str, str]:
