@@ -6,11 +6,12 @@ the share of equal bins of two sketches is concentrated around the similarity of
 
 1. One row per document: size and 128-bit signature of its set, and one hash per band. Documents with equal sets form
    a class, whose least doc_id stands for it from here on: groups of exact copies, however large, end here.
-2. Classes that share a band are candidates. In each bucket all are compared with its least member only (a star, so
+2. Classes that share a band are candidates. In each bucket all are compared with its smallest set c only (a star, so
    no bucket makes pairs by the square), on the full sets, computed again from the texts.
-3. Buckets whose members are then not all in one component go on: stars around the least member of each component
-   in it, and, when those find no more links or few pairs are left, all pairs of members of different components. So
-   the components are those of all candidate pairs.
+3. If v isn't linked with c and shares nothing outside c with u, then u and v have at most |v & c| in common and a
+   union of at least |v | c| (u is no smaller than c), so they aren't linked either. So only members that share a
+   shingle outside c go on: those of different components, in groups by that shingle. Small groups are compared pair by
+   pair; large ones are buckets again, until nothing is left. So the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import U, materialise, mix
 from .components import components
-from .shingles import common_size, shingle_set
+from .shingles import members, shingle_set
 
 ROWS = 6
 MISS = 1e-6
+#: Groups of up to so many are compared pair by pair.
+SMALL = 32
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -79,23 +82,24 @@ def _sketcher(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.Record
     return run
 
 
-def _verifier(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _verifier(width: int, percent: int, extras: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = object(), None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            linked = []
-            for i in range(batch.num_rows):
-                if a[i] != last:  # the rows come in the order of a
-                    last, x = a[i], shingle_set(batch.column(2)[i].as_py(), width)
-                y = shingle_set(batch.column(3)[i].as_py(), width)
-                small, large = sorted((len(x), len(y)))
-                if 100 * small < percent * large:
-                    linked.append(False)
-                    continue
-                both = common_size(x, y)
-                linked.append(100 * both >= percent * (small + large - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                a = part.column(0).to_pylist()
+                linked, n, outside = [], [], []
+                for i in range(part.num_rows):
+                    if a[i] != last:  # the rows come in the order of a
+                        last, x = a[i], shingle_set(part.column(2)[i].as_py(), width)
+                    y = shingle_set(part.column(3)[i].as_py(), width)
+                    common = members(y, x)
+                    both = int(np.count_nonzero(common))
+                    linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                    n.append(len(y))
+                    outside.append(y[~common].view(np.int64) if extras else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], ["a", "b", "linked", "n", "outside"])
 
     return run
 
@@ -116,65 +120,60 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     sets = rows.filter(has).join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
     docs = materialise(sets.unionByName(rows.filter(~has).select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(None).cast("array<long>").alias("bands"))), "classes")
 
-    members = docs.filter("bands is not null").select("rep", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    buckets = materialise(members.join(shared.select("key", "low"), "key"), "buckets")
-    candidates = buckets.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = materialise(_verify(candidates, texts, width, percent), "tested")
-    labels = components(tested.filter("linked"))
-    stars = True
-    while True:
-        open_, pairs = _open_buckets(buckets, labels)
-        if not pairs:
-            break
-        few = pairs <= 20 * max(1, docs.count())
-        more = materialise((_cross_pairs(open_) if few or not stars else _cross_stars(open_)).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if few or not stars:
-                break
-            stars = False
-            continue
-        result = materialise(_verify(more, texts, width, percent), "tested")
-        tested = tested.unionByName(result)
-        found = not result.filter("linked").isEmpty()
-        if found:
-            labels = components(tested.filter("linked"))
-        elif few or not stars:
-            break
-        stars = stars and found
+    keys = docs.filter("bands is not null").select("rep", "n_shingles", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
+    buckets = materialise(keys.join(shared, "key"), "buckets")
+    held = texts.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    labels = _link(buckets, materialise(held, "texts"), width, percent)
     least = F.coalesce(F.col("label"), F.col("rep"))
     out = docs.select("doc_id", "n_shingles", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives with whether their full sets are linked; both texts are fetched by a join."""
+def _link(buckets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, label) of the components of all pairs in a bucket (key, rep, n_shingles) that the full sets link."""
+    links, rows_before = None, None
+
+    def add(pairs: DataFrame) -> DataFrame:
+        nonlocal links
+        new = pairs.filter("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        return components(links)
+
+    while True:
+        centres = buckets.groupBy("key").agg(F.min(F.struct("n_shingles", "rep"))["rep"].alias("a"))
+        edges = buckets.join(centres, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+        stars = materialise(_verify(edges, texts, width, percent, True), "stars")
+        labels = add(stars)
+        named = stars.join(labels, F.col("b") == F.col("node"), "left").select(
+            F.coalesce("label", "b").alias("label"), F.col("b").alias("rep"), F.col("n").alias("n_shingles"), "linked", "a", F.explode("outside").alias("token"))
+        named = named.select(F.xxhash64("a", "token").alias("key"), "rep", "n_shingles", "linked", "label")
+        open_ = named.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("linked").alias("all"))
+        groups = materialise(named.join(open_.filter("l0 < l1 and not all").select("key", "members"), "key").drop("linked"), "groups")
+        few = groups.filter(F.col("members") <= SMALL)
+        many = groups.filter(F.col("members") > SMALL)
+        rows = many.count()
+        if rows and rows_before is not None and rows > 0.9 * rows_before:
+            few, rows = groups, 0  # stars don't take these apart
+        other = few.select("key", F.col("rep").alias("b"), F.col("label").alias("other"))
+        pairs = few.join(other, "key").filter("label <> other and rep < b").select(F.col("rep").alias("a"), "b").distinct()
+        tested = materialise(_verify(pairs, texts, width, percent, False), "pairs")
+        if not tested.filter("linked").isEmpty():
+            labels = add(tested)
+        if not rows:
+            return labels
+        buckets, rows_before = many.select("key", "rep", "n_shingles"), rows
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, extras: bool) -> DataFrame:
+    """Pairs (a, b) with whether their full sets are linked, the size of b's, and, if asked for, b's shingles outside a's.
+
+    Both texts are fetched by joins.
+    """
     text_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verifier(width, percent), "a long, b long, linked boolean").distinct()
-
-
-def _open_buckets(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """The buckets with members of several components, as (key, rep, label), and how many pairs those make."""
-    named = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key")
-    open_ = materialise(named.join(mixed, "key"), "open")
-    by = open_.groupBy("key", "label").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    return open_, int(by.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0)
-
-
-def _cross_stars(open_: DataFrame) -> DataFrame:
-    """Each member with the least member of each other component in its bucket."""
-    centres = open_.groupBy("key", F.col("label").alias("other")).agg(F.min("rep").alias("c"))
-    out = open_.join(centres, "key").filter("label <> other")
-    return out.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-
-
-def _cross_pairs(open_: DataFrame) -> DataFrame:
-    """All pairs of members of different components in a bucket."""
-    other = open_.select("key", F.col("rep").alias("c"), F.col("label").alias("other"))
-    return open_.join(other, "key").filter("label <> other and rep < c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
+    return both.mapInArrow(_verifier(width, percent, extras), "a long, b long, linked boolean, n long, outside array<long>")
 
 
 def keep_one_of_each(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

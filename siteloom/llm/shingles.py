@@ -44,12 +44,10 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def common_size(a: np.ndarray, b: np.ndarray) -> int:
-    """The size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
+def members(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which items of a are in b; both are sorted sets."""
     if not len(b):
-        return 0
+        return np.zeros(len(a), bool)
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a))
+    return b[at] == a
