@@ -12,6 +12,7 @@ from .minhash import near_duplicates
 from .pii import find_pii
 from .mixing import mix
 from .pieces import segment
+from .webp import texts_as_images
 from .quality_rules import quality_rules
 
 
@@ -35,8 +36,12 @@ def op4_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment(documents(spark, sf_dir))
 
 
+def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts_as_images(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii, op2_entropy_balancing, op4_nbest_segmentation,)}
+    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii, op2_entropy_balancing, op4_nbest_segmentation, op1_lossless_webp,)}
 
 
 def oracle_sql() -> dict[str, str]:
