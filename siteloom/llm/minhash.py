@@ -6,12 +6,13 @@ the share of equal bins of two sketches is concentrated around the similarity of
 
 1. One row per document: size and 128-bit signature of its set, and one hash per band. Documents with equal sets form
    a class, whose least doc_id stands for it from here on: groups of exact copies, however large, end here.
-2. Classes that share a band are candidates. In each bucket all are compared with its smallest set c only (a star, so
-   no bucket makes pairs by the square), on the full sets, computed again from the texts.
-3. If v isn't linked with c and shares nothing outside c with u, then u and v have at most |v & c| in common and a
-   union of at least |v | c| (u is no smaller than c), so they aren't linked either. So only members that share a
-   shingle outside c go on: those of different components, in groups by that shingle. Small groups are compared pair by
-   pair; large ones are buckets again, until nothing is left. So the components are those of all candidate pairs.
+2. Classes that share a band are candidates. In each bucket all are compared with its least member c only (a star, so
+   no bucket makes pairs by the square), on the full sets, computed again from the texts. A comparison also gives what
+   sets b apart from c, the symmetric difference.
+3. All members linked with c are in one component. Those that aren't are a query set against all members of c's star,
+   in blocks: |u & v| = |c| - |c \\ u| - |c \\ v| + |(c ^ u) & (c ^ v)|, so the differences are all that it takes. A member
+   of the query set returns one link for each other component that it is linked with. So the components are those of
+   all candidate pairs, from a number of rows in proportion to the members.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .shingles import members, shingle_set
 
 ROWS = 6
 MISS = 1e-6
-#: Groups of up to so many are compared pair by pair.
-SMALL = 32
+#: The blocks in which the members of a star that aren't linked with its centre are held against all of them.
+QUERIES, MEMBERS = 2048, 8192
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -82,28 +83,101 @@ def _sketcher(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.Record
     return run
 
 
-def _verifier(width: int, percent: int, extras: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _star(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (a, b, text_a, text_b), in the order of a -> whether they are linked, both sizes, and the symmetric difference."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = object(), None
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 a = part.column(0).to_pylist()
-                linked, n, outside = [], [], []
+                linked, n_a, n_b, apart = [], [], [], []
                 for i in range(part.num_rows):
-                    if a[i] != last:  # the rows come in the order of a
+                    if a[i] != last:
                         last, x = a[i], shingle_set(part.column(2)[i].as_py(), width)
                     y = shingle_set(part.column(3)[i].as_py(), width)
                     common = members(y, x)
                     both = int(np.count_nonzero(common))
                     linked.append(100 * both >= percent * (len(x) + len(y) - both))
-                    n.append(len(y))
-                    outside.append(y[~common].view(np.int64) if extras else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], ["a", "b", "linked", "n", "outside"])
+                    n_a.append(len(x)), n_b.append(len(y))
+                    apart.append(np.concatenate([y[~common], x[~members(x, y)]]).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(apart, pa.list_(pa.int64()))], ["a", "b", "linked", "n_a", "n_b", "apart"])
 
     return run
 
 
+class _Block:
+    """Members of one star's block: queries and the members to hold them against."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.rows: tuple[list, list] = ([], [])
+
+    def links(self) -> list[tuple[int, int]]:
+        """For each query, a linked member of each other component."""
+        queries, others = self.rows
+        if not queries or not others:
+            return []
+        tokens = np.concatenate([r[4] for r in queries])
+        owner = np.repeat(np.arange(len(queries)), [len(r[4]) for r in queries])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        size_q, apart_q = (np.array(x) for x in zip(*((r[2], len(r[4])) for r in queries)))
+        label_q = np.array([r[1] for r in queries])
+        out = []
+        for start in range(0, len(others), 512):
+            some = others[start : start + 512]
+            theirs = np.concatenate([r[4] for r in some])
+            who = np.repeat(np.arange(len(some)), [len(r[4]) for r in some])
+            lo, hi = np.searchsorted(tokens, theirs, "left"), np.searchsorted(tokens, theirs, "right")
+            shared = np.zeros(len(queries) * len(some), np.int64)
+            for k in range(0, len(theirs), 4096):  # the places of equal tokens, a bounded number at once
+                n = hi[k : k + 4096] - lo[k : k + 4096]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[k : k + 4096], n)
+                shared += np.bincount(owner[at] * len(some) + np.repeat(who[k : k + 4096], n), minlength=len(shared))
+            shared = shared.reshape(len(queries), len(some))
+            centre = some[0][3]
+            size_o, apart_o = (np.array(x) for x in zip(*((r[2], len(r[4])) for r in some)))
+            missing_q, missing_o = (apart_q + centre - size_q) // 2, (apart_o + centre - size_o) // 2
+            both = centre - missing_q[:, None] - missing_o[None, :] + shared
+            label_o = np.array([r[1] for r in some])
+            hit = (100 * both >= self.percent * (size_q[:, None] + size_o[None, :] - both)) & (label_q[:, None] != label_o[None, :])
+            i, j = np.nonzero(hit)
+            _, first = np.unique(np.stack([i, label_o[j]]), axis=1, return_index=True)
+            out += [(queries[i[k]][0], some[j[k]][0]) for k in first.tolist()]
+        return out
+
+
+def _held(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (a, i, j, query, b, label, n_a, n_b, apart), in the order of the first three -> links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, _Block(percent)
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            query, b, label, n_a, n_b = (batch.column(k).to_pylist() for k in range(3, 8))
+            apart = batch.column(8)
+            for k, key in enumerate(keys):
+                if key != now:
+                    found += block.links()
+                    now, block = key, _Block(percent)
+                block.rows[0 if query[k] else 1].append((b[k], label[k], n_b[k], n_a[k], apart[k].values.to_numpy() if len(apart[k]) else np.empty(0, np.int64)))
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = []
+        found += block.links()
+        yield _pairs(found)
+
+    return run
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """df (doc_id, text) -> doc_id, n_shingles, component_id, kept: one row for each of df's.
 
@@ -120,8 +194,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     sets = rows.filter(has).join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
     docs = materialise(sets.unionByName(rows.filter(~has).select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(None).cast("array<long>").alias("bands"))), "classes")
 
-    keys = docs.filter("bands is not null").select("rep", "n_shingles", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
+    keys = docs.filter("bands is not null").select("rep", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key", "low")
     buckets = materialise(keys.join(shared, "key"), "buckets")
     held = texts.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     labels = _link(buckets, materialise(held, "texts"), width, percent)
@@ -131,49 +205,27 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 
 def _link(buckets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, label) of the components of all pairs in a bucket (key, rep, n_shingles) that the full sets link."""
-    links, rows_before = None, None
-
-    def add(pairs: DataFrame) -> DataFrame:
-        nonlocal links
-        new = pairs.filter("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        return components(links)
-
-    while True:
-        centres = buckets.groupBy("key").agg(F.min(F.struct("n_shingles", "rep"))["rep"].alias("a"))
-        edges = buckets.join(centres, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-        stars = materialise(_verify(edges, texts, width, percent, True), "stars")
-        labels = add(stars)
-        named = stars.join(labels, F.col("b") == F.col("node"), "left").select(
-            F.coalesce("label", "b").alias("label"), F.col("b").alias("rep"), F.col("n").alias("n_shingles"), "linked", "a", F.explode("outside").alias("token"))
-        named = named.select(F.xxhash64("a", "token").alias("key"), "rep", "n_shingles", "linked", "label")
-        open_ = named.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("linked").alias("all"))
-        groups = materialise(named.join(open_.filter("l0 < l1 and not all").select("key", "members"), "key").drop("linked"), "groups")
-        few = groups.filter(F.col("members") <= SMALL)
-        many = groups.filter(F.col("members") > SMALL)
-        rows = many.count()
-        if rows and rows_before is not None and rows > 0.9 * rows_before:
-            few, rows = groups, 0  # stars don't take these apart
-        other = few.select("key", F.col("rep").alias("b"), F.col("label").alias("other"))
-        pairs = few.join(other, "key").filter("label <> other and rep < b").select(F.col("rep").alias("a"), "b").distinct()
-        tested = materialise(_verify(pairs, texts, width, percent, False), "pairs")
-        if not tested.filter("linked").isEmpty():
-            labels = add(tested)
-        if not rows:
-            return labels
-        buckets, rows_before = many.select("key", "rep", "n_shingles"), rows
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, extras: bool) -> DataFrame:
-    """Pairs (a, b) with whether their full sets are linked, the size of b's, and, if asked for, b's shingles outside a's.
-
-    Both texts are fetched by joins.
-    """
+    """(node, label) of the components of all pairs in a bucket (key, rep, low) that the full sets link."""
+    edges = buckets.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     text_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verifier(width, percent, extras), "a long, b long, linked boolean, n long, outside array<long>")
+    both = edges.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
+    stars = materialise(both.mapInArrow(_star(width, percent), "a long, b long, linked boolean, n_a int, n_b int, apart array<long>"), "stars")
+    links = stars.filter("linked").select("a", "b")
+    labels = components(links)
+
+    # stars with members of several components, and the number of blocks of each
+    named = stars.join(labels, F.col("b") == F.col("node"), "left").withColumn("label", F.coalesce("label", "b"))
+    sizes = named.groupBy("a").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count_if(~F.col("linked")).alias("n_q"), F.count("*").alias("n"))
+    sizes = sizes.filter("n_q > 0 and l0 < l1").select("a", F.ceil(F.col("n_q") / QUERIES).cast("int").alias("of_q"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("of_m"))
+    rows = named.join(sizes, "a")
+    cut = F.xxhash64("b")
+    every = F.sequence(F.lit(0), F.col("of_m") - 1)
+    queries = rows.filter(~F.col("linked")).select("a", F.pmod(cut, F.col("of_q")).cast("int").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("query"), "b", "label", "n_a", "n_b", "apart")
+    against = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("of_q") - 1)).alias("i"), F.pmod(cut, F.col("of_m")).cast("int").alias("j"), F.lit(False).alias("query"), "b", "label", "n_a", "n_b", "apart")
+    blocks = queries.unionByName(against).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    more = materialise(blocks.mapInArrow(_held(percent), "a long, b long"), "links")
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def keep_one_of_each(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
