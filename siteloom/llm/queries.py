@@ -13,6 +13,7 @@ from .pii import find_pii
 from .mixing import mix
 from .pieces import segment
 from .webp import texts_as_images
+from .repeats import remove_repeats
 from .quality_rules import quality_rules
 
 
@@ -40,8 +41,12 @@ def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts_as_images(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii, op2_entropy_balancing, op4_nbest_segmentation, op1_lossless_webp,)}
+    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii, op2_entropy_balancing, op4_nbest_segmentation, op1_lossless_webp, op10_suffix_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
