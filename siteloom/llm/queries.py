@@ -14,6 +14,9 @@ from .mixing import mix
 from .pieces import segment
 from .webp import texts_as_images
 from .repeats import remove_repeats
+from .langid import identify
+from .rule_ensemble import score_quality
+from .cross_entropy import cross_entropy_difference
 from .quality_rules import quality_rules
 
 
@@ -45,8 +48,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op5_byte_cnn_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii, op2_entropy_balancing, op4_nbest_segmentation, op1_lossless_webp, op10_suffix_dedup,)}
+    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii, op2_entropy_balancing, op4_nbest_segmentation, op1_lossless_webp, op10_suffix_dedup, op5_byte_cnn_lang, op6_rule_ensemble, op9_cross_entropy_difference,)}
 
 
 def oracle_sql() -> dict[str, str]:
