@@ -63,7 +63,7 @@ def rotations(motif: str) -> list[str]:
 
 def reverse_complement(seq: Column) -> Column:
     """Upper case; what isn't a base becomes N."""
-    return F.reverse(F.translate(F.regexp_replace(F.upper(seq), "[^ACGT]", "N"), "ACGT", "TGCA"))
+    return F.reverse(F.translate(F.upper(F.regexp_replace(seq, "[^ACGTacgt]", "N")), "ACGT", "TGCA"))
 
 
 def breakpoint_end(seq: Column, left_clip: Column, reverse: Column, n: int = 20) -> Column:
