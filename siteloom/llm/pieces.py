@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with the N best segmentations of a text.
 
-The piece lattice of a text falls apart where no piece can cross: before a run of word marks and around characters that
-only stand alone. Each part gets a forward Viterbi pass. Its scores are exact heuristics for an A* search that runs back
+The piece lattice of a text falls apart where no piece can cross: before a run of word marks, around characters that only
+stand alone, and, if the model has no piece across, after a letter before anything else. Each part gets a forward Viterbi pass. Its scores are exact heuristics for an A* search that runs back
 from the end of the part: what it takes from its agenda is always on one of the N best paths. The N best of the text
 are sums over the parts; a part's loss by its second-best path, which the forward pass gives as well, tells which N - 1
 parts can differ at all in the N best of the text, and only these are searched.
@@ -33,7 +33,7 @@ class Lattice:
     """The pieces of a model (its bytes), and segmentation with them."""
 
     #: Parts held with their results; then all are dropped.
-    most = 700_000
+    most = 1_000_000
 
     def __init__(self, proto: bytes, n_best: int = N_BEST):
         import sentencepiece
@@ -69,8 +69,15 @@ class Lattice:
                 b = int(model.id_to_piece(i)[1:-1], 16)
                 self.byte_ids[b] = i
                 self.bytes_of[i] = bytes([b])
-        glue = "".join(map(re.escape, sorted(joined - {MARK})))
-        self.parts = re.compile(rf"(?s:.+)" if crossing else rf"{MARK}*[{glue}]+|{MARK}+|[^{glue}{MARK}]").findall
+        letters = {c for c in joined if c.isalpha()}
+        glue, alpha, rest = ("".join(map(re.escape, sorted(x))) for x in (joined - {MARK}, letters, joined - letters - {MARK}))
+        pattern = rf"{MARK}*[{glue}]+|{MARK}+|[^{glue}{MARK}]"
+        if crossing:
+            pattern = "(?s:.+)"
+        elif rest and not any(x in letters and y not in letters for p in self.table for x, y in zip(p, p[1:])):
+            # no piece goes on after a letter with anything but letters, so parts end there
+            pattern = rf"{MARK}*[{rest}]*[{alpha}]+|{MARK}*[{rest}]+|{MARK}+|[^{glue}{MARK}]"
+        self.parts = re.compile(pattern).findall
         self.known: dict[str, tuple[bytes, float, int]] = {}
         self.lists: dict[str, list[tuple[int, list[int]]]] = {}
 
