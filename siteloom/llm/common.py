@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -49,11 +50,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siteloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
+    release(spark)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of what is no longer referred to.
+
+    It does so when the driver's JVM collects garbage, which may not be for half an hour; after a table is written, what
+    led to it isn't needed.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words."""
     h = h ^ (h >> U(31))

@@ -205,6 +205,11 @@ def _refined(around: DataFrame, single: bool) -> DataFrame:
 _RANGE = "array<struct<a:int,b:int>>"
 
 
+def _by_document(starts: DataFrame) -> DataFrame:
+    """Ranges (doc_id, th, a, b), each once, as a table of (doc_id, th, ranges); a document bounds how many it has."""
+    return materialise(starts.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).cast(_RANGE).alias("ranges")), "ranges")
+
+
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """docs (doc_id, th, text) -> (doc_id, th, ranges): the starts of strings of K bytes that start elsewhere too, as ranges (a, b)."""
     schema = "doc_id long, th long, core long, context long, p int, j0 short, j1 short"
@@ -214,7 +219,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     classes = found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p", "j0", "j1")).alias("one"))
     classes = materialise(classes, "contexts")
     repeated = found.join(classes.filter("n > 1").select("core", "context"), ["core", "context"])
-    ranges = [repeated.select("doc_id", "th", (F.col("p") - F.col("j1")).alias("a"), (F.col("p") - F.col("j0")).alias("b"))]
+    ranges = [_by_document(repeated.select("doc_id", "th", (F.col("p") - F.col("j1")).alias("a"), (F.col("p") - F.col("j0")).alias("b")))]
 
     # one anchor of each context, where a bucket has several contexts
     mixed = classes.groupBy("core").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("core")
@@ -229,7 +234,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         classes = rows.groupBy("core", "inner", "outer").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p", "a", "b", "known")).alias("one"))
         classes = materialise(classes, "classes")
         repeated = rows.filter(~F.col("known")).join(classes.filter("n > 1").select("core", "inner", "outer"), ["core", "inner", "outer"])
-        ranges.append(repeated.select("doc_id", "th", (F.col("p") - F.col("b")).alias("a"), (F.col("p") - F.col("a")).alias("b")))
+        ranges.append(_by_document(repeated.select("doc_id", "th", (F.col("p") - F.col("b")).alias("a"), (F.col("p") - F.col("a")).alias("b"))))
         if single:
             break
         # one range of each outer string, where an inner one has several and one of them is open
@@ -241,7 +246,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     starts = ranges[0]
     for more in ranges[1:]:
         starts = starts.unionByName(more)
-    return starts.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).cast(_RANGE).alias("ranges"))
+    return starts.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _keep(data: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes]:
