@@ -408,14 +408,14 @@ def case_control_ratio(spark, d):
     return rules.post_filter(joined, rules.case_control_rules()).select("chrom", "pos", "reason")
 
 
-_SEQ = "SELECT doc_id, upper(coalesce(text, '')) AS s FROM documents"
+_SEQ = "SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM documents"
 _CA, _CT = "(length(s) - length(replace(s, 'A', '')))", "(length(s) - length(replace(s, 'T', '')))"
 
 
 @query(f"""SELECT doc_id, {_CA} > 0.1 * length(s) OR {_CT} > 0.1 * length(s) AS poly, regexp_matches(s, 'A{{3,}}|T{{3,}}') AS run, regexp_matches(s, 'AAAAA|AATAA|TTTTT|TTATT') AS consecutive, {_CA} >= 40 OR {_CT} >= 40 AS enough,
   regexp_matches(s, 'AATAAA|AAAAAA|ATTAAA') AS signal, length(s) > 0 AND ({_CA} > 0.08 * length(s) OR {_CT} > 0.08 * length(s)) AS dominant FROM ({_SEQ})""")
 def polya_predicates(spark, d):
-    s = F.upper(F.coalesce("text", F.lit("")))
+    s = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
     return table(spark, d, "documents").select("doc_id", S.is_poly_a_t(s, 0.1).alias("poly"), S.has_run_a_t(s, 3).alias("run"), S.consecutive_a_t(s).alias("consecutive"), S.enough_a_t(s, 40).alias("enough"), S.polya_signal(s, False).alias("signal"), S.dominant_a_t(s, 0.08).alias("dominant"))
 
 
@@ -425,7 +425,7 @@ def revcomp(spark, d):
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE m WHEN 0 THEN l_orderkey WHEN 1 THEN l_orderkey + 80 WHEN 2 THEN l_orderkey + 90 WHEN 3 THEN l_orderkey ELSE l_orderkey + 75 END AS break_at, CASE m WHEN 0 THEN l_orderkey + 80 WHEN 1 THEN l_orderkey + 80 WHEN 2 THEN l_orderkey + 90 WHEN 3 THEN l_orderkey + 100 ELSE l_orderkey + 75 END AS ref_end,
-  m = 3 AS full_map, m IN (0, 4) AS left_clip, m IN (1, 2, 4) AS right_clip, m = 4 AS both_clipped, m = 2 AS indel, m IN (0, 1, 2, 3) AS good, CASE m WHEN 0 THEN 0.8 WHEN 1 THEN 0.8 WHEN 2 THEN 0.857143 WHEN 3 THEN 1.0 ELSE 0.75 END AS ratio FROM (SELECT *, l_partkey % 5 AS m FROM lineitem)""")
+  m = 3 AS full_map, m IN (0, 4) AS left_clip, m IN (1, 2, 4) AS right_clip, m = 4 AS both_clipped, m = 2 AS indel, m IN (0, 1, 2, 3) AS good, (CASE m WHEN 0 THEN 0.8 WHEN 1 THEN 0.8 WHEN 2 THEN 0.857143 WHEN 3 THEN 1.0 ELSE 0.75 END)::DOUBLE AS ratio FROM (SELECT *, l_partkey % 5 AS m FROM lineitem)""")
 def cigar_metrics(spark, d):
     texts = F.array(*map(F.lit, ("20S80M", "80M20S", "50M5I40M10S", "100M", "10S75M15S")))
     rows = table(spark, d, "lineitem").withColumn("cigar", C.parse_cigar(F.get(texts, (F.col("l_partkey") % 5).cast("int"))))
