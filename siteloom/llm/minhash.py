@@ -32,7 +32,7 @@ from .shingles import members, shingle_set
 ROWS = 6
 MISS = 1e-6
 #: The blocks in which the members of a star that aren't linked with its centre are held against all of them.
-QUERIES, MEMBERS = 2048, 8192
+QUERIES, MEMBERS = 512, 1024
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
