@@ -5,8 +5,15 @@ from pyspark.sql import types as T
 CIGAR = T.ArrayType(T.StructType([T.StructField("op", T.IntegerType()), T.StructField("len", T.IntegerType())]))
 
 
+_TYPES = {
+    "string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(),
+    "array<int>": T.ArrayType(T.IntegerType()), "array<tinyint>": T.ArrayType(T.ByteType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """'name type, ...' as a schema, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split(" ") for x in spec.split(", "))])
 
 
 READ = T.StructType([*struct("sample string, qname string, is_read1 boolean, chrom string, pos long, mapq int, is_duplicate boolean, is_unmapped boolean, mate_is_unmapped boolean, is_secondary boolean, is_supplementary boolean, is_reverse boolean, mate_is_reverse boolean"),
