@@ -130,7 +130,8 @@ def _scorer(table):
 
 def count_grams(df: DataFrame, good: DataFrame) -> DataFrame:
     """(code, n, n_target) over all texts of df (doc_id, text); good: the doc_ids of the target."""
-    good = good.select(F.col("doc_id").alias("_d")).distinct()
+    # a merge join at every size: the target isn't broadcast while it is small, to be exchanged with all texts later
+    good = good.select(F.col("doc_id").alias("_d")).distinct().hint("merge")
     named = df.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_d"), "left").select("text", F.col("_d").isNotNull().alias("target"))
     parts = named.mapInArrow(_counter, "code long, n long, n_target long")
     return parts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
