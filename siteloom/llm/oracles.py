@@ -37,3 +37,40 @@ FROM f
 """
 
 ORACLES = {"op7_quality_rules": QUALITY_RULES}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+#: Candidates share one of the rarest shingles of both (a prefix filter loses none); links are exact; components by recursion.
+MINHASH = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)
+), n AS (SELECT doc_id, count(*) AS n, sum(hash(g)::HUGEINT) AS sig FROM s GROUP BY doc_id
+), cls AS (SELECT n, sig, min(doc_id) AS rep FROM n GROUP BY n, sig
+), named AS (SELECT n.doc_id, n.n, rep FROM n JOIN cls USING (n, sig)
+), r AS (SELECT s.doc_id, g, count(*) OVER (PARTITION BY g) AS df FROM s JOIN cls ON s.doc_id = rep
+), p AS (SELECT r.doc_id, g, row_number() OVER (PARTITION BY r.doc_id ORDER BY df, g) AS k, n FROM r JOIN n USING (doc_id)
+), pre AS (SELECT doc_id, g, n FROM p WHERE k <= n - ceil(0.85 * n) + 1
+), cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM pre a JOIN pre b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), link AS (
+  SELECT a, b FROM cand c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.g = y.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= 85 * (na + nb - count(*))
+), e AS (SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (SELECT rep AS x, rep AS y FROM cls UNION SELECT x, b FROM reach JOIN e ON y = a
+), comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(named.n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id, d.doc_id = coalesce(c, d.doc_id) AS kept
+FROM documents d LEFT JOIN named USING (doc_id) LEFT JOIN comp ON x = rep
+"""
+
+#: Texts as hexadecimal digits, two for each byte.
+REPEATS = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (SELECT r, unnest(range(0, length(h) // 2 - 199)) AS i, unnest(list_transform(range(0, length(h) // 2 - 199), lambda i: md5_number(substr(h, 2 * i + 1, 400)))) AS x FROM d WHERE length(h) >= 400
+), twice AS (SELECT r, i FROM g SEMI JOIN (SELECT x FROM g GROUP BY x HAVING count(*) > 1) t USING (x)
+), runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(nw) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS nw FROM twice)) GROUP BY r, k
+), kept AS (SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS b FROM runs UNION ALL SELECT d.r, coalesce(max(b), 0), length(any_value(h)) // 2 FROM d LEFT JOIN runs USING (r) GROUP BY d.r
+), text_ AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS rest FROM kept JOIN d USING (r) GROUP BY r
+), gone AS (SELECT r, sum(b - a) AS n, count(*) AS k FROM runs GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM d JOIN text_ USING (r) LEFT JOIN gone USING (r)
+"""
+
+ORACLES |= {"op8_minhash_dedup": MINHASH, "op10_suffix_dedup": REPEATS}

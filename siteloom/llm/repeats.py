@@ -52,7 +52,7 @@ class Strings:
 
     def __init__(self, data: np.ndarray):
         if not _POWERS:
-            _POWERS.extend((_powers(_ODD, CHUNK + 2 * K + 1), _powers(pow(_ODD, -1, 2**64), CHUNK + 2 * K + 1)))
+            _POWERS.extend((_powers(_ODD, CHUNK + 4 * K), _powers(pow(_ODD, -1, 2**64), CHUNK + 4 * K)))
         self.n = len(data)
         self.sums = np.zeros(self.n + 1, U)
         terms = data.astype(U)
