@@ -44,7 +44,7 @@ class Lattice:
         whole = all(x == int(x) for x, _ in ranks) and len({x for x, _ in ranks}) > len(ranks) // 2
         norm = math.log(sum(1 / (r + 1) for r in range(len(ranks))))
         self.n_best = n_best
-        self.table: dict[str, tuple[int, int] | bool] = {}  # prefixes of pieces hold False
+        self.table: dict[str, tuple[int, int]] = {}
         self.bytes_of: list[bytes] = [b""] * size
         joined: set[str] = set()
         crossing = False
@@ -58,9 +58,14 @@ class Lattice:
             if len(piece) > 1:
                 joined |= set(piece)
                 crossing |= MARK in piece.lstrip(MARK)
-        for piece in [p for p in self.table if len(p) > 1]:
-            for k in range(1, len(piece)):
-                self.table.setdefault(piece[:k], False)
+        # the pieces as a tree by character: each node has its children, and the score and id of the piece that ends there
+        self.tree: dict[str, list] = {}
+        for piece, (score, i) in self.table.items():
+            children = self.tree
+            for c in piece:
+                node = children.setdefault(c, [{}, None, -1])
+                children = node[0]
+            node[1:] = score, i
         self.unknown_score = worst - 10_000
         self.unknown = model.unk_id()
         self.byte_ids = {}
@@ -83,16 +88,17 @@ class Lattice:
 
     def _arcs(self, part: str) -> list[tuple[int, int, int, int]]:
         """(start, end, score, id), by start; an id of -1 is a character without a piece."""
-        get, n, out = self.table.get, len(part), []
+        n, out = len(part), []
         for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                found = get(part[i:j])
-                if found is None:
+            single, children = False, self.tree
+            for j in range(i, n):
+                node = children.get(part[j])
+                if node is None:
                     break
-                if found:
-                    out.append((i, j, *found))
-                    single |= j == i + 1
+                children, score, piece = node
+                if score is not None:
+                    out.append((i, j + 1, score, piece))
+                    single |= j == i
             if not single:
                 out.append((i, i + 1, self.unknown_score, -1))
         return out
@@ -124,47 +130,53 @@ class Lattice:
 
         Forward passes for the best and the second-best score of each place at once.
         """
-        get, n, least = self.table.get, len(part), -(1 << 60)
+        tree, n, least = self.tree, len(part), -(1 << 60)
         first, second = [least] * (n + 1), [least] * (n + 1)
-        back = [None] * (n + 1)
+        back, strange = [None] * (n + 1), False
         first[0] = 0
         for i in range(n):
-            one, two = first[i], second[i]
-            single = False
-            for j in range(i + 1, n + 1):
-                found = get(part[i:j])
-                if found is None:
+            one, children, single = first[i], tree, False
+            j = i
+            for c in part[i:] if i else part:
+                node = children.get(c)
+                if node is None:
                     break
-                if found:
-                    s = found[0]
+                children, s, piece = node
+                j += 1
+                if s is not None:
                     t = one + s
                     if t > first[j]:  # of equal ones the first, so the longest last piece
                         u = first[j]
-                        s += two
+                        s += second[i]
                         second[j] = u if u > s else s
                         first[j] = t
-                        back[j] = (i, found[1])
+                        back[j] = (i, piece)
                     elif t > second[j]:
                         second[j] = t
                     if j == i + 1:
                         single = True
             if not single:
-                j = i + 1
+                j, strange = i + 1, True
                 t = one + self.unknown_score
                 if t > first[j]:
-                    second[j] = max(first[j], two + self.unknown_score)
+                    second[j] = max(first[j], second[i] + self.unknown_score)
                     first[j] = t
                     back[j] = (i, -1)
                 elif t > second[j]:
                     second[j] = t
         path, j = [], n
-        while j:
-            i, piece = back[j]
-            path.append(piece if piece >= 0 else (i, j, -1))
-            j = i
-        path.reverse()
-        if any(type(x) is tuple for x in path):
-            path = [y for x in path for y in (self._ids(part, [x]) if type(x) is tuple else [x])]
+        if strange:
+            steps = []
+            while j:
+                i, piece = back[j]
+                steps.append((i, j, piece))
+                j = i
+            path = self._ids(part, steps[::-1])
+        else:
+            while j:
+                j, piece = back[j]
+                path.append(piece)
+            path.reverse()
         loss = first[n] - second[n] if second[n] > least // 2 else math.inf
         return array("i", path).tobytes(), loss, first[n]
 
