@@ -518,3 +518,102 @@ def session_stream(spark, d):
     from ..streaming.sessions import sessions_of
 
     return sessions_of(spark, f"{d}/events.parquet")
+
+
+@query("SELECT c.chrom, c.pos, c.n_l, c.n_r, d.n_l AS n_ldisc, d.n_r AS n_rdisc FROM clips c JOIN (" + _DISC + ") d ON c.chrom = d.chrom AND c.pos = d.pos", *_CLIP, "sites")
+def clip_disc_join(spark, d):
+    disc = reads.discordant_sides(_sites(spark, d), view(spark, d, "reads"), 30, 500).withColumnsRenamed({"n_l": "n_ldisc", "n_r": "n_rdisc"})
+    return _clips(spark, d).select("chrom", "pos", "n_l", "n_r").join(disc, ["chrom", "pos"])
+
+
+@query("SELECT c.chrom, c.pos, c.n_l - coalesce(f.n_l, 0) AS n_l, c.n_r - coalesce(f.n_r, 0) AS n_r FROM clips c LEFT JOIN (SELECT chrom, pos, count(*) FILTER (side = 'L') AS n_l, count(*) FILTER (side = 'R') AS n_r FROM reads WHERE side IN ('L', 'R') AND mapq >= 40 GROUP BY ALL) f USING (chrom, pos)", *_CLIP)
+def clip_subtract(spark, d):
+    failed = reads.clip_counts(view(spark, d, "reads").filter("side IN ('L', 'R') AND mapq >= 40").select("chrom", "pos", "side", F.lit(False).alias("in_repeat")))
+    return reads.subtract_unaligned(_clips(spark, d).select("chrom", "pos", "n_l", "n_r"), failed)
+
+
+@query("SELECT chrom, pos, sum(n_l)::BIGINT AS n_l, sum(n_r)::BIGINT AS n_r, count(*) AS n_samples FROM (SELECT bx % 4 AS sample, chrom, pos, count(*) FILTER (side = 'L') AS n_l, count(*) FILTER (side = 'R') AS n_r FROM reads GROUP BY ALL) GROUP BY chrom, pos", "reads")
+def multi_sample_sum(spark, d):
+    per = view(spark, d, "reads").groupBy((F.col("bx") % 4).alias("sample"), "chrom", "pos").agg(F.count_if(F.col("side") == "L").alias("n_l"), F.count_if(F.col("side") == "R").alias("n_r"))
+    return per.groupBy("chrom", "pos").agg(F.sum("n_l").alias("n_l"), F.sum("n_r").alias("n_r"), F.count("*").alias("n_samples"))
+
+
+@query("SELECT s.chrom, s.pos, round(avg(CASE WHEN mapq < 10 THEN 1.0 ELSE 0.0 END), 6) AS low FROM sites s JOIN reads r ON r.chrom = s.chrom AND r.pos >= s.pos - 40 AND r.pos < s.pos + 40 GROUP BY s.chrom, s.pos HAVING avg(CASE WHEN mapq < 10 THEN 1.0 ELSE 0.0 END) < 0.15", "reads", "sites")
+def low_mapq_background(spark, d):
+    return reads.low_quality_background(_sites(spark, d), view(spark, d, "reads"), 40, 0.15).withColumn("low", F.round("low", 6))
+
+
+@query("SELECT count(*) AS n, sum(pos)::BIGINT AS total FROM reads r WHERE EXISTS (SELECT 1 FROM reads q WHERE q.bx = r.bx AND q.chrom = 3 AND q.pos < 200)", "reads")
+def molecule_reads(spark, d):
+    r = view(spark, d, "reads")
+    return reads.shared_barcode_reads(r, r.filter("chrom = 3 AND pos < 200")).agg(F.count("*").alias("n"), F.sum("pos").alias("total"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem a WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND (b.l_linenumber % 2 = 1) <> (a.l_linenumber % 2 = 1) AND b.l_quantity > 45)")
+def mate_by_name(spark, d):
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qname"), (F.col("l_linenumber") % 2 == 1).alias("is_read1"), "l_linenumber", "l_quantity")
+    return reads.mates(r, r.filter("l_quantity > 45")).select(F.col("qname").alias("l_orderkey"), "l_linenumber")
+
+
+@query("SELECT chrom, pos, rd, CASE WHEN n_ldisc <= 0 OR n_rdisc <= 0 THEN true ELSE abs(n_rdisc - n_ldisc) / greatest(n_ldisc, n_rdisc) >= 0.35 END AS differs, coalesce(lc_start - 276 <= rd_end + 276 AND rd_start - 276 <= lc_end + 276, false) AS near FROM (SELECT *, 1 AS rd FROM records)", "records")
+def depth_and_distance(spark, d):
+    return view(spark, d, "records").select("chrom", "pos", F.lit(1).alias("rd"), rules.depth_differs(F.col("n_ldisc"), F.col("n_rdisc")).alias("differs"), F.coalesce(rules.regions_consistent(F.col("lc_start"), F.col("lc_end"), F.col("rd_start"), F.col("rd_end"), 550), F.lit(False)).alias("near"))
+
+
+@query("SELECT l_orderkey, l_linenumber, chrom <> mate OR abs(mate_pos - pos) > 2000 AS by_distance, chrom <> mate OR abs(pos - mate_pos) > 550 + 3 * 50 AS by_template, chrom = mate AND least(pos, mate_pos) <= site AND site <= greatest(pos, mate_pos) + 100 AND site - least(pos, mate_pos) <= 550 AND greatest(pos, mate_pos) + 100 - site <= 550 AS spans, (CASE WHEN rev THEN NOT rev2 ELSE rev2 END) <> rev3 AS same_way FROM (SELECT *, l_suppkey % 2 AS chrom, l_partkey % 2 AS mate, l_orderkey AS pos, l_partkey AS mate_pos, l_orderkey + 40 AS site, l_linestatus = 'F' AS rev, l_returnflag = 'A' AS rev2, l_linenumber = 1 AS rev3 FROM lineitem)")
+def pair_predicates(spark, d):
+    r = table(spark, d, "lineitem").withColumns({"chrom": (F.col("l_suppkey") % 2).cast("string"), "mate": (F.col("l_partkey") % 2).cast("string"), "pos": F.col("l_orderkey"), "mate_pos": F.col("l_partkey")})
+    c, m, p, q = (F.col(x) for x in ("chrom", "mate", "pos", "mate_pos"))
+    return r.select("l_orderkey", "l_linenumber", C.discordant(c, p, m, q).alias("by_distance"), C.discordant_by_template(c, m, p - q, 550, 50).alias("by_template"), C.spans_site(c, p, m, q, p + 40, 100, 550).alias("spans"),
+                    C.same_orientation(F.col("l_returnflag") == "A", F.col("l_linestatus") == "F", F.col("l_linenumber") == 1).alias("same_way"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN m <= 2 ELSE m <= 1 END AS few FROM (SELECT *, CAST(l_linenumber % 4 AS INT) AS m FROM lineitem)")
+def md_mismatches(spark, d):
+    md = F.concat(F.lit("10"), F.repeat(F.lit("A5"), (F.col("l_linenumber") % 4).cast("int")), F.lit("7"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.few_mismatches(md, F.when(F.col("l_quantity") > 25, 150).otherwise(75)).alias("few"))
+
+
+@query("SELECT o_orderkey, 2 AS n, 'hit' || (o_custkey % 5) AS first, o_orderkey AS pos, true AS rc, '50M' AS cigar FROM orders")
+def xa_alternatives(spark, d):
+    xa = F.concat(F.lit("hit"), (F.col("o_custkey") % 5).cast("string"), F.lit(",-"), F.col("o_orderkey").cast("string"), F.lit(",50M,1;other,+7,30M20S,0;"))
+    x = C.alternatives(xa)
+    return table(spark, d, "orders").select("o_orderkey", F.size(x).alias("n"), x[0]["chrom"].alias("first"), x[0]["pos"].alias("pos"), x[0]["is_rc"].alias("rc"), x[0]["cigar"].alias("cigar"))
+
+
+@query("SELECT site, n, q1, q3 FROM (SELECT bx AS site, count(*) AS n, list_sort(list(mate_pos))[(count(*) // 4 + 1)::INT] AS q1, list_sort(list(mate_pos))[(3 * count(*) // 4 + 1)::INT] AS q3 FROM reads GROUP BY bx)", "reads")
+def quartile_positions(spark, d):
+    counts = view(spark, d, "reads").groupBy(F.col("bx").alias("site"), "mate_pos").agg(F.count("*").alias("k"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("site")
+    r = counts.withColumn("till", F.sum("k").over(w.orderBy("mate_pos"))).withColumn("n", F.sum("k").over(w))
+    return r.groupBy("site", "n").agg(F.min(F.when(F.col("till") > F.floor(F.col("n") / 4), F.col("mate_pos"))).alias("q1"), F.min(F.when(F.col("till") > F.floor(3 * F.col("n") / 4), F.col("mate_pos"))).alias("q3"))
+
+
+@query("SELECT chrom, kind, count(*) AS n FROM (SELECT chrom, CASE WHEN td_src LIKE '%orphan%' THEN 'orphan' WHEN td_src LIKE '%sibling%' THEN 'sibling' WHEN td_src LIKE '%not_transduction%' THEN 'none' ELSE 'td' END AS kind FROM records) GROUP BY ALL", "records")
+def td_split(spark, d):
+    kind = F.when(rules.is_orphan(), "orphan").when(rules.is_sibling(), "sibling").when(~rules.is_transduction(), "none").otherwise("td")
+    return view(spark, d, "records").select("chrom", kind.alias("kind")).groupBy("chrom", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT chrom, pos, CASE WHEN hit IS NULL THEN 'new' ELSE 'updated' END AS state, hit FROM (SELECT a.chrom, a.pos, min(b.pos) AS hit FROM (SELECT DISTINCT chrom, pos FROM calls WHERE priority = 2) a LEFT JOIN (SELECT DISTINCT chrom, pos FROM calls WHERE priority = 0) b ON b.chrom = a.chrom AND b.pos >= a.pos - 75 AND b.pos < a.pos + 75 GROUP BY ALL)", "calls")
+def td_update(spark, d):
+    v = view(spark, d, "calls")
+    out = intervals.near(v.filter("priority = 2").select("chrom", "pos").distinct(), v.filter("priority = 0"), 75, "left")
+    return out.select("chrom", "pos", F.when(F.col("hit").isNull(), "new").otherwise("updated").alias("state"), "hit")
+
+
+@query("SELECT chrom, pos // 1000 AS bin, count(*) AS n, count(DISTINCT pos) AS n_pos FROM reads GROUP BY ALL", "reads")
+def bin_counts(spark, d):
+    return view(spark, d, "reads").groupBy("chrom", F.floor(F.col("pos") / 1000).alias("bin")).agg(F.count("*").alias("n"), F.count_distinct("pos").alias("n_pos"))
+
+
+@query("SELECT o_orderkey, CASE WHEN st IN ('F', 'O') AND n > 0 THEN 'keep' ELSE 'drop' END AS verdict, line FROM (SELECT o_orderkey, o_orderstatus AS st, o_custkey AS n, 'chr' || (o_custkey % 24) || chr(9) || o_orderkey || chr(9) || '.' || chr(9) || '.' || chr(9) || '<' || o_orderpriority || '>' || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || 'SVTYPE=' || o_orderpriority || ';SVLEN=' || o_custkey || chr(9) || 'GT' || chr(9) || CASE o_orderstatus WHEN 'F' THEN '1/1' ELSE '0/1' END AS line FROM orders)")
+def vcf_record(spark, d):
+    from ..sources.sinks import vcf_lines
+
+    o = table(spark, d, "orders")
+    rec = o.select(F.concat(F.lit("chr"), (F.col("o_custkey") % 24).cast("string")).alias("chrom"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("svtype"), F.col("o_custkey").alias("ins_len"), F.when(F.col("o_orderstatus") == "F", "1/1").otherwise("0/1").alias("genotype"))
+    lines = vcf_lines(rec).select(F.split("value", "\t")[1].cast("long").alias("o_orderkey"), F.col("value").alias("line"))
+    return lines.join(o.select("o_orderkey", F.when(F.col("o_orderstatus").isin("F", "O") & (F.col("o_custkey") > 0), "keep").otherwise("drop").alias("verdict")), "o_orderkey")
