@@ -190,7 +190,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialise(texts.mapInArrow(_sketcher(width, bands, ROWS), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketches")
     has = F.col("s1").isNotNull() & F.col("doc_id").isNotNull()
-    classes = rows.filter(has).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # a table, so that both sides of the join below are exchanged for it, and a large class can be split
+    classes = materialise(rows.filter(has).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "sets")
     sets = rows.filter(has).join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
     docs = materialise(sets.unionByName(rows.filter(~has).select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(None).cast("array<long>").alias("bands"))), "classes")
 
