@@ -214,7 +214,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     """docs (doc_id, th, text) -> (doc_id, th, ranges): the starts of strings of K bytes that start elsewhere too, as ranges (a, b)."""
     schema = "doc_id long, th long, core long, context long, p int, j0 short, j1 short"
     every = docs.mapInArrow(_anchor_rows, schema)
-    shared = every.select("core").groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    # a table, so that both sides of the join are exchanged for it, and a hot q-gram can be split
+    shared = materialise(every.select("core").groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "shared")
     found = materialise(every.join(shared, "core"), "anchors")
     classes = found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p", "j0", "j1")).alias("one"))
     classes = materialise(classes, "contexts")
