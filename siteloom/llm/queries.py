@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
-from .oracles import ORACLES
+from .cross_entropy import cross_entropy_difference
+from .langid import identify
 from .minhash import near_duplicates
-from .pii import find_pii
 from .mixing import mix
+from .oracles import ORACLES
 from .pieces import segment
-from .webp import texts_as_images
+from .pii import find_pii
+from .quality_rules import quality_rules
 from .repeats import remove_repeats
-from .langid import identify
 from .rule_ensemble import score_quality
-from .cross_entropy import cross_entropy_difference
-from .quality_rules import quality_rules
+from .webp import texts_as_images
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,19 @@ def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_minhash_dedup, op3_information_pii, op2_entropy_balancing, op4_nbest_segmentation, op1_lossless_webp, op10_suffix_dedup, op5_byte_cnn_lang, op6_rule_ensemble, op9_cross_entropy_difference,)}
+    every = (
+        op1_lossless_webp,
+        op2_entropy_balancing,
+        op3_information_pii,
+        op4_nbest_segmentation,
+        op5_byte_cnn_lang,
+        op6_rule_ensemble,
+        op7_quality_rules,
+        op8_minhash_dedup,
+        op9_cross_entropy_difference,
+        op10_suffix_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
