@@ -42,10 +42,8 @@ def islands(df: DataFrame, gap: int, inclusive: bool = False, key: list[str] | N
     lasts = rows.groupBy(*key, "_tile").agg(F.max("_start").alias("_last"))
     w2 = Window.partitionBy(*key).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     lasts = lasts.withColumn("_carry", F.max("_last").over(w2)).drop("_last")
-    w3 = w.rowsBetween(Window.unboundedPreceding, 0)
     # equal positions belong together: the range frame takes all of them
     inside = F.max("_start").over(w.rangeBetween(Window.unboundedPreceding, 0))
-    del w3
     return rows.withColumn("_in", inside).join(lasts, [*key, "_tile"]).withColumn("island", F.coalesce("_in", "_carry")).drop("_tile", "_home", "_start", "_in", "_carry")
 
 

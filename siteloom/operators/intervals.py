@@ -42,12 +42,11 @@ def points_in(points: DataFrame, intervals: DataFrame, pos: str = "pos", bin_: i
     hit = (F.col("chrom") == F.col("_chrom")) & (F.col("_pl") == F.col("_level")) & (F.col("_pb") == F.col("_bin")) & (F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))
     if how == "inner":
         return _levels(points, bin_, F.col(pos)).join(cut, hit).drop("_pl", "_pb", "_chrom", "_level", "_bin")
-    keyed = points.withColumn("_id", F.monotonically_increasing_id()) if how == "left" else points
+    found = points_in(points.select("chrom", pos).distinct(), intervals, pos, bin_, "inner", start, end).withColumnsRenamed({"chrom": "_c", pos: "_p"})
+    same = (F.col("chrom") == F.col("_c")) & (F.col(pos) == F.col("_p"))
     if how == "left":
-        found = points_in(points.select("chrom", pos).distinct(), intervals, pos, bin_, "inner", start, end).withColumnsRenamed({"chrom": "_c", pos: "_p"})
-        return points.join(found, (F.col("chrom") == F.col("_c")) & (F.col(pos) == F.col("_p")), "left").drop("_c", "_p")
-    places = points_in(points.select("chrom", pos).distinct(), intervals, pos, bin_, "inner", start, end).select(F.col("chrom").alias("_c"), F.col(pos).alias("_p")).distinct()
-    return keyed.join(places, (F.col("chrom") == F.col("_c")) & (F.col(pos) == F.col("_p")), how)
+        return points.join(found, same, "left").drop("_c", "_p")
+    return points.join(found.select("_c", "_p").distinct(), same, how)
 
 
 def overlaps(a: DataFrame, b: DataFrame, bin_: int = 128) -> DataFrame:
