@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, materialise, mix, mix_in_place
+from .common import U, discard, materialise, mix, mix_in_place
 
 K = 200
 Q = 100
@@ -229,6 +229,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     texts = docs.withColumnsRenamed({"doc_id": "_d", "th": "_h"})
     joined = by_doc.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h"))).select("doc_id", "th", "text", "open").dropDuplicates(["doc_id", "th"])
     around = materialise(joined.mapInArrow(_context_rows, "doc_id long, th long, core long, p int, j0 short, j1 short, known boolean, lead short, around binary"), "around")
+    discard(shared, found, classes)
+    first = around
 
     for single in (False, True):
         rows = _refined(around, single)
@@ -237,6 +239,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         repeated = rows.filter(~F.col("known")).join(classes.filter("n > 1").select("core", "inner", "outer"), ["core", "inner", "outer"])
         ranges.append(_by_document(repeated.select("doc_id", "th", (F.col("p") - F.col("b")).alias("a"), (F.col("p") - F.col("a")).alias("b"))))
         if single:
+            discard(classes, first)
             break
         # one range of each outer string, where an inner one has several and one of them is open
         mixed = classes.groupBy("core", "inner").agg(F.count("*").alias("k"), F.max((F.col("n") == 1) & ~F.col("one.known")).alias("open")).filter("k > 1 and open").select("core", "inner")
