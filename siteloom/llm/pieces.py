@@ -12,6 +12,7 @@ thousandths, so sums are exact and ties are ties.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import re
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
+#: The loss by the second best of a part that has but one segmentation.
+ALONE = 1 << 60
 SCHEMA = "doc_id long, n_pieces long, ids array<int>, scores array<long>, alternatives array<array<struct<at:int,drop:int,ids:array<int>>>>, round_trip boolean"
 
 
@@ -83,7 +86,7 @@ class Lattice:
             # no piece goes on after a letter with anything but letters, so parts end there
             pattern = rf"{MARK}*[{rest}]*[{alpha}]+|{MARK}*[{rest}]+|{MARK}+|[^{glue}{MARK}]"
         self.parts = re.compile(pattern).findall
-        self.known: dict[str, tuple[bytes, float, int]] = {}
+        self.known: dict[str, tuple[bytes, int, int]] = {}
         self.lists: dict[str, list[tuple[int, list[int]]]] = {}
 
     def _arcs(self, part: str) -> list[tuple[int, int, int, int]]:
@@ -125,7 +128,7 @@ class Lattice:
                 score[j], back[j] = s, arc
         return score, back
 
-    def best(self, part: str) -> tuple[bytes, float, int]:
+    def best(self, part: str) -> tuple[bytes, int, int]:
         """The best segmentation's ids as 32-bit numbers, the loss by the second best, and the score.
 
         Forward passes for the best and the second-best score of each place at once.
@@ -177,7 +180,7 @@ class Lattice:
                 j, piece = back[j]
                 path.append(piece)
             path.reverse()
-        loss = first[n] - second[n] if second[n] > least // 2 else math.inf
+        loss = first[n] - second[n] if second[n] > least // 2 else ALONE
         return array("i", path).tobytes(), loss, first[n]
 
     def search(self, part: str) -> list[tuple[int, list[int]]]:
@@ -225,8 +228,8 @@ class Lattice:
         pieces, losses, points = zip(*found)
         ids = np.frombuffer(b"".join(pieces), np.int32)
         total = sum(points)
-        order = np.argsort(np.array(losses), kind="stable")[: self.n_best - 1]
-        chosen = sorted(k for k in order.tolist() if losses[k] < math.inf)
+        order = np.argsort(np.array(losses, np.int64), kind="stable")[: self.n_best - 1]
+        chosen = sorted(k for k in order.tolist() if losses[k] < ALONE)
         lists = [self.search(parts[k]) for k in chosen]
         # choices are tuples of places in the lists; every one but the first is reached once, by raising its last place that isn't 0
         agenda, scores, ways = [(-total, (0,) * len(chosen), 0)], [], []
@@ -243,7 +246,7 @@ class Lattice:
         return ids, scores, [[(int(at[k]), len(pieces[k]) // 4, lists[x][way[x]][1]) for x, k in enumerate(chosen) if way[x]] for way in ways[1:]]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text.removeprefix(" ")
 
 
@@ -259,6 +262,14 @@ def _encoder(proto: bytes, n_best: int) -> Callable[[Iterator[pa.RecordBatch]],
     change = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what is held are tuples of numbers and bytes, without cycles; looking through them for cycles takes a tenth of the time
+        gc.disable()
+        try:
+            yield from rows(batches)
+        finally:
+            gc.enable()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(proto, n_best)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
