@@ -102,7 +102,12 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
         a, b = np.maximum(p - REACH, 0), np.minimum(p + K, len(piece))
         context = s.ids(a, b, p - a)
         out.append((h[p], context, p + (base - before), p - before - last, p - before - first))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else ()
+    if not out:
+        return ()
+    core, context, p, j0, j1 = (np.concatenate(x) for x in zip(*out))
+    # strings on both sides of a cut may have one anchor: one row for it
+    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    return core[first], context[first], p[first], np.minimum.reduceat(j0, first), np.maximum.reduceat(j1, first)
 
 
 def _bytes(value: pa.Scalar) -> np.ndarray:

@@ -241,6 +241,24 @@ def test_anchors_in_chunks(monkeypatch):
     assert starts(whole) == starts(cut) and len({s for _, s in starts(whole)}) == len(data) - repeats.K + 1
 
 
+def test_a_text_of_several_chunks(spark):
+    """No anchor counts twice where a chunk ends; nothing else of a long text goes."""
+    rng = random.Random(5)
+    twice = "".join(rng.choices("abcdefgh", k=300))
+    text = "".join(rng.choices("abcdefgh", k=2 * repeats.CHUNK)) + twice + "#" + "".join(rng.choices("abcdefgh", k=5000))
+    rows = [(1, text), (2, "!" + twice + "?")]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (300, 1, hashlib.sha256(t.replace(twice, "").encode()).hexdigest()) for k, t in rows}
+
+
+def test_anchors_once_a_place(monkeypatch):
+    data = np.frombuffer(random.Random(6).randbytes(20_000), np.uint8)
+    whole = repeats.anchors(data)
+    monkeypatch.setattr(repeats, "CHUNK", 512)
+    for x, y in zip(whole, repeats.anchors(data)):
+        assert x.tolist() == y.tolist()
+
+
 @pytest.fixture(scope="module")
 def lattice():
     with open(pieces.MODEL, "rb") as f:
