@@ -6,8 +6,10 @@ without recursion; a match may start where the last one ended or where no charac
 
 A term near an entity c (an e-mail address, say) reveals it as far as it makes it likelier: with the counts of all
 documents, PMI(c; t) = log(n(c, t) N / (n(c) n(t))) is the information that t gives about c, and IC(c) = -log(n(c) / N)
-all there is. Terms with PMI >= disclosure * IC, in at least `support` different texts near c, are spans too where
-they stand near c: generalised to a tag, or removed where PMI >= removal * IC.
+all there is. Terms with PMI >= disclosure * IC are spans too where they stand near c: generalised to a tag, or removed
+where PMI >= removal * IC. There is no least number of texts; instead, chance must not explain n(c, t): of the
+l = n(c) n(t) / N documents expected with both, k or more come with a chance of exp(-(k log(k / l) - k + l)) at most
+(Chernoff's bound), which must be exp(-bound) or less.
 """
 
 from __future__ import annotations
@@ -34,11 +36,11 @@ _SPAN = "array<struct<s:bigint,e:bigint,v:string>>"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Terms reveal an entity from this share of its information on; window: terms to each side; reach: characters to each side."""
+    """Terms reveal an entity from this share of its information on; bound: against chance; window: terms to each side; reach: characters to each side."""
 
     disclosure: float = 0.9
     removal: float = 0.97
-    support: int = 3
+    bound: float = 6.9
     window: int = 5
     reach: int = 120
 
@@ -117,7 +119,7 @@ def disclosing_terms(df: DataFrame, marked: DataFrame, p: Disclosure) -> DataFra
     """
     near = marked.filter(F.size("base") > 0).select("doc_id", "th", F.explode("near").alias("x"))
     near = near.select("doc_id", "th", F.xxhash64("x.c").alias("c"), F.explode("x.t").alias("t")).select("doc_id", "th", "c", F.xxhash64("t.t").alias("t"), "t.s", "t.e")
-    pairs = near.select("doc_id", "th", "c", "t").distinct().groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.countDistinct("th").alias("texts")).filter(F.col("texts") >= p.support)
+    pairs = near.select("doc_id", "th", "c", "t").distinct().groupBy("c", "t").agg(F.count("*").alias("n_ct"))
     pairs = materialise(pairs, "pairs")
     nothing = df.limit(0).select("doc_id", F.lit(0).cast("long").alias("th"), F.array().cast("array<struct<s:bigint,e:bigint,share:double>>").alias("terms"))
     if pairs.isEmpty():
@@ -129,7 +131,9 @@ def disclosing_terms(df: DataFrame, marked: DataFrame, p: Disclosure) -> DataFra
     scored = pairs.join(entities, "c").join(seen, "t").crossJoin(F.broadcast(total))  # total: one row
     known = F.log(F.col("n") / F.col("n_c"))
     share = F.when(known > 0, F.log(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.greatest("n_t", "n_ct"))) / known)
-    revealing = scored.withColumn("share", share).filter(F.col("share") >= p.disclosure).select("c", "t", "share")
+    expected = F.col("n_c") * F.greatest("n_t", "n_ct") / F.col("n")
+    against = F.col("n_ct") * F.log(F.col("n_ct") / expected) - F.col("n_ct") + expected
+    revealing = scored.withColumn("share", share).filter((F.col("share") >= p.disclosure) & (against >= p.bound)).select("c", "t", "share")
     spans = near.join(revealing, ["c", "t"]).groupBy("doc_id", "th", "s", "e").agg(F.max("share").alias("share"))
     return spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e", "share"))).alias("terms"))
 

@@ -159,6 +159,21 @@ def test_disclosing_terms(spark):
     assert clean[10] == rows[5][1]
 
 
+def found_terms(df):
+    text = {r.doc_id: r.text for r in df.collect()}
+    return {r.doc_id: {text[r.doc_id][int(s) : int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"} for r in pii.find_pii(df).collect()}
+
+
+def test_terms_of_an_entity_in_one_text(spark):
+    """An entity in a single text, or in copies of one, has revealing terms; what chance explains isn't one."""
+    rows = [(i, f"common words of text {i % 7} and more") for i in range(3000)]
+    rows += [(4000, "common zorblatt spy@mail.org and more"), (4001, "common quixly 10.1.2.3 and more"), (4002, "common quixly 10.1.2.3 and more")]
+    got = found_terms(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[4000] == {"zorblatt"} and got[4001] == got[4002] == {"quixly"} and not any(got[i] for i in range(3000))
+    few = found_terms(spark.createDataFrame(rows[-20:], "doc_id long, text string"))
+    assert few[4000] == set()  # one of 20 documents
+
+
 def water(sizes):
     names = sorted(x for x in sizes if x is not None) + [None] * (None in sizes)
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
