@@ -4,10 +4,10 @@ Everything on the executors is DataFrame functions. The offsets of matches come
 the lengths of the pieces and of the matches add up to the places. Possessive quantifiers keep the patterns linear and
 without recursion; a match may start where the last one ended or where no character of its first class stands before.
 
-A term near an entity c (an e-mail address, say) reveals it as far as it makes it likelier: with the counts of all
-documents, PMI(c; t) = log(n(c, t) N / (n(c) n(t))) is the information that t gives about c, and IC(c) = -log(n(c) / N)
-all there is. Terms with PMI >= disclosure * IC are spans too where they stand near c: generalised to a tag, or removed
-where PMI >= removal * IC. There is no least number of texts; instead, chance must not explain n(c, t): of the
+A term in a document with an entity c (an e-mail address, say) reveals it as far as it makes it likelier: with the
+counts of all documents, PMI(c; t) = log(n(c, t) N / (n(c) n(t))) is the information that t gives about c, and IC(c) = -log(n(c) / N)
+all there is. Terms with PMI >= disclosure * IC are spans too wherever they stand in documents with c: generalised to a tag, or
+removed where PMI >= removal * IC. There is no least number of texts; instead, chance must not explain n(c, t): of the
 l = n(c) n(t) / N documents expected with both, k or more come with a chance of exp(-(k log(k / l) - k + l)) at most
 (Chernoff's bound), which must be exp(-bound) or less.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, words, zero
@@ -36,13 +36,11 @@ _SPAN = "array<struct<s:bigint,e:bigint,v:string>>"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Terms reveal an entity from this share of its information on; bound: against chance; window: terms to each side; reach: characters to each side."""
+    """Terms reveal an entity from this share of its information on; bound: against chance."""
 
     disclosure: float = 0.9
     removal: float = 0.97
     bound: float = 6.9
-    window: int = 5
-    reach: int = 120
 
 
 def _value(kind: str, m: Column) -> Column:
@@ -82,28 +80,27 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*map(of, range(len(KINDS)))))
 
 
-def _terms(part: Column, origin: Column) -> Column:
-    """The words of a piece of text as (t, s, e): lower case, without punctuation at the ends, letters only."""
-    tokens = F.split(part, r"[\x20\x09-\x0D]", -1)
-    start = F.struct(origin.cast("long").alias("at"), F.array().cast("array<struct<t:string,s:bigint,e:bigint>>").alias("out"))
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces for the spans (s, k, e, v); all places stay."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, w: Column) -> Column:
-        left, both = F.ltrim(w, F.lit(PUNCTUATION)), F.trim(w, F.lit(PUNCTUATION))
-        s = acc["at"] + F.length(w) - F.length(left)
-        new = F.array(F.struct(F.lower(both).alias("t"), s.cast("long").alias("s"), (s + F.length(both)).cast("long").alias("e")))
-        return F.struct((acc["at"] + F.length(w) + 1).cast("long").alias("at"), F.when(both.rlike(r"^\p{L}+$"), F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.greatest(x["s"] - acc["at"], F.lit(0))
+        new = F.array(F.substring(text, (acc["at"] + 1).cast("int"), gap.cast("int")), F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(acc["at"], x["s"]), F.lit(0)).cast("int")))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], new).alias("out"))
 
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    return F.aggregate(spans, start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))), ""))
 
 
-def _neighbours(text: Column, span: Column, p: Disclosure) -> Column:
-    """The terms within the window of a span, to both sides. Words that the reach cuts are left out."""
-    a = F.greatest(span["s"] - p.reach, F.lit(0))
-    before, after = F.substring(text, (a + 1).cast("int"), (span["s"] - a).cast("int")), F.substring(text, (span["e"] + 1).cast("int"), F.lit(p.reach))
-    whole_before = F.when(a > 0, F.regexp_replace(before, r"^[^\x20\x09-\x0D]*+", "")).otherwise(before)
-    whole_after = F.when(F.length(after) == p.reach, F.regexp_replace(after, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++$", "")).otherwise(after)
-    left = F.reverse(_terms(whole_before, span["s"] - F.length(whole_before)))
-    return F.concat(F.slice(left, 1, p.window), F.slice(_terms(whole_after, span["e"]), 1, p.window))
+def _terms(held: DataFrame) -> DataFrame:
+    """held (key, m, text, base) -> (key, m, t, s, e): the words outside the base spans, trimmed of punctuation; t: of the lower case."""
+    text = held.select("key", "m", _blanked(F.col("text"), F.col("base")).alias("text"))
+    tokens = text.select("key", "m", F.posexplode(F.split("text", r"[\x20\x09-\x0D]", -1)).alias("i", "w"))
+    before = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)  # the words of one document
+    left, both = F.ltrim("w", F.lit(PUNCTUATION)), F.trim("w", F.lit(PUNCTUATION))
+    at = F.coalesce(F.sum(F.length("w") + 1).over(before), F.lit(0)) + F.length("w") - F.length(left)
+    out = tokens.select("key", "m", F.lower(both).alias("w"), at.cast("long").alias("s"), F.length(both).alias("n")).filter("n > 0")
+    return out.select("key", "m", F.xxhash64("w").alias("t"), "s", (F.col("s") + F.col("n")).alias("e"))
 
 
 def _marked(df: DataFrame) -> DataFrame:
@@ -115,16 +112,19 @@ def _marked(df: DataFrame) -> DataFrame:
 def disclosing_terms(df: DataFrame, marked: DataFrame, p: Disclosure) -> DataFrame:
     """(doc_id, th, terms): the spans (s, e, share) of revealing terms of each document that has any.
 
-    marked: doc_id, th, base, near; df: all documents, for the counts.
+    marked: doc_id, th, base, held (the text where there are base spans); df: all documents, for the counts.
     """
-    near = marked.filter(F.size("base") > 0).select("doc_id", "th", F.explode("near").alias("x"))
-    near = near.select("doc_id", "th", F.xxhash64("x.c").alias("c"), F.explode("x.t").alias("t")).select("doc_id", "th", "c", F.xxhash64("t.t").alias("t"), "t.s", "t.e")
-    pairs = near.select("doc_id", "th", "c", "t").distinct().groupBy("c", "t").agg(F.count("*").alias("n_ct"))
-    pairs = materialise(pairs, "pairs")
+    # repeated rows are one with their number m
+    held = marked.filter(F.size("base") > 0).groupBy(F.struct("doc_id", "th").alias("key")).agg(F.count("*").alias("m"), F.first("held").alias("text"), F.first("base").alias("base"))
     nothing = df.limit(0).select("doc_id", F.lit(0).cast("long").alias("th"), F.array().cast("array<struct<s:bigint,e:bigint,share:double>>").alias("terms"))
-    if pairs.isEmpty():
+    held = materialise(held, "held")
+    if held.isEmpty():
         return nothing
-    entities = marked.filter(F.size("base") > 0).select("doc_id", "th", F.explode(F.array_distinct(F.transform("base", lambda x: F.xxhash64(x["v"])))).alias("c")).groupBy("c").agg(F.count("*").alias("n_c"))
+    terms = materialise(_terms(held), "terms")
+    of = held.select("key", "m", F.explode(F.array_distinct(F.transform("base", lambda x: F.xxhash64(x["v"])))).alias("c"))
+    entities = of.groupBy("c").agg(F.sum("m").alias("n_c"))
+    together = materialise(terms.select("key", "t").distinct().join(of, "key"), "together")
+    pairs = together.groupBy("c", "t").agg(F.sum("m").alias("n_ct"))
     # each document counts a term once; the counts are summed up within tasks before they are exchanged
     seen = df.select(F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(F.lower(F.trim(w, F.lit(PUNCTUATION))))))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     total = df.agg(F.count("*").alias("n"))
@@ -134,18 +134,14 @@ def disclosing_terms(df: DataFrame, marked: DataFrame, p: Disclosure) -> DataFra
     expected = F.col("n_c") * F.greatest("n_t", "n_ct") / F.col("n")
     against = F.col("n_ct") * F.log(F.col("n_ct") / expected) - F.col("n_ct") + expected
     revealing = scored.withColumn("share", share).filter((F.col("share") >= p.disclosure) & (against >= p.bound)).select("c", "t", "share")
-    spans = near.join(revealing, ["c", "t"]).groupBy("doc_id", "th", "s", "e").agg(F.max("share").alias("share"))
-    return spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e", "share"))).alias("terms"))
-
-
-def _near(p: Disclosure) -> Column:
-    return F.transform("base", lambda x: F.struct(x["v"].alias("c"), _neighbours(F.col("text"), x, p).alias("t")))
+    found = together.join(revealing, ["c", "t"]).groupBy("key", "t").agg(F.max("share").alias("share"))
+    return terms.join(found, ["key", "t"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e", "share"))).alias("terms")).select("key.doc_id", "key.th", "terms")
 
 
 def _find(df: DataFrame, p: Disclosure) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, base) of every row, and disclosing_terms()."""
     own = df.select("doc_id", "text")
-    marked = materialise(_marked(own).select("doc_id", "th", "base", F.when(F.size("base") > 0, _near(p)).alias("near")), "pii")
+    marked = materialise(_marked(own).select("doc_id", "th", "base", F.when(F.size("base") > 0, F.col("text")).alias("held")), "pii")
     return marked.select("doc_id", "th", "base"), disclosing_terms(own, marked, p)
 
 

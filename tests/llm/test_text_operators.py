@@ -174,6 +174,17 @@ def test_terms_of_an_entity_in_one_text(spark):
     assert few[4000] == set()  # one of 20 documents
 
 
+def test_terms_anywhere_in_the_document(spark):
+    """Every occurrence counts, however far from the entity, and whatever letters the word has."""
+    far = "Jean-Luc, O'Brien (jsmith42) é😀 " + "common words and more " * 60 + "spy@mail.org or 10.1.2.3. " + "common words and more " * 60 + "Again: jean-luc!"
+    rows = [(i, f"common words and more of spy {i % 7}") for i in range(3000)] + [(4000, far), (None, far.replace("spy", "boss")), (4001, far), (4001, far)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = found_terms(df)
+    assert {"Jean-Luc", "O'Brien", "jsmith42", "jean-luc"} <= got[4000] and got[4000] == got[4001] == got[None] and not got[4000] & {"common", "words", "and", "more"}
+    clean = [r.text for r in pii.sanitise(df).collect() if "<EMAIL>" in r.text]
+    assert len(clean) == 4 and not any(w in t.lower() for t in clean for w in ("jean-luc", "o'brien", "jsmith42"))
+
+
 def water(sizes):
     names = sorted(x for x in sizes if x is not None) + [None] * (None in sizes)
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
