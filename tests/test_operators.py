@@ -126,3 +126,10 @@ def test_random_sites_agree(spark):
 def test_raw_disc_cutoff():
     assert reads.raw_disc_cutoff(5, False) == 4 and reads.raw_disc_cutoff(5, True) == 2 and reads.raw_disc_cutoff(1, True) == 1
     assert Config().max_clip_coverage(30) == 450
+
+
+def test_sessions_hold_every_event(spark):
+    from siteloom.streaming.sessions import sessions_of
+
+    path = "/root/testdata/sf0.001/events.parquet"
+    assert sessions_of(spark, path).agg(F.sum("n")).first()[0] == spark.read.parquet(path).count()
