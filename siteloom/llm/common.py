@@ -35,13 +35,30 @@ def zero() -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, where that is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where that is unset, one of our own in local mode, where all is one machine; on a cluster an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file:///tmp/siteloom-checkpoints/{spark.sparkContext.applicationId}"
     return path.rstrip("/")
 
 
+def own(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df doesn't have, one for each stem."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: a cut in the lineage that outlives lost executors.
 

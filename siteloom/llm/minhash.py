@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, materialise, mix
+from .common import U, materialise, mix, own
 from .components import components
-from .shingles import members, shingle_set
+from .shingles import members, shingle_set, shingle_sets
 
 ROWS = 6
 MISS = 1e-6
@@ -66,11 +66,10 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sketcher(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 n, s1, s2, keys = [], [], [], []
-                for text in part.column(1):
-                    items = shingle_set(text.as_py(), width)
+                for items in shingle_sets(part.column(1).to_pylist(), width):
                     n.append(len(items))
                     if len(items):
                         s1.append(int(mix(items).sum(dtype=U).view(np.int64)))
@@ -232,8 +231,13 @@ def _link(buckets: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 def keep_one_of_each(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df whose document is the least of its component, with df's columns; repeated doc_ids give one row.
 
-    Rows without a doc_id stay.
+    Of rows with one doc_id that with the least hash of its text stays (then of all its columns), so reruns agree. Rows
+    without a doc_id stay.
     """
-    kept = near_duplicates(df, width, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    out = df.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(df.filter("doc_id is null"))
+    kept, hashed, row = own(df, "_kept", "_hash", "_row")
+    names = near_duplicates(df, width, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(kept)).distinct()
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    some = df.filter("doc_id is not null").join(names, F.col("doc_id") == F.col(kept), "left_semi")
+    some = some.select(F.struct(*columns).alias(row), F.struct(F.xxhash64("text"), F.xxhash64(*columns)).alias(hashed))
+    one = some.groupBy(F.col(f"{row}.doc_id")).agg(F.min_by(row, hashed).alias(row))
+    return one.select(*(F.col(f"{row}.`{c}`").alias(c) for c in df.columns)).unionByName(df.filter("doc_id is null"))
