@@ -1,10 +1,13 @@
 """The text operators against brute force, and their defined results on nulls, empty tables, ties, repeats and clashing columns."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,39 +391,84 @@ def test_rules_compile_to_the_same_scores(spark):
     assert np.allclose([r[0] for r in df.select(e.column()).collect()], e.predict(x))
 
 
-def test_cross_entropy(spark):
-    import collections
-    import math
-
-    texts = {1: "hello wörld", 2: "hello there", 5: "zzz!!"}
-    df = spark.createDataFrame([*texts.items(), (3, None), (4, "")], "doc_id long, text string")
-    got = {r.doc_id: r for r in cross_entropy.cross_entropy_difference(df, spark.createDataFrame([(1,), (2,), (2,)], "doc_id long")).collect()}
-
-    def model(ids):
-        c, x = ([collections.Counter() for _ in range(5)] for _ in range(2))
-        for i in ids:
-            b = b"\xff" * 3 + texts[i].encode()
-            for j in range(3, len(b)):
-                for k in range(1, 5):
-                    c[k][b[j - k + 1 : j + 1]] += 1
-                    x[k][b[j - k + 1 : j]] += 1
-        return c, x
-
-    (tc, tx), (bc, bx) = model([1, 2]), model([1, 2, 5])
-    n, m = sum(tc[1].values()), sum(bc[1].values())
-
-    def p(c, x, g, s):
-        q = (c[1][g[-1:]] * s + 1) / (n + 256)
-        for k in range(2, 5):
-            q = (c[k][g[-k:]] * s + 8 * q) / (x[k][g[-k:-1]] * s + 8)
-        return q
-
-    for i, t in texts.items():
-        b = b"\xff" * 3 + t.encode()
-        gs = [b[j - 3 : j + 1] for j in range(3, len(b))]
-        assert got[i].target_loss == pytest.approx(sum(-math.log(p(tc, tx, g, 1)) for g in gs) / len(gs), rel=1e-5)
-        assert got[i].background_loss == pytest.approx(sum(-math.log(p(bc, bx, g, n / m)) for g in gs) / len(gs), rel=1e-5)
-    assert got[3].difference is None and got[4].n_tokens == 0
+def brute_cross_entropy(rows, good):
+    """rows: (doc_id, text); each document's own counts are left out."""
+    words = [WORD.findall(t or "") for _, t in rows]
+    mine = [i in good for i, _ in rows]
+    order, weight = cross_entropy.ORDER, cross_entropy.WEIGHT
+
+    def count(w):
+        return collections.Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+
+    each = [count(w) for w in words]
+    every, target = sum(each, collections.Counter()), sum((c for c, m in zip(each, mine) if m), collections.Counter())
+    n, m = sum(map(len, words)), sum(len(w) for w, x in zip(words, mine) if x)
+    v = len({x for w in words for x in w}) + 1
+    scale = m / n if n else 0
+    out = []
+    for (i, _), w, c, x in zip(rows, words, each, mine):
+        losses = []
+        for total, own, size, s in ((target, x, m, 1), (every, True, n, scale)):
+            def at(g):
+                return s * (total[g] - own * c[g])
+
+            loss = 0.0
+            for k in range(len(w)):
+                p = (at((w[k],)) + 1) / (s * (size - own * len(w)) + v)
+                for j in range(1, min(order, k + 1)):
+                    p = (at(tuple(w[k - j : k + 1])) + weight * p) / (at(tuple(w[k - j : k])) + weight)
+                loss -= math.log(p)
+            losses.append(loss / len(w) if w else None)
+        out.append((i, len(w), *losses))
+    return out
+
+
+def close(got, want):
+    got = sorted(got, key=repr)
+    want = sorted(want, key=repr)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for g, w in zip(got, want):
+        assert [x is None for x in g[2:4]] == [x is None for x in w[2:4]] and all(x is None or x == pytest.approx(y, abs=1e-9) for x, y in zip(g[2:4], w[2:4])), (g, w)
+        assert g[4] is None or g[4] == pytest.approx(g[2] - g[3], abs=1e-12)
+
+
+def test_cross_entropy(spark, docs):
+    texts = [(1, "the cat sat on the cat"), (2, "the cat sat there"), (5, "zz zz zz the"), (3, None), (4, " \t"), (6, "cat"), (6, "cat"), (None, "the cat")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    good = spark.createDataFrame([(1,), (2,), (2,), (77,), (None,)], "doc_id long")
+    close([tuple(r) for r in cross_entropy.cross_entropy_difference(df, good).collect()], brute_cross_entropy(texts, {1, 2}))
+    close([tuple(r) for r in cross_entropy.cross_entropy_difference(df, good.limit(0)).collect()], brute_cross_entropy(texts, set()))
+    some = docs.filter("doc_id % 3 = 0").select("doc_id")
+    for block in (300, 1 << 23):  # many blocks, or one
+        got = [tuple(r) for r in cross_entropy.cross_entropy_difference(docs, some, block).collect()]
+        close(got, brute_cross_entropy(texts_of(docs), {r.doc_id for r in some.collect()}))
+
+
+def test_cross_entropy_of_many_grams():
+    """More than 2^21 n-grams in one bucket are told apart, and counts of frequent ones are whole."""
+    rng = np.random.default_rng(2)
+    blocks = [rng.permutation(1_500_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2)]
+    blocks[1][:1000] = np.arange(1, 1001, dtype=np.uint64)
+    n = np.full(1_500_000, 4_000_000_000, np.uint32)
+    kind = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    rows = pa.table([pa.array(c, k) for c, k in zip(([3, 8], [True, False], [b.tobytes() for b in blocks], [n.tobytes()] * 2, [np.ones_like(n).tobytes()] * 2), kind)], ["block", "word", "codes", "n", "t"])
+    got = {r["block"]: r for r in cross_entropy._answer(rows).to_pylist()}
+    want = dict(zip(*np.unique(np.concatenate(blocks), return_counts=True)))
+    for b, codes in zip((3, 8), blocks):
+        back = np.frombuffer(got[b]["codes"], np.uint64)
+        assert (back == codes).all() and (np.frombuffer(got[b]["n"], np.int64) == [4_000_000_000 * want[c] for c in codes]).all() and (np.frombuffer(got[b]["t"], np.int64) == [want[c] for c in codes]).all()
+    assert got[-1]["vocabulary"] == 1_500_000 and len(want) > 1_500_000
+
+
+def test_cross_entropy_finds_copies(spark):
+    """A document that occurs twice is told from the others by the background's loss; one in the target is held out of it."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=80))) for i in range(200)]
+    rows += [(1000, rows[7][1]), (1001, rows[9][1])]
+    got = {r.doc_id: r for r in cross_entropy.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 200, 8)], "doc_id long")).collect()}
+    twice = {7, 9, 1000, 1001}
+    assert min(got[i].difference for i in twice) > max(got[i].difference for i in got if i not in twice)
 
 
 def test_images_of_texts(docs):
