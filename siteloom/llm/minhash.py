@@ -9,10 +9,10 @@ the share of equal bins of two sketches is concentrated around the similarity of
 2. Classes that share a band are candidates. In each bucket all are compared with its least member c only (a star, so
    no bucket makes pairs by the square), on the full sets, computed again from the texts. A comparison also gives what
    sets b apart from c, the symmetric difference.
-3. All members linked with c are in one component. Those that aren't are a query set against all members of c's star,
-   in blocks: |u & v| = |c| - |c \\ u| - |c \\ v| + |(c ^ u) & (c ^ v)|, so the differences are all that it takes. A member
-   of the query set returns one link for each other component that it is linked with. So the components are those of
-   all candidate pairs, from a number of rows in proportion to the members.
+3. The links so far give components. Two members of a star in one component need no more comparison, so those outside
+   the star's largest component are a query set against all its members, in blocks: |u & v| = |c| - |c \\ u| - |c \\ v|
+   + |(c ^ u) & (c ^ v)|, so the differences are all that it takes. A member of the query set returns one link for each
+   other component that it is linked with. So the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from .shingles import members, shingle_set, shingle_sets
 
 ROWS = 6
 MISS = 1e-6
-#: The blocks in which the members of a star that aren't linked with its centre are held against all of them.
+#: The blocks in which members of a star are held against all of it, and the parts that a star's rows are dealt to.
 QUERIES, MEMBERS = 512, 1024
+SALTS = 32
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -214,14 +215,17 @@ def _link(buckets: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     links = stars.filter("linked").select("a", "b")
     labels = components(links)
 
-    # stars with members of several components, and the number of blocks of each
-    named = stars.join(labels, F.col("b") == F.col("node"), "left").withColumn("label", F.coalesce("label", "b"))
-    sizes = named.groupBy("a").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count_if(~F.col("linked")).alias("n_q"), F.count("*").alias("n"))
-    sizes = sizes.filter("n_q > 0 and l0 < l1").select("a", F.ceil(F.col("n_q") / QUERIES).cast("int").alias("of_q"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("of_m"))
-    rows = named.join(sizes, "a")
+    # stars with members of several components: those outside the largest one are held against all of the star. Rows of a
+    # star are dealt by a salt too, so that none is one task
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    named = stars.join(labels, F.col("b") == F.col("node"), "left").select("a", "b", "n_a", "n_b", "apart", F.coalesce("label", "b").alias("label"), salt.alias("salt"))
+    parts = named.groupBy("a", "label").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("a").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("n_in"), F.sum("n").alias("n")).filter("n_in < n")
+    sizes = sizes.select("a", "largest", F.ceil((F.col("n") - F.col("n_in")) / QUERIES).cast("int").alias("of_q"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("of_m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = named.join(sizes, ["a", "salt"])
     cut = F.xxhash64("b")
     every = F.sequence(F.lit(0), F.col("of_m") - 1)
-    queries = rows.filter(~F.col("linked")).select("a", F.pmod(cut, F.col("of_q")).cast("int").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("query"), "b", "label", "n_a", "n_b", "apart")
+    queries = rows.filter("label <> largest").select("a", F.pmod(cut, F.col("of_q")).cast("int").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("query"), "b", "label", "n_a", "n_b", "apart")
     against = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("of_q") - 1)).alias("i"), F.pmod(cut, F.col("of_m")).cast("int").alias("j"), F.lit(False).alias("query"), "b", "label", "n_a", "n_b", "apart")
     blocks = queries.unionByName(against).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
     more = materialise(blocks.mapInArrow(_held(percent), "a long, b long"), "links")
