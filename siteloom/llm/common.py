@@ -59,15 +59,16 @@ def own(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write df as a table in the shared folder and read it again: a cut in the lineage that outlives lost executors.
 
-    The table is removed when the application ends.
+    The table is removed when the application ends. free: let the shuffle files go that led to it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siteloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
-    release(spark)
+    if free:
+        release(spark)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
