@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import neighbours
+
 TILE = 1 << 16
 
 
@@ -90,8 +92,12 @@ def chained_regions(df: DataFrame, gap: int) -> DataFrame:
 def mate_clusters(df: DataFrame, gap: int, ratio: float = 0.3) -> DataFrame:
     """df (site, chrom, pos of mates) -> the largest gap cluster of each site, if it holds over that share of its mates."""
     rows = islands(df, gap, key=["site", "chrom"])
-    groups = rows.groupBy("site", "chrom", "island").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("_at"))
-    groups = groups.withColumn("mate_pos", F.element_at("_at", (F.floor(F.col("n") / 2) + 1).cast("int"))).drop("_at")
+    island = ["site", "chrom", "island"]
+    # the upper median comes from counts by position
+    at = rows.groupBy(*island, "pos").agg(F.count("*").alias("k"))
+    w = Window.partitionBy(*island)
+    at = at.withColumn("_n", F.sum("k").over(w)).withColumn("_till", F.sum("k").over(w.orderBy("pos")))
+    groups = at.groupBy(*island).agg(F.max("_n").alias("n"), F.min(F.when(F.col("_till") > F.floor(F.col("_n") / 2), F.col("pos"))).alias("mate_pos"))
     best = groups.groupBy("site").agg(F.max_by(F.struct("chrom", "mate_pos", "n"), F.struct("n", F.negate("chrom") if dict(groups.dtypes)["chrom"] != "string" else F.lit(0), -F.col("island"))).alias("b"), F.sum("n").alias("total"))
     return best.filter(F.col("b.n") > ratio * F.col("total")).select("site", F.col("b.chrom").alias("mate_chrom"), F.col("b.mate_pos").alias("mate_pos"), F.col("b.n").alias("n"), "total")
 
@@ -120,8 +126,7 @@ def two_peaks(df: DataFrame, key: list[str], before: int = 7, after: int = 6) ->
 
 def paired_deletions(df: DataFrame) -> DataFrame:
     """One-sided sites (chrom, pos, is_left) in order: a left one with the next if that is a right one, else an open end."""
-    w = Window.partitionBy("chrom").orderBy("pos")
-    rows = df.withColumn("_next", F.lead("pos").over(w)).withColumn("_nl", F.lead("is_left").over(w)).withColumn("_pl", F.lag("is_left").over(w))
-    left = rows.filter("is_left").select("chrom", F.col("pos").alias("start"), F.when(~F.col("_nl"), F.col("_next")).otherwise(F.lit(-1)).alias("end"))
-    right = rows.filter("not is_left and (_pl is null or not _pl)").select("chrom", F.lit(-1).cast("long").alias("start"), F.col("pos").alias("end"))
+    rows = neighbours(df, F.struct("pos", "is_left"), ["pos"])
+    left = rows.filter("is_left").select("chrom", F.col("pos").alias("start"), F.when(~F.col("_after.is_left"), F.col("_after.pos")).otherwise(F.lit(-1)).alias("end"))
+    right = rows.filter("not is_left and (_before is null or not _before.is_left)").select("chrom", F.lit(-1).cast("long").alias("start"), F.col("pos").alias("end"))
     return left.unionByName(right)

@@ -2,7 +2,8 @@
 
 Intervals are cut into bins, so that a join with points or intervals is an equi-join on (chrom, level, bin) with the
 exact test left over: a hash or sort-merge join that AQE can split, never a nested loop. Long intervals go to a level
-with wider bins, so that none makes more than SPREAD + 1 rows.
+with wider bins, so that none of up to bin_ * SPREAD ** LEVELS makes more than SPREAD + 1 rows. Points are looked up in the
+levels that occur, which a pass over the intervals tells (LEVELS numbers at most).
 """
 
 from __future__ import annotations
@@ -11,26 +12,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPREAD = 8
-LEVELS = 4
+LEVELS = 8
+TILE = 1 << 16
 
 
-def _width(bin_: int, level: Column | int) -> Column:
-    return (F.lit(bin_) * F.pow(F.lit(float(SPREAD)), F.lit(level) if isinstance(level, int) else level)).cast("long")
+def _level(n: Column, bin_: int) -> Column:
+    out = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        out = F.when(n <= SPREAD * bin_ * SPREAD**k, F.lit(k)).otherwise(out)
+    return out
+
 
+def _width(bin_: int, level: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(bin_ * SPREAD**k).cast("long") for k in range(LEVELS))), level + 1)
 
-def _binned(intervals: DataFrame, bin_: int, start: str, end: str) -> DataFrame:
-    """One row per bin that an interval touches; empty intervals make none."""
+
+def _levels_of(intervals: DataFrame, bin_: int, start: str, end: str) -> list[int]:
     n = F.col(end) - F.col(start)
-    level = F.lit(LEVELS - 1)
-    for k in reversed(range(LEVELS - 1)):
-        level = F.when(n <= SPREAD * bin_ * SPREAD**k, F.lit(k)).otherwise(level)
-    out = intervals.filter(n > 0).withColumn("_level", level).withColumn("_w", _width(bin_, F.col("_level")))
-    return out.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("_w")), F.floor((F.col(end) - 1) / F.col("_w"))))).drop("_w")
+    return sorted(r[0] for r in intervals.filter(n > 0).select(_level(n, bin_).alias("l")).distinct().collect())
 
 
-def _levels(points: DataFrame, bin_: int, pos: Column) -> DataFrame:
-    keys = F.array(*(F.struct(F.lit(k).alias("_pl"), F.floor(pos / (bin_ * SPREAD**k)).alias("_pb")) for k in range(LEVELS)))
-    return points.select("*", F.inline(keys))
+def _cell(x: Column, width: Column | int) -> Column:
+    return F.floor(x / width)
 
 
 def points_in(points: DataFrame, intervals: DataFrame, pos: str = "pos", bin_: int = 128, how: str = "inner", start: str = "start", end: str = "end") -> DataFrame:
@@ -38,10 +41,14 @@ def points_in(points: DataFrame, intervals: DataFrame, pos: str = "pos", bin_: i
 
     how: inner, left, left_semi or left_anti. The interval's chrom is dropped.
     """
-    cut = _binned(intervals.withColumnRenamed("chrom", "_chrom"), bin_, start, end)
-    hit = (F.col("chrom") == F.col("_chrom")) & (F.col("_pl") == F.col("_level")) & (F.col("_pb") == F.col("_bin")) & (F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))
     if how == "inner":
-        return _levels(points, bin_, F.col(pos)).join(cut, hit).drop("_pl", "_pb", "_chrom", "_level", "_bin")
+        levels = _levels_of(intervals, bin_, start, end)
+        n = F.col(end) - F.col(start)
+        cut = intervals.withColumnRenamed("chrom", "_chrom").filter(n > 0).withColumn("_level", _level(n, bin_)).withColumn("_w", _width(bin_, F.col("_level")))
+        cut = cut.withColumn("_bin", F.explode(F.sequence(_cell(F.col(start), F.col("_w")), _cell(F.col(end) - 1, F.col("_w"))))).drop("_w")
+        keys = F.array(*(F.struct(F.lit(k).alias("_pl"), _cell(F.col(pos), bin_ * SPREAD**k).alias("_pb")) for k in levels or [0]))
+        hit = (F.col("chrom") == F.col("_chrom")) & (F.col("_pl") == F.col("_level")) & (F.col("_pb") == F.col("_bin")) & (F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))
+        return points.select("*", F.inline(keys)).join(cut, hit).drop("_pl", "_pb", "_chrom", "_level", "_bin")
     found = points_in(points.select("chrom", pos).distinct(), intervals, pos, bin_, "inner", start, end).withColumnsRenamed({"chrom": "_c", pos: "_p"})
     same = (F.col("chrom") == F.col("_c")) & (F.col(pos) == F.col("_p"))
     if how == "left":
@@ -50,16 +57,46 @@ def points_in(points: DataFrame, intervals: DataFrame, pos: str = "pos", bin_: i
 
 
 def overlaps(a: DataFrame, b: DataFrame, bin_: int = 128) -> DataFrame:
-    """Pairs of intervals that overlap; b's columns get the suffix _b. A pair meets in the bin where the later one starts."""
-    left = _binned(a, bin_, "start", "end").withColumn("_lw", _width(bin_, F.col("_level")))
-    right = _binned(b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns)), bin_, "start_b", "end_b").withColumnsRenamed({"_level": "_level_b", "_bin": "_bin_b"}).withColumn("_rw", _width(bin_, F.col("_level_b")))
-    # both go to the wider one's level
-    up = F.explode(F.sequence(F.col("_level"), F.lit(LEVELS - 1)))
-    left = left.withColumn("_at", up).withColumn("_cell", F.floor(F.col("_bin") * F.col("_lw") / _width(bin_, F.col("_at"))))
-    right = right.withColumn("_at_b", F.explode(F.sequence(F.col("_level_b"), F.lit(LEVELS - 1)))).withColumn("_cell_b", F.floor(F.col("_bin_b") * F.col("_rw") / _width(bin_, F.col("_at_b"))))
-    inner = (F.col("chrom") == F.col("chrom_b")) & (F.col("_at") == F.col("_at_b")) & (F.col("_cell") == F.col("_cell_b")) & (F.col("_at") == F.greatest("_level", "_level_b"))
-    out = left.join(right, inner & (F.col("start") < F.col("end_b")) & (F.col("start_b") < F.col("end")))
-    return out.select(*a.columns, *(f"{c}_b" for c in b.columns)).distinct()
+    """Pairs of rows whose intervals overlap, each pair once (repeated rows repeatedly); b's columns get the suffix _b.
+
+    A pair meets at the wider one's level, in the bin where the later one starts.
+    """
+    levels = sorted({*_levels_of(a, bin_, "start", "end"), *_levels_of(b, bin_, "start", "end")}) or [0]
+
+    def cut(df: DataFrame, start: str, end: str, x: str) -> DataFrame:
+        """A row for each bin at the row's own level and those above it that occur."""
+        n = F.col(end) - F.col(start)
+        out = df.filter(n > 0).withColumn(f"_l{x}", _level(n, bin_))
+        up = F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(f"_l{x}"))
+        out = out.withColumn(f"_at{x}", F.explode(up))
+        w = _width(bin_, F.col(f"_at{x}"))
+        return out.withColumn(f"_cell{x}", F.explode(F.sequence(_cell(F.col(start), w), _cell(F.col(end) - 1, w))))
+
+    left = cut(a, "start", "end", "")
+    right = cut(b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns)), "start_b", "end_b", "_b")
+    meet = (F.col("chrom") == F.col("chrom_b")) & (F.col("_at") == F.col("_at_b")) & (F.col("_cell") == F.col("_cell_b")) & (F.col("_at") == F.greatest("_l", "_l_b"))
+    later = F.col("_cell") == _cell(F.greatest("start", "start_b"), _width(bin_, F.col("_at")))
+    out = left.join(right, meet & later & (F.col("start") < F.col("end_b")) & (F.col("start_b") < F.col("end")))
+    return out.select(*a.columns, *(f"{c}_b" for c in b.columns))
+
+
+def neighbours(df: DataFrame, value: Column, order: list[str], key: list[str] | None = None, tile: int = TILE) -> DataFrame:
+    """df with `_before` and `_after`: value of the row before and of the row after, by the key, in that order (its first column is a position).
+
+    Windows run per tile of positions; the rows at its ends look at one row for each tile of the key.
+    """
+    key = key or ["chrom"]
+    rows = df.withColumn("_v", value).withColumn("_tile", F.floor(F.col(order[0]) / tile))
+    inside = Window.partitionBy(*key, "_tile").orderBy(*order)
+    rows = rows.withColumn("_k", F.row_number().over(inside)).withColumn("_before", F.lag("_v").over(inside)).withColumn("_after", F.lead("_v").over(inside)).withColumn("_n", F.count("*").over(Window.partitionBy(*key, "_tile")))
+    ends = rows.groupBy(*key, "_tile").agg(F.min_by("_v", "_k").alias("_first"), F.max_by("_v", "_k").alias("_last"))
+    tiles = Window.partitionBy(*key).orderBy("_tile")
+    ends = ends.select(*(F.col(c).alias(f"_key_{c}") for c in key), F.col("_tile").alias("_t"), F.lag("_last").over(tiles).alias("_left"), F.lead("_first").over(tiles).alias("_right"))
+    same = F.col("_tile") == F.col("_t")
+    for c in key:
+        same = same & (F.col(c) == F.col(f"_key_{c}"))
+    out = rows.join(ends, same)
+    return out.select(*df.columns, F.when(F.col("_k") == 1, F.col("_left")).otherwise(F.col("_before")).alias("_before"), F.when(F.col("_k") == F.col("_n"), F.col("_right")).otherwise(F.col("_after")).alias("_after"))
 
 
 def near(a: DataFrame, b: DataFrame, slack: int, how: str = "left_semi", bin_: int | None = None) -> DataFrame:
@@ -73,23 +110,31 @@ def near(a: DataFrame, b: DataFrame, slack: int, how: str = "left_semi", bin_: i
     return a.join(least, same, how).drop("_c", "_p")
 
 
-def merge(intervals: DataFrame, touching: bool = True) -> DataFrame:
-    """The union of intervals: (chrom, start, end, n), joined where they overlap (or touch)."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gap = (F.col("start") > reach) if touching else (F.col("start") >= reach)
-    rows = intervals.filter("end > start").withColumn("_new", F.when(reach.isNull() | gap, 1).otherwise(0))
-    rows = rows.withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("chrom", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_group")
+def merge(intervals: DataFrame, touching: bool = True, tile: int = TILE) -> DataFrame:
+    """The union of intervals: (chrom, start, end, n), joined where they overlap (or touch).
+
+    Windows run per tile of starts; how far the tiles before reach, and where their last union starts, is one row a tile.
+    """
+    rows = intervals.filter("end > start").select("chrom", "start", "end", F.floor(F.col("start") / tile).alias("_tile"))
+    w = Window.partitionBy("chrom", "_tile").orderBy("start", "end")
+    before = Window.partitionBy("chrom").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy("chrom", "_tile").agg(F.max("end").alias("_m")).withColumn("_reach", F.max("_m").over(before)).drop("_m")
+    rows = rows.join(reach, ["chrom", "_tile"]).withColumn("_till", F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_reach"))
+    gap = (F.col("start") > F.col("_till")) if touching else (F.col("start") >= F.col("_till"))
+    rows = rows.withColumn("_new", F.when(F.col("_till").isNull() | gap, F.col("start")))
+    lasts = rows.groupBy("chrom", "_tile").agg(F.max("_new").alias("_m")).withColumn("_carry", F.max("_m").over(before)).drop("_m")
+    # intervals with one start belong to one union: the range frame takes all of them
+    own = F.max("_new").over(Window.partitionBy("chrom", "_tile").orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_own", own).join(lasts, ["chrom", "_tile"]).withColumn("_union", F.coalesce("_own", "_carry"))
+    return rows.groupBy("chrom", "_union").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_union")
 
 
 def split(intervals: DataFrame, bin_: int = 128) -> DataFrame:
     """Every interval cut at the bounds of all others: distinct (chrom, start, end, n), n of how many."""
     rows = intervals.filter("end > start").select("chrom", "start", "end").withColumnsRenamed({"start": "s", "end": "e"})
-    bounds = rows.select("chrom", F.explode(F.array("s", "e")).alias("start")).distinct()
-    w = Window.partitionBy("chrom").orderBy("start")
-    pieces = bounds.withColumn("end", F.lead("start").over(w)).filter("end is not null")
-    held = points_in(pieces.withColumnRenamed("start", "pos").withColumnRenamed("end", "stop"), rows, "pos", bin_, "inner", "s", "e")
+    bounds = rows.select("chrom", F.explode(F.array("s", "e")).alias("pos")).distinct()
+    pieces = neighbours(bounds, F.col("pos"), ["pos"]).select("chrom", "pos", F.col("_after").alias("stop")).filter("stop is not null")
+    held = points_in(pieces, rows, "pos", bin_, "inner", "s", "e")
     return held.groupBy("chrom", F.col("pos").alias("start"), F.col("stop").alias("end")).agg(F.count("*").alias("n"))
 
 

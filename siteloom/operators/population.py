@@ -56,10 +56,19 @@ def allele_counts(clusters: DataFrame, samples: DataFrame) -> DataFrame:
     return part.unionByName(whole).withColumns({"ac": ac, "af": F.round(ac / F.col("an"), 6)})
 
 
-def dosage_matrix(clusters: DataFrame, samples: DataFrame, sites: list[int]) -> DataFrame:
-    """Sample by site dosages (0, 1, 2) for principal components; the sites are the columns."""
-    one = clusters.filter(F.col("site").isin(sites)).groupBy("sample", "site").agg(F.max("dosage").alias("dosage")).join(samples.select("sample", "population"), "sample")
-    return one.groupBy("sample", "population").pivot("site", sites).agg(F.max("dosage")).fillna(0)
+def dosage_matrix(clusters: DataFrame, samples: DataFrame) -> DataFrame:
+    """The sample by site matrix of dosages in long form: sample, population, chrom, site, dosage; what has no row is 0.
+
+    Sites are told apart by contig and position. Samples without metadata are left out.
+    """
+    one = clusters.groupBy("sample", "chrom", "site").agg(F.max("dosage").alias("dosage"))
+    return one.join(samples.select("sample", "population").dropDuplicates(["sample"]), "sample").select("sample", "population", "chrom", "site", "dosage")
+
+
+def dosage_columns(matrix: DataFrame, sites: list[tuple[str, int]]) -> DataFrame:
+    """The matrix's part of some sites as one column each, named contig_position: a block for principal components."""
+    named = matrix.withColumn("_name", F.concat_ws("_", F.col("chrom").cast("string"), F.col("site").cast("string")))
+    return named.groupBy("sample", "population").pivot("_name", [f"{c}_{p}" for c, p in sites]).agg(F.max("dosage")).fillna(0)
 
 
 def private_histogram(alleles: DataFrame, levels: int) -> DataFrame:
@@ -100,3 +109,21 @@ def natural_order(chrom: Column) -> list[Column]:
     """Contigs in natural order: numbers by value, then names."""
     bare = F.regexp_replace(chrom, "^chr", "")
     return [F.coalesce(F.expr("try_cast(regexp_replace(chrom, '^chr', '') AS int)"), F.lit(10**6)), bare]
+
+
+def site_modes(clusters: DataFrame, names: list[str]) -> DataFrame:
+    """The most frequent value of each named column at every site (chrom, site), and its count; of ties that seen at the least position."""
+    out = None
+    for c in names:
+        counts = clusters.filter(F.col(c).isNotNull()).groupBy("chrom", "site", c).agg(F.count("*").alias("n"), F.min("pos").alias("_first"))
+        best = counts.groupBy("chrom", "site").agg(F.max_by(c, F.struct("n", F.negate("_first"))).alias(c), F.max("n").alias(f"{c}_n"))
+        out = best if out is None else out.join(best, ["chrom", "site"], "full")
+    return out
+
+
+def source_by_population(clusters: DataFrame, samples: DataFrame) -> DataFrame:
+    """The source that most of a population's samples have at a site; of ties the least. Samples without metadata are left out."""
+    people = samples.select("sample", "population").dropDuplicates(["sample"])
+    counts = clusters.filter("source is not null").join(people, "sample").groupBy("chrom", "site", "population", "source").agg(F.count("*").alias("n"))
+    tie = F.negate("source") if dict(counts.dtypes)["source"] != "string" else F.lit(0)
+    return counts.groupBy("chrom", "site", "population").agg(F.max_by("source", F.struct("n", tie)).alias("source"), F.max("n").alias("n"))

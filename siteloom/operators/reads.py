@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import cigar as C
-from .intervals import points_in
+from .intervals import overlaps, points_in
 
 
 def mate_in_repeat(reads: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -68,9 +68,8 @@ def raw_disc_cutoff(cutoff: int, tumor: bool) -> int:
 def site_coverage(sites: DataFrame, reads: DataFrame, window: int, bin_: int = 256) -> DataFrame:
     """Mean depth left [p - w, p] and right [p + 1, p + w] of a site, both over w; from overlap lengths, no base is listed."""
     region = sites.select("chrom", F.col("pos").alias("site"), (F.col("pos") - window).alias("start"), (F.col("pos") + window + 1).alias("end")).distinct()
-    longest = reads.agg(F.max(F.col("end") - F.col("pos"))).first()[0] or 0
-    wide = region.withColumn("from_", F.col("start") - longest)
-    hits = points_in(reads.select("chrom", "pos", F.col("end").alias("read_end")), wide.drop("start").withColumnRenamed("from_", "start"), "pos", bin_)
+    held = overlaps(region, reads.select("chrom", F.col("pos").alias("start"), "end"), bin_)
+    hits = held.select("chrom", "site", F.col("start_b").alias("pos"), F.col("end_b").alias("read_end"))
 
     def depth(a: Column, b: Column) -> Column:
         return F.sum(F.greatest(F.least(F.col("read_end"), b) - F.greatest(F.col("pos"), a), F.lit(0)))
@@ -160,6 +159,15 @@ def mates(reads: DataFrame, wanted: DataFrame) -> DataFrame:
     return reads.join(w, (F.col("qname") == F.col("_q")) & (F.col("is_read1") == F.col("_r")), "left_semi")
 
 
+def molecule_totals(reads: DataFrame, region: list[str]) -> DataFrame:
+    """For each region (columns of reads): how many molecules (bx) it has seen, and the reads of these molecules anywhere.
+
+    Reads are counted by barcode first, so a molecule is one row for each region.
+    """
+    totals = reads.groupBy("bx").agg(F.count("*").alias("n"), F.sum("pos").alias("total"))
+    return reads.select(*region, "bx").distinct().join(totals, "bx").groupBy(*region).agg(F.count("*").alias("n_molecules"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def shared_barcode_reads(reads: DataFrame, region_reads: DataFrame) -> DataFrame:
     """All reads of the molecules seen in a region."""
     return reads.join(region_reads.select("bx").distinct(), "bx", "left_semi")
@@ -169,3 +177,58 @@ def low_quality_background(sites: DataFrame, reads: DataFrame, extend: int, rati
     """Sites whose share of reads with mapq under 10 is below the ratio."""
     region = sites.select("chrom", F.col("pos").alias("site"), (F.col("pos") - extend).alias("start"), (F.col("pos") + extend).alias("end"))
     return points_in(reads.select("chrom", "pos", "mapq"), region).groupBy("chrom", F.col("site").alias("pos")).agg(F.avg((F.col("mapq") < 10).cast("double")).alias("low")).filter(F.col("low") < ratio)
+
+
+def realigned_counts(parts: DataFrame) -> DataFrame:
+    """Realigned clipped parts (chrom, pos, side, n_polya) -> counts by side, and of those with polyA. No parts give no rows."""
+    l, r = F.col("side") == "L", F.col("side") == "R"
+    polya = [F.coalesce(F.sum(F.when(s, F.col("n_polya"))), F.lit(0)).alias(n) for s, n in ((l, "l_polya"), (r, "r_polya"))]
+    return parts.groupBy("chrom", "pos").agg(F.count_if(l).alias("n_l"), F.count_if(r).alias("n_r"), *polya)
+
+
+def phased_barcodes(reads: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Distinct barcodes (bx) by haplotype (phase 1, 2; 0: none, 3: both) of each site, where there are no more than `most` in all."""
+    def of(n: int) -> Column:
+        return F.count_distinct(F.when(F.col("phase") == n, F.col("bx")))
+
+    out = reads.groupBy(*key).agg(of(1).alias("hap1"), of(2).alias("hap2"), of(0).alias("unphased"), of(3).alias("conflicting"), F.count_distinct("bx").alias("_all"))
+    return out.filter(F.col("_all") <= most).drop("_all")
+
+
+def mate_support(reads: DataFrame, key: list[str], least: int) -> DataFrame:
+    """Pairs of each site by the mate's contig, and how far apart the mates lie."""
+    return reads.groupBy(*key, "mate_chrom").agg(F.count("*").alias("n"), (F.max("mate_pos") - F.min("mate_pos")).alias("span")).filter(F.col("n") >= least)
+
+
+def split_at(reads: DataFrame, key: list[str], site: str, slack: int) -> DataFrame:
+    """Reads to the left and to the right of a site's position; within the slack they count on both sides."""
+    return reads.groupBy(*key).agg(F.count_if(F.col("pos") <= F.col(site) + slack).alias("n_left"), F.count_if(F.col("pos") >= F.col(site) - slack).alias("n_right"))
+
+
+def ends_in_repeats(pairs: DataFrame, repeats: DataFrame) -> DataFrame:
+    """pairs with one_in_repeat and both_in_repeat, for the read's and its mate's position."""
+    mates_ = mate_in_repeat(pairs, repeats).withColumnRenamed("in_repeat", "_mate")
+    places = points_in(pairs.select("chrom", "pos").distinct(), repeats.select("chrom", "start", "end")).select(F.col("chrom").alias("_c"), F.col("pos").alias("_p")).distinct()
+    out = mates_.join(places, (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")), "left")
+    own = F.col("_c").isNotNull()
+    return out.withColumns({"one_in_repeat": own != F.col("_mate"), "both_in_repeat": own & F.col("_mate")}).drop("_c", "_p", "_mate")
+
+
+def sequence_lengths(parts: DataFrame, key: list[str]) -> DataFrame:
+    """parts (key, name, length) of sequences, one row a line -> the mean and the least length of the sequences."""
+    whole = parts.groupBy(*key, "name").agg(F.sum("length").alias("len"))
+    return whole.groupBy(*key).agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"), F.min("len").alias("min_len"))
+
+
+def raw_coverage(n_reads: Column, read_length: Column, genome: int) -> Column:
+    """Mean depth of a library from the number and length of its reads."""
+    return n_reads * read_length / genome
+
+
+def flanks_on_contigs(left: DataFrame, right: DataFrame, key: list[str], slack: int) -> DataFrame:
+    """Left and right flanks (key, contig, is_rc, at) that lie on one contig on one strand, the right one by `slack` or more further."""
+    r = right.select(*(F.col(c).alias(f"_{c}") for c in (*key, "contig", "is_rc")), F.col("at").alias("right_at"))
+    same = (F.col("contig") == F.col("_contig")) & (F.col("is_rc") == F.col("_is_rc"))
+    for c in key:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return left.withColumnRenamed("at", "left_at").join(r, same & (F.col("right_at") - F.col("left_at") >= slack)).select(*key, "contig", "is_rc", "left_at", "right_at")

@@ -47,10 +47,11 @@ def final_label() -> Column:
 
 
 def is_transduction() -> Column:
-    return c("td_src").isNotNull() & ~c("td_src").contains("not_transduction")
+    return c("td_src").isNotNull() & ~c("td_src").contains("not_transduction") & ~c("td_src").contains("may")
 
 
 def is_orphan() -> Column:
+    """By the source's label."""
     return F.coalesce(c("td_src").contains("orphan"), F.lit(False))
 
 
@@ -58,24 +59,78 @@ def is_sibling() -> Column:
     return F.coalesce(c("td_src").contains("sibling"), F.lit(False))
 
 
+def is_orphan_call() -> Column:
+    """By the record's class."""
+    return c("sub_type").contains("orphan")
+
+
 def two_side() -> Column:
-    return c("sub_type").contains("two_side")
+    return c("sub_type").rlike("two_side|both-side|one_side_and_half_transduction")
+
+
+def one_side() -> Column:
+    return ~two_side() & c("sub_type").contains("one_side")
 
 
 def one_half() -> Column:
-    return c("sub_type").contains("one_half")
+    return ~two_side() & ~one_side() & c("sub_type").rlike("one_half|one-half")
 
 
-def one_side() -> Column:
-    return c("sub_type").contains("one_side") & ~one_half()
+def tprt_both() -> Column:
+    return c("sub_type").contains("two_side_tprt_both")
+
+
+def v(name: str) -> Column:
+    """A cluster's bound; that of a missing one is -1, as in the text form."""
+    return F.coalesce(c(name), F.lit(-1))
+
+
+def absent(*sides: str) -> Column:
+    out = F.lit(False)
+    for s in sides:
+        out = out | c(f"{s}_start").isNull() | c(f"{s}_end").isNull()
+    return out
+
+
+def apart(a: str, b: str, cutoff: int = 300) -> Column:
+    """Two clusters lie apart, or one of them is missing."""
+    close = (F.abs(c(f"{a}_end") - c(f"{b}_start")) < cutoff) | (F.abs(c(f"{b}_end") - c(f"{a}_start")) < cutoff)
+    return absent(a, b) | ~close
+
+
+def _polya_share(side: str) -> Column:
+    return c(f"n_all_{side}polya") / F.nullif(c(f"n_all_{side}clip"), F.lit(0))
+
+
+def has_polya_signal() -> Column:
+    return (c("n_all_lpolya") > 0) | (c("n_all_rpolya") > 0)
 
 
 def polya_dominant(ratio: float = 0.75) -> Column:
-    """PolyA is over that share of the clips on both sides that have clips."""
-    def side(x: str) -> Column:
-        return F.coalesce(F.abs(f"n_{x}polya") > ratio * c(f"n_{x}clip"), F.lit(False))
+    """PolyA is over that share of the clips on both sides, which have clips in clusters that aren't apart."""
+    clips = (c("n_all_lclip") > 0) & (c("n_all_rclip") > 0)
+    return clips & ~apart("lc", "rc") & ~(tprt_both() & apart("ld", "rd")) & (_polya_share("l") > ratio) & (_polya_share("r") > ratio)
+
 
-    return side("l") & side("r")
+def polya_dominant_td(ratio: float = 0.85) -> Column:
+    """A side without clips counts as dominated."""
+    return ~tprt_both() & F.coalesce(_polya_share("l") > ratio, F.lit(True)) & F.coalesce(_polya_share("r") > ratio, F.lit(True))
+
+
+def polya_dominant_sva(head: int, ratio: float = 0.75) -> Column:
+    clips = (c("n_all_lclip") > 0) & (c("n_all_rclip") > 0)
+    at_head = ~absent("ld", "rd") & ((v("ld_start") < head) | (v("rd_start") < head))
+    return clips & ~(tprt_both() & at_head) & (_polya_share("l") > ratio) & (_polya_share("r") > ratio)
+
+
+def polya_dominant_one_side(least: int = 5, ratio: float = 0.75) -> Column:
+    """No side has clips that count, or one has only polyA while `least` clips or more fail on the other."""
+    l, r = c("n_all_lclip"), c("n_all_rclip")
+
+    def lone(side: str, n: Column) -> Column:
+        return F.coalesce(_polya_share(side) > ratio, F.lit(False)) & (c("n_af_clip") - n >= least)
+
+    return ((l <= 0) & (r <= 0)) | ((l <= 0) & lone("r", r)) | ((r <= 0) & lone("l", l))
 
 
 def same_orientation_polya() -> Column:
@@ -83,36 +138,37 @@ def same_orientation_polya() -> Column:
 
 
 def enough_size(n: int) -> Column:
-    """The clusters reach over at least n bases of the consensus."""
-    ends = [F.col(f"{s}_{e}") for s in ("lc", "rc", "ld", "rd") for e in ("start", "end")]
-    return F.coalesce(F.greatest(*ends) - F.least(*ends) >= n, F.lit(False))
+    """Both ends agree, and the clip clusters span over n bases of the consensus."""
+    return c("both_consistent") & ((F.abs(v("lc_start") - v("rc_end")) > n) | (F.abs(v("rc_start") - v("lc_end")) > n))
 
 
-def hits_end(at: int, sides: tuple[str, ...] = ("lc", "rc")) -> Column:
-    out = F.lit(False)
-    for s in sides:
-        out = out | F.coalesce(c(f"{s}_end") >= at, F.lit(False))
-    return out
+def consistent_tprt_both(tail: int = 5950, least: int = 100) -> Column:
+    """Target-primed on both sides, both ends agree, a clip and a pair cluster reach the tail, and the clusters span enough."""
+    short = ((v("lc_end") < tail) & (v("rc_end") < tail)) | ((v("ld_end") < tail) & (v("rd_end") < tail))
+    small = (F.abs(v("lc_start") - v("rc_end")) < least) & (F.abs(v("rc_start") - v("lc_end")) < least)
+    return ~short & ~small & tprt_both() & c("both_consistent")
 
 
-def starts_beyond(at: int) -> Column:
-    return F.coalesce((c("lc_start") >= at) & (c("rc_start") >= at), F.lit(False))
+def tprt_reaches(end: int) -> Column:
+    return c("sub_type").contains("two_side_tprt") & ~absent("lc", "rc") & ((v("lc_end") > end) | (v("rc_end") > end))
 
 
-def starts_before(at: int) -> Column:
-    return F.coalesce((c("lc_start") < at) & (c("rc_start") < at), F.lit(False))
+def both_beyond(end: int) -> Column:
+    return ~absent("lc", "rc") & (v("lc_start") > end) & (v("rc_start") > end)
 
 
-def consistent(head: int, size: int) -> Column:
-    """Both clip clusters reach the tail, or the clusters cover enough."""
-    return c("both_consistent") & (hits_end(head) | enough_size(size))
+def hits_tail(end: int) -> Column:
+    """One of the clip clusters reaches the tail; true as well where one is missing."""
+    return absent("lc", "rc") | (v("lc_end") >= end) | (v("rc_end") >= end)
 
 
 def ratios() -> dict[str, Column]:
+    """Effective clips and pairs of all, clips of clips and full matches, discordant pairs of all pairs; 0 of none is 0."""
     def of(a: Column, b: Column) -> Column:
-        return a / F.nullif(a + b, F.lit(0))
+        return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
-    return {"clip": of(c("n_af_clip"), c("n_full_map")), "disc": of(c("n_disc"), c("n_conc")), "raw": of(c("n_l_raw") + c("n_r_raw"), c("n_full_map")), "ef": of(c("n_lclip") + c("n_rclip"), c("n_full_map"))}
+    return {"ef_clip": of(c("n_all_lclip") + c("n_all_rclip"), c("n_af_clip")), "ef_disc": of(c("n_all_ldisc") + c("n_all_rdisc"), c("n_disc")),
+            "clip": of(c("n_af_clip"), c("n_af_clip") + c("n_full_map")), "disc": of(c("n_disc"), c("n_disc") + c("n_conc"))}
 
 
 def af_conflict(tumor: bool = False) -> Column:
@@ -120,7 +176,7 @@ def af_conflict(tumor: bool = False) -> Column:
     least = 0.001 if tumor else 0.075
     out = F.lit(True)
     for r in ratios().values():
-        out = out & F.coalesce(r > least, F.lit(False))
+        out = out & (r > least)
     return ~out
 
 
@@ -137,81 +193,91 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
     return out
 
 
+def _types() -> Column:
+    return two_side() | one_half() | one_side()
+
+
 def l1_rules(config: Config = Config()) -> list[tuple[str, Column]]:
-    """Needs in_blacklist, div (least divergence of an overlapping copy, null: none), both_consistent, mean_cov."""
-    in_repeat = c("div").isNotNull()
-    low = in_repeat & (c("div") >= 0) & (c("div") < 15)
-    keep_orphan = ~one_side() | F.lit(config.tumor)
-    plain = ~is_orphan() & ~is_transduction()
+    """Needs in_blacklist, div (least divergence of a copy there, null: none), within_copy, td_novel, hit_end, both_consistent, mean_cov.
+
+    Orphans, and transductions that were called anew, stay once they pass their own rules.
+    """
+    in_copy, low = c("div").isNotNull(), c("div") < 15
+    td, novel = ~is_orphan_call() & is_transduction(), c("td_novel")
+    plain = ~is_orphan_call() & ~(td & novel)
     dominant_same = polya_dominant() & same_orientation_polya()
-    end = hits_end(5950)
+    keeps_one = F.lit(config.tumor)
     return [
         ("blacklist", c("in_blacklist")),
-        ("orphan_one_side", is_orphan() & ~keep_orphan),
-        ("td_in_copy", ~is_orphan() & is_transduction() & in_repeat & (c("div") <= 7) & ~(c("sub_type").contains("tprt_both") & c("both_consistent"))),
-        ("td_polya", ~is_orphan() & is_transduction() & (polya_dominant(0.85) | F.coalesce(ratios()["disc"] < 0.08, F.lit(True)))),
-        ("no_polya_no_end", plain & ~has_polya() & ~end),
+        ("orphan_one_side", is_orphan_call() & one_side() & ~keeps_one),
+        ("td_in_copy", td & (c("div") <= 7) & c("within_copy") & ~consistent_tprt_both()),
+        ("td_polya", td & (polya_dominant_td() | (ratios()["disc"] < 0.08))),
+        ("td_one_side", td & novel & one_side() & ~keeps_one),
+        ("no_polya_no_end", plain & ~has_polya_signal() & ~c("hit_end")),
         ("two_side_polya", plain & two_side() & dominant_same & ~enough_size(200)),
-        ("two_side_end", plain & two_side() & ~end),
+        ("two_side_end", plain & two_side() & ~c("hit_end")),
         ("two_side_af", plain & two_side() & af_conflict(config.tumor)),
-        ("two_side_copy", plain & two_side() & low & ~(c("sub_type").contains("tprt_both") & consistent(6000, 200))),
-        ("one_half", plain & one_half() & (low | dominant_same)),
-        ("one_side", plain & one_side() & low),
-        ("other", plain & ~two_side() & ~one_half() & ~one_side()),
-        ("tail_same_way", plain & (in_repeat | coverage_abnormal(2)) & starts_beyond(5950) & same_orientation_polya()),
-        ("copy_without_tail", plain & in_repeat & ~end),
+        ("two_side_copy", plain & two_side() & low & ~consistent_tprt_both(6000, 200)),
+        ("one_half_copy", plain & one_half() & low),
+        ("one_half_polya", plain & one_half() & dominant_same),
+        ("one_side_copy", plain & one_side() & low),
+        ("other", plain & ~_types()),
+        ("tail_same_way", plain & (in_copy | coverage_abnormal(2)) & both_beyond(5950) & same_orientation_polya()),
+        ("copy_without_tail", plain & in_copy & ~hits_tail(5950)),
     ]
 
 
 def alu_rules(config: Config = Config()) -> list[tuple[str, Column]]:
-    both = one_half() & hit("lc") & hit("rc")
-    two, half = two_side() | both, one_half() & ~both
-    in_repeat = c("div").isNotNull()
-    low = in_repeat & (c("div") < 15)
-    lone = (F.greatest(F.abs("n_lpolya"), F.abs("n_rpolya")) > 5) & (F.abs("n_lpolya") + F.abs("n_rpolya") > 0.85 * (c("n_lclip") + c("n_rclip")))
+    """A record of one side and a half with effective clips on both sides counts as two-sided."""
+    both = one_half() & (c("n_all_lclip") > 0) & (c("n_all_rclip") > 0)
+    two, less = two_side() | both, (one_half() & ~both) | one_side()
+    in_copy, low = c("div").isNotNull(), c("div") < 15
     indels = F.floor(0.3 * c("mean_cov"))
     return [
         ("blacklist", c("in_blacklist")),
         ("two_side_polya", two & polya_dominant() & same_orientation_polya()),
         ("two_side_af", two & af_conflict(config.tumor)),
-        ("two_side_no_polya", two & ~has_polya() & ~(c("sub_type").contains("tprt") & hits_end(200))),
-        ("low_copy", (half | one_side()) & low),
-        ("one_side_polya", (half | one_side()) & lone),
-        ("copy_no_polya", (half | one_side()) & in_repeat & ~has_polya()),
-        ("other", ~two & ~half & ~one_side()),
-        ("copy_both_tails", in_repeat & starts_beyond(255)),
-        ("copy_without_tail", in_repeat & ~hits_end(255)),
+        ("two_side_no_polya", two & ~has_polya_signal() & ~tprt_reaches(200)),
+        ("low_copy", less & low),
+        ("one_side_polya", less & polya_dominant_one_side()),
+        ("copy_no_polya", less & in_copy & ~has_polya_signal()),
+        ("other", ~two & ~less),
+        ("copy_both_tails", in_copy & both_beyond(255)),
+        ("copy_without_tail", in_copy & ~hits_tail(255)),
         ("indels", (indels > 0) & (c("n_indel") > indels) & coverage_abnormal(2)),
     ]
 
 
 def sva_rules(config: Config = Config()) -> list[tuple[str, Column]]:
-    in_repeat = c("div").isNotNull()
-    low = in_repeat & (c("div") < 15)
-    dominant = polya_dominant() & starts_beyond(400)
+    in_copy, low = c("div").isNotNull(), c("div") < 15
+    less = one_half() | one_side()
+    here = ~absent("lc", "rc")
     return [
         ("blacklist", c("in_blacklist")),
-        ("two_side_polya", two_side() & dominant),
+        ("two_side_polya", two_side() & polya_dominant_sva(400)),
         ("two_side_af", two_side() & af_conflict(config.tumor)),
-        ("no_polya", (two_side() | one_half() | one_side()) & ~has_polya()),
-        ("low_copy", (one_half() | one_side()) & low),
-        ("one_half_polya", one_half() & polya_dominant()),
-        ("one_side_td", one_side() & is_transduction() & ~F.lit(config.tumor)),
-        ("other", ~two_side() & ~one_half() & ~one_side()),
-        ("copy_both_tails", in_repeat & starts_beyond(1900)),
-        ("copy_both_heads", in_repeat & starts_before(1900)),
+        ("low_copy", less & low),
+        ("no_polya", _types() & ~has_polya_signal()),
+        ("one_half_polya", one_half() & polya_dominant_sva(400)),
+        ("one_side_td", one_side() & (is_orphan_call() | is_transduction()) & ~F.lit(config.tumor)),
+        ("other", ~_types()),
+        ("copy_both_tails", in_copy & here & (v("lc_start") >= 1900) & (v("rc_start") >= 1900)),
+        ("copy_both_heads", in_copy & here & (v("lc_start") < 1900) & (v("rc_start") < 1900)),
     ]
 
 
-def mosaic_rules() -> list[tuple[str, Column]]:
-    r = ratios()
+def mosaic_rules(kind: str = "L1") -> list[tuple[str, Column]]:
+    """Sites that a panel of normals has within the slack of a breakpoint go as well: intervals.near(..., how="left_anti")."""
+    r, in_copy = ratios(), c("div").isNotNull()
     return [
-        ("no_polya", ~has_polya()),
-        ("clip_af", ~F.coalesce(r["clip"].between(0.02, 0.35), F.lit(False))),
-        ("disc_af", ~F.coalesce(r["disc"] <= 0.35, F.lit(False))),
+        ("no_polya", ~has_polya_signal()),
+        ("clip_af", ~r["clip"].between(0.02, 0.35)),
+        ("disc_af", r["disc"] > 0.35),
         ("two_side_polya", two_side() & polya_dominant()),
-        ("one_half_copy", one_half() & (c("div").isNotNull() | polya_dominant())),
-        ("one_side_copy", one_side() & c("div").isNotNull()),
+        ("one_half_copy", one_half() & in_copy),
+        ("one_half_polya", one_half() & polya_dominant() & F.lit(kind != "SVA")),
+        ("one_side_copy", one_side() & in_copy),
+        ("other", ~_types()),
     ]
 
 
@@ -220,10 +286,26 @@ def post_filter(records: DataFrame, rules: list[tuple[str, Column]]) -> DataFram
     return records.withColumn("reason", first_reason(rules))
 
 
+def copy_label(name: str) -> Column:
+    """Whether the site lies in a copy of its own type, with the copy's divergence."""
+    return F.when(c("div").isNull(), f"not_in_{name}_copy").otherwise(F.concat(F.lit(f"Fall_in_{name}_copy_"), c("div").cast("string")))
+
+
 def insertion_length(tail: int) -> Column:
-    """From the cluster that starts furthest in, to the tail of the consensus; null for orphan and sibling records."""
-    starts = F.least(c("lc_start"), c("rc_start"), c("ld_start"), c("rd_start"))
-    return F.when(is_orphan() | is_sibling(), None).otherwise(F.greatest(F.lit(tail) - starts, F.lit(0)))
+    """From the clip clusters, else the pair clusters, else those of one side; of a transduction from its pairs to the tail; else 0."""
+    def span(a: str, b: str) -> Column:
+        whole = v(f"{b}_end") - v(f"{a}_start")
+        return F.when(whole < 0, v(f"{a}_end") - v(f"{b}_start")).otherwise(whole)
+
+    def has(s: str) -> Column:
+        return v(f"{s}_start") > 0
+
+    plain = F.lit(0)
+    for a, b in (("rc", "rd"), ("lc", "ld"), ("ld", "rd"), ("lc", "rc")):
+        plain = F.when(has(a) & has(b), span(a, b)).otherwise(plain)
+    l, r = v("ld_start"), v("rd_start")
+    td = F.when((l > 0) & (r > 0), tail - F.least(l, r)).when((l > 0) & (r < 0), tail - l).when((l < 0) & (r > 0), tail - r).otherwise(0)
+    return F.abs(F.when(is_transduction(), td).otherwise(plain))
 
 
 def inversion() -> Column:
@@ -252,26 +334,42 @@ def regions_consistent(s1: Column, e1: Column, s2: Column, e2: Column, insert_si
 
 
 def case_control_rules() -> list[tuple[str, Column]]:
-    """Needs a case record's counts, and the control's with the prefix k_ (null where there are none)."""
+    """Needs a case record's counts, and the control's at the site with the prefix k_ (null where there are none).
+
+    A control ratio above a share of a case ratio of 0 is any ratio above 0.
+    """
     cov, kcov = c("lcov") + c("rcov"), c("k_lcov") + c("k_rcov")
+    d = c("n_all_ldisc") + c("n_all_rdisc")
+    td, orphan = ~c("td_src").contains("not_transduction"), is_orphan() | is_orphan_call()
+    sibling = is_sibling() | c("sub_type").contains("sibling")
+
+    def of(a: Column, b: Column) -> Column:
+        return F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
 
-    def share(x: Column, of: Column) -> Column:
-        return x / F.nullif(of, F.lit(0.0))
+    def either(l: str, r: str, least: float) -> Column:
+        return ((c("lcov") > 0) & (of(c(l), c("lcov")) < least)) | ((c("rcov") > 0) & (of(c(r), c("rcov")) < least))
 
-    disc, kdisc = share(2 * c("n_disc"), cov), share(2 * c("k_n_disc"), kcov)
-    raw, kraw = share(2 * (c("n_l_raw") + c("n_r_raw")), cov), share(2 * (c("k_n_l_raw") + c("k_n_r_raw")), kcov)
-    kaf = share(c("k_n_af_clip"), c("k_n_af_clip") + c("k_n_full_map"))
+    disc, kdisc = of(2 * c("n_disc"), cov), of(2 * c("k_n_disc"), kcov)
+    raw, kraw = of(2 * (c("n_l_raw") + c("n_r_raw")), cov), of(2 * (c("k_n_l_raw") + c("k_n_r_raw")), kcov)
+    ef, kef = of(2 * (c("n_all_lclip") + c("n_all_rclip")), cov), of(2 * c("k_n_af_clip"), kcov)
+    n_raw = c("k_n_l_raw") + c("k_n_r_raw")
+    share = of(n_raw, n_raw + c("k_n_full_map"))
+    polya = of(c("k_n_polya"), n_raw) > 0.375
     return [
-        ("no_coverage", cov < 1e-7),
-        ("few_effective_disc", share(2.0 * (c("n_ldisc") + c("n_rdisc")), cov) < 0.05),
+        ("no_coverage", cov <= 1e-10),
+        ("few_effective_disc", of(2 * d, cov) < 0.05),
+        ("orphan_disc", orphan & either("n_all_ldisc", "n_all_rdisc", 0.05)),
+        ("orphan_clip", orphan & either("n_l_raw", "n_r_raw", 0.05)),
         ("few_disc", disc < 0.15),
         ("no_disc", c("n_disc") <= 0),
-        ("effective_share", share((c("n_ldisc") + c("n_rdisc")).cast("double"), c("n_disc").cast("double")) < 0.1),
-        ("no_control", c("k_lcov").isNull() | (kcov <= 0)),
-        ("control_has_both", (share(kdisc, disc) > 0.35) & (share(kraw, raw) > 0.35)),
-        ("control_polya", share(c("k_n_polya").cast("double"), kcov) > 0.3),
-        ("control_af", (kaf.isNull() | (kaf > 0.75)) & (kdisc > 0.15)),
-        ("no_polya_control_clip", ~has_polya() & (share(kraw, raw) > 0.35)),
+        ("effective_share", ~orphan & ~sibling & (of(d, c("n_disc")) < 0.1)),
+        ("no_control", c("k_lcov").isNull()),
+        ("control_no_coverage", kcov <= 1e-10),
+        ("control_has_both", (kdisc > 0.35 * disc) & F.when(td, kraw > 0.35 * raw).otherwise(kef > 0.35 * ef)),
+        ("control_polya", of(c("k_n_polya"), kcov) > 0.3),
+        ("control_af", ((c("k_n_af_clip") + c("k_n_full_map") == 0) | (of(c("k_n_af_clip"), c("k_n_af_clip") + c("k_n_full_map")) > 0.75)) & (kdisc > 0.15)),
+        ("control_raw_clip", ((n_raw + c("k_n_full_map") == 0) | (share > 0.75)) & ((kdisc > 0.15) | (polya & (c("k_n_disc") > 0)))),
+        ("no_polya_control_clip", (c("n_all_lpolya") + c("n_all_rpolya") == 0) & (share > 0.35)),
     ]
 
 

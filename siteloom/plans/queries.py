@@ -32,21 +32,21 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
     return add
 
 
-_PLAIN = ("reads", "repeats", "samples", "cohort", "calls", "records")
+_PLAIN = ("reads", "repeats", "samples", "cohort", "calls", "records", "evidence")
 #: What the oracles build on plain views.
 _DERIVED = {
     "hits": "SELECT DISTINCT r.mate_chrom AS c, r.mate_pos AS p FROM reads r JOIN repeats i ON r.mate_chrom = i.chrom AND r.mate_pos >= i.start AND r.mate_pos < i.\"end\"",
     "clips": "SELECT chrom, pos, count(*) FILTER (side = 'L') AS n_l, count(*) FILTER (side = 'R') AS n_r, count(*) FILTER (c IS NOT NULL) AS n_mate FROM reads LEFT JOIN hits ON mate_chrom = c AND mate_pos = p WHERE side IN ('L', 'R') AND mapq >= 12 GROUP BY 1, 2",
     "near_": "SELECT *, sum(n_l) OVER w AS near_l, sum(n_r) OVER w AS near_r, sum(n_mate) OVER w AS near_mate FROM clips WINDOW w AS (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 50 PRECEDING AND 49 FOLLOWING)",
-    "cand": "SELECT * FROM near_ WHERE (near_l >= 20 OR near_r >= 20) AND near_mate >= 4",
+    "cand": "SELECT * FROM near_ WHERE (near_l >= 9 OR near_r >= 9) AND near_mate >= 2",
     "steps": "SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) <= 100 THEN NULL ELSE pos END AS st FROM cand",
     "isl": "SELECT *, max(st) OVER (PARTITION BY chrom ORDER BY pos) AS island FROM steps",
     "csteps": "SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY sample_key ORDER BY pos) <= 30 THEN NULL ELSE pos END AS st FROM (SELECT *, chrom AS sample_key FROM cohort)",
     "cisl": "SELECT *, max(st) OVER (PARTITION BY chrom ORDER BY pos) AS island FROM csteps",
     "csites": "SELECT a.*, b.site FROM cisl a JOIN (SELECT chrom, island, arg_max(pos, (k, -pos)) AS site FROM (SELECT chrom, island, pos, count(DISTINCT sample) AS k FROM cisl GROUP BY ALL) GROUP BY ALL) b USING (chrom, island)",
     "black": "SELECT chrom, start, \"end\" FROM repeats WHERE \"end\" - start > 45",
-    "sites": "SELECT DISTINCT chrom, pos FROM reads WHERE pos % 40 = 0",
-    "genes": "SELECT DISTINCT CAST(chrom AS BIGINT) AS chrom, start * 8 AS start, start * 8 + 60 AS \"end\", subfamily || ':' || family AS name FROM repeats WHERE start % 7 = 0",
+    "sites": "SELECT DISTINCT chrom, pos FROM reads",
+    "genes": "SELECT DISTINCT CAST(chrom AS BIGINT) AS chrom, start * 8 AS start, start * 8 + 60 AS \"end\", subfamily || ':' || family AS name FROM repeats",
 }
 
 
@@ -60,11 +60,11 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return reads.candidate_filter(_near(spark, d), 20, 4)
+    return reads.candidate_filter(_near(spark, d), 9, 2)
 
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "reads").filter("pos % 40 = 0").select("chrom", "pos").distinct()
+    return view(spark, d, "reads").select("chrom", "pos").distinct()
 
 
 _CLIP = ("reads", "repeats", "hits", "clips")
@@ -131,7 +131,7 @@ def blacklist_anti(spark, d):
 @query("""SELECT s.chrom, s.pos, coalesce(string_agg(g.name, '/' ORDER BY g.start, g.name), 'not_gene_region') AS gene, arg_max(g.name, (g.start, g.name)) AS last_gene
   FROM sites s LEFT JOIN genes g ON s.chrom = g.chrom AND s.pos >= g.start - 1500 AND s.pos < g."end" + 1500 GROUP BY ALL""", "reads", "repeats", "sites", "genes")
 def gene_annot(spark, d):
-    genes = view(spark, d, "repeats").filter("start % 7 = 0").select("chrom", (F.col("start") * 8).alias("start"), (F.col("start") * 8 + 60).alias("end"), F.concat_ws(":", "subfamily", "family").alias("name")).distinct()
+    genes = view(spark, d, "repeats").select("chrom", (F.col("start") * 8).alias("start"), (F.col("start") * 8 + 60).alias("end"), F.concat_ws(":", "subfamily", "family").alias("name")).distinct()
     wide = genes.select("chrom", F.col("start").alias("gs"), "name", (F.col("start") - 1500).alias("start"), (F.col("end") + 1500).alias("end"))
     hits = intervals.points_in(_sites(spark, d), wide, bin_=2048, how="left")
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("gs", "name")))), lambda x: x["name"]), "/")
@@ -154,10 +154,10 @@ def disc_filter(spark, d):
 
 @query("""SELECT site, b.chrom AS mate_chrom, b.mate_pos, b.n, total FROM (SELECT site, arg_max({'chrom': chrom, 'mate_pos': mate_pos, 'n': n}, (n, -chrom, -island)) AS b, sum(n)::BIGINT AS total FROM (
   SELECT site, chrom, island, count(*) AS n, list_sort(list(pos))[(count(*) // 2 + 1)::INT] AS mate_pos FROM (
-    SELECT *, max(st) OVER (PARTITION BY site, chrom ORDER BY pos) AS island FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY site, chrom ORDER BY pos) <= 40 THEN NULL ELSE pos END AS st FROM (SELECT bx AS site, mate_chrom AS chrom, mate_pos AS pos FROM reads WHERE mapq > 40)))
+    SELECT *, max(st) OVER (PARTITION BY site, chrom ORDER BY pos) AS island FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY site, chrom ORDER BY pos) <= 40 THEN NULL ELSE pos END AS st FROM (SELECT bx AS site, mate_chrom AS chrom, mate_pos AS pos FROM reads WHERE mapq >= 20)))
   GROUP BY ALL) GROUP BY site) WHERE b.n > 0.02 * total""", "reads")
 def mate_cluster(spark, d):
-    return cluster.mate_clusters(view(spark, d, "reads").filter("mapq > 40").select(F.col("bx").alias("site"), F.col("mate_chrom").alias("chrom"), F.col("mate_pos").alias("pos")), 40, 0.02)
+    return cluster.mate_clusters(view(spark, d, "reads").filter("mapq >= 20").select(F.col("bx").alias("site"), F.col("mate_chrom").alias("chrom"), F.col("mate_pos").alias("pos")), 40, 0.02)
 
 
 @query("""SELECT site, b.start, b."end", b.n::BIGINT AS n, total, b.n >= 0.05 * total AS is_cluster FROM (SELECT site, arg_max({'start': pos, 'end': e, 'n': m}, (m, -pos)) AS b, sum(k)::BIGINT AS total FROM (
@@ -273,9 +273,9 @@ def af_histogram(spark, d):
     return population.private_histogram(population.allele_counts(_cohort(spark, d), view(spark, d, "samples")), 1000)
 
 
-@query("SELECT sample, population, coalesce(max(dosage) FILTER (site = 3), 0) AS \"3\", coalesce(max(dosage) FILTER (site = 33), 0) AS \"33\", coalesce(max(dosage) FILTER (site = 333), 0) AS \"333\" FROM (SELECT sample, o.pos AS site, dosage FROM cohort o) JOIN samples USING (sample) WHERE site IN (3, 33, 333) GROUP BY ALL", "cohort", "samples")
+@query("SELECT sample, population, chrom, site, max(dosage) AS dosage FROM csites JOIN samples USING (sample) GROUP BY ALL", *_COHORT)
 def pca_pivot(spark, d):
-    return population.dosage_matrix(view(spark, d, "cohort").withColumnRenamed("pos", "site"), view(spark, d, "samples"), [3, 33, 333])
+    return population.dosage_matrix(_cohort(spark, d), view(spark, d, "samples"))
 
 
 _A, _B = "(SELECT DISTINCT chrom, pos FROM calls WHERE priority = 0)", "(SELECT DISTINCT chrom, pos FROM calls WHERE priority = 1)"
@@ -311,48 +311,42 @@ def joint_singleton(spark, d):
     return population.joint_sites(view(spark, d, "calls"), 100)
 
 
-#: The rule cascades' conditions in SQL.
-_R = {
-    "polya": "(abs(n_lpolya) + abs(n_rpolya) > 0)", "td": "(td_src NOT LIKE '%not_transduction%')", "orphan": "(td_src LIKE '%orphan%')", "two": "(sub_type LIKE '%two_side%')", "half": "(sub_type LIKE '%one_half%')",
-    "one": "(sub_type LIKE '%one_side%' AND sub_type NOT LIKE '%one_half%')", "dom": "(abs(n_lpolya) > 0.75 * n_lclip AND abs(n_rpolya) > 0.75 * n_rclip)", "dom85": "(abs(n_lpolya) > 0.85 * n_lclip AND abs(n_rpolya) > 0.85 * n_rclip)",
-    "same": "(n_lpolya * n_rpolya > 0)", "low": "(div IS NOT NULL AND div >= 0 AND div < 15)", "rep": "(div IS NOT NULL)", "tprt": "(sub_type LIKE '%tprt%')", "both": "(sub_type LIKE '%tprt_both%')",
-    "size": "coalesce(greatest(lc_start, lc_end, rc_start, rc_end, ld_start, ld_end, rd_start, rd_end) - least(lc_start, lc_end, rc_start, rc_end, ld_start, ld_end, rd_start, rd_end) >= 200, false)",
-    "disc": "(n_disc / nullif(n_disc + n_conc, 0))", "clip": "(n_af_clip / nullif(n_af_clip + n_full_map, 0))",
-    "af": "NOT (coalesce(n_af_clip / nullif(n_af_clip + n_full_map, 0) > 0.075, false) AND coalesce(n_disc / nullif(n_disc + n_conc, 0) > 0.075, false) AND coalesce((n_l_raw + n_r_raw) / nullif(n_l_raw + n_r_raw + n_full_map, 0) > 0.075, false) AND coalesce((n_lclip + n_rclip) / nullif(n_lclip + n_rclip + n_full_map, 0) > 0.075, false))",
-    "cov2": "(lcov > 2 * mean_cov OR rcov > 2 * mean_cov)", "lc": "(lc_start IS NOT NULL)", "rc": "(rc_start IS NOT NULL)", "ld": "(ld_start IS NOT NULL)", "rd": "(rd_start IS NOT NULL)",
-}
-
-
-def _end(n: int) -> str:
-    return f"(coalesce(lc_end >= {n}, false) OR coalesce(rc_end >= {n}, false))"
+#: What the rule cascades ask, as columns in SQL.
+_FLAGS = """SELECT *, coalesce(lc_start, -1) AS ls, coalesce(lc_end, -1) AS le, coalesce(rc_start, -1) AS rs, coalesce(rc_end, -1) AS re, coalesce(ld_start, -1) AS dls, coalesce(ld_end, -1) AS dle, coalesce(rd_start, -1) AS drs, coalesce(rd_end, -1) AS dre,
+  lc_start IS NULL OR rc_start IS NULL AS noclip, ld_start IS NULL OR rd_start IS NULL AS nodisc, contains(sub_type, 'two_side') OR contains(sub_type, 'both-side') OR contains(sub_type, 'one_side_and_half_transduction') AS two, NOT two AND contains(sub_type, 'one_side') AS one,
+  NOT two AND NOT one AND (contains(sub_type, 'one_half') OR contains(sub_type, 'one-half')) AS half, contains(sub_type, 'two_side_tprt_both') AS tboth, contains(sub_type, 'orphan') AS orphan, NOT contains(td_src, 'not_transduction') AND NOT contains(td_src, 'may') AND NOT orphan AS td,
+  noclip OR NOT (abs(le - rs) < 300 OR abs(re - ls) < 300) AS capart, nodisc OR NOT (abs(dle - drs) < 300 OR abs(dre - dls) < 300) AS dapart, n_all_lclip > 0 AND n_all_rclip > 0 AS clips, n_all_lpolya / nullif(n_all_lclip, 0) AS lpa, n_all_rpolya / nullif(n_all_rclip, 0) AS rpa,
+  coalesce(clips AND NOT capart AND NOT (tboth AND dapart) AND lpa > 0.75 AND rpa > 0.75, false) AS dom, n_lpolya * n_rpolya > 0 AS same, n_all_lpolya > 0 OR n_all_rpolya > 0 AS polya, div IS NOT NULL AS rep, coalesce(div < 15, false) AS low,
+  coalesce((n_all_lclip + n_all_rclip) / nullif(n_af_clip, 0), 0) AS r1, coalesce((n_all_ldisc + n_all_rdisc) / nullif(n_disc, 0), 0) AS r2, coalesce(n_af_clip / nullif(n_af_clip + n_full_map, 0), 0) AS r3, coalesce(n_disc / nullif(n_disc + n_conc, 0), 0) AS r4,
+  NOT (r1 > 0.075 AND r2 > 0.075 AND r3 > 0.075 AND r4 > 0.075) AS af, lcov > 2 * mean_cov OR rcov > 2 * mean_cov AS cov2 FROM records"""
 
 
-def _beyond(n: int) -> str:
-    return f"coalesce(lc_start >= {n} AND rc_start >= {n}, false)"
+def _tprt(tail: int, least: int) -> str:
+    return f"(tboth AND both_consistent AND (le >= {tail} OR re >= {tail}) AND (dle >= {tail} OR dre >= {tail}) AND (abs(ls - re) >= {least} OR abs(rs - le) >= {least}))"
 
 
 def _cascade(steps: list[tuple[str, str]]) -> str:
-    text = " ".join(f"WHEN {test} THEN '{name}'" for name, test in steps)
-    for k in sorted(_R, key=len, reverse=True):
-        text = text.replace(f"${k}$", _R[k])
-    return f"SELECT chrom, pos, CASE {text} END AS reason FROM records"
+    return f"SELECT chrom, pos, CASE {' '.join(f'WHEN {test} THEN {chr(39)}{name}{chr(39)}' for name, test in steps)} END AS reason FROM ({_FLAGS})"
 
 
+_P = "NOT orphan AND NOT (td AND td_novel)"
 _L1 = _cascade([
-    ("blacklist", "in_blacklist"), ("orphan_one_side", "$orphan$ AND $one$"), ("td_in_copy", "NOT $orphan$ AND $td$ AND $rep$ AND div <= 7 AND NOT ($both$ AND both_consistent)"), ("td_polya", "NOT $orphan$ AND $td$ AND ($dom85$ OR coalesce($disc$ < 0.08, true))"),
-    ("no_polya_no_end", f"NOT $orphan$ AND NOT $td$ AND NOT $polya$ AND NOT {_end(5950)}"), ("two_side_polya", "NOT $orphan$ AND NOT $td$ AND $two$ AND $dom$ AND $same$ AND NOT $size$"), ("two_side_end", f"NOT $orphan$ AND NOT $td$ AND $two$ AND NOT {_end(5950)}"),
-    ("two_side_af", "NOT $orphan$ AND NOT $td$ AND $two$ AND $af$"), ("two_side_copy", f"NOT $orphan$ AND NOT $td$ AND $two$ AND $low$ AND NOT ($both$ AND both_consistent AND ({_end(6000)} OR $size$))"), ("one_half", "NOT $orphan$ AND NOT $td$ AND $half$ AND ($low$ OR ($dom$ AND $same$))"),
-    ("one_side", "NOT $orphan$ AND NOT $td$ AND $one$ AND $low$"), ("other", "NOT $orphan$ AND NOT $td$ AND NOT $two$ AND NOT $half$ AND NOT $one$"), ("tail_same_way", f"NOT $orphan$ AND NOT $td$ AND ($rep$ OR $cov2$) AND {_beyond(5950)} AND $same$"), ("copy_without_tail", f"NOT $orphan$ AND NOT $td$ AND $rep$ AND NOT {_end(5950)}")])
-_T, _H = "($two$ OR ($half$ AND $lc$ AND $rc$))", "($half$ AND NOT ($lc$ AND $rc$))"
+    ("blacklist", "in_blacklist"), ("orphan_one_side", "orphan AND one"), ("td_in_copy", f"td AND rep AND div <= 7 AND within_copy AND NOT {_tprt(5950, 100)}"), ("td_polya", "td AND ((NOT tboth AND coalesce(lpa > 0.85, true) AND coalesce(rpa > 0.85, true)) OR r4 < 0.08)"),
+    ("td_one_side", "td AND td_novel AND one"), ("no_polya_no_end", f"{_P} AND NOT polya AND NOT hit_end"), ("two_side_polya", f"{_P} AND two AND dom AND same AND NOT (both_consistent AND (abs(ls - re) > 200 OR abs(rs - le) > 200))"), ("two_side_end", f"{_P} AND two AND NOT hit_end"),
+    ("two_side_af", f"{_P} AND two AND af"), ("two_side_copy", f"{_P} AND two AND low AND NOT {_tprt(6000, 200)}"), ("one_half_copy", f"{_P} AND half AND low"), ("one_half_polya", f"{_P} AND half AND dom AND same"), ("one_side_copy", f"{_P} AND one AND low"), ("other", f"{_P} AND NOT two AND NOT half AND NOT one"),
+    ("tail_same_way", f"{_P} AND (rep OR cov2) AND NOT noclip AND ls > 5950 AND rs > 5950 AND same"), ("copy_without_tail", f"{_P} AND rep AND NOT (noclip OR le >= 5950 OR re >= 5950)")])
+_T, _H = "(two OR (half AND clips))", "((half AND NOT clips) OR one)"
 _ALU = _cascade([
-    ("blacklist", "in_blacklist"), ("two_side_polya", f"{_T} AND $dom$ AND $same$"), ("two_side_af", f"{_T} AND $af$"), ("two_side_no_polya", f"{_T} AND NOT $polya$ AND NOT ($tprt$ AND {_end(200)})"), ("low_copy", f"({_H} OR $one$) AND $low$"),
-    ("one_side_polya", f"({_H} OR $one$) AND greatest(abs(n_lpolya), abs(n_rpolya)) > 5 AND abs(n_lpolya) + abs(n_rpolya) > 0.85 * (n_lclip + n_rclip)"), ("copy_no_polya", f"({_H} OR $one$) AND $rep$ AND NOT $polya$"), ("other", f"NOT {_T} AND NOT {_H} AND NOT $one$"),
-    ("copy_both_tails", f"$rep$ AND {_beyond(255)}"), ("copy_without_tail", f"$rep$ AND NOT {_end(255)}"), ("indels", "floor(0.3 * mean_cov) > 0 AND n_indel > floor(0.3 * mean_cov) AND $cov2$")])
+    ("blacklist", "in_blacklist"), ("two_side_polya", f"{_T} AND dom AND same"), ("two_side_af", f"{_T} AND af"), ("two_side_no_polya", f"{_T} AND NOT polya AND NOT (contains(sub_type, 'two_side_tprt') AND NOT noclip AND (le > 200 OR re > 200))"), ("low_copy", f"{_H} AND low"),
+    ("one_side_polya", f"{_H} AND ((n_all_lclip <= 0 AND n_all_rclip <= 0) OR (n_all_lclip <= 0 AND coalesce(rpa > 0.75, false) AND n_af_clip - n_all_rclip >= 5) OR (n_all_rclip <= 0 AND coalesce(lpa > 0.75, false) AND n_af_clip - n_all_lclip >= 5))"),
+    ("copy_no_polya", f"{_H} AND rep AND NOT polya"), ("other", f"NOT {_T} AND NOT {_H}"), ("copy_both_tails", "rep AND NOT noclip AND ls > 255 AND rs > 255"), ("copy_without_tail", "rep AND NOT (noclip OR le >= 255 OR re >= 255)"),
+    ("indels", "floor(0.3 * mean_cov) > 0 AND n_indel > floor(0.3 * mean_cov) AND cov2")])
+_SD = "(clips AND NOT (tboth AND NOT nodisc AND (dls < 400 OR drs < 400)) AND lpa > 0.75 AND rpa > 0.75)"
 _SVA = _cascade([
-    ("blacklist", "in_blacklist"), ("two_side_polya", f"$two$ AND $dom$ AND {_beyond(400)}"), ("two_side_af", "$two$ AND $af$"), ("no_polya", "($two$ OR $half$ OR $one$) AND NOT $polya$"), ("low_copy", "($half$ OR $one$) AND $low$"), ("one_half_polya", "$half$ AND $dom$"), ("one_side_td", "$one$ AND $td$"),
-    ("other", "NOT $two$ AND NOT $half$ AND NOT $one$"), ("copy_both_tails", f"$rep$ AND {_beyond(1900)}"), ("copy_both_heads", "$rep$ AND coalesce(lc_start < 1900 AND rc_start < 1900, false)")])
+    ("blacklist", "in_blacklist"), ("two_side_polya", f"two AND {_SD}"), ("two_side_af", "two AND af"), ("low_copy", "(half OR one) AND low"), ("no_polya", "(two OR half OR one) AND NOT polya"), ("one_half_polya", f"half AND {_SD}"),
+    ("one_side_td", "one AND (orphan OR (NOT contains(td_src, 'not_transduction') AND NOT contains(td_src, 'may')))"), ("other", "NOT two AND NOT half AND NOT one"), ("copy_both_tails", "rep AND NOT noclip AND ls >= 1900 AND rs >= 1900"), ("copy_both_heads", "rep AND NOT noclip AND ls < 1900 AND rs < 1900")])
 _MOSAIC = _cascade([
-    ("no_polya", "NOT $polya$"), ("clip_af", "NOT coalesce($clip$ BETWEEN 0.02 AND 0.35, false)"), ("disc_af", "NOT coalesce($disc$ <= 0.35, false)"), ("two_side_polya", "$two$ AND $dom$"), ("one_half_copy", "$half$ AND ($rep$ OR $dom$)"), ("one_side_copy", "$one$ AND $rep$")])
+    ("no_polya", "NOT polya"), ("clip_af", "NOT (r3 BETWEEN 0.02 AND 0.35)"), ("disc_af", "r4 > 0.35"), ("two_side_polya", "two AND dom"), ("one_half_copy", "half AND rep"), ("one_half_polya", "half AND dom"), ("one_side_copy", "one AND rep"), ("other", "NOT two AND NOT half AND NOT one")])
 
 
 @query(_L1, "records")
@@ -376,7 +370,7 @@ def mosaic_af(spark, d):
 
 
 def _refined(name: str) -> str:
-    p, t = _R["polya"], "(tsd > 0 AND tsd < 100)"
+    p, t = "(abs(n_lpolya) + abs(n_rpolya) > 0)", "(tsd > 0 AND tsd < 100)"
     return f"CASE WHEN {p} AND {t} THEN '{name}_tprt_both' WHEN {p} OR {t} THEN '{name}_tprt' ELSE '{name}' END"
 
 
@@ -387,9 +381,14 @@ def category(spark, d):
     return view(spark, d, "records").select("chrom", "pos", rules.category().alias("category"), rules.final_label().alias("label"))
 
 
-@query("SELECT chrom, pos, CASE WHEN td_src LIKE '%orphan%' OR td_src LIKE '%sibling%' THEN NULL ELSE greatest(6000 - least(lc_start, rc_start, ld_start, rd_start), 0) END AS ins_len FROM records", "records")
+def _span(a: str, b: str) -> str:
+    return f"CASE WHEN {b}e - {a}s < 0 THEN {a}e - {b}s ELSE {b}e - {a}s END"
+
+
+@query(f"""SELECT chrom, pos, abs(CASE WHEN contains(td_src, 'not_transduction') THEN CASE WHEN ls > 0 AND rs > 0 THEN {_span('l', 'r')} WHEN dls > 0 AND drs > 0 THEN {_span('dl', 'dr')} WHEN ls > 0 AND dls > 0 THEN {_span('l', 'dl')} WHEN rs > 0 AND drs > 0 THEN {_span('r', 'dr')} ELSE 0 END
+  ELSE CASE WHEN dls > 0 AND drs > 0 THEN 6050 - least(dls, drs) WHEN drs < 0 AND dls > 0 THEN 6050 - dls WHEN drs > 0 AND dls < 0 THEN 6050 - drs ELSE 0 END END) AS ins_len FROM ({_FLAGS})""", "records")
 def ins_len(spark, d):
-    return view(spark, d, "records").select("chrom", "pos", rules.insertion_length(6000).alias("ins_len"))
+    return view(spark, d, "records").select("chrom", "pos", rules.insertion_length(6050).alias("ins_len"))
 
 
 @query("SELECT chrom, pos, CASE WHEN (ldisc_same >= ldisc_diff) <> (rdisc_same >= rdisc_diff) THEN '5prime-inversion' ELSE 'Not-5prime-inversion' END AS inversion FROM records", "records")
@@ -397,14 +396,21 @@ def inversion(spark, d):
     return view(spark, d, "records").select("chrom", "pos", rules.inversion().alias("inversion"))
 
 
-@query("""SELECT chrom, pos, CASE WHEN cov < 1e-7 THEN 'no_coverage' WHEN 2.0 * (n_ldisc + n_rdisc) / nullif(cov, 0) < 0.05 THEN 'few_effective_disc' WHEN disc < 0.15 THEN 'few_disc' WHEN n_disc <= 0 THEN 'no_disc' WHEN (n_ldisc + n_rdisc) / nullif(n_disc, 0) < 0.1 THEN 'effective_share'
-  WHEN k_lcov IS NULL OR kcov <= 0 THEN 'no_control' WHEN kdisc / nullif(disc, 0) > 0.35 AND kraw / nullif(raw, 0) > 0.35 THEN 'control_has_both' WHEN k_n_polya / nullif(kcov, 0) > 0.3 THEN 'control_polya' WHEN (kaf IS NULL OR kaf > 0.75) AND kdisc > 0.15 THEN 'control_af' WHEN abs(n_lpolya) + abs(n_rpolya) = 0 AND kraw / nullif(raw, 0) > 0.35 THEN 'no_polya_control_clip' END AS reason
-  FROM (SELECT *, 2 * n_disc / nullif(cov, 0) AS disc, 2 * k_n_disc / nullif(kcov, 0) AS kdisc, 2 * (n_l_raw + n_r_raw) / nullif(cov, 0) AS raw, 2 * (k_l + k_r) / nullif(kcov, 0) AS kraw, k_af / nullif(k_af + k_full, 0) AS kaf FROM (
-    SELECT a.*, a.lcov + a.rcov AS cov, b.lcov AS k_lcov, b.lcov + b.rcov AS kcov, b.n_disc AS k_n_disc, b.n_l_raw AS k_l, b.n_r_raw AS k_r, b.n_af_clip AS k_af, b.n_full_map AS k_full, abs(b.n_lpolya) + abs(b.n_rpolya) AS k_n_polya FROM records a LEFT JOIN (SELECT * FROM records WHERE pos % 10 = 2) b ON a.chrom = b.chrom AND a.pos = b.pos - 1 WHERE a.pos % 10 = 1))""", "records")
+_CC = "n_disc n_l_raw n_r_raw n_af_clip n_full_map lcov rcov".split()
+
+
+@query(f"""SELECT chrom, pos, CASE WHEN cov <= 1e-10 THEN 'no_coverage' WHEN 2 * d / cov < 0.05 THEN 'few_effective_disc' WHEN orphan AND ((lcov > 0 AND n_all_ldisc / lcov < 0.05) OR (rcov > 0 AND n_all_rdisc / rcov < 0.05)) THEN 'orphan_disc'
+  WHEN orphan AND ((lcov > 0 AND n_l_raw / lcov < 0.05) OR (rcov > 0 AND n_r_raw / rcov < 0.05)) THEN 'orphan_clip' WHEN disc < 0.15 THEN 'few_disc' WHEN n_disc <= 0 THEN 'no_disc' WHEN NOT orphan AND NOT sibling AND d / n_disc < 0.1 THEN 'effective_share' WHEN k_lcov IS NULL THEN 'no_control'
+  WHEN kcov <= 1e-10 THEN 'control_no_coverage' WHEN kdisc > 0.35 * disc AND CASE WHEN td THEN kraw > 0.35 * raw ELSE kef > 0.35 * ef END THEN 'control_has_both' WHEN k_n_polya / kcov > 0.3 THEN 'control_polya' WHEN (k_n_af_clip + k_n_full_map = 0 OR k_n_af_clip / (k_n_af_clip + k_n_full_map) > 0.75) AND kdisc > 0.15 THEN 'control_af'
+  WHEN (nraw + k_n_full_map = 0 OR share > 0.75) AND (kdisc > 0.15 OR (nraw > 0 AND k_n_polya / nraw > 0.375 AND k_n_disc > 0)) THEN 'control_raw_clip' WHEN n_all_lpolya + n_all_rpolya = 0 AND share > 0.35 THEN 'no_polya_control_clip' END AS reason
+  FROM (SELECT *, 2 * n_disc / cov AS disc, 2 * k_n_disc / nullif(kcov, 0) AS kdisc, 2 * (n_l_raw + n_r_raw) / cov AS raw, 2 * nraw / nullif(kcov, 0) AS kraw, 2 * (n_all_lclip + n_all_rclip) / cov AS ef, 2 * k_n_af_clip / nullif(kcov, 0) AS kef, coalesce(nraw / nullif(nraw + k_n_full_map, 0), 0) AS share FROM (
+    SELECT a.*, a.lcov + a.rcov AS cov, n_all_ldisc + n_all_rdisc AS d, contains(td_src, 'orphan') OR contains(sub_type, 'orphan') AS orphan, contains(td_src, 'sibling') OR contains(sub_type, 'sibling') AS sibling, NOT contains(td_src, 'not_transduction') AS td, k_lcov + k_rcov AS kcov, k_n_l_raw + k_n_r_raw AS nraw, b.* EXCLUDE (c, p)
+    FROM records a LEFT JOIN (SELECT chrom AS c, pos - 1 AS p, {', '.join(f'{x} AS k_{x}' for x in _CC)}, abs(n_lpolya) + abs(n_rpolya) AS k_n_polya FROM records) b ON a.chrom = c AND a.pos = p))""", "records")
 def case_control_ratio(spark, d):
+    """The record at the next position stands for the control's features."""
     v = view(spark, d, "records")
-    control = v.filter("pos % 10 = 2").select(F.col("chrom").alias("_c"), (F.col("pos") - 1).alias("_p"), *(F.col(x).alias(f"k_{x}") for x in ("lcov", "rcov", "n_disc", "n_l_raw", "n_r_raw", "n_af_clip", "n_full_map")), (F.abs("n_lpolya") + F.abs("n_rpolya")).alias("k_n_polya"))
-    joined = v.filter("pos % 10 = 1").join(control, (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")), "left")
+    control = v.select(F.col("chrom").alias("_c"), (F.col("pos") - 1).alias("_p"), *(F.col(x).alias(f"k_{x}") for x in _CC), (F.abs("n_lpolya") + F.abs("n_rpolya")).alias("k_n_polya"))
+    joined = v.join(control, (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")), "left")
     return rules.post_filter(joined, rules.case_control_rules()).select("chrom", "pos", "reason")
 
 
@@ -464,10 +470,10 @@ def iv_chop(spark, d):
     return intervals.chop(view(spark, d, "repeats").select("chrom", "start", "end"), 500, 600)
 
 
-@query("""SELECT a.chrom, a.start, a."end", b.start AS start_b, b."end" AS end_b, least(a."end", b."end") - greatest(a.start, b.start) AS shared FROM repeats a JOIN repeats b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" WHERE b.start % 3 = 0""", "repeats")
+@query("""SELECT a.chrom, a.start, a."end", b.start AS start_b, b."end" AS end_b, least(a."end", b."end") - greatest(a.start, b.start) AS shared FROM repeats a JOIN repeats b ON a.chrom = b.chrom AND a.start < b."end" AND a."end" > b.start""", "repeats")
 def iv_overlap(spark, d):
     v = view(spark, d, "repeats").select("chrom", "start", "end")
-    out = intervals.overlaps(v, v.filter("start % 3 = 0"), 16)
+    out = intervals.overlaps(v, v, 16)
     return out.select("chrom", "start", "end", "start_b", "end_b", intervals.overlap_length(F.col("start"), F.col("end"), F.col("start_b"), F.col("end_b")).alias("shared"))
 
 
@@ -543,10 +549,10 @@ def low_mapq_background(spark, d):
     return reads.low_quality_background(_sites(spark, d), view(spark, d, "reads"), 40, 0.15).withColumn("low", F.round("low", 6))
 
 
-@query("SELECT count(*) AS n, sum(pos)::BIGINT AS total FROM reads r WHERE EXISTS (SELECT 1 FROM reads q WHERE q.bx = r.bx AND q.chrom = 3 AND q.pos < 200)", "reads")
+@query("SELECT chrom, bin, count(*) AS n_molecules, sum(n)::BIGINT AS n, sum(total)::BIGINT AS total FROM (SELECT DISTINCT chrom, pos // 1000 AS bin, bx FROM reads) JOIN (SELECT bx, count(*) AS n, sum(pos)::BIGINT AS total FROM reads GROUP BY bx) USING (bx) GROUP BY ALL", "reads")
 def molecule_reads(spark, d):
-    r = view(spark, d, "reads")
-    return reads.shared_barcode_reads(r, r.filter("chrom = 3 AND pos < 200")).agg(F.count("*").alias("n"), F.sum("pos").alias("total"))
+    r = view(spark, d, "reads").withColumn("bin", F.floor(F.col("pos") / 1000))
+    return reads.molecule_totals(r, ["chrom", "bin"])
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem a WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND (b.l_linenumber % 2 = 1) <> (a.l_linenumber % 2 = 1) AND b.l_quantity > 45)")
@@ -617,3 +623,6 @@ def vcf_record(spark, d):
     rec = o.select(F.concat(F.lit("chr"), (F.col("o_custkey") % 24).cast("string")).alias("chrom"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("svtype"), F.col("o_custkey").alias("ins_len"), F.when(F.col("o_orderstatus") == "F", "1/1").otherwise("0/1").alias("genotype"))
     lines = vcf_lines(rec).select(F.split("value", "\t")[1].cast("long").alias("o_orderkey"), F.col("value").alias("line"))
     return lines.join(o.select("o_orderkey", F.when(F.col("o_orderstatus").isin("F", "O") & (F.col("o_custkey") > 0), "keep").otherwise("drop").alias("verdict")), "o_orderkey")
+
+
+from . import evidence  # noqa: E402,F401  its queries register themselves

@@ -23,8 +23,15 @@ SQL = {
         CASE l_partkey % 11 WHEN 0 THEN 'chr1:5-9~0~orphan' WHEN 1 THEN 'chr2:7-9~1~sibling' WHEN 2 THEN 'chr3:1-2~0' ELSE 'not_transduction' END AS td_src,
         CAST(l_partkey % 20 AS INT) AS n_af_clip, CAST(l_orderkey % 25 AS INT) AS n_full_map, CAST(l_partkey % 12 AS INT) AS n_l_raw, CAST(l_orderkey % 11 AS INT) AS n_r_raw, CAST(l_suppkey % 30 AS INT) AS n_disc,
         CAST((l_partkey + l_suppkey) % 60 AS INT) AS n_conc, CAST(l_orderkey % 15 AS INT) AS n_indel, CAST(l_partkey % 10 AS INT) AS ldisc_same, CAST(l_orderkey % 10 AS INT) AS ldisc_diff, CAST(l_suppkey % 10 AS INT) AS rdisc_same, CAST((l_partkey + 3) % 7 AS INT) AS rdisc_diff,
-        l_partkey % 3 = 0 AS both_consistent, CASE l_linenumber % 6 WHEN 0 THEN 'two_side_tprt_both' WHEN 1 THEN 'two_side_tprt' WHEN 2 THEN 'two_side' WHEN 3 THEN 'one_half_side_tprt' WHEN 4 THEN 'one_side' ELSE 'other_type' END AS sub_type,
+        l_partkey % 3 = 0 AS both_consistent, CASE (l_linenumber + l_partkey) % 10 WHEN 0 THEN 'two_side_tprt_both' WHEN 1 THEN 'two_side_tprt' WHEN 2 THEN 'two_side' WHEN 3 THEN 'one_half_side_tprt' WHEN 4 THEN 'one_half_side_tprt_both' WHEN 5 THEN 'one_side'
+            WHEN 6 THEN 'orphan_or_sibling_transduction' WHEN 7 THEN 'one_side_and_half_transduction' WHEN 8 THEN 'polyA_dominant_both-side_may_low_confident' ELSE 'other_type_low_confident' END AS sub_type,
+        CAST(l_partkey % 7 AS INT) AS n_all_lclip, CAST(l_orderkey % 6 AS INT) AS n_all_rclip, CAST(l_suppkey % 9 AS INT) AS n_all_ldisc, CAST((l_partkey + l_orderkey) % 8 AS INT) AS n_all_rdisc,
+        CAST(l_partkey % 7 * (l_suppkey % 2) AS INT) AS n_all_lpolya, CAST(l_orderkey % 6 * (l_linenumber % 2) AS INT) AS n_all_rpolya, l_suppkey % 4 > 0 AS hit_end, l_orderkey % 2 = 0 AS within_copy, l_partkey % 4 = 0 AS td_novel,
         l_partkey % 23 = 0 AS in_blacklist, CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_partkey % 30 AS DOUBLE) END AS div FROM {lineitem}""",
+    "evidence": """SELECT l_suppkey % 24 AS chrom, l_orderkey - l_orderkey % 400 AS site, l_orderkey AS ref, l_partkey % 200 + 5800 AS cns, CASE WHEN l_linenumber % 2 = 0 THEN 'L' ELSE 'R' END AS side, l_partkey % 3 AS sample,
+        l_orderkey - l_orderkey % 400 + 200 AS clip_pos, l_orderkey AS anchor, l_returnflag = 'A' AS anchor_lclip, l_returnflag = 'R' AS anchor_rclip, l_linestatus = 'F' AS same_ori, l_quantity > 25 AS anchor_rc, l_partkey % 5 AS source,
+        l_partkey % 24 AS mate_chrom, l_partkey AS mate_pos, CASE l_partkey % 3 WHEN 0 THEN 'Alu' WHEN 1 THEN 'L1' ELSE 'SVA' END AS family, l_partkey % 700 AS flank_at, CAST(l_quantity AS INT) % 4 AS n_polya,
+        CAST(l_quantity AS INT) AS mapq, l_partkey % 40 AS bx, CAST(l_partkey % 4 AS INT) AS phase FROM {lineitem}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 

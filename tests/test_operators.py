@@ -85,9 +85,42 @@ def test_points_in_and_overlaps_against_brute_force(spark):
     inside = {x for _, x in pts if any(s <= x < e for _, s, e in iv)}
     assert sorted(r.pos for r in intervals.points_in(p, a, bin_=8, how="left_semi").collect()) == sorted(x for _, x in pts if x in inside)
     assert sorted(r.pos for r in intervals.points_in(p, a, bin_=8, how="left_anti").collect()) == sorted(x for _, x in pts if x not in inside)
-    b = spark.createDataFrame(sorted(set(iv))[:20], "chrom string, start long, end long")
-    got = {(r.start, r.end, r.start_b, r.end_b) for r in intervals.overlaps(a.distinct(), b, 8).collect()}
-    assert got == {(s, e, s2, e2) for _, s, e in set(iv) for _, s2, e2 in sorted(set(iv))[:20] if s < e2 and s2 < e and e > s and e2 > s2}
+    other = sorted(set(iv))[:20]
+    twice = iv + iv[:30]  # repeated rows make repeated pairs
+    b = spark.createDataFrame(other, "chrom string, start long, end long")
+    got = sorted((r.start, r.end, r.start_b, r.end_b) for r in intervals.overlaps(spark.createDataFrame(twice, a.schema), b, 8).collect())
+    assert got == sorted((s, e, s2, e2) for _, s, e in twice for _, s2, e2 in other if s < e2 and s2 < e and e > s and e2 > s2)
+
+
+@pytest.mark.parametrize("touching", [True, False])
+def test_merge_in_tiles(spark, touching):
+    """Unions reach over tiles, with whole tiles inside of an interval too."""
+    rng = random.Random(7)
+    iv = [(c, s, s + rng.choice([0, 1, 3, 9, 120])) for c in ("1", "2") for s in (rng.randrange(0, 1500, 3) for _ in range(90))]
+    want = []
+    for c in ("1", "2"):
+        for _, s, e in sorted(x for x in iv if x[0] == c and x[2] > x[1]):
+            if want and want[-1][0] == c and (s <= want[-1][2] if touching else s < want[-1][2]):
+                want[-1] = (c, want[-1][1], max(e, want[-1][2]), want[-1][3] + 1)
+            else:
+                want.append((c, s, e, 1))
+    got = intervals.merge(spark.createDataFrame(iv, "chrom string, start long, end long"), touching, tile=16).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_neighbours_in_tiles(spark):
+    rng = random.Random(9)
+    rows = [(c, p) for c in ("1", "2") for p in rng.sample(range(1000), 60)]
+    got = {(r.chrom, r.pos): (r._before, r._after) for r in intervals.neighbours(spark.createDataFrame(rows, "chrom string, pos long"), F.col("pos"), ["pos"], tile=16).collect()}
+    for c in ("1", "2"):
+        at = sorted(p for x, p in rows if x == c)
+        assert all(got[c, p] == (at[k - 1] if k else None, at[k + 1] if k + 1 < len(at) else None) for k, p in enumerate(at))
+
+
+def test_upper_median_of_mates(spark):
+    rows = [("s", "1", p) for p in (5, 7, 7, 9, 500)]
+    r = cluster.mate_clusters(spark.createDataFrame(rows, "site string, chrom string, pos long"), 10).first()
+    assert (r.mate_pos, r.n, r.total) == (7, 4, 5)
 
 
 def test_merge_is_idempotent(spark):
