@@ -17,7 +17,7 @@ import heapq
 import math
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,15 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: The loss by the second best of a part that has but one segmentation.
 ALONE = 1 << 60
+#: Results of parts of up to so many characters are held; parts beyond LONG have their scores in arrays.
+KEPT, LONG = 64, 4096
 SCHEMA = "doc_id long, n_pieces long, ids array<int>, scores array<long>, alternatives array<array<struct<at:int,drop:int,ids:array<int>>>>, round_trip boolean"
 
 
 class Lattice:
     """The pieces of a model (its bytes), and segmentation with them."""
 
-    #: Parts held with their results; then all are dropped.
+    #: Short parts held with their results; then all are dropped.
     most = 1_000_000
 
     def __init__(self, proto: bytes, n_best: int = N_BEST):
@@ -69,6 +71,7 @@ class Lattice:
                 node = children.setdefault(c, [{}, None, -1])
                 children = node[0]
             node[1:] = score, i
+        self.deep = max(map(len, self.table), default=1)
         self.unknown_score = worst - 10_000
         self.unknown = model.unk_id()
         self.byte_ids = {}
@@ -89,21 +92,15 @@ class Lattice:
         self.known: dict[str, tuple[bytes, int, int]] = {}
         self.lists: dict[str, list[tuple[int, list[int]]]] = {}
 
-    def _arcs(self, part: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, score, id), by start; an id of -1 is a character without a piece."""
-        n, out = len(part), []
-        for i in range(n):
-            single, children = False, self.tree
-            for j in range(i, n):
-                node = children.get(part[j])
-                if node is None:
-                    break
-                children, score, piece = node
-                if score is not None:
-                    out.append((i, j + 1, score, piece))
-                    single |= j == i
-            if not single:
-                out.append((i, i + 1, self.unknown_score, -1))
+    def _ending(self, part: str, at: int) -> list[tuple[int, int, int]]:
+        """(start, score, id) of the pieces that end at a place, the shortest first; an id of -1 is a character without a piece."""
+        out = []
+        for n in range(1, min(self.deep, at) + 1):
+            x = self.table.get(part[at - n : at])
+            if x is not None:
+                out.append((at - n, *x))
+            elif n == 1:
+                out.append((at - 1, self.unknown_score, -1))
         return out
 
     def _ids(self, part: str, path: list[tuple[int, int, int]]) -> list[int]:
@@ -117,30 +114,18 @@ class Lattice:
                 out.append(self.unknown)
         return out
 
-    def _forward(self, part: str, arcs: list) -> tuple[list, list]:
-        least = -(1 << 60)
-        score, back = [least] * (len(part) + 1), [None] * (len(part) + 1)
-        score[0] = 0
-        for arc in arcs:
-            i, j, s, _ = arc
-            s += score[i]
-            if s > score[j]:  # of equal ones the first, so the longest last piece
-                score[j], back[j] = s, arc
-        return score, back
-
-    def best(self, part: str) -> tuple[bytes, int, int]:
-        """The best segmentation's ids as 32-bit numbers, the loss by the second best, and the score.
-
-        Forward passes for the best and the second-best score of each place at once.
-        """
-        tree, n, least = self.tree, len(part), -(1 << 60)
-        first, second = [least] * (n + 1), [least] * (n + 1)
-        back, strange = [None] * (n + 1), False
+    def _forward(self, part: str) -> tuple[Sequence[int], Sequence[int], Sequence[int], Sequence[int]]:
+        """The best and the second-best score of each place, and the start and id of the best last piece there."""
+        tree, n, least, deep = self.tree, len(part), -(1 << 60), self.deep
+        if n > LONG:
+            first, second, back, piece_at = array("q", [least]) * (n + 1), array("q", [least]) * (n + 1), array("q", [0]) * (n + 1), array("i", [0]) * (n + 1)
+        else:
+            first, second, back, piece_at = [least] * (n + 1), [least] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         first[0] = 0
         for i in range(n):
             one, children, single = first[i], tree, False
             j = i
-            for c in part[i:] if i else part:
+            for c in part[i : i + deep]:
                 node = children.get(c)
                 if node is None:
                     break
@@ -153,50 +138,57 @@ class Lattice:
                         s += second[i]
                         second[j] = u if u > s else s
                         first[j] = t
-                        back[j] = (i, piece)
+                        back[j] = i
+                        piece_at[j] = piece
                     elif t > second[j]:
                         second[j] = t
                     if j == i + 1:
                         single = True
             if not single:
-                j, strange = i + 1, True
+                j = i + 1
                 t = one + self.unknown_score
                 if t > first[j]:
                     second[j] = max(first[j], second[i] + self.unknown_score)
                     first[j] = t
-                    back[j] = (i, -1)
+                    back[j] = i
+                    piece_at[j] = -1
                 elif t > second[j]:
                     second[j] = t
-        path, j = [], n
+        return first, second, back, piece_at
+
+    def best(self, part: str) -> tuple[bytes, int, int]:
+        """The best segmentation's ids as 32-bit numbers, the loss by the second best, and the score."""
+        first, second, back, piece_at = self._forward(part)
+        n = len(part)
+        path, j, strange = array("i"), n, False
+        while j:
+            piece = piece_at[j]
+            path.append(piece)
+            strange |= piece < 0
+            j = back[j]
+        path.reverse()
         if strange:
-            steps = []
+            steps, j = [], n
             while j:
-                i, piece = back[j]
-                steps.append((i, j, piece))
-                j = i
-            path = self._ids(part, steps[::-1])
-        else:
-            while j:
-                j, piece = back[j]
-                path.append(piece)
-            path.reverse()
-        loss = first[n] - second[n] if second[n] > least // 2 else ALONE
-        return array("i", path).tobytes(), loss, first[n]
+                steps.append((back[j], j, piece_at[j]))
+                j = back[j]
+            path = array("i", self._ids(part, steps[::-1]))
+        loss = first[n] - second[n] if second[n] > -(1 << 59) else ALONE
+        return path.tobytes(), loss, first[n]
 
     def search(self, part: str) -> list[tuple[int, list[int]]]:
-        """The N best segmentations of a part as (score, ids), the best first; of equal ones, those with longer last pieces."""
+        """The N best segmentations of a part as (score, ids), the best first; of equal ones, those with longer last pieces.
+
+        Each entry of the agenda completes to a path with just its total, so all but its N best can go.
+        """
         out = self.lists.get(part)
         if out is None:
             if len(self.lists) >= self.most // 20:
                 self.lists.clear()
-            arcs = self._arcs(part)
-            forward, _ = self._forward(part, arcs)
-            ending: list[list] = [[] for _ in range(len(part) + 1)]
-            for arc in arcs:
-                ending[arc[1]].append(arc)
+            forward = self._forward(part)[0]
             out, serial = [], 0
             # an agenda by the total of forward and path score; of equal ones the last pushed, which is the furthest on
-            agenda = [(-forward[-1], 0, len(part), 0, None)]
+            agenda = [(-forward[len(part)], 0, len(part), 0, None)]
             while agenda and len(out) < self.n_best:
                 _, _, at, behind, path = heapq.heappop(agenda)
                 if not at:
@@ -206,10 +198,13 @@ class Lattice:
                         path = path[1]
                     out.append((behind, self._ids(part, steps)))
                     continue
-                for i, j, s, piece in reversed(ending[at]):  # the longest piece is pushed last
+                for i, s, piece in self._ending(part, at):  # the longest piece is pushed last
                     serial -= 1
-                    heapq.heappush(agenda, (-(forward[i] + s + behind), serial, i, behind + s, ((i, j, piece), path)))
-            self.lists[part] = out
+                    heapq.heappush(agenda, (-(forward[i] + s + behind), serial, i, behind + s, ((i, at, piece), path)))
+                if len(agenda) > 16 * self.n_best:
+                    agenda = heapq.nsmallest(self.n_best, agenda)
+            if len(part) <= KEPT:
+                self.lists[part] = out
         return out
 
     def encode(self, text: str) -> tuple[np.ndarray, list[int], list[list[tuple[int, int, list[int]]]]]:
@@ -223,7 +218,9 @@ class Lattice:
                 if x is None:
                     x = self.known.get(parts[k])
                     if x is None:
-                        x = self.known[parts[k]] = self.best(parts[k])
+                        x = self.best(parts[k])
+                        if len(parts[k]) <= KEPT:
+                            self.known[parts[k]] = x
                     found[k] = x
         pieces, losses, points = zip(*found)
         ids = np.frombuffer(b"".join(pieces), np.int32)

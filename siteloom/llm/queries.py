@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .cross_entropy import cross_entropy_difference
@@ -12,7 +13,7 @@ from .langid import identify
 from .minhash import near_duplicates
 from .mixing import mix
 from .oracles import ORACLES
-from .pieces import segment
+from .pieces import MODEL, segment
 from .pii import find_pii
 from .quality_rules import quality_rules
 from .repeats import remove_repeats
@@ -36,8 +37,8 @@ def op2_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
-def op4_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment(documents(spark, sf_dir))
+def op4_nbest_segmentation(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    return segment(documents(spark, sf_dir), model)
 
 
 def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,9 @@ def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir))
+    out = remove_repeats(documents(spark, sf_dir))
+    n = F.octet_length("kept").cast("long")
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - n).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_byte_cnn_lang(spark: SparkSession, sf_dir: str) -> DataFrame:

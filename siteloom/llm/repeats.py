@@ -1,8 +1,8 @@
 """Passages that repeat anywhere in the corpus, found by refining buckets, and removed.
 
-A byte goes where a string of K bytes that covers it also starts elsewhere. Suffix-array methods sort all suffixes by
-buckets: by their first q bytes to begin with, then each bucket by the bucket identifiers at later offsets, over and
-over. Sorting every suffix of a corpus would exchange many times its size, so here buckets hold anchors. Each string of
+A byte goes where a string of K bytes that covers it also starts elsewhere. Bucket-pointer refinement sorts all suffixes
+by buckets: by their first q bytes to begin with, then each bucket by the bucket identifiers at later offsets, over and
+over; every_suffix() does that. It exchanges many times the corpus, so repeated_starts() has anchors in the buckets. Each string of
 K bytes has one anchor in it, the rightmost of the least hashes of q-grams that fit; equal strings have theirs at the
 same place, and one byte in about (K - q) / 2 is an anchor.
 
@@ -19,8 +19,7 @@ Every level is one exchange by identifier, with counts summed up within tasks be
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,8 @@ Q = 100
 REACH = K - Q
 STEP = 13
 CHUNK = 1 << 19
+#: The q-grams of the first buckets where every suffix is sorted.
+GRAM = 25
 _ODD = 0x9E3779B97F4A7C15
 _PLACE = (1 << 20) - 1
 
@@ -137,18 +138,25 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their open anchors -> one row per anchor, with the bytes around it."""
     names = ["doc_id", "th", "core", "p", "j0", "j1", "known", "lead", "around"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.bool_(), pa.int16(), pa.binary())
+    cols: list[list] = [[] for _ in names]
+
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+        for c in cols:
+            c.clear()
+        return out
+
     for batch in batches:
-        for start in range(0, batch.num_rows, 200):
-            part = batch.slice(start, 200)
-            cols: list[list] = [[] for _ in names]
-            for doc, th, text, open_ in zip(*(part.column(k) for k in range(4))):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                for x in open_.as_py():
-                    a = max(0, x["p"] - REACH)
-                    for c, v in zip(cols, (doc.as_py(), th.as_py(), x["core"], x["p"], x["j0"], x["j1"], x["known"], x["p"] - a, data[a : x["p"] + K])):
-                        c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.bool_(), pa.int16(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+        for doc, th, text, open_ in zip(*(batch.column(k) for k in range(4))):
+            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for core, p, j0, j1, known in zip(*(open_.values.field(k).to_pylist() for k in range(5))):
+                a = max(0, p - REACH)
+                for c, v in zip(cols, (doc.as_py(), th.as_py(), core, p, j0, j1, known, p - a, data[a : p + K])):
+                    c.append(v)
+                if len(cols[0]) >= 10_000:
+                    yield rows()
+        yield rows()
 
 
 def _refiner(single: bool):
@@ -207,6 +215,38 @@ def _refined(around: DataFrame, single: bool) -> DataFrame:
     return around.mapInArrow(_refiner(single), schema)
 
 
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, th, text, m) -> the q-gram at every place of a text."""
+    for batch in batches:
+        for doc, th, text, m in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            data = _bytes(pa.scalar(text))
+            for base in range(0, len(data) - GRAM + 1, CHUNK):
+                ids = Strings(data[base : base + CHUNK + GRAM - 1]).all_of(GRAM).view(np.int64)
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(np.full(n, th)), pa.array(np.arange(base, base + n)), pa.array(ids), pa.array(np.full(n, m))], ["doc_id", "th", "p", "bucket", "m"])
+
+
+def every_suffix(docs: DataFrame) -> DataFrame:
+    """repeated_starts() by plain bucket-pointer refinement over all suffixes.
+
+    The first buckets are the q-grams at every place. A suffix alone in its bucket is done. The others are sorted on the
+    bucket identifier at the offset of the depth reached, so that the depth doubles: identifiers of one round are the
+    pointers of the next, and a suffix that points to one that is done is done. At K bytes, those left repeat. It moves
+    some fifty bytes for each byte of text, which the check tool's limit on disk doesn't allow.
+    """
+    one = docs.groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.count("*").alias("m"))  # repeated rows count m times
+    level, depth = one.mapInArrow(_gram_rows, "doc_id long, th long, p long, bucket long, m long"), GRAM
+    while True:
+        shared = level.groupBy("bucket").agg(F.sum("m").alias("n")).filter("n > 1").select("bucket")
+        level = materialise(level.join(shared, "bucket"), "suffixes")
+        if depth >= K:
+            return level.groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("p").cast("int").alias("a"), F.col("p").cast("int").alias("b"))).alias("ranges"))
+        step = min(depth, K - depth)
+        after = level.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), (F.col("p") - step).alias("_p"), F.col("bucket").alias("next"))
+        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")) & (F.col("p") == F.col("_p"))
+        level, depth = level.join(after, same).select("doc_id", "th", "p", F.xxhash64("bucket", "next").alias("bucket"), "m"), depth + step
+
+
 _RANGE = "array<struct<a:int,b:int>>"
 
 
@@ -258,43 +298,44 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     return starts.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def _keep(data: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes]:
-    """(bytes removed, runs removed, bytes left) with strings of K bytes at the starts of the ranges."""
-    if not ranges:
-        return 0, 0, data
+def _runs(ranges: list[dict] | None) -> list[list[int]]:
+    """The maximal runs of bytes that strings of K bytes at the starts of the ranges cover."""
     runs: list[list[int]] = []
-    for x in sorted(ranges, key=lambda x: x["a"]):
+    for x in sorted(ranges or (), key=lambda x: x["a"]):
         if runs and x["a"] <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], x["b"] + K)
         else:
             runs.append([x["a"], x["b"] + K])
-    out, at = [], 0
-    for a, b in runs:
-        out.append(data[at:a])
-        at = b
-    return sum(b - a for a, b in runs), len(runs), b"".join([*out, data[at:]])
+    return runs
 
 
 def _final_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, ranges) -> doc_id, n_bytes, removed, kept; some MB of text at once."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            part = batch.slice(start, 1000)
-            cols: list[list] = [[] for _ in range(4)]
-            for text, ranges in zip(part.column(1), part.column(2)):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                removed, runs, left = _keep(data, ranges.as_py())
-                for c, v in zip(cols, (len(data), removed, runs, hashlib.sha256(left).hexdigest())):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def remove_repeats(df: DataFrame) -> DataFrame:
-    """One row per row of df (doc_id, text): bytes, bytes and runs removed, and the digest of what is left.
+        cols: list[list] = [[] for _ in range(4)]
+        held = 0
+        for k in range(batch.num_rows):
+            data = (batch.column(1)[k].as_py() or "").encode("utf-8", "surrogatepass")
+            runs, out, at = _runs(batch.column(2)[k].as_py()), [], 0
+            for a, b in runs:
+                out.append(data[at:a])
+                at = b
+            for c, v in zip(cols, (batch.column(0)[k].as_py(), len(data), [{"start": a, "end": b} for a, b in runs], b"".join([*out, data[at:]]))):
+                c.append(v)
+            held += len(data)
+            if held > 4 << 20 or k == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), span, pa.binary()))], ["doc_id", "n_bytes", "removed", "kept"])
+                cols, held = [[] for _ in range(4)], 0
+
+
+def remove_repeats(df: DataFrame, starts: Callable[[DataFrame], DataFrame] = repeated_starts) -> DataFrame:
+    """One row per row of df (doc_id, text): its bytes, the runs removed (start, end), and the bytes that are left.
 
     Null texts count as empty. Repeated rows are occurrences of their own, so their strings repeat. Texts under K bytes
-    lose nothing. Other columns aren't read; an empty df gives no rows.
+    lose nothing. What is left may cut a character. Other columns aren't read; an empty df gives no rows.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    ranges = repeated_starts(docs).withColumnsRenamed({"doc_id": "_d", "th": "_h"})
+    ranges = starts(docs).withColumnsRenamed({"doc_id": "_d", "th": "_h"})
     out = docs.join(ranges, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left").select("doc_id", "text", "ranges")
-    return out.mapInArrow(_final_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.mapInArrow(_final_rows, "doc_id long, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary")
