@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAD = 256
+#: Windows scored at once, however long the text.
+WINDOWS = 4096
 UNKNOWN = "und"
 
 
@@ -145,20 +147,25 @@ class Scorer:
         for t, n, end in zip(texts, sizes, ends):
             at = end - n * w
             stream[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        pooled = []
-        n = int(ends[-1])
-        last = (ends[:, None] - np.arange(1, tail + 1)).ravel()  # these places hold padding; what follows is another text
-        for k, table in self.tables:
-            value = table[0].take(stream[:n], axis=0)
-            for j in range(1, k):
-                value += table[j].take(stream[j : j + n], axis=0)
-            value[last] = sum(t[PAD] for t in table)
-            pooled.append(value.reshape(-1, w, self.s.filters).max(1))
-        h = np.maximum(np.concatenate(pooled, 1) + self.bias, 0)
-        z = h @ self.out + self.out_bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
+        # these places hold padding; what follows is another text
+        last = np.sort((ends[:, None] - np.arange(1, tail + 1)).ravel())
+        found = []
+        for a in range(0, int(ends[-1]), WINDOWS * w):
+            b = min(a + WINDOWS * w, int(ends[-1]))
+            padding = last[slice(*np.searchsorted(last, [a, b]))] - a
+            pooled = []
+            for k, table in self.tables:
+                value = table[0].take(stream[a:b], axis=0)
+                for j in range(1, k):
+                    value += table[j].take(stream[a + j : b + j], axis=0)
+                value[padding] = sum(t[PAD] for t in table)
+                pooled.append(value.reshape(-1, w, self.s.filters).max(1))
+            h = np.maximum(np.concatenate(pooled, 1) + self.bias, 0)
+            z = h @ self.out + self.out_bias
+            z -= z.max(1, keepdims=True)
+            z = np.exp(z)
+            found.append(z / z.sum(1, keepdims=True))
+        p = np.concatenate(found)
         return np.add.reduceat(p, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
 
 

@@ -72,7 +72,7 @@ def multipliers(cells: DataFrame, targets: DataFrame, steps: int = STEPS) -> Dat
         inside = F.when((step > low) & (step < high) & (F.abs(step - F.col("l")) < 5.0), step).otherwise(
             F.when((low > -1e4) & (high < 1e4), (low + high) / 2).when(f < 0, F.col("l") + 2.0).otherwise(F.col("l") - 2.0))
         gap = F.abs(f) / F.greatest(F.col("target"), F.lit(1.0))
-        state = materialise(sums.select("source", "source_size", "target", "mean", F.when(gap < 1e-9, F.col("l")).otherwise(inside).alias("l"), low.alias("low"), high.alias("high"), gap.alias("gap")), "dual")
+        state = materialise(sums.select("source", "source_size", "target", "mean", F.when(gap < 1e-9, F.col("l")).otherwise(inside).alias("l"), low.alias("low"), high.alias("high"), gap.alias("gap")), "dual", free=False)
         worst = state.agg(F.max("gap")).first()[0]
         if worst is None or worst < 1e-7:
             break
@@ -121,13 +121,18 @@ def _dealt(rows: DataFrame) -> DataFrame:
     plan = offsets.alias("o").join(copies.alias("c"), F.col("o.source").eqNullSafe(F.col("c.source")) & (F.col("o.size") == F.col("c.size"))).select(
         F.col("o.source").alias("_source"), F.col("o.size").alias("_size"), F.col("_slice").alias("_of"), "before", "n", "source_size", "target", F.col("copies").alias("_copies"))
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "size", "_slice").orderBy("_h", "doc_id")) - 1)
-    out = ranked.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_slice") == F.col("_of")))
+    # a merge at every size: the plan isn't broadcast while it is small
+    out = ranked.join(plan.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_slice") == F.col("_of")))
     extra = F.when(F.col("before") + F.col("_rank") < F.col("_copies") % F.col("n"), 1).otherwise(0)
     return out.withColumn("copies", F.floor(F.col("_copies") / F.col("n")) + extra)
 
 
+def _size() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+
+
 def sized(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    return df.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"))
 
 
 def mix(df: DataFrame) -> DataFrame:
@@ -142,12 +147,16 @@ def mix(df: DataFrame) -> DataFrame:
 
 
 def resample(df: DataFrame) -> DataFrame:
-    """df with each row as often as mix() has copies of it; rows without words go."""
-    copies = _dealt(sized(df)).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").cast("long").alias("_all"), F.count("*").cast("long").alias("_rows"))
-    copies = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_all", "_rows")
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    named = df.withColumn("_size", size)
-    out = named.join(copies, named["doc_id"].eqNullSafe(F.col("_d")) & named["source"].cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    # rows alike in all three each get the mean number of their copies, rounded up
-    times = F.least(F.ceil(F.col("_all") / F.col("_rows")), F.lit(MOST)).cast("int")
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")
+    """df with each row as often as mix() has copies of it; rows without words go.
+
+    Rows with one doc_id, source and size share out their copies in order of a hash of the text, then of all columns.
+    """
+    dealt = _dealt(sized(df)).groupBy(F.struct("doc_id", "source", "size").alias("_k")).agg(F.sum("copies").cast("long").alias("_all"), F.count("*").alias("_rows")).filter("_all > 0")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    hashed = [F.xxhash64("text"), F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind))]
+    named = df.select(F.struct(*columns).alias("_row"), F.struct("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size")).alias("_key"), F.struct(*hashed).alias("_rank"))
+    out = named.join(dealt, F.col("_key") == F.col("_k"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_rank")) - 1
+    times = F.floor(F.col("_all") / F.col("_rows")) + F.when(place < F.col("_all") % F.col("_rows"), 1).otherwise(0)
+    out = out.withColumn("_copies", times.cast("int")).filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns))
