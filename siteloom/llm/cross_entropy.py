@@ -3,34 +3,36 @@
 Tokens are words, and both models share one vocabulary: the distinct words of all documents, and one for all others. The
 target's counts come from the documents that are labelled good, the background's from all documents; the latter are
 scaled to the target's size, so that both are smoothed alike. Each order interpolates the one below with a fixed weight
-(Dirichlet smoothing), from trigrams down to words. A document's own counts are left out of both models when it is
+(Dirichlet smoothing): pairs of words, then words. A document's own counts are left out of both models when it is
 scored, so no document is scored by what it taught.
 
 Counts are exact and over all documents. Documents are dealt to blocks of some BLOCK bytes by a hash. Each block sends its
 distinct n-grams, with their counts, to buckets by code; a bucket adds them up and answers each block with the totals of
-what it asked for. An n-gram that occurs but once in all needs no answer: without its own document it is unseen. Blocks
-and their answers then meet again and are scored. So nothing is broadcast but three totals, a task holds a block or a
-bucket, and a frequent n-gram is one entry for each block.
+what it asked for, in its order. What occurs but once in all is answered with 0: without its own document it is unseen.
+Blocks and their answers then meet again and are scored. So nothing is broadcast but three totals, a task holds a block
+or a bucket, and a frequent n-gram is one entry for each block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, materialise, mix
+from .common import U, materialise, mix, release
 from .shingles import word_hashes
 
-ORDER = 3
+ORDER = 2
 WEIGHT = 4.0
 #: Bytes of text in a block, on average.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 _SALTS = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_ANSWER = "block long, codes binary, n binary, t binary, vocabulary long, words long, good_words long"
+_ASKED = "bucket long, block long, size int, codes binary, n binary, t binary"
+_ANSWER = "block long, bucket long, size int, n binary, t binary, vocabulary long, words long, good_words long, good long"
 
 
 class Grams:
@@ -57,87 +59,118 @@ class Grams:
         return at, run, np.flatnonzero(new[run])
 
 
-def _asker(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """A block's rows (block, good, text) -> (bucket, block, word, codes, n, t): its distinct n-grams, counted, and counted in the target."""
+def _packed(x: np.ndarray, kind: type) -> bytes:
+    return zlib.compress(x.astype(kind).tobytes(), 1)
 
-    def ask(rows: pa.Table) -> pa.Table:
-        grams = Grams(rows.column("text").to_pylist())
-        good = np.array(rows.column("good").to_pylist(), np.int64)
-        block = rows.column("block")[0].as_py()
+
+def _unpacked(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), kind)
+
+
+def _gaps(codes: np.ndarray) -> bytes:
+    """Sorted codes as their differences: the five low bytes as they are, the others, nearly all 0, packed."""
+    each = np.diff(codes, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return each[:, :5].tobytes() + zlib.compress(each[:, 5:].T.tobytes(), 1)
+
+
+def _codes(x: bytes, n: int) -> np.ndarray:
+    each = np.empty((n, 8), np.uint8)
+    each[:, :5] = np.frombuffer(x, np.uint8, 5 * n).reshape(n, 5)
+    each[:, 5:] = np.frombuffer(zlib.decompress(x[5 * n :]), np.uint8).reshape(3, n).T
+    return np.cumsum(each.view("<u8").reshape(-1), dtype=U)
+
+
+def _good(rows: pa.Table, good: pa.Table) -> np.ndarray:
+    """1 for the rows whose document is in the target, else 0."""
+    ids = set(good.column("good").drop_null().to_pylist())
+    return np.array([x in ids for x in rows.column("doc_id").to_pylist()], np.int64)
+
+
+def _asker(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block's rows and target -> its distinct n-grams by bucket and size, sorted, counted, and counted in the target."""
+
+    def ask(rows: pa.Table, target: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in range(6)]
-        for k in range(ORDER):
-            at, run, first = grams.runs(k)
-            if not len(at):
-                continue
-            starts = run[first]
-            codes = grams.codes[k][at[starts]]
-            n = np.diff(np.concatenate([starts, [len(at)]]))
-            t = np.add.reduceat(good[grams.doc[at]], starts)
-            bucket = ((codes >> U(32)) * U(buckets)) >> U(32)
-            cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(codes)]])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                for c, v in zip(out, (int(bucket[a]), block, k == 0, codes[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes(), t[a:b].astype(np.uint32).tobytes())):
-                    c.append(v)
-        return pa.table([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "block", "word", "codes", "n", "t"])
+        if rows.num_rows:
+            grams, good, block = Grams(rows.column("text").to_pylist()), _good(rows, target), rows.column("block")[0].as_py()
+            for k in range(ORDER):
+                at, run, first = grams.runs(k)
+                if not len(at):
+                    continue
+                starts = run[first]
+                codes = grams.codes[k][at[starts]]
+                n = np.diff(np.concatenate([starts, [len(at)]]))
+                t = np.add.reduceat(good[grams.doc[at]], starts)
+                bucket = _bucket(codes, buckets)
+                cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(codes)]])
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    for c, v in zip(out, (int(bucket[a]), block, k, _gaps(codes[a:b]), _packed(n[a:b], np.uint32), _packed(t[a:b], np.uint32))):
+                        c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3)
+        return pa.table([pa.array(c, x) for c, x in zip(out, kinds)], ["bucket", "block", "size", "codes", "n", "t"])
 
     return ask
 
 
+def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of codes, by their upper half."""
+    return ((codes >> U(32)) * U(buckets)) >> U(32)
+
+
 def _answer(rows: pa.Table) -> pa.Table:
-    """A bucket's rows -> the totals of the n-grams that occur twice or more, for each block that asked; and the bucket's words, as block -1."""
-    block, word = rows.column("block").to_pylist(), np.array(rows.column("word").to_pylist(), bool)
-    parts = [[np.frombuffer(x, kind) for x in rows.column(c).to_pylist()] for c, kind in (("codes", U), ("n", np.uint32), ("t", np.uint32))]
-    sizes = np.array([len(x) for x in parts[0]])
-    code, n, t = (np.concatenate(x) for x in parts)
-    _, first, which = np.unique(code, return_index=True, return_inverse=True)
+    """A bucket's rows -> the totals of the n-grams of each of them, 0 for those that occur once; and the bucket's words, as block -1."""
+    size = np.array(rows.column("size").to_pylist())
+    counts = [[_unpacked(x, np.uint32) for x in rows.column(c).to_pylist()] for c in ("n", "t")]
+    sizes = np.array([len(x) for x in counts[0]])
+    n, t = map(np.concatenate, counts)
+    codes = [_codes(x, k) for x, k in zip(rows.column("codes").to_pylist(), sizes.tolist())]
+    _, first, which = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
     n, t = (np.bincount(which, x, len(first)).astype(np.int64) for x in (n, t))  # sums below 2**53 are exact
-    words = np.repeat(word, sizes)[first]
-    out: list[list] = [[-1], [None], [None], [None], [int(words.sum())], [int(n[words].sum())], [int(t[words].sum())]]
-    more = n[which] > 1
-    for b, a, e in zip(block, (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist()):
-        keep = more[a:e]
-        if keep.any():
-            mine = which[a:e][keep]
-            for c, v in zip(out, (b, code[a:e][keep].tobytes(), n[mine].tobytes(), t[mine].tobytes(), None, None, None)):
-                c.append(v)
-    kinds = (pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 3)
-    return pa.table([pa.array(c, x) for c, x in zip(out, kinds)], ["block", "codes", "n", "t", "vocabulary", "words", "good_words"])
+    words = np.repeat(size == 0, sizes)[first]
+    out: list[list] = [[-1], [None], [None], [None], [None], [int(words.sum())], [int(n[words].sum())], [int(t[words].sum())]]
+    once = n < 2
+    n, t = np.where(once, 0, n), np.where(once, 0, t)
+    ends = np.cumsum(sizes)
+    for k, (a, e) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+        row = (rows.column("block")[k].as_py(), rows.column("bucket")[k].as_py(), int(size[k]), _packed(n[which[a:e]], np.int64), _packed(t[which[a:e]], np.int64), None, None, None)
+        for c, v in zip(out, row):
+            c.append(v)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 2, *[pa.int64()] * 3)
+    names = ["block", "bucket", "size", "n", "t", "vocabulary", "words", "good_words"]
+    return pa.table([*(pa.array(c, x) for c, x in zip(out, kinds)), pa.nulls(len(out[0]), pa.int64())], [*names, "good"])
 
 
 def _scorer(vocabulary: int, words: int, good_words: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     scale = good_words / words if words else 0.0
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Grams(rows.column("text").to_pylist())
-        good = np.array(rows.column("good").to_pylist(), np.int64)
-        code, n, t = (np.concatenate([np.frombuffer(x, kind) for x in answers.column(c).to_pylist()] + [np.empty(0, kind)]) for c, kind in (("codes", U), ("n", np.int64), ("t", np.int64)))
-        order = np.argsort(code)
-        code, n, t = code[order], n[order], t[order]
+        grams, good = Grams(rows.column("text").to_pylist() if rows.num_rows else []), _good(rows, answers)
+        totals: dict[int, list] = {k: [] for k in range(ORDER)}
+        for bucket, size, n, t in zip(*(answers.column(c).to_pylist() for c in ("bucket", "size", "n", "t"))):
+            if bucket is not None:
+                totals[size].append((bucket, n, t))
         mine = good[grams.doc]
         every, target = words - grams.sizes[grams.doc], good_words - mine * grams.sizes[grams.doc]
         p = q = before = None  # probabilities under the target and the background, and the counts of the order below
         for k in range(ORDER):
-            at, run, _ = grams.runs(k)
-            held = np.diff(np.concatenate([run, [len(at)]]))
-            asked = grams.codes[k][at[run]]
-            place = np.minimum(np.searchsorted(code, asked), max(len(code) - 1, 0))
-            known = code[place] == asked if len(code) else np.zeros(len(asked), bool)
-            rest = np.zeros((2, len(grams.doc)))
-            if len(code):
-                rest[0, at] = np.repeat(np.where(known, n[place] - held, 0), held)
-                rest[1, at] = np.repeat(np.where(known, t[place] - held * good[grams.doc[at[run]]], 0), held)
-            all_, good_ = scale * rest[0], rest[1]
+            at, run, first = grams.runs(k)
+            all_, good_ = (np.zeros(len(grams.doc)) for _ in range(2))
+            if len(at):
+                n, t = (np.concatenate([_unpacked(x[c], np.int64) for x in sorted(totals[k])]) for c in (1, 2))
+                held = np.diff(np.concatenate([run, [len(at)]]))  # a document's own
+                runs = np.diff(np.concatenate([first, [len(run)]]))  # documents of each code
+                all_[at] = scale * np.repeat(np.maximum(np.repeat(n, runs) - held, 0), held)
+                good_[at] = np.repeat(np.maximum(np.repeat(t, runs) - held * good[grams.doc[at[run]]], 0), held)
             if k == 0:
                 p = (good_ + 1) / (target + vocabulary + 1)
                 q = (all_ + 1) / (scale * every + vocabulary + 1)
             else:
                 here = grams.place >= k
-                context_all, context_good = (np.concatenate([[0.0], x[:-1]]) for x in before)
+                context_all, context_good = (np.concatenate([[0.0], x])[: len(x)] for x in before)
                 p = np.where(here, (good_ + WEIGHT * p) / (context_good + WEIGHT), p)
                 q = np.where(here, (all_ + WEIGHT * q) / (context_all + WEIGHT), q)
             before = (all_, good_)
-        n_docs = len(grams.sizes)
-        some = grams.sizes > 0
+        n_docs, some = len(grams.sizes), grams.sizes > 0
         losses = [np.bincount(grams.doc, -np.log(x), n_docs)[:n_docs] / np.maximum(grams.sizes, 1) for x in (p, q)]
         values = [*losses, losses[0] - losses[1]]
         return pa.table([rows.column("doc_id"), pa.array(grams.sizes), *(pa.array(x, mask=~some) for x in values)], ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
@@ -153,15 +186,23 @@ def cross_entropy_difference(df: DataFrame, good: DataFrame, block: int = BLOCK)
     null losses. Without a target both models are even. Repeated rows count repeatedly and give repeated rows; rows
     without a doc_id are in the background only. Other columns aren't read; an empty df gives no rows.
     """
-    # a merge join at every size: the target isn't broadcast while it is small, to be exchanged with all texts later
-    good = good.select(F.col("doc_id").alias("_d")).distinct().hint("merge")
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block))
-    dealt = docs.join(good, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "text", F.col("_d").isNotNull().alias("good"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    asked = dealt.select("block", "good", "text").groupBy("block").applyInArrow(_asker(blocks), "bucket long, block long, word boolean, codes binary, n binary, t binary")
-    answers = materialise(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER), "answers")
+
+    def dealt(key: Column) -> Column:
+        return F.pmod(key, F.lit(blocks)).alias("block")
+
+    # the target goes where its documents are; rows without a doc_id are dealt by their text
+    rows = docs.select("doc_id", "text", dealt(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))))
+    target = good.select(F.col("doc_id").cast("long").alias("good")).filter("good is not null").distinct().select(dealt(F.xxhash64("good")), "good")
+    def asked() -> DataFrame:
+        return rows.groupBy("block").cogroup(target.groupBy("block")).applyInArrow(_asker(blocks), _ASKED)
+
+    answers = materialise(asked().groupBy("bucket").applyInArrow(_answer, _ANSWER), "answers")
     sums = answers.filter("block = -1").agg(F.sum("vocabulary"), F.sum("words"), F.sum("good_words")).first()
+    release(df.sparkSession)
     score = _scorer(*(x or 0 for x in sums))
+    back = answers.filter("block >= 0").unionByName(target, allowMissingColumns=True)
     schema = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
-    return dealt.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(score, schema)
+    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
