@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -217,12 +218,35 @@ def test_mix(spark, docs):
             assert r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
             assert abs(r.target - want[r.source]) <= 1e-6 * max(1, want[r.source])
             taken[r.source] = taken.get(r.source, 0) + r.taken
-    for s, t in want.items():
-        assert abs(taken[s] - t) <= 0.02 * t + 60, (s, taken[s], t)
+        for s, t in want.items():
+            assert abs(taken.get(s, 0) - t) <= 0.02 * t + 60, (s, taken.get(s, 0), t)
     again = mixing.resample(more).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in again} == {r.doc_id: r.copies for r in mixing.mix(more).collect() if r.copies and r.size}
 
 
+def test_dual_against_bisection(spark):
+    """The multipliers solve sum(size * n * min(3, exp(l * x))) = target; targets of plain cells and skewed ones."""
+    rng = random.Random(4)
+    cells = [(f"s{i}", size, n) for i in range(6) for size, n in {rng.randint(1, 10 ** (1 + i % 4)): rng.randint(1, 50) for _ in range(30)}.items()] + [("zero", 0, 5), (None, 7, 3)]
+    df = spark.createDataFrame(cells, "source string, size long, n long")
+    targets = {r.source: r for r in mixing.source_targets(df).collect()}
+    got = {r.source: r for r in mixing.multipliers(df, mixing.source_targets(df)).collect()}
+    assert {s for s, r in targets.items() if r.source_size and r.target < 3 * r.source_size} == set(got)
+    for s, r in got.items():
+        mine = [(size, n) for x, size, n in cells if x == s]
+        mean = targets[s].source_size / sum(n for _, n in mine)
+        assert r.mean == pytest.approx(mean)
+
+        def words(l):
+            return sum(size * n * min(3.0, math.exp(min(50.0, l * size / mean))) for size, n in mine)
+
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if words(mid) < targets[s].target else (low, mid)
+        assert words(r.l) == pytest.approx(targets[s].target, rel=1e-6) and r.l == pytest.approx(low, rel=1e-3, abs=1e-3)
+
+
 def brute_repeats(texts):
     k, seen = repeats.K, {}
     raw = [(t or "").encode() for t in texts]
@@ -240,6 +264,15 @@ def brute_repeats(texts):
     return out
 
 
+def digests(df):
+    """The bytes, the bytes and runs removed, and the digest of what is left, of each document."""
+    out = []
+    for r in repeats.remove_repeats(df).collect():
+        assert sum(x.end - x.start for x in r.removed) == r.n_bytes - len(r.kept)
+        out.append((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()))
+    return out
+
+
 def test_repeats(spark, docs):
     rng = random.Random(6)
 
@@ -251,8 +284,20 @@ def test_repeats(spark, docs):
     texts += [rnd(5) + long[200:440] + rnd(5) for _ in range(20)] + [long[:k] + "#" + long[k + 1 :] for k in range(20, 880, 61)]
     for df in (spark.createDataFrame([(i % 30, t) for i, t in enumerate(texts)], "doc_id long, text string"), docs):
         rows = texts_of(df)
-        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect()]
-        assert bag(got) == bag((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows])))
+        assert bag(digests(df)) == bag((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows])))
+
+
+def test_every_suffix(spark):
+    """Plain refinement over all suffixes and the anchors agree, on repeats of all lengths around 200 bytes, nested and overlapping, and on repeated rows."""
+    rng = random.Random(16)
+    base = "".join(rng.choices("abcd", k=700))
+    texts = [base, None, "", base[:300] + "#" + base[300:], base[100:299], base[150:350] + "é" + base[:199], "ab" * 160, "x" * 199 + "#" + "x" * 200, base[500:] + base[:250]]
+    df = spark.createDataFrame([*enumerate(texts), (0, base), (None, base[20:260]), (None, base[20:260])], "doc_id long, text string")
+    plain = sorted((r.doc_id, r.n_bytes, r.removed, bytes(r.kept)) for r in repeats.remove_repeats(df.filter("doc_id is not null"), repeats.every_suffix).collect())
+    assert plain == sorted((r.doc_id, r.n_bytes, r.removed, bytes(r.kept)) for r in repeats.remove_repeats(df.filter("doc_id is not null")).collect())
+    whole = [(r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in repeats.remove_repeats(df, repeats.every_suffix).collect()]
+    rows = texts_of(df)
+    assert bag(whole) == bag((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows]))) == bag(digests(df))
 
 
 def test_anchors_in_chunks(monkeypatch):
@@ -276,7 +321,7 @@ def test_a_text_of_several_chunks(spark):
     twice = "".join(rng.choices("abcdefgh", k=300))
     text = "".join(rng.choices("abcdefgh", k=2 * repeats.CHUNK)) + twice + "#" + "".join(rng.choices("abcdefgh", k=5000))
     rows = [(1, text), (2, "!" + twice + "?")]
-    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x[0]: x[2:] for x in digests(spark.createDataFrame(rows, "doc_id long, text string"))}
     assert got == {k: (300, 1, hashlib.sha256(t.replace(twice, "").encode()).hexdigest()) for k, t in rows}
 
 
@@ -295,9 +340,10 @@ def lattice():
 
 
 def all_paths(lattice, part):
-    arcs: dict = {}
-    for a in lattice._arcs(part):
-        arcs.setdefault(a[0], []).append(a)
+    arcs: dict = {i: [(i, j, *lattice.table[part[i:j]]) for j in range(i + 1, len(part) + 1) if part[i:j] in lattice.table] for i in range(len(part))}
+    for i, found in arcs.items():
+        if part[i] not in lattice.table:
+            found.append((i, i + 1, lattice.unknown_score, -1))
     out = []
 
     def go(i, score, path):
@@ -322,6 +368,23 @@ def test_n_best(lattice, text):
     assert all((s, tuple(x)) in valid and lattice.decode(x) == text for s, x in zip(scores, lists))
 
 
+@pytest.mark.parametrize("part", ["abcab" * 2000, "é" * 5000, "aaaab" * 1500 + "😀"])
+def test_n_best_of_long_parts(lattice, part):
+    """Long parts go by arrays and a pruned agenda, with the same results as a plain table of the N best of each place."""
+    best = [[(0, ())]]
+    for j in range(1, len(part) + 1):
+        found = []
+        for i in range(max(0, j - lattice.deep), j):
+            x = lattice.table.get(part[i:j]) or ((lattice.unknown_score, -1) if j == i + 1 else None)
+            if x:
+                found += [s + x[0] for s in (y[0] for y in best[i])]
+        best.append([(s, ()) for s in sorted(found, reverse=True)[: lattice.n_best]])
+    got = lattice.search(part)
+    assert [s for s, _ in got] == [s for s, _ in best[-1]] and len({tuple(x) for _, x in got}) == len(got)
+    ids, loss, score = lattice.best(part)
+    assert np.frombuffer(ids, np.int32).tolist() == got[0][1] and score == got[0][0] and loss == (got[0][0] - got[1][0] if len(got) > 1 else pieces.ALONE)
+
+
 def test_segment_rows(docs):
     for r in pieces.segment(docs).collect():
         assert r.round_trip and r.n_pieces == len(r.ids) and list(r.scores) == sorted(r.scores, reverse=True) and len(r.alternatives) == max(0, len(r.scores) - 1)
@@ -381,6 +444,24 @@ def test_rule_ensemble(spark):
     assert [r.score for r in one] == [0.5]
 
 
+def test_statistics_against_brute_force(docs):
+    def brute(t):
+        t = t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        chars = len(re.sub(r"[\x20\x09-\x0D]", "", t))
+
+        def count(some):
+            return sum(t.count(c) for c in some)
+
+        n, c, m = max(1, len(w)), max(1, chars), max(1, len(lines))
+        return (len(w), chars / n, count("#*$%&<>@^~=_\\{}") / n, count("!?") / n, count("|") / n, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / c, count("0123456789") / c, sum(x.lower() in rule_ensemble.STOP_WORDS for x in w) / n, len(set(w)) / n, len(set(lines)) / m, len(w) / m, count(".,;:") / n)
+
+    some = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = dict(texts_of(some))
+    for r in rule_ensemble.statistics(some).collect():
+        assert list(r)[1:] == pytest.approx(brute(texts[r.doc_id])), texts[r.doc_id]
+
+
 def test_rules_compile_to_the_same_scores(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, len(rule_ensemble.FEATURES)))
@@ -445,19 +526,18 @@ def test_cross_entropy(spark, docs):
 
 
 def test_cross_entropy_of_many_grams():
-    """More than 2^21 n-grams in one bucket are told apart, and counts of frequent ones are whole."""
+    """More than 2^21 n-grams in one bucket are told apart, counts of frequent ones are whole, and those that occur once are 0."""
     rng = np.random.default_rng(2)
-    blocks = [rng.permutation(1_500_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2)]
-    blocks[1][:1000] = np.arange(1, 1001, dtype=np.uint64)
-    n = np.full(1_500_000, 4_000_000_000, np.uint32)
-    kind = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-    rows = pa.table([pa.array(c, k) for c, k in zip(([3, 8], [True, False], [b.tobytes() for b in blocks], [n.tobytes()] * 2, [np.ones_like(n).tobytes()] * 2), kind)], ["block", "word", "codes", "n", "t"])
+    blocks = [np.sort(rng.integers(0, 2**64, 1_100_000, dtype=np.uint64)) for _ in range(2)]
+    blocks[1][::7] = blocks[0][::7]
+    counts = [rng.integers(1, 3, len(b)) * 1_500_000_000 for b in blocks]
+    counts[0][:1000] = 1
+    rows = pa.table([pa.array([5, 5]), pa.array([3, 8]), pa.array([0, 1], pa.int32()), *(pa.array(x, pa.binary()) for x in ([cross_entropy._gaps(b) for b in blocks], [cross_entropy._packed(c, np.uint32) for c in counts], [cross_entropy._packed(c // 2, np.uint32) for c in counts]))], ["bucket", "block", "size", "codes", "n", "t"])
     got = {r["block"]: r for r in cross_entropy._answer(rows).to_pylist()}
-    want = dict(zip(*np.unique(np.concatenate(blocks), return_counts=True)))
-    for b, codes in zip((3, 8), blocks):
-        back = np.frombuffer(got[b]["codes"], np.uint64)
-        assert (back == codes).all() and (np.frombuffer(got[b]["n"], np.int64) == [4_000_000_000 * want[c] for c in codes]).all() and (np.frombuffer(got[b]["t"], np.int64) == [want[c] for c in codes]).all()
-    assert got[-1]["vocabulary"] == 1_500_000 and len(want) > 1_500_000
+    want = [c + np.where(np.arange(len(c)) % 7 == 0, other, 0) for c, other in zip(counts, counts[::-1])]
+    for b, n in zip((3, 8), want):
+        assert (cross_entropy._unpacked(got[b]["n"], np.int64) == np.where(n > 1, n, 0)).all()
+    assert got[-1]["vocabulary"] == 1_100_000 and got[-1]["words"] == int(want[0].sum())
 
 
 def test_cross_entropy_finds_copies(spark):
@@ -472,6 +552,99 @@ def test_cross_entropy_finds_copies(spark):
 
 
 def test_images_of_texts(docs):
-    for r, (_, t) in zip(sorted(webp.texts_as_images(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect(), key=lambda r: r.doc_id), sorted(texts_of(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])))):
-        payload, n = webp.padded(t)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(payload), hashlib.sha256(payload).hexdigest())
+    """All values of every text; the media are read again and hold the payload's pixels."""
+    some = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    stored = {r.doc_id: bytes(r.media) for r in webp.store_texts(some).collect()}
+    pixels = {r.doc_id: r for r in webp.read_media(webp.store_texts(some)).collect()}
+    texts = dict(texts_of(some))
+    for r in webp.texts_as_images(some).collect():
+        payload, n = webp.padded(texts[r.doc_id])
+        media, p = stored[r.doc_id], pixels[r.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and media[:4] == b"RIFF" and media[8:16] == b"WEBPVP8L"
+        assert b"".join(bytes(x.pixels) for x in p.images) == payload and all(x.width * x.height * 4 == len(x.pixels) for x in p.images)
+        each = np.frombuffer(payload, np.uint8).reshape(-1, 4)
+        assert r.feature == p.feature and f"mean={each[:, 0].mean():.3f},{each[:, 1].mean():.3f},{each[:, 2].mean():.3f},{each[:, 3].mean():.3f};" in r.feature
+
+
+def test_media_column(spark):
+    """Null media give null arrays, media without images none; clashing columns do no harm."""
+    text = webp.store(webp.padded("some text")[0])
+    rows = [(1, None, "x"), (2, b"", "y"), (3, text + text, "z")]
+    got = {r.doc_id: r for r in webp.read_media(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, media binary, feature string, images int")).collect()}
+    assert got[1].images is None and got[2].images == [] and got[2].feature is None and len(got[3].images) == 2 and got[3].images[0] == got[3].images[1]
+
+
+LONG = 2_000_000
+
+
+@pytest.mark.parametrize("kind", ["words", "no breaks", "personal data", "one word"])
+def test_long_texts(spark, kind):
+    """Texts of some MB: results as defined, and in time in proportion to the text."""
+    rng = random.Random(3)
+    if kind == "words":
+        text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(LONG // 7))
+    elif kind == "no breaks":
+        text = "".join(rng.choices("abcdefgh", k=LONG))
+    elif kind == "personal data":
+        text = " ".join(f"word{i % 50} u{i}@mail{i % 7}.org" for i in range(20_000))
+    else:
+        text = "é" * (LONG // 2)
+    df = spark.createDataFrame([(1, text, "de", "s"), (2, "short text", "en", "s"), (3, text, "de", "s")], "doc_id long, text string, lang string, source string")
+    whole = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert (whole[1].n_email, whole[2].n_email) == (20_000 if kind == "personal data" else 0, 0)
+    if kind == "personal data":
+        spans = [tuple(map(int, x.split(":")[1:])) for x in whole[1].spans.split(",") if x.startswith("email")]
+        assert all("@" in text[a:b] and " " not in text[a:b] for a, b in spans)
+        clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+        assert clean[1].count("<EMAIL>") == 20_000 and "@" not in clean[1] and clean[2] == "short text"
+    one = df.filter("doc_id < 3")
+    assert {r.doc_id: r.round_trip for r in pieces.segment(one).collect()} == {1: True, 2: True}
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(df).select("doc_id", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")).collect()}[1] == len(text.encode())
+    assert {r.component_id for r in minhash.near_duplicates(df).filter("doc_id <> 2").collect()} == {1}
+    assert langid.identify(one).count() == 2 and quality_rules.quality_rules(one).count() == 2
+    assert cross_entropy.cross_entropy_difference(df, one.limit(0).select("doc_id")).count() == 3
+    assert webp.texts_as_images(one).filter("doc_id = 1").first().payload_bytes >= len(text.encode())
+
+
+def test_names_that_operators_use_inside(spark):
+    """Columns with any of these names go through the operators that return the table's columns, untouched."""
+    names = ["_kept", "_all", "_size", "_row", "_key", "_k", "_rank", "_copy", "_copies", "_rows", "_text", "_th", "_d", "_h", "_hash", "_w", "base", "terms", "size", "copies", "n_words", "kept", "rep", "label", "_P", "key"]
+    rows = [(i, f"the word of document {i} and some more of the same kind " * 12 + f"mail me{i}@x.org", "en", "s", *range(i, i + len(names))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    for f in (quality_rules.keep_good, minhash.keep_one_of_each, pii.sanitise, mixing.resample):
+        out = f(df)
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert list(r)[4:] == list(range(r.doc_id, r.doc_id + len(names))), f.__name__
+
+
+def test_repeated_rows(spark):
+    """Repeated rows share out the mix's copies exactly; of rows with one doc_id the same one always stays."""
+    rows = [(i % 10, "w " * (i % 10 + 1) + "x" * (i // 10), f"s{i % 3}") for i in range(40)] + [(1, "w w x", "s1")] * 5 + [(None, "w w w", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df).agg(F.sum("taken")).first()[0]
+    again = mixing.resample(df)
+    assert again.agg(F.sum(F.size(F.split(F.trim("text"), " +")))).first()[0] == mixed
+    assert bag(map(tuple, again.collect())) == bag(map(tuple, mixing.resample(df.repartition(3)).collect()))
+    one = minhash.keep_one_of_each(df)
+    assert bag(map(tuple, one.collect())) == bag(map(tuple, minhash.keep_one_of_each(df.repartition(3)).collect()))
+
+
+def test_convolution_against_brute_force():
+    """The scorer's windows, one at a time and one place after the other, on the network's own weights."""
+    s = langid.Settings(window=16, widths=(2, 3), filters=3, embedding=4, epochs=1)
+    net = langid.train([("abc " * 40, "a"), ("xyz " * 40, "b"), ("éèà " * 30, "c")], s)
+    text = "abc xyz éè and more of it".encode()
+    stream = np.concatenate([np.frombuffer(text, np.uint8).astype(int), np.full(40, langid.PAD)])
+    probabilities = []
+    for at in range(0, len(text) + 2, s.window):  # as many windows as hold the text and the places a filter reaches beyond
+        h = []
+        for k in s.widths:
+            value = [sum(net.w["bytes"][stream[p + j]] @ net.w[f"filter{k}"][j] for j in range(k)) for p in range(at, at + s.window)]
+            h.append(np.maximum(np.max(value, axis=0) + net.w[f"bias{k}"], 0))
+        z = np.concatenate(h) @ net.w["out"] + net.w["out_bias"]
+        probabilities.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.allclose(langid.Scorer(net).many([text])[0], np.mean(probabilities, axis=0), atol=1e-5)
+    many = b"abc xyz " * 20_000
+    assert np.allclose(langid.Scorer(net).many([many, text])[1], np.mean(probabilities, axis=0), atol=1e-5)
