@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.seq import is_decoy
 
 #: INFO keys in their order, and the site columns they come from.
 INFO = (("SVTYPE", "svtype"), ("SVLEN", "ins_len"), ("END", "end"), ("TSD", "tsd_seq"), ("TSDLEN", "tsd"), ("SUBTYPE", "sub_type"), ("TD_SRC", "td_src"), ("STRAND", "strand"), ("AF", "af"), ("LCLIP", "n_lclip"), ("RCLIP", "n_rclip"), ("LDISC", "n_ldisc"), ("RDISC", "n_rdisc"),
@@ -39,17 +40,69 @@ def write_vcf(records: DataFrame, path: str, head: list[str]) -> None:
     first.unionByName(vcf_lines(records)).write.mode("overwrite").text(path)
 
 
-def write_sites(records: DataFrame, path: str) -> None:
-    """The text form: tab-separated, nulls as their sentinels."""
+def write_sites(records: DataFrame, path: str, high_confident: bool = False) -> None:
+    """The text form: tab-separated, nulls as their sentinels. high_confident: those with both ends consistent beside it as well."""
     out = []
     for field in schema.SITE:
         missing = "-1:-1" if field.name.endswith("_cns") else "not_transduction" if field.name == "td_src" else "-1" if field.dataType.typeName() in ("integer", "long", "double") else "none"
         out.append(F.coalesce(F.col(field.name).cast("string"), F.lit(missing)))
-    records.select(F.concat_ws("\t", *out).alias("value")).write.mode("overwrite").text(path)
+    line = F.concat_ws("\t", *out).alias("value")
+    records.select(line).write.mode("overwrite").text(path)
+    if high_confident:
+        records.filter("consistent = 'both_end_consistent'").select(line).write.mode("overwrite").text(f"{path}.high_confident")
 
 
-def write_candidates(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("chrom").parquet(path)
+def write_candidates(df: DataFrame, path: str, decoys: bool = True) -> None:
+    """Candidates by contig; without decoys, contigs that aren't chromosomes are left out."""
+    (df if decoys else df.filter(~is_decoy(F.col("chrom")))).write.mode("overwrite").partitionBy("chrom").parquet(path)
+
+
+def write_fastq(df: DataFrame, path: str) -> None:
+    """df (name, seq, qual) as four-line records."""
+    df.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_basic_info(df: DataFrame, path: str) -> None:
+    """Library statistics of each alignment file, for text.basic_info()."""
+    df.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("path", "coverage", "read_length", "mean_is", "std_is"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_coverage(df: DataFrame, path: str) -> None:
+    """Depths by site as schema.COVERAGE, tab-separated; null as 0.0."""
+    cells = [F.coalesce(F.col(f.name).cast("string"), F.lit("0.0")) for f in schema.COVERAGE]
+    df.select(F.concat_ws("\t", *cells).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_arff(df: DataFrame, path: str, label: str, classes: list[str]) -> None:
+    """Numeric columns, then the class, as one ARFF text; the head is the first file's start."""
+    names = [c for c in df.columns if c != label]
+    head = "\n".join(["@RELATION genotype", *(f"@ATTRIBUTE {c} NUMERIC" for c in names), f"@ATTRIBUTE {label} {{{','.join(classes)}}}", "@DATA"])
+    data = df.select(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in [*names, label])).alias("value"))
+    df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).unionByName(data).write.mode("overwrite").text(path)
+
+
+def population_lines(alleles: DataFrame, modes: DataFrame) -> DataFrame:
+    """population.allele_counts() and population.site_modes() -> VCF lines: AN, AC and AF in all, then by population in the order of their names."""
+    part = F.concat_ws(";", *(F.concat(F.lit(f"{k}_"), "population", F.lit("="), F.col(c).cast("string")) for k, c in (("AN", "an"), ("AC", "ac"), ("AF", "af"))))
+    whole = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.col(c).cast("string")) for k, c in (("AN", "an"), ("AC", "ac"), ("AF", "af"))))
+    by = alleles.groupBy("chrom", "site").agg(F.max(F.when(F.col("population") == "ALL", whole)).alias("all"), F.sort_array(F.collect_list(F.when(F.col("population") != "ALL", F.struct("population", part.alias("x"))))).alias("parts"))
+    rows = by.join(modes.select("chrom", "site", "svtype"), ["chrom", "site"], "left")
+    chrom = F.col("chrom").cast("string")
+    info = F.concat_ws(";", F.concat(F.lit("SVTYPE="), "svtype"), "all", F.transform("parts", lambda x: x["x"]))
+    line = F.concat_ws("\t", chrom, F.col("site").cast("string"), F.lit("."), F.lit("."), F.concat(F.lit("<"), F.coalesce("svtype", F.lit("INS")), F.lit(">")), F.lit("."), F.lit("PASS"), info)
+    number = F.regexp_extract(chrom, r"^(?:chr)?(\d+)$", 1).try_cast("int")
+    return rows.select(line.alias("value"), F.coalesce(number, F.lit(10**6)).alias("_n"), "chrom", "site").orderBy("_n", "chrom", "site").select("value")
+
+
+def population_head(contigs: list[tuple[str, int]], populations: list[str]) -> list[str]:
+    counts = [("AN", "Integer", "Alleles"), ("AC", "Integer", "Alleles with the insertion"), ("AF", "Float", "Frequency of the insertion")]
+    info = [f'##INFO=<ID={k}{p and "_" + p},Number=1,Type={t},Description="{d}{p and " in " + p}">' for p in ["", *populations] for k, t, d in counts]
+    return ["##fileformat=VCFv4.2", *(f"##contig=<ID={n},length={k}>" for n, k in contigs), *info, "\t".join(("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"))]
+
+
+def write_matrix(columns: DataFrame, path: str) -> None:
+    """A block of population.dosage_columns() as CSV with a header; one file a block."""
+    columns.orderBy("sample").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq") -> None:

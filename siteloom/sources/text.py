@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..operators.intervals import overlaps
 
 
 def _fields(spark: SparkSession, path: str, least: int) -> DataFrame:
@@ -52,11 +53,123 @@ def gff3(spark: SparkSession, path: str, extend: int = 1500) -> tuple[DataFrame,
     return genes, rows.filter("kind not in ('gene', 'transcript')").drop("gene_type")
 
 
+LINES = 1 << 16
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files: the number of each line from 0, however the files are split.
+
+    Splits count their own lines; what comes before a split is one row for each.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    counts = rows.groupBy("file", "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("file", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("file", "_b").orderBy("_i")) - 1
+    return rows.withColumn("_k", own).join(counts, ["file", "_b"]).select("file", (F.col("_before") + F.col("_k")).alias("line"), "value")
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, line, seq): the lines of each sequence in order, so that a long contig is many rows."""
-    rows = spark.read.option("lineSep", ">").text(path).filter("trim(value) <> ''")
-    parts = rows.select(F.split("value", r"\r?\n").alias("l"))
-    return parts.select(F.split(F.col("l")[0], r"\s+")[0].alias("name"), F.posexplode(F.slice("l", F.lit(2), F.size("l") - 1)).alias("line", "seq")).filter("seq <> ''")
+    """(name, offset, seq): the lines of each sequence, with the place of their first base; a long contig is many rows.
+
+    A name line begins with ">" and may hold more of them.
+    """
+    rows = numbered(spark, path).withColumn("_tile", F.floor(F.col("line") / LINES))
+    head = F.col("value").startswith(">")
+    rows = rows.withColumns({"_name": F.when(head, F.split(F.substring("value", 2, 1 << 20), r"\s+")[0]), "_n": F.when(head, 0).otherwise(F.length(F.trim("value")))})
+    inside = Window.partitionBy("file", "_tile").orderBy("line")
+    till = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_own": F.last("_name", True).over(till), "_part": F.count("_name").over(till)})
+    rows = rows.withColumn("_at", F.coalesce(F.sum("_n").over(Window.partitionBy("file", "_tile", "_part").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row a tile: its last name, and the bases after it
+    ends = rows.groupBy("file", "_tile").agg(F.max_by("_own", "line").alias("_last"), F.max_by(F.col("_at") + F.col("_n"), "line").alias("_tail"), F.max("_part").alias("_heads"))
+    tiles = Window.partitionBy("file").orderBy("_tile")
+    ends = ends.withColumns({"_carry": F.last("_last", True).over(tiles.rowsBetween(Window.unboundedPreceding, -1)), "_run": F.sum(F.when(F.col("_heads") > 0, 1).otherwise(0)).over(tiles)})
+    sums = F.sum("_tail").over(Window.partitionBy("file", "_run").orderBy("_tile").rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.withColumn("_sum", sums).withColumn("_bases", F.coalesce(F.lag("_sum").over(tiles), F.lit(0))).select("file", "_tile", "_carry", "_bases")
+    out = rows.filter(~head & (F.col("_n") > 0)).join(ends, ["file", "_tile"])
+    first = F.col("_own").isNull()
+    return out.select(F.coalesce("_own", "_carry").alias("name"), (F.col("_at") + F.when(first, F.col("_bases")).otherwise(0)).cast("long").alias("offset"), F.trim("value").alias("seq")).filter("name is not null")
+
+
+def fetch(sequences: DataFrame, regions: DataFrame) -> DataFrame:
+    """regions (chrom, start, end) with seq, the bases from start to before end of fasta()'s sequences; cut where a contig ends, null outside."""
+    lines = sequences.select(F.col("name").alias("chrom"), F.col("offset").alias("start"), (F.col("offset") + F.length("seq")).alias("end"), "seq")
+    wanted = regions.select("chrom", "start", "end").distinct()
+    cut = F.substring(F.col("seq_b"), (F.greatest(F.col("start") - F.col("start_b"), F.lit(0)) + 1).cast("int"), (F.least("end", "end_b") - F.greatest("start", "start_b")).cast("int"))
+    hits = overlaps(wanted, lines).select("chrom", "start", "end", F.struct(F.col("start_b").alias("at"), cut.alias("piece")).alias("x"))
+    found = hits.groupBy("chrom", "start", "end").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["piece"]), "").alias("seq"))
+    return regions.join(found, ["chrom", "start", "end"], "left")
+
+
+def fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(name, seq, qual) of four-line records; reads of quality strings that begin with "@" do no harm."""
+    rows = numbered(spark, path)
+
+    def nth(n: int) -> Column:
+        return F.max(F.when(F.col("line") % 4 == n, F.col("value")))
+
+    out = rows.groupBy("file", F.floor(F.col("line") / 4).alias("_r")).agg(nth(0).alias("head"), nth(1).alias("seq"), nth(3).alias("qual"))
+    return out.filter(F.col("head").startswith("@")).select(F.split(F.substring("head", 2, 1 << 20), r"\s+")[0].alias("name"), "seq", "qual")
+
+
+def alignment_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(contigs, read groups) of SAM text: chrom, length, has_prefix; rg, sample."""
+    rows = spark.read.text(path).filter(F.col("value").startswith("@"))
+    tags = F.str_to_map(F.expr("substring(value, 5)"), F.lit("\t"), F.lit(":"))
+
+    def tag(name: str) -> Column:
+        return F.try_element_at(tags, F.lit(name))
+
+    contigs = rows.filter(F.col("value").startswith("@SQ\t")).select(tag("SN").alias("chrom"), tag("LN").cast("long").alias("length")).withColumn("has_prefix", F.col("chrom").startswith("chr"))
+    return contigs, rows.filter(F.col("value").startswith("@RG\t")).select(tag("ID").alias("rg"), tag("SM").alias("sample"))
+
+
+def bam_list(spark: SparkSession, path: str) -> DataFrame:
+    """(path, platform) of a list of alignment files, illumina where no platform is named."""
+    return _fields(spark, path, 1).filter(F.trim("value") != "").select(F.col("f")[0].alias("path"), F.coalesce(F.get("f", F.lit(1)), F.lit("illumina")).alias("platform"))
+
+
+def benchmark_sites(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos); lines that begin with # are skipped."""
+    return _fields(spark, path, 2).select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"))
+
+
+def result_list(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, path) of result files."""
+    return _fields(spark, path, 2).select(F.col("f")[0].alias("sample"), F.col("f")[1].alias("path"))
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, start, end, strand, subtype) of a BED file of repeats: the last two fields are the strand and the subtype."""
+    rows = _fields(spark, path, 5)
+    return rows.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("start"), F.col("f")[2].cast("long").alias("end"), F.element_at("f", -2).alias("strand"), F.element_at("f", -1).alias("subtype"))
+
+
+def basic_info(spark: SparkSession, path: str) -> DataFrame:
+    """(path, coverage, read_length, mean_is, std_is) of each alignment file, as sinks.write_basic_info() leaves them."""
+    rows = _fields(spark, path, 5)
+    return rows.select(F.col("f")[0].alias("path"), *(F.col("f")[k + 1].cast("double").alias(n) for k, n in enumerate(("coverage", "read_length", "mean_is", "std_is"))))
+
+
+def genotype_features(spark: SparkSession, path: str, most_clips: int | None = None) -> DataFrame:
+    """Genotype features as schema.FEATURES; most_clips: without sites that have more clip lengths."""
+    rows = _fields(spark, path, 12)
+    numbers = [f.name for f in schema.FEATURES]
+    out = []
+    for k, name in enumerate(numbers):
+        v = F.col("f")[k]
+        out.append((F.when(v == "none", F.array().cast("array<int>")).otherwise(F.split(v, ":").cast("array<int>")) if name == "clip_lens" else v if name == "chrom" else v.try_cast("long")).alias(name))
+    df = rows.select(*out)
+    return df if most_clips is None else df.filter(F.size("clip_lens") <= most_clips)
+
+
+def arff(spark: SparkSession, path: str) -> DataFrame:
+    """The data of an ARFF file; numbers as double, the class as text."""
+    lines = spark.read.text(path)
+    names = [r[0] for r in numbered(spark, path).filter(F.lower("value").startswith("@attribute")).orderBy("line").select(F.split("value", r"\s+")[1], "value").collect()]  # one row for each column
+    data = lines.filter(~F.col("value").startswith("@") & ~F.col("value").startswith("%") & (F.trim("value") != "")).select(F.split("value", ",").alias("f"))
+    return data.select(*(F.trim(F.col("f")[k]).alias(n) if k == len(names) - 1 else F.trim(F.col("f")[k]).try_cast("double").alias(n) for k, n in enumerate(names)))
 
 
 def vcf(spark: SparkSession, path: str, main_contigs: bool = False) -> DataFrame:
