@@ -37,5 +37,7 @@ CASE_CONTROL_CUTOFFS = {
     5: (1, 1, 0), 10: (1, 2, 0), 15: (2, 2, 0), 20: (2, 3, 1), 25: (2, 4, 1), 30: (2, 4, 1), 35: (2, 5, 1), 40: (3, 5, 1), 45: (3, 6, 1), 50: (4, 6, 1), 60: (5, 7, 2), 70: (5, 8, 2),
     80: (6, 8, 2), 90: (7, 9, 2), 100: (8, 10, 3), 200: (14, 20, 5),
 }
+#: Long reads: coverage -> least number of clips.
+LONG_READ_CUTOFFS = {5: 1, 10: 3, 15: 4, 20: 4, 25: 5, 30: 6, 35: 6, 40: 7, 45: 8, 50: 9, 60: 10, 70: 11, 80: 12, 90: 13, 100: 14, 110: 15, 120: 16, 130: 17, 140: 18, 150: 19, 200: 20}
 #: Bits of the repeat types.
 TYPE_BITS = {"L1": 1, "ALU": 2, "SVA": 4, "HERV": 8, "MT": 16, "MSTA": 32, "PSEUDOGENE": 64}

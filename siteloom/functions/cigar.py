@@ -48,6 +48,25 @@ def mapped_ratio(cigar: Column) -> Column:
     return total(cigar, (0,)) / F.nullif(total(cigar, (2,), keep=False), F.lit(0))
 
 
+def contig_ratio(cigar: Column, flank: Column) -> Column:
+    """The matched bases of a flank on a contig, of its length."""
+    return total(cigar, (0,)) / F.nullif(flank, F.lit(0))
+
+
+def clipped_part(seq: Column, cigar: Column, left: bool) -> Column:
+    """The clipped bases of one end; null where it isn't soft-clipped."""
+    end = first(cigar) if left else last(cigar)
+    return F.when(end["op"] == 4, F.substring(seq, F.lit(1), end["len"]) if left else F.right(seq, end["len"]))
+
+
+def large_clip(cigar: Column, least: int) -> Column:
+    """An end with a clip over that many bases, of alignments of more than two elements."""
+    def long(x: Column) -> Column:
+        return F.coalesce(x["op"].isin(4, 5) & (x["len"] > least), F.lit(False))
+
+    return (F.size(cigar) > 2) & (long(first(cigar)) | long(last(cigar)))
+
+
 def qualified(cigar: Column, ratio: float) -> Column:
     """A realigned part counts: not clipped at both ends, and mapped for that share of its bases."""
     return ~both_sides_clipped(cigar) & (total(cigar, (0,)) >= ratio * total(cigar, (2,), keep=False))

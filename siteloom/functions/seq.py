@@ -42,6 +42,46 @@ def enough_a_t(seq: Column, n: int) -> Column:
     return (_count(seq, "A") >= n) | (_count(seq, "T") >= n)
 
 
+def enough_a_t_of(seq: Column, n: Column) -> Column:
+    """As enough_a_t(), with a number for each row."""
+    return (_count(seq, "A") >= n) | (_count(seq, "T") >= n)
+
+
+def polya_at(seq: Column, left: Column, n: int = 20) -> Column:
+    """Whether the n bases nearest the breakpoint, the end of a left clip or the start of a right one, have consecutive A or T."""
+    return consecutive_a_t(F.when(left, F.right(seq, F.lit(n))).otherwise(F.substring(seq, 1, n)))
+
+
+def is_short_contig(chrom: Column, most: int = 5) -> Column:
+    """Names of up to `most` characters are kept as chromosomes; longer ones are other contigs."""
+    return F.length(chrom) <= most
+
+
+def consecutive_long(seq: Column) -> Column:
+    return has_any(seq, ("AAAAAA", "TTTTTT", "AAATAA", "TTTATT"))
+
+
+def consecutive_on_side(seq: Column, left: Column) -> Column:
+    """Left clips have A, right ones T."""
+    return F.when(left, has_any(seq, POLY_A)).otherwise(has_any(seq, POLY_T))
+
+
+#: Fixed motifs whose simple repeats count as polyA, and as polyT.
+REPEATS_A = ("AAAAAC", "AAAAC", "AAAATAA", "AAAAT", "AAATA", "AAAT", "AACAAA", "AAC", "AATAAAA", "AATAAA", "AATAA", "AATA", "AAT", "ACA", "A")
+REPEATS_T = ("GTTTTT", "GTTTT", "TTATTTT", "ATTTT", "TATTT", "ATTT", "TTTGTT", "GTT", "TTTTGTT", "TTTATT", "TTATT", "TATT", "ATT", "TGT", "T")
+
+
+def is_polya_repeat(name: Column, t: bool = False) -> Column:
+    """A repeat's name, such as (AAAT)n, is one of these motifs in any rotation."""
+    names = sorted({f"({r})n" for m in (REPEATS_T if t else REPEATS_A) for r in rotations(m)})
+    return name.isin(names)
+
+
+def signal_offsets(seq: Column, reverse: bool) -> Column:
+    """Starts of all polyA signals, motif by motif."""
+    return F.concat(*(motif_offsets(seq, m) for m in (SIGNAL_T if reverse else SIGNAL_A)))
+
+
 def polya_signal(seq: Column, reverse: bool) -> Column:
     return has_any(seq, SIGNAL_T if reverse else SIGNAL_A)
 
@@ -54,7 +94,9 @@ def dominant_a_t(seq: Column, ratio: float) -> Column:
 def motif_offsets(seq: Column, motif: str) -> Column:
     """Starts of the non-overlapping occurrences of a motif, from 0."""
     pieces = F.split(seq, motif, -1)
-    return F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p)) + (i - 1) * len(motif)) if motif else F.array()
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    found = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, lambda s, p: F.struct((s["at"] + F.length(p) + len(motif)).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(p))).alias("out")))
+    return found["out"]
 
 
 def rotations(motif: str) -> list[str]:

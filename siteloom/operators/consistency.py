@@ -116,6 +116,23 @@ def regions_meet(s1: Column, e1: Column, s2: Column, e2: Column, insert_size: fl
     return F.coalesce(((a >= p) & (a <= q)) | ((b >= p) & (b <= q)), F.lit(False))
 
 
+def orientation_consistent(l_rc: Column, l_not: Column, r_rc: Column, r_not: Column, ratio: float) -> Column:
+    """Left anchors are mostly forward, right ones mostly reverse; a side without any is."""
+    def ok(a: Column, b: Column) -> Column:
+        return F.coalesce(a / F.nullif(a + b, F.lit(0)) >= ratio, F.lit(True))
+
+    return ok(l_not, l_rc) & ok(r_rc, r_not)
+
+
+def full_length(leftmost: int) -> Column:
+    """A cluster begins within the first `leftmost` bases of the consensus."""
+    out = F.lit(False)
+    for s in ("lc", "rc", "ld", "rd"):
+        at = F.col(f"{s}_start")
+        out = out | F.coalesce((at > 0) & (at <= leftmost), F.lit(False))
+    return out
+
+
 def evidence_rules(clip: int, disc: int, insert_size: float, tail: int, ratio: float = 0.35, sva: bool = False, config: Config = Config()) -> tuple[list[tuple[str, Column]], dict[str, Column]]:
     """(rules, marks) over site records with their clusters, counts and depths.
 

@@ -16,6 +16,23 @@ def nearest_cutoffs(df: DataFrame, coverage: str, table: dict[int, tuple[int, in
     return df.withColumn("_v", F.element_at(values, key)).select(*df.columns, "_v.clip", "_v.disc", "_v.mate")
 
 
+def automatic(df: DataFrame, coverage: str, table: dict[int, tuple[int, int, int]], purity: float | None = None) -> DataFrame:
+    """df with the cutoffs for its coverage; of a tumor's, only the share of its purity counts."""
+    if purity is None:
+        return nearest_cutoffs(df, coverage, table)
+    return nearest_cutoffs(df.withColumn("_c", F.col(coverage) * purity), "_c", table).drop("_c")
+
+
+def adjusted(cutoff: int, by: int = 1) -> int:
+    """A tumor's cutoff is lower, but never below 2."""
+    return cutoff - by if cutoff - by > 1 else cutoff
+
+
+def initial_cutoff(platform: str, mosaic: bool = False) -> int:
+    """Clips that a position needs before anything else is known."""
+    return 3 if platform == "10X" else 1 if mosaic else 2
+
+
 def barcode_cutoff(coverage: float) -> int:
     return 500 if abs(coverage - 30) > abs(coverage - 60) else 400
 

@@ -71,6 +71,19 @@ def dosage_columns(matrix: DataFrame, sites: list[tuple[str, int]]) -> DataFrame
     return named.groupBy("sample", "population").pivot("_name", [f"{c}_{p}" for c, p in sites]).agg(F.max("dosage")).fillna(0)
 
 
+def presence(matrix: DataFrame) -> DataFrame:
+    """dosage_matrix() as 0 or 1: whether a sample has the site."""
+    return matrix.withColumn("dosage", (F.col("dosage") > 0).cast("int"))
+
+
+def within_fractions(sites: DataFrame, names: list[str], least: float, most: float) -> DataFrame:
+    """Sites with every one of the named allele fractions in [least, most]."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.coalesce(F.col(n).between(least, most), F.lit(False))
+    return sites.filter(out)
+
+
 def private_histogram(alleles: DataFrame, levels: int) -> DataFrame:
     """How many sites with one population's alleles only have at least each level of frequency: population, level, n.
 

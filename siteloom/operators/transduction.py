@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from .intervals import near, points_in
 
 
+def site_rules(most_coverage: float, half: int) -> list[tuple[str, Column]]:
+    """Candidate transductions that go: in a little diverged copy of their type (in_low_copy), on an island of alignments, or with polyA (or polyT) on both sides."""
+    c = F.col
+    island = F.lit(False)
+    for x in ("lcov_200", "rcov_200", "lcov_900", "rcov_900"):
+        island = island | (c(x) > most_coverage)
+    return [("copy", c("in_low_copy")), ("island", island), ("two_side_polya", (c("n_la") > half) & (c("n_ra") > half)), ("two_side_polyt", (c("n_lt") > half) & (c("n_rt") > half))]
+
+
+def reselect(sites: DataFrame, existing: DataFrame, copies: DataFrame, disc: int, slack: int = 100, tumor: bool = False, divergence: float = 5) -> DataFrame:
+    """sites (chrom, pos, n_disc) away from existing ones, with enough pairs (half the cutoff, of germline three quarters), outside little diverged copies (chrom, start, end, div)."""
+    least = disc / 2 if tumor else 3 * disc / 4
+    away = near(sites.filter(F.col("n_disc") >= least), existing, slack, "left_anti")
+    return points_in(away, copies.filter(F.col("div") < divergence).select("chrom", "start", "end"), how="left_anti")
+
+
 def pick_source(df: DataFrame, key: list[str], cutoff: int, ratio: float = 0.45, unique: float = 0.5, others: DataFrame | None = None) -> DataFrame:
     """df (key, source; one row a pair) -> key, source, n, total and `verdict`: td, normal (several sources) or none (too few pairs).
 
