@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .common import U, materialise, mix, own
-from .components import components
 from .shingles import members, shingle_set, shingle_sets
 
 ROWS = 6
@@ -205,6 +205,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     return out.select("doc_id", "n_shingles", least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"))
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of the components of links (a, b), each round a table in the shared folder."""
+    return connected(links, lambda df: materialise(df, "edges"))
+
+
 def _link(buckets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, label) of the components of all pairs in a bucket (key, rep, low) that the full sets link."""
     edges = buckets.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
