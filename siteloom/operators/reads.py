@@ -61,6 +61,32 @@ def disc_filter(df: DataFrame, cutoff: int, tumor: bool = False) -> DataFrame:
     return df.filter(((l > cutoff / 2) & (r > cutoff / 2)) | (l > cutoff) | (r > cutoff))
 
 
+def depth_filter(clips: DataFrame, left: int, right: int, most: float) -> DataFrame:
+    """Clip positions with enough clips on one side, and no more than `most` in all."""
+    l, r = F.col("n_l"), F.col("n_r")
+    return clips.filter(((l >= left) | (r >= right)) & (l + r <= most))
+
+
+def raw_disc_sum(parts: DataFrame) -> DataFrame:
+    """Raw discordant counts of samples (chrom, pos, raw_l, raw_r, n_l, n_r, l_cluster, r_cluster) added up; a side is clustered if it is in any sample."""
+    counts = [F.sum(c).alias(c) for c in ("raw_l", "raw_r", "n_l", "n_r")]
+    return parts.groupBy("chrom", "pos").agg(*counts, F.bool_or("l_cluster").alias("l_cluster"), F.bool_or("r_cluster").alias("r_cluster"))
+
+
+def raw_disc_filter(sites: DataFrame, cutoff: int, tumor: bool = False) -> DataFrame:
+    """raw_disc_sum() -> sites with a clustered side that has enough raw pairs."""
+    least = raw_disc_cutoff(cutoff, tumor)
+    side = [(F.col(f"raw_{x}") >= least) & F.coalesce(F.col(f"{x}_cluster"), F.lit(False)) for x in "lr"]
+    return sites.filter(side[0] | side[1])
+
+
+def count_between(mates: DataFrame, regions: DataFrame) -> DataFrame:
+    """regions (chrom, start, end) with n, the mates (chrom, pos) in [start, end], both ends included."""
+    wide = regions.select("chrom", "start", "end", (F.col("end") + 1).alias("_stop")).distinct()
+    counts = points_in(mates.select("chrom", "pos"), wide, start="start", end="_stop").groupBy("chrom", "start", "end").agg(F.count("*").alias("n"))
+    return regions.join(counts, ["chrom", "start", "end"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def raw_disc_cutoff(cutoff: int, tumor: bool) -> int:
     return max(1, int(cutoff / 2) if tumor else int(3 * cutoff / 4) + 1)
 

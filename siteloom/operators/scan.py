@@ -58,6 +58,23 @@ def clipped_parts(near: DataFrame, config: Config = Config()) -> DataFrame:
     return rows.select("site", "chrom", "qname", F.col("is_reverse").alias("is_rc"), F.inline(parts)).withColumnsRenamed({"part": "seq", "part_qual": "qual"})
 
 
+def all_clipped_parts(reads: DataFrame, config: Config = Config()) -> DataFrame:
+    """One row per clipped part of eligible reads, wherever they are: chrom, breakpoint, side, is_rc, seq, qual; short parts only if all A or all T."""
+    g = F.col("cigar")
+    rows = reads.filter(~F.col("is_duplicate") & ~F.col("is_unmapped") & (F.size(g) > 0) & ~C.fully_mapped(g) & (F.col("mapq") >= config.clip_mapq))
+    n = F.length("seq")
+
+    def part(side: str, at: Column) -> Column:
+        end = C.first(g) if side == "L" else C.last(g)
+        seq = C.clipped_part(F.col("seq"), g, side == "L")
+        qual = F.slice("qual", F.lit(1), end["len"]) if side == "L" else F.slice("qual", n - end["len"] + 1, end["len"])
+        ok = (end["op"] == 4) & C.clip_length_ok(seq) & ~C.low_quality(qual)
+        return F.when(ok, F.struct(F.lit(side).alias("side"), at.alias("breakpoint"), seq.alias("part"), qual.alias("part_qual")))
+
+    parts = F.array_compact(F.array(part("L", F.col("pos")), F.when(~(F.col("is_supplementary") & C.left_clipped(g)), part("R", C.right_breakpoint(F.col("pos"), g)))))
+    return rows.select("chrom", "qname", F.col("is_reverse").alias("is_rc"), F.inline(parts)).withColumnsRenamed({"part": "seq", "part_qual": "qual"})
+
+
 def discordant_pairs(near: DataFrame, config: Config = Config()) -> DataFrame:
     """around() -> one row per discordant read: its anchor (the breakpoint of a right clip), its mate's place, strands, and which ends are clipped.
 

@@ -63,6 +63,19 @@ def with_clips(clips: DataFrame, polya: DataFrame, key: list[str], least: int, l
     return a.filter(F.col("n_clip") >= least).join(b.filter(F.col("n_polya") >= least_polya), key)
 
 
+def rescued(pairs: DataFrame, left: DataFrame, right: DataFrame, key: list[str], clip: int, disc: int) -> DataFrame:
+    """Sites with `disc` pairs or more on flanks, and `clip` clips or more there on a side; all three are (key, n).
+
+    n_left and n_right are the counts of a side that falls short, else 0.
+    """
+    def of(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.sum("n").alias(name))
+
+    out = of(pairs, "n_disc").filter(F.col("n_disc") >= disc).join(of(left, "_l"), key, "left").join(of(right, "_r"), key, "left")
+    l, r = (F.coalesce(c, F.lit(0)) for c in ("_l", "_r"))
+    return out.filter((l >= clip) | (r >= clip)).select(*key, F.when(l < clip, l).otherwise(0).alias("n_left"), F.when(r < clip, r).otherwise(0).alias("n_right"), "n_disc")
+
+
 def decoys(df: DataFrame, key: list[str], own: str, cutoff: int) -> DataFrame:
     """df (key, family; one row an alternative hit) -> counts by family of each site, and whether it stays: no other family reaches the cutoff."""
     families = ("Alu", "L1", "SVA")

@@ -249,3 +249,31 @@ def flank_pairs(spark, d):
     e = _ev(spark, d).select(*KEY, "side", F.col("bx").alias("contig"), F.col("same_ori").alias("is_rc"), F.col("ref").alias("at"))
     out = reads.flanks_on_contigs(e.filter("side = 'L'"), e.filter("side = 'R'"), KEY, 30)
     return out.select(*KEY, "left_at", "right_at")
+
+
+@query("SELECT * FROM (SELECT chrom, pos, count(*) FILTER (side = 'L') AS n_l, count(*) FILTER (side = 'R') AS n_r FROM reads WHERE side IN ('L', 'R') GROUP BY ALL) WHERE (n_l >= 2 OR n_r >= 2) AND n_l + n_r <= 3", "reads")
+def clip_depth(spark, d):
+    clips = view(spark, d, "reads").filter("side IN ('L', 'R')").groupBy("chrom", "pos").agg(F.count_if(F.col("side") == "L").alias("n_l"), F.count_if(F.col("side") == "R").alias("n_r"))
+    return reads.depth_filter(clips, 2, 2, 3)
+
+
+@query("""SELECT chrom, site AS pos, sum(l)::BIGINT AS raw_l, sum(r)::BIGINT AS raw_r, sum(pl)::BIGINT AS n_l, sum(pr)::BIGINT AS n_r, bool_or(lc) AS l_cluster, bool_or(rc) AS r_cluster FROM (SELECT chrom, site, sample, count(*) FILTER (side = 'L') AS l, count(*) FILTER (side = 'R') AS r, count(*) FILTER (side = 'L' AND same_ori) AS pl, count(*) FILTER (side = 'R' AND same_ori) AS pr,
+  count(*) FILTER (side = 'L') > 4 AS lc, count(*) FILTER (side = 'R') > 4 AS rc FROM evidence GROUP BY ALL) GROUP BY chrom, site HAVING (sum(l) >= 7 AND bool_or(lc)) OR (sum(r) >= 7 AND bool_or(rc))""", "evidence")
+def raw_disc(spark, d):
+    l, r = F.col("side") == "L", F.col("side") == "R"
+    parts = _ev(spark, d).groupBy("chrom", F.col("site").alias("pos"), "sample").agg(
+        F.count_if(l).alias("raw_l"), F.count_if(r).alias("raw_r"), F.count_if(l & F.col("same_ori")).alias("n_l"), F.count_if(r & F.col("same_ori")).alias("n_r"), (F.count_if(l) > 4).alias("l_cluster"), (F.count_if(r) > 4).alias("r_cluster"))
+    return reads.raw_disc_filter(reads.raw_disc_sum(parts), 8)
+
+
+@query("""SELECT s.chrom, s.start, s."end", count(r.mate_pos) AS n FROM (SELECT DISTINCT chrom, site AS start, site + 40 AS "end" FROM evidence) s LEFT JOIN reads r ON r.mate_chrom = s.chrom AND r.mate_pos >= s.start AND r.mate_pos <= s."end" GROUP BY ALL""", "evidence", "reads")
+def range_mates(spark, d):
+    regions = _ev(spark, d).select("chrom", F.col("site").alias("start"), (F.col("site") + 40).alias("end")).distinct()
+    return reads.count_between(view(spark, d, "reads").select(F.col("mate_chrom").alias("chrom"), F.col("mate_pos").alias("pos")), regions)
+
+
+@query("""SELECT chrom, site, CASE WHEN l < 4 THEN l ELSE 0 END AS n_left, CASE WHEN r < 4 THEN r ELSE 0 END AS n_right, d AS n_disc FROM (SELECT chrom, site, count(*) FILTER (source = 1) AS d, count(*) FILTER (side = 'L' AND mapq >= 20) AS l, count(*) FILTER (side = 'R' AND mapq >= 20) AS r FROM evidence GROUP BY ALL) WHERE d >= 3 AND (l >= 4 OR r >= 4)""", "evidence")
+def flank_rescue(spark, d):
+    e = _ev(spark, d).withColumn("n", F.lit(1))
+    left, right = (e.filter((F.col("side") == x) & (F.col("mapq") >= 20)).select(*KEY, "n") for x in "LR")
+    return transduction.rescued(e.filter("source = 1").select(*KEY, "n"), left, right, KEY, 4, 3)

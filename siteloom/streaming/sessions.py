@@ -1,4 +1,4 @@
-"""Gap clusters over a stream: session windows with a watermark. The reference has no streams; this is an addition."""
+"""Gap clusters over a stream: session windows with a watermark. An addition: no operator to match works on streams."""
 
 from __future__ import annotations
 

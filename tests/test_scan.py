@@ -41,6 +41,12 @@ def test_clipped_parts(near):
     assert got == [("left", "L", 1000, 20, 20), ("polya", "L", 1000, 8, 8), ("right", "R", 1010, 20, 20), ("right_polya", "R", 1010, 9, 9), ("small_both", "L", 1000, 12, 12)]
 
 
+def test_all_clipped_parts(spark):
+    rows = [read("a", 1000, "20S80M12S"), read("b", 1000, "20S80M12S", is_supplementary=True), read("c", 1000, "9S80M"), read("d", 1000, "9S80M", seq="T" * 9 + "ACGT" * 20), read("e", 1000, "100M"), read("f", 1000, "20S80M", mapq=11), read("g", 1000, "20H80M"), read("h", 1000, "20S80M", qual=14)]
+    got = sorted((r.qname, r.side, r.breakpoint, len(r.seq), len(r.qual)) for r in scan.all_clipped_parts(spark.createDataFrame(rows, schema.READ)).collect())
+    assert got == [("a", "L", 1000, 20, 20), ("a", "R", 1080, 12, 12), ("b", "L", 1000, 20, 20), ("d", "L", 1000, 9, 9)]
+
+
 def test_discordant_pairs(near):
     got = {r.qname: (r.anchor, r.anchor_lclip, r.anchor_rclip, r.mate_chrom, r.mate_is_read1) for r in scan.discordant_pairs(near).collect()}
     assert got == {"mate": (980, False, False, "1", False), "polya": (1000, True, False, "2", False), "reaches": (750, False, False, "2", False)}
