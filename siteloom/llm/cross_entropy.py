@@ -30,6 +30,8 @@ ORDER = 2
 WEIGHT = 4.0
 #: Bytes of text in a block, on average.
 BLOCK = 4 << 20
+#: Blocks for each bucket; a bucket has some SHARE blocks' n-grams.
+SHARE = 4
 _SALTS = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _ASKED = "bucket long, block long, size int, codes binary, n binary, t binary"
 _ANSWER = "block long, bucket long, size int, n binary, t binary, vocabulary long, words long, good_words long, good long"
@@ -189,6 +191,7 @@ def cross_entropy_difference(df: DataFrame, good: DataFrame, block: int = BLOCK)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block))
+    buckets = max(1, blocks // SHARE)
 
     def dealt(key: Column) -> Column:
         return F.pmod(key, F.lit(blocks)).alias("block")
@@ -197,7 +200,7 @@ def cross_entropy_difference(df: DataFrame, good: DataFrame, block: int = BLOCK)
     rows = docs.select("doc_id", "text", dealt(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))))
     target = good.select(F.col("doc_id").cast("long").alias("good")).filter("good is not null").distinct().select(dealt(F.xxhash64("good")), "good")
     def asked() -> DataFrame:
-        return rows.groupBy("block").cogroup(target.groupBy("block")).applyInArrow(_asker(blocks), _ASKED)
+        return rows.groupBy("block").cogroup(target.groupBy("block")).applyInArrow(_asker(buckets), _ASKED)
 
     answers = materialise(asked().groupBy("bucket").applyInArrow(_answer, _ANSWER), "answers")
     sums = answers.filter("block = -1").agg(F.sum("vocabulary"), F.sum("words"), F.sum("good_words")).first()
