@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .common import documents
 from .cross_entropy import cross_entropy_difference
 from .langid import identify
@@ -63,6 +64,10 @@ def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_lossless_webp,
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_minhash_dedup,
         op9_cross_entropy_difference,
         op10_suffix_dedup,
+        op12_tokenizer_alignment,
     )
     return {f.__name__: f for f in every}
 
