@@ -19,6 +19,8 @@ from .pii import find_pii
 from .quality_rules import quality_rules
 from .repeats import remove_repeats
 from .rule_ensemble import score_quality
+from .spelling import spelling_variants
+from .toxicity import score_toxicity
 from .webp import texts_as_images
 
 
@@ -64,10 +66,18 @@ def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1"))
 
 
+def op11_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(documents(spark, sf_dir))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_lossless_webp,
@@ -80,7 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_minhash_dedup,
         op9_cross_entropy_difference,
         op10_suffix_dedup,
+        op11_nnpu_toxicity,
         op12_tokenizer_alignment,
+        op13_spelling_variants,
     )
     return {f.__name__: f for f in every}
 
