@@ -26,13 +26,14 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
         if sql:
             names = [*views]
             parts = [f"{v} AS ({oracle_view(v)})" if v in _PLAIN else f"{v} AS ({_DERIVED[v]})" for v in names]
-            ORACLES[f.__name__] = (f"WITH {', '.join(parts)} " if parts else "") + sql
+            joined = ", " if sql.startswith("WITH ") else " "
+            ORACLES[f.__name__] = (f"WITH {', '.join(parts)}{joined}{sql.removeprefix('WITH ')}" if parts else sql)
         return f
 
     return add
 
 
-_PLAIN = ("reads", "repeats", "samples", "cohort", "calls", "records", "evidence")
+_PLAIN = ("reads", "repeats", "samples", "cohort", "calls", "records", "evidence", "alns", "places")
 #: What the oracles build on plain views.
 _DERIVED = {
     "hits": "SELECT DISTINCT r.mate_chrom AS c, r.mate_pos AS p FROM reads r JOIN repeats i ON r.mate_chrom = i.chrom AND r.mate_pos >= i.start AND r.mate_pos < i.\"end\"",
@@ -629,4 +630,4 @@ def vcf_record(spark, d):
     return lines.join(o.select("o_orderkey", F.when(F.col("o_orderstatus").isin("F", "O") & (F.col("o_custkey") > 0), "keep").otherwise("drop").alias("verdict")), "o_orderkey")
 
 
-from . import evidence  # noqa: E402,F401  its queries register themselves
+from . import alignments, evidence  # noqa: E402,F401  their queries register themselves
