@@ -40,6 +40,12 @@ SQL = {
           || CASE WHEN l_suppkey % 5 = 0 THEN repeat('T', tail) ELSE substr(repeat('ACGGTTCAATC', 12), CAST(2 + l_partkey % 11 AS INT), tail) END AS seq
         FROM (SELECT *, CASE WHEN l_returnflag = 'A' THEN CAST(l_partkey % 40 + 1 AS INT) WHEN l_linenumber = 7 THEN 10 ELSE 0 END AS lead, CASE WHEN l_returnflag = 'R' THEN CAST(l_partkey % 40 + 1 AS INT) WHEN l_linenumber = 7 THEN 12 ELSE 0 END AS tail,
           CASE WHEN l_linenumber = 3 THEN 5 ELSE 0 END AS ins, CASE WHEN l_linenumber = 4 THEN 3 ELSE 0 END AS del FROM {lineitem})""",
+    # a site for each order; its lines are the left and right flanks on the contigs of three groups of reads, and a left one of a fourth
+    "flanks": """SELECT 'c' || CAST(l_orderkey % 24 AS VARCHAR) AS chrom, l_orderkey AS pos, CASE (l_linenumber - 1) // 2 WHEN 0 THEN 'all' WHEN 1 THEN 'hap1' WHEN 2 THEN 'hap2' ELSE 'unknown' END AS "group", CASE WHEN l_linenumber % 2 = 1 THEN 'left' ELSE 'right' END AS flank,
+        'k' || CAST(p // 7 % 2 AS VARCHAR) AS contig, CAST(CASE WHEN l_linenumber % 2 = 1 THEN p * 7 % 700 ELSE p * 13 % 1100 END AS INT) AS start, CAST(CASE WHEN p % 6 = 0 THEN 120 ELSE p % 5 END AS INT) AS lead, CAST(CASE WHEN s % 7 = 0 THEN 110 ELSE s % 4 END AS INT) AS tail, CAST(s % 190 AS INT) AS lost,
+        p % 3 = 0 AS rev, p % 53 = 0 AS sec FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s FROM {lineitem} GROUP BY l_orderkey, l_linenumber)""",
+    "contigs": """SELECT 'c' || CAST(o_orderkey % 24 AS VARCHAR) AS chrom, o_orderkey AS pos, g AS "group", 'k' || CAST(k AS VARCHAR) AS contig, substr(repeat('ACGGTTCAATC', 200), CAST(1 + (o_orderkey + k) % 11 AS INT), CAST(900 + o_custkey % 600 AS INT)) AS seq
+        FROM {orders}, (VALUES ('all', 0), ('all', 1), ('hap1', 0), ('hap1', 1), ('hap2', 0), ('hap2', 1), ('unknown', 0), ('unknown', 1)) AS x(g, k)""",
     "places": """SELECT 'c' || CAST(c_custkey % 24 AS VARCHAR) AS chrom, c_custkey * 10 AS pos FROM {customer}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -50,7 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = SQL[name].replace('"end"', "`end`").replace("VARCHAR", "STRING")
+    text = SQL[name].replace('"end"', "`end`").replace('"group"', "`group`").replace("VARCHAR", "STRING").replace(" // ", " DIV ")
     needed = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
     return spark.sql(text, **needed)
 
