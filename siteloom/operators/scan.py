@@ -17,10 +17,10 @@ from .intervals import overlaps, points_in
 SHORT, LONG_ENOUGH, POOR, NEAR_POOR = 7, 9, 5, 35
 
 
-def around(reads: DataFrame, sites: DataFrame, extend: int) -> DataFrame:
+def around(reads: DataFrame, sites: DataFrame, extend: int, duplicates: bool = False) -> DataFrame:
     """reads that overlap [site - extend, site + extend), with the site's position; a read may be at several sites."""
     regions = sites.select("chrom", F.col("pos").alias("site"), (F.col("pos") - extend).alias("start"), (F.col("pos") + extend).alias("end")).distinct()
-    usable = reads.filter(~F.col("is_duplicate") & ~F.col("is_unmapped") & (F.size("cigar") > 0))
+    usable = reads.filter((F.lit(duplicates) | ~F.col("is_duplicate")) & ~F.col("is_unmapped") & (F.size("cigar") > 0))
     whole = usable.withColumns({"start": F.col("pos"), "end": F.greatest(C.reference_end(F.col("pos"), F.col("cigar")), F.col("pos") + 1)})
     out = overlaps(regions, whole)
     return out.select("site", *(F.col(f"{c}_b").alias(c) for c in reads.columns))

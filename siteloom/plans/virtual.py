@@ -46,6 +46,11 @@ SQL = {
         p % 3 = 0 AS rev, p % 53 = 0 AS sec FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s FROM {lineitem} GROUP BY l_orderkey, l_linenumber)""",
     "contigs": """SELECT 'c' || CAST(o_orderkey % 24 AS VARCHAR) AS chrom, o_orderkey AS pos, g AS "group", 'k' || CAST(k AS VARCHAR) AS contig, substr(repeat('ACGGTTCAATC', 200), CAST(1 + (o_orderkey + k) % 11 AS INT), CAST(900 + o_custkey % 600 AS INT)) AS seq
         FROM {orders}, (VALUES ('all', 0), ('all', 1), ('hap1', 0), ('hap1', 1), ('hap2', 0), ('hap2', 1), ('unknown', 0), ('unknown', 1)) AS x(g, k)""",
+    # reads of two samples in windows of 400 bases: around each window's middle, mates lie together, or in repeats, or anywhere
+    "moved": """SELECT CASE WHEN l_linenumber % 3 = 0 THEN 's1' ELSE 's0' END AS sample, 'c' || CAST(l_orderkey // 1000 % 24 AS VARCHAR) AS chrom, l_orderkey AS pos, l_orderkey - l_orderkey % 400 + 200 AS site, CASE WHEN l_partkey % 20 = 0 OR l_orderkey // 400 % 7 = 0 AND l_partkey % 3 = 0 THEN 5 ELSE 60 END AS mapq,
+        l_partkey % 43 = 0 AS sec, (l_orderkey % 400 >= 175) <> (l_partkey % 9 = 0) AS rev, CASE WHEN l_returnflag = 'A' THEN 12 + CAST(l_partkey % 20 AS INT) ELSE 0 END AS lead, CASE WHEN l_returnflag = 'R' THEN 12 + CAST(l_partkey % 20 AS INT) ELSE 0 END AS tail, l_suppkey % 3 = 0 AS poly, l_partkey % 11 = 0 AS mate_lost,
+        CASE WHEN l_partkey % 31 = 0 THEN 'hs37d5' WHEN l_orderkey // 400 % 5 = 0 AND l_orderkey % 400 >= 175 THEN 'c' || CAST(l_partkey % 24 AS VARCHAR) WHEN l_orderkey // 400 % 11 = 0 THEN 'c' || CAST(l_suppkey % 5 AS VARCHAR) ELSE 'c' || CAST(l_orderkey // 400 % 24 AS VARCHAR) END AS mate_chrom,
+        CASE WHEN l_orderkey // 400 % 5 = 0 AND l_orderkey % 400 >= 175 THEN l_partkey ELSE 150000 + l_orderkey // 400 * 30 + l_partkey % 300 + CASE WHEN l_orderkey % 400 >= 175 THEN 3000 ELSE 0 END END AS mate_pos FROM {lineitem}""",
     "places": """SELECT 'c' || CAST(c_custkey % 24 AS VARCHAR) AS chrom, c_custkey * 10 AS pos FROM {customer}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
