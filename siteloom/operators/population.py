@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .cluster import islands
 from .intervals import near
 
 
 def resolve_types(calls: DataFrame, window: int) -> DataFrame:
-    """calls (chrom, pos, priority, sub_type): those of a lower priority number stand; a later type's call within the window
+    """calls (chrom, pos, priority, sub_type), accepted one type after the other, the least priority number first.
 
-    of one stands only where it is two_side_tprt_both and the first such one isn't, which then goes.
+    Each type's calls are held against those that stand after the types before it, not against each other. A call meets the
+    first of them in [pos - window, pos + window); it stands only where there is none, or where it is two_side_tprt_both
+    and that one isn't, which then goes. Of several calls at one place all stand or go, and one that is strong makes the
+    place so. There are as many steps as types.
     """
-    strong = F.col("sub_type").contains("two_side_tprt_both")
-    rows = calls.withColumn("strong", strong)
-    first = rows.filter("priority = 0")
-    later = rows.filter("priority > 0")
-    met = near(later, first.select("chrom", "pos"), window, "left")
-    base = first.select(F.col("chrom").alias("_c"), F.col("pos").alias("_p"), F.col("strong").alias("_s")).groupBy("_c", "_p").agg(F.bool_or("_s").alias("_s"))
-    met = met.join(base, (F.col("chrom") == F.col("_c")) & (F.col("hit") == F.col("_p")), "left")
-    wins = F.col("strong") & ~F.col("_s")
-    stay = met.filter(F.col("hit").isNull() | wins)
-    beaten = met.filter(F.col("hit").isNotNull() & wins).select(F.col("chrom").alias("_c"), F.col("hit").alias("_p")).distinct()
-    kept = first.join(beaten, (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")), "left_anti")
-    cols = [*calls.columns]
-    return kept.select(cols).unionByName(stay.select(cols))
+    rows = calls.withColumn("strong", F.col("sub_type").contains("two_side_tprt_both"))
+    stands = None
+    for priority in sorted(r[0] for r in calls.select("priority").distinct().collect()):  # the types
+        own = rows.filter(F.col("priority") == priority)
+        stands = written(own if stands is None else _accepted(stands, own, window), "types")
+    return (rows if stands is None else stands).select(*calls.columns)
+
+
+def _accepted(stands: DataFrame, own: DataFrame, window: int) -> DataFrame:
+    met = near(own, stands.select("chrom", "pos"), window, "left")
+    base = stands.groupBy(F.col("chrom").alias("_c"), F.col("pos").alias("_p")).agg(F.bool_or("strong").alias("_s"))
+    here = (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p"))
+    met = met.join(base, (F.col("chrom") == F.col("_c")) & (F.col("hit") == F.col("_p")), "left").withColumn("wins", F.col("strong") & ~F.col("_s"))
+    beaten = met.filter("wins").select(F.col("chrom").alias("_c"), F.col("hit").alias("_p")).distinct()
+    return stands.join(beaten, here, "left_anti").unionByName(met.filter("hit is null or wins").select(*stands.columns))
 
 
 def site_clusters(calls: DataFrame, window: int) -> DataFrame:

@@ -239,8 +239,14 @@ def strand(spark, d):
     return view(spark, d, "records").select("pos", "chrom", rules.strand().alias("strand"))
 
 
-@query("""SELECT chrom, pos, priority, sub_type FROM (SELECT a.*, NOT EXISTS (SELECT 1 FROM m WHERE m.chrom = a.chrom AND m.hit = a.pos AND m.strong AND NOT m.base) AS ok FROM f a) WHERE ok
-  UNION ALL SELECT chrom, pos, priority, sub_type FROM m WHERE hit IS NULL OR (strong AND NOT base)""".join(["SELECT * FROM (WITH f AS (SELECT * FROM calls WHERE priority = 0), l AS (SELECT *, sub_type = 'two_side_tprt_both' AS strong FROM calls WHERE priority > 0), h AS (SELECT l.chrom, l.pos, min(f.pos) AS hit FROM l JOIN f ON f.chrom = l.chrom AND f.pos >= l.pos - 20 AND f.pos < l.pos + 20 GROUP BY ALL), m AS (SELECT l.*, h.hit, (SELECT bool_or(f.sub_type = 'two_side_tprt_both') FROM f WHERE f.chrom = l.chrom AND f.pos = h.hit) AS base FROM l LEFT JOIN h USING (chrom, pos)) ", ")"]), "calls")
+def _accepted(stands: str, p: int) -> str:
+    """One step of the fold over types: what stands after the calls of priority p."""
+    met = f"""(SELECT c.*, c.sub_type = 'two_side_tprt_both' AS strong, (SELECT min(f.pos) FROM {stands} f WHERE f.chrom = c.chrom AND f.pos >= c.pos - 20 AND f.pos < c.pos + 20) AS hit FROM (SELECT chrom, pos, priority, sub_type FROM calls WHERE priority = {p}) c)"""
+    beats = f"m.strong AND NOT EXISTS (SELECT 1 FROM {stands} f WHERE f.chrom = m.chrom AND f.pos = m.hit AND f.sub_type = 'two_side_tprt_both')"
+    return f"""(SELECT chrom, pos, priority, sub_type FROM {met} m WHERE hit IS NULL OR {beats} UNION ALL SELECT chrom, pos, priority, sub_type FROM {stands} s WHERE NOT EXISTS (SELECT 1 FROM {met} m WHERE m.chrom = s.chrom AND m.hit = s.pos AND {beats}))"""
+
+
+@query(f"WITH one AS (SELECT chrom, pos, priority, sub_type FROM calls WHERE priority = 0), two AS {_accepted('one', 1)} SELECT * FROM {_accepted('two', 2)}", "calls")
 def vcf_type_conflict(spark, d):
     return population.resolve_types(view(spark, d, "calls").select("chrom", "pos", "priority", "sub_type"), 20)
 
@@ -630,4 +636,4 @@ def vcf_record(spark, d):
     return lines.join(o.select("o_orderkey", F.when(F.col("o_orderstatus").isin("F", "O") & (F.col("o_custkey") > 0), "keep").otherwise("drop").alias("verdict")), "o_orderkey")
 
 
-from . import alignments, contigs, evidence, orphans, places  # noqa: E402,F401  their queries register themselves
+from . import alignments, contigs, evidence, orphans, places, regions  # noqa: E402,F401  their queries register themselves
