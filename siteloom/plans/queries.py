@@ -33,7 +33,7 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
     return add
 
 
-_PLAIN = ("reads", "repeats", "samples", "cohort", "calls", "records", "evidence", "alns", "places", "flanks", "contigs", "moved")
+_PLAIN = ("reads", "repeats", "samples", "cohort", "calls", "records", "evidence", "alns", "places", "flanks", "contigs", "moved", "parts")
 #: What the oracles build on plain views.
 _DERIVED = {
     "hits": "SELECT DISTINCT r.mate_chrom AS c, r.mate_pos AS p FROM reads r JOIN repeats i ON r.mate_chrom = i.chrom AND r.mate_pos >= i.start AND r.mate_pos < i.\"end\"",
@@ -636,4 +636,4 @@ def vcf_record(spark, d):
     return lines.join(o.select("o_orderkey", F.when(F.col("o_orderstatus").isin("F", "O") & (F.col("o_custkey") > 0), "keep").otherwise("drop").alias("verdict")), "o_orderkey")
 
 
-from . import alignments, contigs, evidence, orphans, places, regions  # noqa: E402,F401  their queries register themselves
+from . import alignments, contigs, evidence, orphans, places, realigned, regions  # noqa: E402,F401  their queries register themselves

@@ -51,6 +51,11 @@ SQL = {
         l_partkey % 43 = 0 AS sec, (l_orderkey % 400 >= 175) <> (l_partkey % 9 = 0) AS rev, CASE WHEN l_returnflag = 'A' THEN 12 + CAST(l_partkey % 20 AS INT) ELSE 0 END AS lead, CASE WHEN l_returnflag = 'R' THEN 12 + CAST(l_partkey % 20 AS INT) ELSE 0 END AS tail, l_suppkey % 3 = 0 AS poly, l_partkey % 11 = 0 AS mate_lost,
         CASE WHEN l_partkey % 31 = 0 THEN 'hs37d5' WHEN l_orderkey // 400 % 5 = 0 AND l_orderkey % 400 >= 175 THEN 'c' || CAST(l_partkey % 24 AS VARCHAR) WHEN l_orderkey // 400 % 11 = 0 THEN 'c' || CAST(l_suppkey % 5 AS VARCHAR) ELSE 'c' || CAST(l_orderkey // 400 % 24 AS VARCHAR) END AS mate_chrom,
         CASE WHEN l_orderkey // 400 % 5 = 0 AND l_orderkey % 400 >= 175 THEN l_partkey ELSE 150000 + l_orderkey // 400 * 30 + l_partkey % 300 + CASE WHEN l_orderkey % 400 >= 175 THEN 3000 ELSE 0 END END AS mate_pos FROM {lineitem}""",
+    # realigned parts of 60 bases on copies (the repeats) with flanks of 30, and on the consensus: by turns clips and mates
+    "parts": """SELECT 'c' || CAST(l_suppkey % 24 AS VARCHAR) AS chrom, l_orderkey - l_orderkey % 100 + 50 AS site, l_orderkey AS ref_pos, 's' || CAST(l_partkey % 3 AS VARCHAR) AS sample, CASE WHEN l_linenumber % 2 = 0 THEN 'L' ELSE 'R' END AS side, l_linestatus = 'F' AS rc, CAST(l_quantity AS INT) AS mapq, l_partkey % 19 = 0 AS lost,
+        CAST(l_partkey % 13 AS INT) AS lead, CAST(l_suppkey % 12 AS INT) AS tail, CAST(l_partkey % 110 AS INT) AS start, p_partkey % 24 AS copy_no, p_partkey AS copy_start, p_partkey + p_size AS copy_end, p_size % 3 = 0 AS copy_rc, p_size * 7 % 300 AS cns_start, p_size * 7 % 300 + p_size AS cns_end, l_suppkey % 4 = 0 AS decoy,
+        l_orderkey % 3 = 0 AS mate_rc, l_orderkey % 2 = 0 AS anchor_rc, l_orderkey + CASE WHEN l_suppkey % 3 = 0 THEN 700 ELSE 4000 END AS src_start, l_orderkey + CASE WHEN l_suppkey % 3 = 0 THEN 1400 ELSE 4900 END AS src_end, CASE l_suppkey % 5 WHEN 0 THEN 'AAAAA' WHEN 1 THEN 'GGCGG' WHEN 2 THEN 'TTATT' WHEN 3 THEN 'CGTCG' ELSE 'AATAA' END || substr(repeat('ACGGTTCAATC', 9), CAST(1 + l_partkey % 11 AS INT), 50)
+          || CASE l_partkey % 5 WHEN 0 THEN 'TTTTT' WHEN 1 THEN 'GGCGG' WHEN 2 THEN 'AAAAA' WHEN 3 THEN 'CGTCG' ELSE 'TTATT' END AS seq FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "places": """SELECT 'c' || CAST(c_custkey % 24 AS VARCHAR) AS chrom, c_custkey * 10 AS pos FROM {customer}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
