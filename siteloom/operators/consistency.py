@@ -133,10 +133,11 @@ def full_length(leftmost: int) -> Column:
     return out
 
 
-def evidence_rules(clip: int, disc: int, insert_size: float, tail: int, ratio: float = 0.35, sva: bool = False, config: Config = Config()) -> tuple[list[tuple[str, Column]], dict[str, Column]]:
+def evidence_rules(clip: int, disc: int, insert_size: float, tail: int, ratio: float = 0.35, sva: bool = False, config: Config = Config(), rna_mediated: bool = True) -> tuple[list[tuple[str, Column]], dict[str, Column]]:
     """(rules, marks) over site records with their clusters, counts and depths.
 
-    Transductions only have to have like depths on both sides. marks, for sites that stay: both_consistent (high
+    Transductions only have to have like depths on both sides. rna_mediated: whether sites of this type are expected to have
+    polyA; if not, its lack drops none, and both sides suffice for high confidence. marks, for sites that stay: both_consistent (high
     confidence), low_confident (a side without evidence and no lower depth there) and hit_end.
     """
     c = F.col
@@ -153,7 +154,7 @@ def evidence_rules(clip: int, disc: int, insert_size: float, tail: int, ratio: f
 
     left, right = lc & rd & meet("lc", "rd"), rc & ld & meet("rc", "ld")
     tailed_disc, tailed_clip = reaches("ld", "rd"), reaches("lc", "rc")
-    no_polya = (c("n_all_lpolya") == 0) & (c("n_all_rpolya") == 0)
+    no_polya = F.lit(rna_mediated) & (c("n_all_lpolya") == 0) & (c("n_all_rpolya") == 0)
     part_clip = (~lc & right_low) | (~rc & left_low)
     plain = ~td
     rules = [

@@ -46,6 +46,28 @@ def final_label() -> Column:
     )
 
 
+def site_label(low_confident: Column | None = None, config: Config = Config()) -> tuple[Column, Column]:
+    """(label, whether it is of high confidence) by the class, polyA dominance, transductions and flanks.
+
+    Two-sided classes come first, then transductions, then those of one side and a half and of one side; with low_confident
+    a one-sided site conflicts with its coverage. A site that was rescued by the flanks of a source has that label, whatever
+    its class. Dominance: the polyA counts are over 0.85 of the raw clips.
+    """
+    kind = category(config)
+    clips = c("n_l_raw") + c("n_r_raw")
+    dominant = F.coalesce((clips > 0) & (F.abs("n_lpolya") + F.abs("n_rpolya") > 0.85 * clips), F.lit(False))
+    flanks = F.coalesce(c("td_src") == "may_two_side_with_one_side_on_flanking", F.lit(False))
+    td = c("td_src").isNotNull() & ~F.coalesce(c("td_src") == "not_transduction", F.lit(True))
+    two, half, tprt = kind.startswith("two_side"), kind.startswith("one_half_side"), kind.contains("tprt")
+    conflict = F.coalesce(low_confident, F.lit(False)) if low_confident is not None else F.lit(False)
+    label = (
+        F.when(flanks, "may_two_side_with_one_side_on_flanking").when(two & dominant, "polyA_dominant_both-side_may_low_confident").when(two, kind).when(td, "one_side_and_half_transduction")
+        .when(half & dominant, "polyA_dominant_one-half-side_may_low_confident").when(half, kind).when((kind == "one_side") & conflict, "one_side_coverage_conflict").when(kind == "one_side", kind)
+        .when(kind == "high_coverage_island", "high_coverage_island_low_confident").otherwise("other_type_low_confident"))
+    sure = F.when(two, ~dominant | tprt).when(td, False).otherwise(half & ~dominant)
+    return label, sure
+
+
 def is_transduction() -> Column:
     return c("td_src").isNotNull() & ~c("td_src").contains("not_transduction") & ~c("td_src").contains("may")
 

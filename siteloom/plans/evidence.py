@@ -96,13 +96,16 @@ def _meet(a: str, b: str) -> str:
     return f"(({a}s - {w} >= {b}s - {w} AND {a}s - {w} <= {b}e + {w}) OR ({a}e + {w} >= {b}s - {w} AND {a}e + {w} <= {b}e + {w}))"
 
 
-@query(f"""SELECT chrom, pos, reason, CASE WHEN reason IS NULL THEN hc END AS high_confident, CASE WHEN reason IS NULL THEN low END AS low_confident, CASE WHEN reason IS NULL THEN fin END AS reaches_end FROM (SELECT *, NOT td AND lok AND rok AND NOT nopa AS hc,
+_FILTER = f"""SELECT chrom, pos, reason, CASE WHEN reason IS NULL THEN hc END AS high_confident, CASE WHEN reason IS NULL THEN low END AS low_confident, CASE WHEN reason IS NULL THEN fin END AS reaches_end FROM (SELECT *, NOT td AND lok AND rok AND NOT nopa AS hc,
   NOT td AND ((n_all_ldisc < 3 AND n_all_rclip <= 0 AND NOT llow) OR (n_all_rdisc < 3 AND n_all_lclip <= 0 AND NOT rlow)) AS low, td OR tdisc OR tclip AS fin,
   CASE WHEN td AND (llow OR rlow) THEN 'td_depth' WHEN NOT td AND NOT lok AND NOT rok THEN 'no_side_consistent' WHEN NOT td AND l AND NOT rdk AND r AND NOT ldk THEN 'clips_without_pairs' WHEN NOT td AND nopa AND l AND r AND NOT tdisc AND NOT tclip THEN 'no_polya'
     WHEN NOT td AND NOT tdisc AND ldk AND rdk AND NOT tclip AND NOT ((NOT l AND rlow) OR (NOT r AND llow)) THEN 'no_end' END AS reason FROM (
   SELECT *, NOT contains(td_src, 'not_transduction') AS td, rcov > 0 AND (rcov - lcov) / rcov >= 0.35 AS llow, lcov > 0 AND (lcov - rcov) / lcov >= 0.35 AS rlow, n_all_lclip >= 2 AS l, n_all_rclip >= 2 AS r, n_all_ldisc >= 3 AS ldk, n_all_rdisc >= 3 AS rdk, n_all_lpolya = 0 AND n_all_rpolya = 0 AS nopa,
     n_all_lclip >= 2 AND n_all_rdisc >= 3 AND {_meet('l', 'dr')} AS lok, n_all_rclip >= 2 AND n_all_ldisc >= 3 AND {_meet('r', 'dl')} AS rok, dle >= 5000 OR dre >= 5000 AS tdisc, le >= 5000 OR re >= 5000 AS tclip FROM (
-  SELECT *, coalesce(lc_start, -1) AS ls, coalesce(lc_end, -1) AS le, coalesce(rc_start, -1) AS rs, coalesce(rc_end, -1) AS re, coalesce(ld_start, -1) AS dls, coalesce(ld_end, -1) AS dle, coalesce(rd_start, -1) AS drs, coalesce(rd_end, -1) AS dre FROM records)))""", "records")
+  SELECT *, coalesce(lc_start, -1) AS ls, coalesce(lc_end, -1) AS le, coalesce(rc_start, -1) AS rs, coalesce(rc_end, -1) AS re, coalesce(ld_start, -1) AS dls, coalesce(ld_end, -1) AS dle, coalesce(rd_start, -1) AS drs, coalesce(rd_end, -1) AS dre FROM records)))"""
+
+
+@query(_FILTER, "records")
 def evidence_filter(spark, d):
     steps, marks = consistency.evidence_rules(2, 3, 550, 5000)
     out = rules.post_filter(view(spark, d, "records"), steps)

@@ -649,4 +649,4 @@ def vcf_record(spark, d):
     return lines.join(o.select("o_orderkey", F.when(F.col("o_orderstatus").isin("F", "O") & (F.col("o_custkey") > 0), "keep").otherwise("drop").alias("verdict")), "o_orderkey")
 
 
-from . import alignments, contigs, evidence, orphans, places, realigned, regions  # noqa: E402,F401  their queries register themselves
+from . import alignments, called, contigs, evidence, orphans, places, realigned, regions  # noqa: E402,F401  their queries register themselves

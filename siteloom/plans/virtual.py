@@ -33,7 +33,7 @@ SQL = {
         l_partkey % 24 AS mate_chrom, l_partkey AS mate_pos, CASE l_partkey % 3 WHEN 0 THEN 'Alu' WHEN 1 THEN 'L1' ELSE 'SVA' END AS family, l_partkey % 700 AS flank_at, CAST(l_quantity AS INT) % 4 AS n_polya,
         CAST(l_quantity AS INT) AS mapq, l_partkey % 40 AS bx, CAST(l_partkey % 4 AS INT) AS phase FROM {lineitem}""",
     # alignments with clips, an insertion or a deletion; the clipped bases of a fifth of them are all A or all T
-    "alns": """SELECT 'q' || CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS qname, 'c' || CAST(l_suppkey % 24 AS VARCHAR) AS chrom, l_orderkey AS pos, CAST(l_quantity AS INT) AS mapq, l_partkey % 29 = 0 AS dup, l_partkey % 31 = 0 AS sec, l_suppkey % 17 = 0 AS sup,
+    "alns": """SELECT 'q' || CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) || '/' || CAST(l_partkey AS VARCHAR) || '/' || CAST(l_suppkey AS VARCHAR) AS qname, 'c' || CAST(l_suppkey % 24 AS VARCHAR) AS chrom, l_orderkey AS pos, CAST(l_quantity AS INT) AS mapq, l_partkey % 29 = 0 AS dup, l_partkey % 31 = 0 AS sec, l_suppkey % 17 = 0 AS sup,
         l_linestatus = 'F' AS rev, l_suppkey % 2 = 0 AS mate_rev, l_partkey % 37 = 0 AS mate_lost, CASE WHEN l_partkey % 37 = 0 THEN NULL WHEN l_partkey % 41 = 0 THEN 'hs37d5' ELSE 'c' || CAST(l_partkey % 24 AS VARCHAR) END AS mate_chrom,
         CASE WHEN l_partkey % 37 > 0 THEN l_partkey * 3 END AS mate_pos, lead, tail, ins, del, 100 - lead - tail - ins AS m, CASE WHEN ins + del > 0 THEN 30 ELSE 100 - lead - tail - ins END AS m1, CAST(l_quantity AS INT) % 40 AS q,
         CASE WHEN l_suppkey % 5 = 0 THEN repeat('A', lead) ELSE substr(repeat('ACGGTTCAATC', 12), CAST(1 + l_partkey % 11 AS INT), lead) END || substr(repeat('ACGGTTCAATC', 12), CAST(1 + l_orderkey % 11 AS INT), 100 - lead - tail)
