@@ -74,3 +74,27 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_
 """
 
 ORACLES |= {"op8_minhash_dedup": MINHASH, "op10_suffix_dedup": REPEATS}
+
+#: The check sum's table by its polynomial, sums over the bytes of each distinct (document, run), and near words by what one deleted letter leaves.
+SPELLING = r"""
+WITH RECURSIVE bits AS (SELECT i, i::UBIGINT AS v, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(3988292384::UBIGINT, v >> 1) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8
+), runs AS (
+  SELECT id, run, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL
+), sums AS (
+  SELECT run, n, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT::UBIGINT)), lambda c, b: xor(t[(xor(c, b) & 255)::INT + 1], c >> 8))) AS h
+  FROM (SELECT run, n, hex(encode(id || ':' || run)) AS h FROM runs), crc
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM sums) GROUP BY word HAVING sum(n) >= 3 AND length(word) >= 5
+), cut AS (SELECT DISTINCT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM words)
+), pairs AS (
+  SELECT DISTINCT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.rest, c.word FROM cut c SEMI JOIN words w ON w.word = c.rest UNION SELECT c.word, c.rest FROM cut c SEMI JOIN words w ON w.word = c.rest
+), best AS (SELECT p.word, count(*) AS n_near, arg_min((p.other, o.n), (-o.n, p.other)) AS b FROM pairs p JOIN words o ON o.word = p.other GROUP BY p.word
+), forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b[2] >= 2 * w.n THEN b[1] END AS form, CASE WHEN b[2] >= 2 * w.n THEN b[2] END AS form_n FROM words w LEFT JOIN best USING (word)
+), way AS (SELECT word, word AS at_, 0 AS k FROM forms UNION ALL SELECT way.word, f.form, k + 1 FROM way JOIN forms f ON f.word = at_ WHERE f.form IS NOT NULL
+)
+SELECT word, form, (SELECT arg_max(at_, k) FROM way WHERE way.word = forms.word) AS root, n, n_near, form_n FROM forms
+"""
+
+ORACLES |= {"op13_spelling_variants": SPELLING}
