@@ -98,7 +98,7 @@ def mate_clusters(df: DataFrame, gap: int, ratio: float = 0.3) -> DataFrame:
     w = Window.partitionBy(*island)
     at = at.withColumn("_n", F.sum("k").over(w)).withColumn("_till", F.sum("k").over(w.orderBy("pos")))
     groups = at.groupBy(*island).agg(F.max("_n").alias("n"), F.min(F.when(F.col("_till") > F.floor(F.col("_n") / 2), F.col("pos"))).alias("mate_pos"))
-    best = groups.groupBy("site").agg(F.max_by(F.struct("chrom", "mate_pos", "n"), F.struct("n", F.negate("chrom") if dict(groups.dtypes)["chrom"] != "string" else F.lit(0), -F.col("island"))).alias("b"), F.sum("n").alias("total"))
+    best = groups.groupBy("site").agg(F.min_by(F.struct("chrom", "mate_pos", "n"), F.struct(F.negate("n"), "chrom", "island")).alias("b"), F.sum("n").alias("total"))
     return best.filter(F.col("b.n") > ratio * F.col("total")).select("site", F.col("b.chrom").alias("mate_chrom"), F.col("b.mate_pos").alias("mate_pos"), F.col("b.n").alias("n"), "total")
 
 

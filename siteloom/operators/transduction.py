@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import max_cover, two_peaks
 from .intervals import near, points_in
 
 
@@ -30,7 +31,7 @@ def pick_source(df: DataFrame, key: list[str], cutoff: int, ratio: float = 0.45,
     others (key, source, n_other): pairs of that source that fit elsewhere too; the unique ones must be over that share.
     """
     counts = df.groupBy(*key, "source").agg(F.count("*").alias("n"))
-    best = counts.groupBy(*key).agg(F.max_by("source", F.struct("n", F.negate("source") if dict(counts.dtypes)["source"] != "string" else F.lit(0))).alias("source"), F.max("n").alias("n"), F.sum("n").alias("total"))
+    best = counts.groupBy(*key).agg(F.min_by("source", F.struct(F.negate("n"), "source")).alias("source"), F.max("n").alias("n"), F.sum("n").alias("total"))
     if others is not None:
         best = best.join(others, [*key, "source"], "left")
     n_other = F.coalesce("n_other", F.lit(0)) if others is not None else F.lit(0)
@@ -45,11 +46,56 @@ def flank_vote(df: DataFrame, key: list[str], flank: int, cutoff: int) -> DataFr
     The 5' flank comes first in the flanks' sequence; a tie is 5'.
     """
     counts = df.groupBy(*key, "source").agg(F.count("*").alias("n"), F.count_if(F.col("at") < flank).alias("n5"), F.count_if(F.col("at") >= flank).alias("n3"))
-    best = counts.groupBy(*key).agg(F.max_by(F.struct("source", "n5", "n3"), F.struct("n", F.negate("source") if dict(counts.dtypes)["source"] != "string" else F.lit(0))).alias("b"))
+    best = counts.groupBy(*key).agg(F.min_by(F.struct("source", "n5", "n3"), F.struct(F.negate("n"), "source")).alias("b"))
     out = best.select(*key, "b.source", "b.n5", "b.n3", (F.col("b.n3") > F.col("b.n5")).alias("is_3"))
     return out.withColumn("is_td", F.greatest("n3", "n5") > cutoff)
 
 
+def called_out(pairs: DataFrame, clips: DataFrame, tails: DataFrame, key: list[str], pos: str, distance: int, ratio: float, orphans: DataFrame | None = None) -> DataFrame:
+    """Transductions of sites: key, is_left, n_disc, td_src, n_clip, clip_pos and n_polya.
+
+    pairs (key, pos, source, ref_at, anchor): of each site's one source, a row each; pos is the site's breakpoint. The side
+    with more anchors counts (of equal ones the right), if its places on the reference are a cluster: that share of them
+    within `distance` after the first. clips (key, side, ref_pos), aligned to flanks, give the densest window of that side;
+    tails (key, n_lpolya, n_rpolya) its polyA. Sites need clips and tails. orphans (key, source, n_left, n_right) take the
+    place of what pairs tell, as right ones.
+    """
+    side = F.when(F.col("anchor") < F.col(pos), "L").otherwise("R")
+    rows = pairs.join(clips.select(*key).distinct(), key, "left_semi").join(tails.select(*key).distinct(), key, "left_semi").withColumn("_side", side)
+    counts = rows.groupBy(*key).agg(F.count_if(F.col("_side") == "L").alias("_l"), F.count_if(F.col("_side") == "R").alias("_r"), F.min("source").alias("source"))
+    chosen = counts.select(*key, "source", F.when(F.col("_l") > F.col("_r"), "L").otherwise("R").alias("_side"), F.greatest("_l", "_r").alias("n_disc"))
+    found = max_cover(rows.join(chosen.select(*key, "_side"), [*key, "_side"]).select(*key, F.col("ref_at").alias("pos")), distance, ratio, key).filter("is_cluster")
+    label = F.concat(F.col("source").cast("string"), F.lit("~"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
+    out = chosen.join(found, key).select(*key, F.col("_side"), "n_disc", label.alias("td_src"))
+    if orphans is not None:
+        own = orphans.join(clips.select(*key).distinct(), key, "left_semi").select(*key, F.lit("R").alias("_side"), (F.col("n_left") + F.col("n_right")).alias("n_disc"), F.concat(F.col("source").cast("string"), F.lit("~orphan")).alias("td_src"))
+        out = out.join(own.select(*key), key, "left_anti").unionByName(own)
+    at = clips.groupBy(*key, F.col("side").alias("_side"), F.col("ref_pos").alias("pos")).agg(F.count("*").alias("n"))
+    peaks = two_peaks(at, [*key, "_side"]).select(*key, "_side", F.col("peak1").alias("clip_pos"), F.col("n1").alias("n_clip"))
+    out = out.join(peaks, [*key, "_side"], "left").join(tails.select(*key, "n_lpolya", "n_rpolya"), key, "left")
+    left = F.col("_side") == "L"
+    return out.select(*key, left.alias("is_left"), "n_disc", "td_src", F.coalesce("n_clip", F.lit(0)).alias("n_clip"), "clip_pos", F.coalesce(F.when(left, F.col("n_lpolya")).otherwise(F.col("n_rpolya")), F.lit(0)).alias("n_polya"))
+
+
+def with_transductions(records: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """Site records with called_out(): its source and counts, its clips, pairs and polyA added to its side, and its breakpoint where it has more clips than that side."""
+    joined = records.join(found.select(*key, *(F.col(c).alias(f"_t_{c}") for c in ("is_left", "n_disc", "td_src", "n_clip", "clip_pos", "n_polya"))), key, "left")
+    has = F.col("_t_td_src").isNotNull()
+
+    def added(name: str, more: str, left: bool) -> Column:
+        here = F.coalesce(F.col("_t_is_left") if left else ~F.col("_t_is_left"), F.lit(False))
+        return F.when(here, F.col(name) + F.col(f"_t_{more}")).otherwise(F.col(name)).cast(dict(records.dtypes)[name])
+
+    def moved(name: str, n: str, left: bool) -> Column:
+        here = F.coalesce(F.col("_t_is_left") if left else ~F.col("_t_is_left"), F.lit(False))
+        return F.when(here & (F.col("_t_n_clip") > F.col(n)), F.col("_t_clip_pos")).otherwise(F.col(name))
+
+    new = {"lclip_pos": moved("lclip_pos", "n_lclip", True), "rclip_pos": moved("rclip_pos", "n_rclip", False), "n_all_lclip": added("n_all_lclip", "n_clip", True), "n_all_rclip": added("n_all_rclip", "n_clip", False),
+           "n_all_rdisc": added("n_all_rdisc", "n_disc", True), "n_all_ldisc": added("n_all_ldisc", "n_disc", False), "n_all_lpolya": added("n_all_lpolya", "n_polya", True), "n_all_rpolya": added("n_all_rpolya", "n_polya", False),
+           "td_src": F.when(has, F.col("_t_td_src")).otherwise(F.col("td_src")), **{f"n_td_{a}": F.when(has, F.col(f"_t_{b}")).otherwise(F.col(f"n_td_{a}")).cast(dict(records.dtypes)[f"n_td_{a}"]) for a, b in (("clip", "n_clip"), ("disc", "n_disc"), ("polya", "n_polya"))}}
+    return joined.select(*(new.get(c, F.col(c)).alias(c) for c in records.columns))
+
+
 def orphan_sides(df: DataFrame, key: list[str], site: str, half: int) -> DataFrame:
     """df (key, the site's position, anchor; one row a pair of its source) -> sites with `half` pairs or more on both sides; an anchor within 5 of the site is to its right."""
     left = F.col("anchor") + 5 < F.col(site)

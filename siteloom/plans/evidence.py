@@ -280,3 +280,26 @@ def flank_rescue(spark, d):
     e = _ev(spark, d).withColumn("n", F.lit(1))
     left, right = (e.filter((F.col("side") == x) & (F.col("mapq") >= 20)).select(*KEY, "n") for x in "LR")
     return transduction.rescued(e.filter("source = 1").select(*KEY, "n"), left, right, KEY, 4, 3)
+
+
+#: Pairs of each site's most frequent source, clips of its sides, and their tails; sites with more reverse anchors than forward ones have an orphan's source as well.
+_OUT = """WITH pairs AS (SELECT e.* FROM evidence e JOIN (SELECT chrom, site, arg_min(source, (-n, source)) AS source FROM (SELECT chrom, site, source, count(*) AS n FROM evidence GROUP BY ALL) GROUP BY ALL) USING (chrom, site, source)),
+  clips AS (SELECT chrom, site, side, ref FROM evidence WHERE mapq > 20), tails AS (SELECT chrom, site, count(*) FILTER (side = 'L' AND n_polya > 0) AS n_lpolya, count(*) FILTER (side = 'R' AND n_polya > 1) AS n_rpolya FROM evidence WHERE n_polya > 0 GROUP BY ALL),
+  chosen AS (SELECT chrom, site, min(source) AS source, CASE WHEN count(*) FILTER (anchor < clip_pos) > count(*) FILTER (anchor >= clip_pos) THEN 'L' ELSE 'R' END AS side, greatest(count(*) FILTER (anchor < clip_pos), count(*) FILTER (anchor >= clip_pos)) AS n_disc FROM pairs SEMI JOIN clips USING (chrom, site) SEMI JOIN tails USING (chrom, site) GROUP BY ALL),
+  cover AS (SELECT chrom, site, arg_max((pos, e, m), (m, -pos)) AS b, sum(k) AS total FROM (SELECT chrom, site, pos, k, sum(k) OVER w - 1 AS m, max(pos) OVER w AS e FROM (SELECT chrom, site, mate_pos AS pos, count(*) AS k FROM pairs p JOIN chosen c USING (chrom, site) WHERE (CASE WHEN p.anchor < p.clip_pos THEN 'L' ELSE 'R' END) = c.side GROUP BY ALL)
+    WINDOW w AS (PARTITION BY chrom, site ORDER BY pos RANGE BETWEEN CURRENT ROW AND 900 FOLLOWING)) GROUP BY ALL),
+  orphans AS (SELECT chrom, site, min(mate_chrom) AS source, count(*) FILTER (side = 'L') AS n_left, count(*) FILTER (side = 'R') AS n_right FROM evidence GROUP BY ALL HAVING count(*) FILTER (anchor_rc) > count(*) FILTER (NOT anchor_rc)),
+  told AS (SELECT chrom, site, side, n_disc, c.source || '~' || b[1] || '-' || b[2] AS td_src FROM chosen c JOIN cover USING (chrom, site) ANTI JOIN orphans USING (chrom, site) WHERE b[3] >= 0.4 * total UNION ALL SELECT chrom, site, 'R', n_left + n_right, source || '~orphan' FROM orphans SEMI JOIN clips USING (chrom, site)),
+  peaks AS (SELECT chrom, site, side, arg_max(pos, (s, -pos)) AS clip_pos, max(s) AS n_clip FROM (SELECT chrom, site, side, pos, sum(k) OVER (PARTITION BY chrom, site, side ORDER BY pos RANGE BETWEEN 7 PRECEDING AND 6 FOLLOWING)::BIGINT AS s FROM (SELECT chrom, site, side, ref AS pos, count(*) AS k FROM clips WHERE ref > 0 GROUP BY ALL)) GROUP BY ALL)
+  SELECT chrom, site, side = 'L' AS is_left, n_disc, td_src, coalesce(n_clip, 0) AS n_clip, clip_pos, coalesce(CASE WHEN side = 'L' THEN n_lpolya ELSE n_rpolya END, 0) AS n_polya FROM told LEFT JOIN peaks USING (chrom, site, side) LEFT JOIN tails USING (chrom, site)"""
+
+
+@query(_OUT, "evidence")
+def td_calls(spark, d):
+    e = _ev(spark, d)
+    best = e.groupBy(*KEY, "source").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.min_by("source", F.struct(F.negate("n"), "source")).alias("source"))
+    pairs = e.join(best, [*KEY, "source"]).select(*KEY, "clip_pos", "source", F.col("mate_pos").alias("ref_at"), "anchor")
+    clips = e.filter("mapq > 20").select(*KEY, "side", F.col("ref").alias("ref_pos"))
+    tails = e.filter("n_polya > 0").groupBy(*KEY).agg(F.count_if(F.col("side") == "L").alias("n_lpolya"), F.count_if((F.col("side") == "R") & (F.col("n_polya") > 1)).alias("n_rpolya"))
+    orphans = e.groupBy(*KEY).agg(F.min("mate_chrom").alias("source"), F.count_if(F.col("side") == "L").alias("n_left"), F.count_if(F.col("side") == "R").alias("n_right"), F.count_if("anchor_rc").alias("rc"), F.count("*").alias("n")).filter("2 * rc > n")
+    return transduction.called_out(pairs, clips, tails, KEY, "clip_pos", 900, 0.4, orphans)

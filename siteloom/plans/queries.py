@@ -649,4 +649,20 @@ def vcf_record(spark, d):
     return lines.join(o.select("o_orderkey", F.when(F.col("o_orderstatus").isin("F", "O") & (F.col("o_custkey") > 0), "keep").otherwise("drop").alias("verdict")), "o_orderkey")
 
 
+#: Every INFO key of a record, and what it is of the virtual records; null values are left out.
+_INFO = {"SVTYPE": "sub_type", "TSDLEN": "tsd", "SUBTYPE": "sub_type", "TD_SRC": "td_src", "LCLIP": "n_lclip", "RCLIP": "n_rclip", "LDISC": "n_ldisc", "RDISC": "n_rdisc", "LPOLYA": "n_lpolya", "RPOLYA": "n_rpolya", "LRAWCLIP": "n_l_raw", "RRAWCLIP": "n_r_raw", "AF_CLIP": "n_af_clip", "AF_FMAP": "n_full_map", "AF_DISC": "n_disc",
+         "AF_CONCORDNT": "n_conc", "LDRC": "ldisc_same", "LDNRC": "ldisc_diff", "RDRC": "rdisc_same", "RDNRC": "rdisc_diff", "NINDEL": "n_indel"}
+
+
+@query(f"""SELECT concat_ws(chr(9), 'chr' || chrom, pos, '.', '.', coalesce('<' || s || '>', '.'), '.', 'PASS', coalesce(nullif(concat_ws(';', {", ".join(f"'{k}=' || {'s' if k == 'SVTYPE' else c}" for k, c in _INFO.items())}), ''), '.'), 'GT', './.') AS value FROM (SELECT *, CASE WHEN within_copy THEN NULL ELSE sub_type END AS s FROM records)""", "records")
+def vcf_lines(spark, d):
+    """Records with nulls among them as lines of ten columns."""
+    from ..sources.sinks import vcf_lines as lines
+
+    v = view(spark, d, "records")
+    keys = set(_INFO.values())
+    v = v.select(F.concat(F.lit("chr"), F.col("chrom").cast("string")).alias("chrom"), "pos", F.when(~F.col("within_copy"), F.col("sub_type")).alias("svtype"), *sorted(keys), F.lit(None).cast("string").alias("genotype"))
+    return lines(v)
+
+
 from . import alignments, called, contigs, evidence, orphans, places, realigned, regions  # noqa: E402,F401  their queries register themselves

@@ -20,11 +20,11 @@ def allele_frequency() -> Column:
 
 
 def vcf_lines(records: DataFrame) -> DataFrame:
-    """Site records -> VCF lines, sorted by contig in natural order and position. Keys without a value are left out."""
+    """Site records -> VCF lines, sorted by contig in natural order and position. Keys without a value are left out; a column without one is "."."""
     have = set(records.columns)
     pairs = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}="), F.col(c).cast("string"))) for k, c in INFO if c in have]
     number = F.regexp_extract("chrom", r"^(?:chr)?(\d+)$", 1).try_cast("int")
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), F.coalesce(F.col("ref") if "ref" in have else F.lit(None).cast("string"), F.lit(".")), F.concat(F.lit("<"), F.col("svtype"), F.lit(">")), F.lit("."), F.lit("PASS"), F.concat_ws(";", *pairs), F.lit("GT"), F.coalesce("genotype", F.lit("./.")))
+    line = F.concat_ws("\t", F.coalesce("chrom", F.lit(".")), F.coalesce(F.col("pos").cast("string"), F.lit(".")), F.lit("."), F.coalesce(F.col("ref") if "ref" in have else F.lit(None).cast("string"), F.lit(".")), F.coalesce(F.concat(F.lit("<"), F.col("svtype"), F.lit(">")), F.lit(".")), F.lit("."), F.lit("PASS"), F.when(F.concat_ws(";", *pairs) != "", F.concat_ws(";", *pairs)).otherwise("."), F.lit("GT"), F.coalesce("genotype", F.lit("./.")))
     return records.select(line.alias("value"), F.coalesce(number, F.lit(10**6)).alias("_n"), "chrom", "pos").orderBy("_n", "chrom", "pos").select("value")
 
 
@@ -52,6 +52,24 @@ def write_sites(records: DataFrame, path: str, high_confident: bool = False) ->
         records.filter("consistent = 'both_end_consistent'").select(line).write.mode("overwrite").text(f"{path}.high_confident")
 
 
+def original_site_lines(records: DataFrame) -> DataFrame:
+    """Records with `site`, the position that they were found by -> text lines of contig, that position, the refined one and both breakpoints; missing ones as -1."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-1")) for c in ("chrom", "site", "pos", "lclip_pos", "rclip_pos")]
+    return records.select(F.concat_ws("\t", *cells).alias("value"))
+
+
+def before_filter_lines(records: DataFrame) -> DataFrame:
+    """Records before the filter -> text lines of contig, position, breakpoints, counts of clips and pairs by side, and the four clusters as start:end; missing ones as -1."""
+    plain = [F.coalesce(F.col(c).cast("string"), F.lit("-1")) for c in ("chrom", "pos", "lclip_pos", "rclip_pos", "n_all_lclip", "n_all_rclip", "n_all_ldisc", "n_all_rdisc")]
+    clusters = [F.concat_ws(":", *(F.coalesce(F.col(f"{x}_{e}").cast("string"), F.lit("-1")) for e in ("start", "end"))) for x in ("lc", "rc", "ld", "rd")]
+    return records.select(F.concat_ws("\t", *plain, *clusters).alias("value"))
+
+
+def deletion_lines(deletions: DataFrame) -> DataFrame:
+    """Paired deletions (chrom, start, end; an open end is -1) -> text lines."""
+    return deletions.select(F.concat_ws("\t", F.coalesce("chrom", F.lit(".")), *(F.coalesce(F.col(c).cast("string"), F.lit("-1")) for c in ("start", "end"))).alias("value"))
+
+
 def write_candidates(df: DataFrame, path: str, decoys: bool = True) -> None:
     """Candidates by contig; without decoys, contigs that aren't chromosomes are left out."""
     (df if decoys else df.filter(~is_decoy(F.col("chrom")))).write.mode("overwrite").partitionBy("chrom").parquet(path)

@@ -204,6 +204,18 @@ def sites(spark: SparkSession, path: str, least_length: int | None = None) -> Da
     return rows.select(*out)
 
 
+def before_filter(spark: SparkSession, path: str) -> DataFrame:
+    """sinks.before_filter_lines() again: -1 is null."""
+    def value(k: int, kind: str) -> Column:
+        v = F.get("f", F.lit(k))
+        return F.when(v != "-1", v).try_cast(kind)
+
+    plain = [value(k, "string" if c == "chrom" else "long").alias(c) for k, c in enumerate(("chrom", "pos", "lclip_pos", "rclip_pos", "n_all_lclip", "n_all_rclip", "n_all_ldisc", "n_all_rdisc"))]
+    ends = [F.split(F.get("f", F.lit(8 + k)), ":")[j].alias(f"{x}_{e}") for k, x in enumerate(("lc", "rc", "ld", "rd")) for j, e in enumerate(("start", "end"))]
+    rows = _fields(spark, path, 12).select(*plain, *ends)
+    return rows.select(*(F.when(F.col(c) != "-1", F.col(c)).try_cast("long").alias(c) if c[:2] in ("lc", "rc", "ld", "rd") and c.endswith(("_start", "_end")) else F.col(c) for c in rows.columns))
+
+
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """Sample metadata; the first entry of a sample counts."""
     rows = _fields(spark, path, 4).withColumn("_k", F.monotonically_increasing_id())
