@@ -23,6 +23,11 @@ def _level(n: Column, bin_: int) -> Column:
     return out
 
 
+def _level_of(n: int, bin_: int) -> int:
+    """The level of intervals of that length."""
+    return next((k for k in range(LEVELS - 1) if n <= SPREAD * bin_ * SPREAD**k), LEVELS - 1)
+
+
 def _width(bin_: int, level: Column) -> Column:
     return F.element_at(F.array(*(F.lit(bin_ * SPREAD**k).cast("long") for k in range(LEVELS))), level + 1)
 
@@ -36,20 +41,24 @@ def _cell(x: Column, width: Column | int) -> Column:
     return F.floor(x / width)
 
 
-def points_in(points: DataFrame, intervals: DataFrame, pos: str = "pos", bin_: int = 128, how: str = "inner", start: str = "start", end: str = "end") -> DataFrame:
+def points_in(points: DataFrame, intervals: DataFrame, pos: str = "pos", bin_: int = 128, how: str = "inner", start: str = "start", end: str = "end", longest: int | None = None) -> DataFrame:
     """points (chrom, pos, ...) with the intervals (chrom, start, end, ...) that hold them, start <= pos < end.
 
-    how: inner, left, left_semi or left_anti. The interval's chrom is dropped.
+    how: inner, left, left_semi or left_anti. The interval's chrom is dropped. longest: a bound on the intervals' lengths
+    where it is known; else a pass over them tells which levels there are.
     """
-    if how == "inner":
-        levels = _levels_of(intervals, bin_, start, end)
-        n = F.col(end) - F.col(start)
+    levels = [_level_of(longest, bin_)] if longest is not None and longest <= SPREAD * bin_ else _levels_of(intervals, bin_, start, end) if longest is None else [*range(_level_of(longest, bin_) + 1)]
+    n = F.col(end) - F.col(start)
+    if how == "inner" or len(levels) <= 1:
         cut = intervals.withColumnRenamed("chrom", "_chrom").filter(n > 0).withColumn("_level", _level(n, bin_)).withColumn("_w", _width(bin_, F.col("_level")))
         cut = cut.withColumn("_bin", F.explode(F.sequence(_cell(F.col(start), F.col("_w")), _cell(F.col(end) - 1, F.col("_w"))))).drop("_w")
-        keys = F.array(*(F.struct(F.lit(k).alias("_pl"), _cell(F.col(pos), bin_ * SPREAD**k).alias("_pb")) for k in levels or [0]))
         hit = (F.col("chrom") == F.col("_chrom")) & (F.col("_pl") == F.col("_level")) & (F.col("_pb") == F.col("_bin")) & (F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))
+        if len(levels) <= 1:  # a point has one row, so any kind of join tells at once
+            k = levels[0] if levels else 0
+            return points.withColumns({"_pl": F.lit(k), "_pb": _cell(F.col(pos), bin_ * SPREAD**k)}).join(cut, hit, how).drop("_pl", "_pb", "_chrom", "_level", "_bin")
+        keys = F.array(*(F.struct(F.lit(k).alias("_pl"), _cell(F.col(pos), bin_ * SPREAD**k).alias("_pb")) for k in levels))
         return points.select("*", F.inline(keys)).join(cut, hit).drop("_pl", "_pb", "_chrom", "_level", "_bin")
-    found = points_in(points.select("chrom", pos).distinct(), intervals, pos, bin_, "inner", start, end).withColumnsRenamed({"chrom": "_c", pos: "_p"})
+    found = points_in(points.select("chrom", pos).distinct(), intervals, pos, bin_, "inner", start, end, longest).withColumnsRenamed({"chrom": "_c", pos: "_p"})
     same = (F.col("chrom") == F.col("_c")) & (F.col(pos) == F.col("_p"))
     if how == "left":
         return points.join(found, same, "left").drop("_c", "_p")
@@ -102,7 +111,7 @@ def neighbours(df: DataFrame, value: Column, order: list[str], key: list[str] |
 def near(a: DataFrame, b: DataFrame, slack: int, how: str = "left_semi", bin_: int | None = None) -> DataFrame:
     """Rows of a with (or without) a site of b in [pos - slack, pos + slack); inner: with hit, the least such site."""
     sites = b.select("chrom", F.col("pos").alias("hit"), (F.col("pos") - slack + 1).alias("start"), (F.col("pos") + slack + 1).alias("end")).distinct()
-    found = points_in(a.select("chrom", "pos").distinct(), sites, "pos", bin_ or max(1, 2 * slack))
+    found = points_in(a.select("chrom", "pos").distinct(), sites, "pos", bin_ or max(1, 2 * slack), longest=2 * slack)
     least = found.groupBy(F.col("chrom").alias("_c"), F.col("pos").alias("_p")).agg(F.min("hit").alias("hit"))
     same = (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p"))
     if how in ("left_semi", "left_anti"):

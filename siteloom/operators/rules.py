@@ -303,9 +303,24 @@ def mosaic_rules(kind: str = "L1") -> list[tuple[str, Column]]:
     ]
 
 
-def post_filter(records: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
-    """records with `reason`, the first rule that drops the row; null where it stays."""
-    return records.withColumn("reason", first_reason(rules))
+def _barrier() -> Column:
+    """0, but the optimizer takes it for non-deterministic, so what it is added to is computed where it stands."""
+    return F.when(F.spark_partition_id() < 0, 1).otherwise(0)
+
+
+def post_filter(records: DataFrame, rules: list[tuple[str, Column]], at_once: bool = False) -> DataFrame:
+    """records with `reason`, the first rule that drops the row; null where it stays.
+
+    at_once: all rules are tested in one projection, which computes what they share once, and the cascade is over their
+    results. This pays where rules share long expressions; else a row needs no test after the first one that drops it.
+    """
+    if not at_once:
+        return records.withColumn("reason", first_reason(rules))
+    tests = {f"_rule_{k}": F.when(F.coalesce(test, F.lit(False)), 1).otherwise(0) + _barrier() for k, (_, test) in enumerate(rules)}
+    reason = None
+    for name, k in ((name, f"_rule_{k}") for k, (name, _) in enumerate(rules)):
+        reason = F.when(F.col(k) == 1, name) if reason is None else reason.when(F.col(k) == 1, name)
+    return records.withColumns(tests).withColumn("reason", reason).drop(*tests)
 
 
 def copy_label(name: str) -> Column:

@@ -358,17 +358,17 @@ _MOSAIC = _cascade([
 
 @query(_L1, "records")
 def postfilter_l1(spark, d):
-    return rules.post_filter(view(spark, d, "records"), rules.l1_rules()).select("chrom", "pos", "reason")
+    return rules.post_filter(view(spark, d, "records"), rules.l1_rules(), at_once=True).select("chrom", "pos", "reason")
 
 
 @query(_ALU, "records")
 def postfilter_alu(spark, d):
-    return rules.post_filter(view(spark, d, "records"), rules.alu_rules()).select("chrom", "pos", "reason")
+    return rules.post_filter(view(spark, d, "records"), rules.alu_rules(), at_once=True).select("chrom", "pos", "reason")
 
 
 @query(_SVA, "records")
 def postfilter_sva(spark, d):
-    return rules.post_filter(view(spark, d, "records"), rules.sva_rules()).select("chrom", "pos", "reason")
+    return rules.post_filter(view(spark, d, "records"), rules.sva_rules(), at_once=True).select("chrom", "pos", "reason")
 
 
 @query(_MOSAIC, "records")
