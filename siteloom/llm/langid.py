@@ -116,7 +116,7 @@ def windows_of(text: str, s: Settings) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, str]], s: Settings = Settings()) -> Network | None:
-    """A network from (text, language) pairs; None without pairs."""
+    """A network from (text, language) pairs; None without pairs. Windows of under 16 bytes teach nothing, so a language of shorter texts alone is a class without a sample."""
     classes = sorted({y for _, y in rows})
     if not classes:
         return None

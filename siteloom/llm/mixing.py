@@ -19,7 +19,8 @@ from .common import WORD, materialise
 
 MOST = 3
 WEIGHTS = (1.0, 2.0, 3.0)
-STEPS = 40
+#: Newton steps, and halvings of the bracket for sources that these don't settle.
+STEPS, HALVINGS = 40, 80
 CORRECTIONS = 5
 SLICES = 1024
 
@@ -50,15 +51,17 @@ def _rate(l: Column, x: Column) -> Column:
     return F.least(F.lit(float(MOST)), F.exp(F.least(l * x, F.lit(50.0))))
 
 
-def multipliers(cells: DataFrame, targets: DataFrame, steps: int = STEPS) -> DataFrame:
+def multipliers(cells: DataFrame, targets: DataFrame, steps: int = STEPS, halvings: int = HALVINGS) -> DataFrame:
     """The dual's multiplier of each source that has words and a target below its cap, by Newton steps kept in a bracket.
 
-    Below: f(l) = sum(size * n * min(3, exp(l * x))) - target rises with l. A step out of the bracket is halved into it.
+    Below: f(l) = sum(size * n * min(3, exp(l * x))) - target rises with l. A step out of the bracket is halved into it. A
+    source that is still off its target after the steps has its bracket halved, until it is on it or the bracket is as
+    narrow as numbers are; one that isn't settled after that raises an error.
     """
     open_ = targets.filter((F.col("source_size") > 0) & (F.col("target") < MOST * F.col("source_size")))
     mean = F.col("source_size") / F.col("docs")
     state = materialise(open_.select("source", "source_size", "target", mean.alias("mean"), F.lit(0.0).alias("l"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"), F.lit(1.0).alias("gap")), "dual")
-    for _ in range(steps):
+    for k in range(steps + halvings):
         x = F.col("size") / F.col("mean")
         rate = _rate(F.col("l"), x)
         words = F.col("size") * F.col("n")
@@ -69,14 +72,15 @@ def multipliers(cells: DataFrame, targets: DataFrame, steps: int = STEPS) -> Dat
         low, high = F.when(f < 0, F.col("l")).otherwise(F.col("low")), F.when(f < 0, F.col("high")).otherwise(F.col("l"))
         step = F.col("l") - f / F.when(F.col("slope") > 0, F.col("slope"))
         # a finite bracket is halved; before there is one, the step may grow by a limit
-        inside = F.when((step > low) & (step < high) & (F.abs(step - F.col("l")) < 5.0), step).otherwise(
+        inside = F.when(F.lit(k < steps) & (step > low) & (step < high) & (F.abs(step - F.col("l")) < 5.0), step).otherwise(
             F.when((low > -1e4) & (high < 1e4), (low + high) / 2).when(f < 0, F.col("l") + 2.0).otherwise(F.col("l") - 2.0))
         gap = F.abs(f) / F.greatest(F.col("target"), F.lit(1.0))
         state = materialise(sums.select("source", "source_size", "target", "mean", F.when(gap < 1e-9, F.col("l")).otherwise(inside).alias("l"), low.alias("low"), high.alias("high"), gap.alias("gap")), "dual", free=False)
-        worst = state.agg(F.max("gap")).first()[0]
+        narrow = F.col("high") - F.col("low") <= 1e-13 * F.greatest(F.abs("low"), F.abs("high"), F.lit(1.0))
+        worst = state.agg(F.max(F.when(narrow, 0.0).otherwise(F.col("gap")))).first()[0]
         if worst is None or worst < 1e-7:
-            break
-    return state.select("source", "l", "mean")
+            return state.select("source", "l", "mean")
+    raise ArithmeticError(f"a source is still off its target by {worst:.3g} of it after {steps} steps and {halvings} halvings")
 
 
 def cell_copies(cells: DataFrame, targets: DataFrame, duals: DataFrame) -> DataFrame:

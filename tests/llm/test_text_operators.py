@@ -249,6 +249,16 @@ def test_dual_against_bisection(spark):
         assert words(r.l) == pytest.approx(targets[s].target, rel=1e-6) and r.l == pytest.approx(low, rel=1e-3, abs=1e-3)
 
 
+def test_dual_by_halving_alone_and_an_error_where_it_isnt_settled(spark):
+    cells = spark.createDataFrame([("a", 1, 40), ("a", 900, 2), ("b", 5, 30), ("b", 80, 9), ("c", 3, 100)], "source string, size long, n long")
+    targets = mixing.source_targets(cells)
+    newton = {r.source: r.l for r in mixing.multipliers(cells, targets).collect()}
+    halved = {r.source: r.l for r in mixing.multipliers(cells, targets, steps=0).collect()}
+    assert halved == pytest.approx(newton, rel=1e-5, abs=1e-6)
+    with pytest.raises(ArithmeticError, match="off its target"):
+        mixing.multipliers(cells, targets, steps=1, halvings=0)
+
+
 def brute_repeats(texts):
     k, seen = repeats.K, {}
     raw = [(t or "").encode() for t in texts]
