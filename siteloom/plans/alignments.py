@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions import cigar as C
 from ..operators import scan
 from ..shared import scratch
 from ..sources import bam
@@ -90,3 +91,27 @@ def poor_clips(spark, d):
   count(*) FILTER (ok) AS n_pairs, coalesce(sum(apart + 100) FILTER (ok), 0)::BIGINT AS sum_x, coalesce(sum((apart + 100) * (apart + 100)) FILTER (ok), 0)::BIGINT AS sum_xx FROM n GROUP BY ALL""", "alns", "places")
 def window_statistics(spark, d):
     return scan.window_statistics(reads(spark, d), view(spark, d, "places"), WINDOW)
+
+
+@query(f"""SELECT qname, pos, lead > 0 AS l, tail > 0 AS r, pos + m + del AS ref_end, pos + m + del AS breakpoint, lead > 8 AND tail > 8 AS both_ends, m / 100.0 AS ratio, nullif(lead, 0) AS n_left, nullif(tail, 0) AS n_right, size > 2 AND (lead > 20 OR tail > 20) AS large_clip, NOT (lead > 8 AND tail > 8) AND m >= 65 AS qualified,
+  size = 1 OR CASE WHEN lead > 0 THEN lead <= 8 AND tail = 0 WHEN tail > 0 THEN tail <= 8 ELSE false END AS nearly_full, ins >= 3 OR del >= 3 AS indel, q < 15 AS low, CASE WHEN lead > 0 THEN lead >= 10 OR (lead >= 7 AND regexp_full_match(substr(seq, 1, lead), 'A+|T+')) END AS length_ok
+  FROM (SELECT *, 1 + (lead > 0)::INT + (tail > 0)::INT + (ins > 0)::INT + (del > 0)::INT + (m > m1)::INT AS size FROM alns)""", "alns")
+def alignment_predicates(spark, d):
+    """What the expressions on CIGARs say of every read."""
+    g = F.col("cigar")
+    return reads(spark, d).select(
+        "qname", "pos", C.left_clipped(g).alias("l"), C.right_clipped(g).alias("r"), C.reference_end(F.col("pos"), g).alias("ref_end"), (C.right_breakpoint(F.col("pos"), g) + F.when(C.right_clipped(g), 0).otherwise(C.last(g)["len"])).alias("breakpoint"), C.both_sides_clipped(g).alias("both_ends"), C.mapped_ratio(g).alias("ratio"),
+        F.length(C.clipped_part(F.col("seq"), g, True)).alias("n_left"), F.length(C.clipped_part(F.col("seq"), g, False)).alias("n_right"), C.large_clip(g, 20).alias("large_clip"), C.qualified(g, 0.65).alias("qualified"), C.nearly_full(g, 8).alias("nearly_full"), C.large_indel(g).alias("indel"),
+        C.low_quality(F.col("qual")).alias("low"), C.clip_length_ok(C.clipped_part(F.col("seq"), g, True)).alias("length_ok"))
+
+
+@query("SELECT qname, pos, q % 4 <= CASE WHEN m >= 100 THEN 2 ELSE 1 END AS few, 'c' || (q % 3) AS alt, q % 2 = 0 AS alt_rc, pos + 7 AS alt_pos, m || 'M' AS alt_cigar FROM alns UNION ALL SELECT qname, pos, q % 4 <= CASE WHEN m >= 100 THEN 2 ELSE 1 END, 'c9', true, mapq, '10S' || m || 'M' FROM alns WHERE q % 5 > 0", "alns")
+def alignment_tags(spark, d):
+    """Mismatches and alternative places from the tags of every read."""
+    v = view(spark, d, "alns")
+    md = F.concat(F.expr("repeat('10C', q % 4)"), F.lit("20^AC0")).alias("md")
+    first = F.concat(F.lit("c"), (F.col("q") % 3).cast("string"), F.lit(","), F.when(F.col("q") % 2 == 0, "-").otherwise("+"), (F.col("pos") + 7).cast("string"), F.lit(","), F.col("m").cast("string"), F.lit("M,0;"))
+    second = F.when(F.col("q") % 5 > 0, F.concat(F.lit("c9,-"), F.col("mapq").cast("string"), F.lit(",10S"), F.col("m").cast("string"), F.lit("M,3;"))).otherwise("")
+    rows = v.select("qname", "pos", "m", md, F.concat(first, second).alias("xa"))
+    rows = rows.select("qname", "pos", C.few_mismatches(F.regexp_replace("md", r"\^[A-Z]+", ""), F.col("m")).alias("few"), F.explode(C.alternatives(F.col("xa"))).alias("x"))
+    return rows.select("qname", "pos", "few", F.col("x.chrom").alias("alt"), F.col("x.is_rc").alias("alt_rc"), F.col("x.pos").alias("alt_pos"), F.col("x.cigar").alias("alt_cigar"))
