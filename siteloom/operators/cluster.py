@@ -62,6 +62,12 @@ def peaks(df: DataFrame, gap: int, extra: list[Column] | None = None) -> DataFra
     return rows.groupBy("chrom", "island").agg(F.max_by("pos", F.struct(clips, -F.col("pos"))).alias("peak"), F.sum("n_l").alias("sum_l"), F.sum("n_r").alias("sum_r"), F.count("*").alias("n_pos"), *(extra or []))
 
 
+def peaks_by_two(df: DataFrame, gap: int) -> DataFrame:
+    """df (chrom, pos, n_clip, n_all) -> one row per island: the position with most clips, of those the one with most of all features, of ties the least; and its clips."""
+    rows = islands(df, gap)
+    return rows.groupBy("chrom", "island").agg(F.max_by(F.struct("pos", "n_clip"), F.struct("n_clip", "n_all", -F.col("pos"))).alias("b")).select("chrom", F.col("b.pos").alias("pos"), F.col("b.n_clip").alias("n_clip"))
+
+
 def peaks_with_deviation(df: DataFrame, gap: int) -> DataFrame:
     """Deviations are of the distance to the island's first position, which keeps sums of squares small."""
     x = (F.col("pos") - F.col("island")).cast("double")

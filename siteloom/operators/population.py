@@ -131,13 +131,34 @@ def natural_order(chrom: Column) -> list[Column]:
 
 
 def site_modes(clusters: DataFrame, names: list[str]) -> DataFrame:
-    """The most frequent value of each named column at every site (chrom, site), and its count; of ties that seen at the least position."""
-    out = None
-    for c in names:
-        counts = clusters.filter(F.col(c).isNotNull()).groupBy("chrom", "site", c).agg(F.count("*").alias("n"), F.min("pos").alias("_first"))
-        best = counts.groupBy("chrom", "site").agg(F.max_by(c, F.struct("n", F.negate("_first"))).alias(c), F.max("n").alias(f"{c}_n"))
-        out = best if out is None else out.join(best, ["chrom", "site"], "full")
-    return out
+    """The most frequent value of each named column at every site (chrom, site), and its count; of ties that seen at the least position.
+
+    All columns are counted in one grouping, by column and value; sites without any value have no row.
+    """
+    kinds = dict(clusters.dtypes)
+    cells = F.array(*(F.struct(F.lit(c).alias("_name"), F.col(c).cast("string").alias("_value")) for c in names))
+    counts = clusters.select("chrom", "site", "pos", F.inline(cells)).filter("_value is not null").groupBy("chrom", "site", "_name", "_value").agg(F.count("*").alias("n"), F.min("pos").alias("_first"))
+
+    def of(c: str) -> Column:
+        return F.max(F.when(F.col("_name") == c, F.struct("n", F.negate("_first").alias("f"), "_value")))
+
+    best = counts.groupBy("chrom", "site").agg(*(of(c).alias(f"_{k}") for k, c in enumerate(names)))
+    return best.select("chrom", "site", *(x for k, c in enumerate(names) for x in (F.col(f"_{k}._value").cast(kinds[c]).alias(c), F.col(f"_{k}.n").alias(f"{c}_n"))))
+
+
+def merged_cohort(calls: DataFrame, samples: DataFrame, window: int, modes: list[str]) -> DataFrame:
+    """Calls of all samples (sample, chrom, pos, dosage, and the columns of modes) -> one row a site of the cohort.
+
+    Calls no more than `window` apart on a contig are one site, at the position that most samples have. an, ac, af over all
+    samples with metadata, by_population the same of each population that has calls there, n_samples, and the modes.
+    """
+    clusters = written(site_clusters(calls, window), "cohort")
+    alleles = allele_counts(clusters, samples)
+    one = F.struct("population", "an", "ac", "af")
+    by = alleles.groupBy("chrom", "site").agg(F.max(F.when(F.col("population") == "ALL", F.struct("an", "ac", "af"))).alias("_a"), F.sort_array(F.collect_list(F.when(F.col("population") != "ALL", one))).alias("by_population"))
+    size = clusters.groupBy("chrom", "site").agg(F.count_distinct("sample").alias("n_samples"))
+    out = size.join(by, ["chrom", "site"], "left").select("chrom", "site", "n_samples", "_a.an", "_a.ac", "_a.af", "by_population")
+    return out.join(site_modes(clusters, modes), ["chrom", "site"], "left")
 
 
 def source_by_population(clusters: DataFrame, samples: DataFrame) -> DataFrame:

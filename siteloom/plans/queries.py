@@ -556,6 +556,18 @@ def clip_disc_join(spark, d):
     return _clips(spark, d).select("chrom", "pos", "n_l", "n_r").join(disc, ["chrom", "pos"])
 
 
+@query("SELECT c.chrom, c.pos, c.n_l, c.n_r, d.n_l AS n_ldisc, d.n_r AS n_rdisc, b.n_bx FROM clips c JOIN (" + _DISC + ") d ON c.chrom = d.chrom AND c.pos = d.pos JOIN (SELECT s.chrom, s.pos, count(DISTINCT bx) AS n_bx FROM sites s JOIN reads r ON r.chrom = s.chrom AND r.pos >= s.pos - 20 AND r.pos < s.pos + 20 GROUP BY ALL HAVING count(DISTINCT bx) <= 3) b ON c.chrom = b.chrom AND c.pos = b.pos", *_CLIP, "sites")
+def clip_disc_barcode(spark, d):
+    """Sites with clips, discordant pairs and few molecules, with all their counts."""
+    return clip_disc_join(spark, d).join(reads.barcode_counts(_sites(spark, d), view(spark, d, "reads"), 20, 3), ["chrom", "pos"])
+
+
+@query("SELECT chrom, b.pos AS pos, b.c AS n_clip FROM (SELECT chrom, island, arg_max({'pos': pos, 'c': n_l + n_r}, (n_l + n_r, n_l + n_r + n_mate, -pos)) AS b FROM isl GROUP BY chrom, island)", *_ISL)
+def peak_two_keys(spark, d):
+    rows = _candidates(spark, d).withColumn("n_clip", F.col("n_l") + F.col("n_r"))
+    return cluster.peaks_by_two(rows.withColumn("n_all", F.col("n_clip") + F.col("n_mate")).select("chrom", "pos", "n_clip", "n_all"), 100)
+
+
 @query("SELECT c.chrom, c.pos, c.n_l - coalesce(f.n_l, 0) AS n_l, c.n_r - coalesce(f.n_r, 0) AS n_r FROM clips c LEFT JOIN (SELECT chrom, pos, count(*) FILTER (side = 'L') AS n_l, count(*) FILTER (side = 'R') AS n_r FROM reads WHERE side IN ('L', 'R') AND mapq >= 40 GROUP BY ALL) f USING (chrom, pos)", *_CLIP)
 def clip_subtract(spark, d):
     failed = reads.clip_counts(view(spark, d, "reads").filter("side IN ('L', 'R') AND mapq >= 40").select("chrom", "pos", "side", F.lit(False).alias("in_repeat")))
@@ -665,4 +677,4 @@ def vcf_lines(spark, d):
     return lines(v)
 
 
-from . import alignments, called, contigs, evidence, orphans, places, realigned, regions  # noqa: E402,F401  their queries register themselves
+from . import alignments, called, contigs, evidence, cohort, orphans, places, realigned, regions  # noqa: E402,F401  their queries register themselves

@@ -180,6 +180,27 @@ def vcf(spark: SparkSession, path: str, main_contigs: bool = False) -> DataFrame
     return out.filter(~F.col("chrom").rlike("HLA|Un|_")) if main_contigs else out
 
 
+def cohort(spark: SparkSession, files: DataFrame, names: list[str]) -> DataFrame:
+    """Calls of many samples' VCF files (files: sample, path, a folder or a file for each) -> sample, chrom, pos, dosage and the named INFO keys.
+
+    dosage is how many alleles of the genotype are 1; unknown ones count as none. Samples whose file doesn't exist raise an error.
+    """
+    listed = files.select("sample", "path").distinct().collect()  # one row a sample
+    if not listed:
+        return spark.createDataFrame([], "sample string, chrom string, pos long, dosage int" + "".join(f", {n} string" for n in names))
+    rows = spark.read.text([r["path"] for r in listed]).select("value", F.col("_metadata.file_path").alias("_file")).filter(~F.col("value").startswith("#"))
+    # a file belongs to the sample whose path its own begins with
+    bare = F.regexp_replace(F.regexp_replace("_file", "^file:/+", "/"), "/[^/]*$", "")
+    at = spark.createDataFrame([(str(r["sample"]), "/" + r["path"].removeprefix("file:").strip("/") if "://" not in r["path"] or r["path"].startswith("file:") else r["path"].rstrip("/")) for r in listed], "sample string, _at string")
+    whole = F.regexp_replace("_file", "^file:/+", "/")
+    f = F.split("value", "\t")
+    own = rows.withColumn("_at", F.explode(F.array(bare, whole))).join(at, "_at")
+    info = F.str_to_map(f[7], F.lit(";"), F.lit("="))
+    gt = F.split(F.get(f, F.lit(9)), ":")[0]
+    dosage = F.coalesce(F.regexp_count(gt, F.lit("1")), F.lit(0))
+    return own.select("sample", f[0].alias("chrom"), f[1].cast("long").alias("pos"), dosage.cast("int").alias("dosage"), *(F.try_element_at(info, F.lit(n)).alias(n) for n in names))
+
+
 def vcf_header(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.col("value").startswith("##")).withColumnRenamed("value", "line")
 
