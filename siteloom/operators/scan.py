@@ -5,7 +5,7 @@ Reads are schema.READ; sites have chrom and pos. All come from one join of reads
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -116,15 +116,23 @@ def window_statistics(reads: DataFrame, sites: DataFrame, window: int, most: int
 
 
 def library(statistics: DataFrame, least: float = 5) -> DataFrame:
-    """window_statistics() -> one row: coverage (the upper median of sites with a depth from `least` on), read length, insert size and its deviation."""
+    """window_statistics() -> one row: coverage (the upper median of sites with a depth from `least` on), read length, insert size and its deviation.
+
+    The median is looked for among whole depths first, then among the depths that begin with that one.
+    """
     d = statistics.withColumn("depth", F.col("lcov") + F.col("rcov"))
-    counts = d.filter(F.col("depth") / 2 >= least).groupBy("depth").agg(F.count("*").alias("n"))
+    counts = d.filter(F.col("depth") / 2 >= least).groupBy("depth").agg(F.count("*").alias("n")).withColumn("_whole", F.floor("depth"))
     total = counts.agg(F.sum("n").alias("all"))
-    from pyspark.sql import Window
 
-    # one row for each depth; the running count of all depths is over these
-    ranked = counts.crossJoin(F.broadcast(total)).withColumn("till", F.sum("n").over(Window.orderBy("depth")))  # total: one row
-    median = ranked.filter(F.col("till") > F.floor(F.col("all") / 2)).agg((F.min("depth") / 2).alias("coverage"))
+    def reached(rows: DataFrame, by: str) -> Column:
+        """Whether more than half of all sites come up to the row; one row a depth."""
+        return F.sum("n").over(Window.orderBy(by)) + F.col("_before") > F.floor(F.col("all") / 2)
+
+    whole = counts.groupBy("_whole").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total)).withColumn("_before", F.lit(0))  # total: one row
+    first = whole.withColumn("_ok", reached(whole, "_whole")).filter("_ok").agg(F.min("_whole").alias("_w"))
+    before = counts.join(F.broadcast(first), F.col("_whole") < F.col("_w")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_before"))  # first: one row
+    there = counts.join(F.broadcast(first), F.col("_whole") == F.col("_w")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(before))  # one row each
+    median = there.withColumn("_ok", reached(there, "depth")).filter("_ok").agg((F.min("depth") / 2).alias("coverage"))
     n, s, q = F.sum("n_pairs"), F.sum("sum_x"), F.sum("sum_xx")
     rest = d.agg(F.mode("read_length", True).alias("read_length"), (s / n).alias("mean_is"), F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))).alias("std_is"))
     return median.crossJoin(rest)  # one row each

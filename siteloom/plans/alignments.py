@@ -115,3 +115,12 @@ def alignment_tags(spark, d):
     rows = v.select("qname", "pos", "m", md, F.concat(first, second).alias("xa"))
     rows = rows.select("qname", "pos", C.few_mismatches(F.regexp_replace("md", r"\^[A-Z]+", ""), F.col("m")).alias("few"), F.explode(C.alternatives(F.col("xa"))).alias("x"))
     return rows.select("qname", "pos", "few", F.col("x.chrom").alias("alt"), F.col("x.is_rc").alias("alt_rc"), F.col("x.pos").alias("alt_pos"), F.col("x.cigar").alias("alt_cigar"))
+
+
+@query(f"""WITH n AS (SELECT *, pos + m + del AS e, abs(pos - mate_pos) AS apart, coalesce(chrom = mate_chrom AND abs(pos - mate_pos) <= 2000, false) AS ok FROM ({_AROUND}) WHERE NOT sup AND NOT sec), w AS (
+  SELECT chrom, site, (sum(greatest(least(e, site) - greatest(pos, site - {WINDOW}), 0)) + sum(greatest(least(e, site + {WINDOW}) - greatest(pos, site), 0))) / {WINDOW}.0 AS depth, count(*) FILTER (ok) AS n, coalesce(sum(apart + 100) FILTER (ok), 0) AS s, coalesce(sum((apart + 100) * (apart + 100)) FILTER (ok), 0) AS q FROM n GROUP BY ALL)
+  SELECT round((SELECT list_sort(list(depth))[1 + count(*) // 2] / 2 FROM w WHERE depth / 2 >= 5), 6) AS coverage, 100 AS read_length, round(sum(s) / sum(n), 6) AS mean_is, round(sqrt(greatest(sum(q) / sum(n) - (sum(s) / sum(n)) ^ 2, 0)), 6) AS std_is FROM w""", "alns", "places")
+def library(spark, d):
+    """One row: what the reads around places tell of the library."""
+    out = scan.library(scan.window_statistics(reads(spark, d), view(spark, d, "places"), WINDOW))
+    return out.select(*(F.round(c, 6).alias(c) if c != "read_length" else F.col(c) for c in out.columns))
