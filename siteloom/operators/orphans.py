@@ -167,14 +167,15 @@ def merged(found: DataFrame, s: Orphans = Orphans()) -> DataFrame:
     return folded.select("chrom", "site", "x.src_chrom", F.least("x.l_pos", "x.r_pos").alias("src_start"), F.greatest("x.l_pos", "x.r_pos").alias("src_end"), *(F.col(f"x.{c}").cast("double" if c.endswith("cov") else "long").alias(c) for c in COUNTERS))
 
 
-def calls(reads: DataFrame, sites: DataFrame, repeats: DataFrame, blacklist: DataFrame, clips: int, pairs: int, s: Orphans = Orphans(), config: Config = Config()) -> DataFrame:
+def calls(reads: DataFrame, sites: DataFrame, repeats: DataFrame, blacklist: DataFrame, clips: int, pairs: int, s: Orphans = Orphans(), config: Config = Config(), at_sources: DataFrame | None = None) -> DataFrame:
     """Records of orphan transductions from reads (schema.READ) around candidate sites (chrom, pos) outside the blacklist.
 
     Over all samples, a site needs half of `clips` on a side and of polyA or polyT there, and half of `pairs` on both sides.
+    at_sources: the reads that tell how well source regions are placed, where they aren't those around the sites.
     """
     kept = points_in(sites.select("chrom", "pos").distinct(), blacklist, how="left_anti")
     found = written(candidates(evidence(reads, kept, repeats, clips, pairs, s, config)), "orphan-candidates")
-    good = merged(well_placed(found, reads, s), s)
+    good = merged(well_placed(found, reads if at_sources is None else at_sources, s), s)
     return good.filter((F.greatest("n_lclip", "n_rclip") >= clips / 2) & (F.greatest("n_lpolya", "n_rpolyt") >= clips / 2) & (F.least("n_l", "n_r") >= pairs / 2))
 
 

@@ -14,17 +14,21 @@ CLIPS, PAIRS = 6, 20
 
 
 def _reads(spark, d):
-    """The virtual reads as schema.READ, and their mates."""
+    """The virtual reads as schema.READ."""
     v = view(spark, d, "moved")
     parts = F.filter(F.array(*(F.struct(F.lit(op).alias("op"), x.cast("int").alias("len")) for op, x in ((4, F.col("lead")), (0, 100 - F.col("lead") - F.col("tail")), (4, F.col("tail"))))), lambda x: x["len"] > 0)
     seq = F.concat(F.when(F.col("poly"), F.expr("repeat('A', lead)")).otherwise(F.expr("substr(repeat('ACGGTTCAATC', 12), 1, lead)")), F.expr("substr(repeat('ACGGTTCAATC', 12), 1, 100 - lead - tail)"), F.when(F.col("poly"), F.expr("repeat('T', tail)")).otherwise(F.expr("substr(repeat('ACGGTTCAATC', 12), 1, tail)")))
     own = {"qname": F.lit("q"), "is_read1": F.lit(True), "is_duplicate": F.lit(False), "is_unmapped": F.lit(False), "mate_is_unmapped": F.col("mate_lost"), "is_secondary": F.col("sec"), "is_supplementary": F.lit(False), "is_reverse": F.col("rev"), "mate_is_reverse": F.lit(False),
            "cigar": parts, "seq": seq, "tlen": F.lit(0), "qual": F.array_repeat(F.lit(30).cast("tinyint"), 100), "tags": F.create_map().cast("map<string,string>")}
-    first = v.select(*(own.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema.READ))
+    return v.select(*(own.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema.READ))
+
+
+def _with_mates(first):
+    """Reads and their mates from 150,000 on, which tell about sources only: sites may lie there too, and see the reads alone."""
     whole = F.array(F.struct(F.lit(0).alias("op"), F.lit(100).alias("len")))
     mate = {"chrom": F.col("mate_chrom"), "pos": F.col("mate_pos"), "mate_chrom": F.col("chrom"), "mate_pos": F.col("pos"), "cigar": whole, "mapq": F.when(F.col("mate_pos") % 15 == 0, 5).otherwise(60), "is_read1": F.lit(False)}
     second = first.filter("not mate_is_unmapped").select(*(mate.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema.READ))
-    return first.unionByName(second.filter("pos >= 150000"))  # others are among the sites
+    return first.unionByName(second.filter("pos >= 150000"))
 
 
 def _sites(spark, d):
@@ -85,8 +89,8 @@ _SUMS = ", ".join(f"CASE WHEN a.sample IS NULL THEN b.{c} WHEN agree THEN a.{c}
   CASE WHEN a.sample IS NULL OR agree THEN b.r_pos ELSE a.r_pos END AS r_pos, {_SUMS} FROM (SELECT * FROM {_PLACED} WHERE sample = 's0') a FULL JOIN (SELECT * FROM {_PLACED} WHERE sample = 's1') b USING (chrom, site), LATERAL (SELECT coalesce(a.r_chrom = b.r_chrom AND abs(a.l_pos - b.l_pos) <= 2000 AND abs(a.r_pos - b.r_pos) <= 2000, false) AS agree))) o
   WHERE greatest(n_lclip, n_rclip) >= 3 AND greatest(n_lpolya, n_rpolyt) >= 3 AND least(n_l, n_r) >= 10 AND NOT EXISTS (SELECT 1 FROM repeats p WHERE p."end" - p.start > 48 AND 'c' || p.chrom = o.chrom AND p.start <= o.site AND o.site < p."end")""", "moved", "repeats")
 def orphan_calls(spark, d):
-    repeats = _repeats(spark, d)
-    return orphans.calls(_reads(spark, d), _sites(spark, d), repeats, repeats.filter("`end` - start > 48"), CLIPS, PAIRS, S)
+    repeats, reads = _repeats(spark, d), _reads(spark, d)
+    return orphans.calls(reads, _sites(spark, d), repeats, repeats.filter("`end` - start > 48"), CLIPS, PAIRS, S, at_sources=_with_mates(reads))
 
 
 @query(f"""SELECT sample, chrom, site FROM {_EVIDENCE} WHERE NOT "inner" """, "moved", "repeats")

@@ -1,13 +1,18 @@
 """Orphan transductions on reads made by hand: each verdict, the fold over samples, the matching."""
 
 import random
+import shutil
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from siteloom import schema
 from siteloom.operators import orphans
+from siteloom.plans.queries import ORACLES, QUERIES
 from test_scan import read
+from verify import rows
 
 S = orphans.Orphans(extend=1000, coverage=30.0)
 
@@ -96,3 +101,18 @@ def test_matching(spark):
     got = sorted((r.source, r.insertion, r.support) for r in orphans.matched(df).collect())
     assert got == want
     assert orphans.matched(df.limit(0)).count() == 0
+
+
+def test_sites_where_mates_lie(spark, tmp_path):
+    """Keys beyond 150,000 put sites where other reads' mates lie: these aren't reads around the sites."""
+    db = duckdb.connect()
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        if p.stem == "lineitem":
+            db.execute(f"COPY (SELECT t.* REPLACE (l_orderkey + k AS l_orderkey) FROM '{p}' t, (VALUES (0), (1500), (149600)) x(k)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+        else:
+            shutil.copy(p, tmp_path)
+        db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{tmp_path}/{p.name}'")
+    df = QUERIES["orphan_evidence"](spark, str(tmp_path))
+    cur = db.execute(ORACLES["orphan_evidence"])
+    got = rows(df.columns, df.collect())
+    assert got and got == rows([x[0] for x in cur.description], cur.fetchall())
