@@ -13,20 +13,12 @@ from ..functions import seq as S
 POLYA_NEAR, TAIL, BORDER = 25, 20, 45
 
 
-def genotype_evidence(near: DataFrame, config: Config = Config()) -> DataFrame:
-    """scan.around() -> one row for each chrom and site: schema.FEATURES but for pos.
-
-    n_af_clip and clip_lens are of the side with more soft clips less than exact_clip_slack from the site (of equal ones the
-    left); n_full_map are fully mapped reads over the site, less those that lie nearly all on that side of it. n_l_raw and
-    n_r_raw are soft clips within tsd_cutoff. A read's place is its right breakpoint if it is clipped there. Discordant
-    pairs count within an insert size, those with an indel wherever they are; concordant ones span the site, and no read of
-    the pair is clipped near it. n_mate_chroms counts contigs of all mates but decoys. Clipped secondary and supplementary
-    reads tell nothing but whether they are fully mapped. clip_lens are in order, an empty list without any.
-    """
-    g, site = F.col("cigar"), F.col("site")
+def told(reads: DataFrame, config: Config = Config()) -> DataFrame:
+    """scan.placed() -> what a read tells of genotypes wherever a site is, in a few short columns: what genotype_evidence() needs of it."""
+    g, pos = F.col("cigar"), F.col("pos")
     extra = F.col("is_secondary") | F.col("is_supplementary")
     lclip, rclip = C.left_clipped(g, hard=False), C.right_clipped(g, hard=False)
-    place = F.when(rclip, C.right_breakpoint(F.col("pos"), g)).otherwise(F.col("pos"))
+    place = F.when(rclip, C.right_breakpoint(pos, g)).otherwise(pos)
     left_part, right_part = F.substring(F.col("seq"), F.lit(1), C.first(g)["len"]), F.right("seq", C.last(g)["len"])
 
     def inner(part: Column, left: bool) -> Column:
@@ -34,34 +26,47 @@ def genotype_evidence(near: DataFrame, config: Config = Config()) -> DataFrame:
         end, start = F.right(part, F.lit(TAIL)), F.substring(part, 1, TAIL)
         return F.when(F.col("is_reverse"), start if left else end).otherwise(end if left else start)
 
+    no = F.lit(False)
     l_ok, r_ok = lclip & ~extra, rclip & ~extra
-    l_near, r_near = l_ok & (F.abs(F.col("pos") - site) < POLYA_NEAR), r_ok & (F.abs(place - site) < POLYA_NEAR)
-    # a right part near the site takes the left one's place
-    looked = F.when(r_near, inner(right_part, False)).when(l_near, inner(left_part, True))
     goes_on = ~((lclip | rclip) & extra)
-    mate = goes_on & ~F.col("mate_is_unmapped") & F.col("mate_chrom").isNotNull() & ~S.is_decoy(F.coalesce("mate_chrom", F.lit("*")))
-    full = C.fully_mapped(g) & (site >= F.col("pos")) & (site <= F.col("pos") + C.first(g)["len"])
-    end = F.col("pos") + C.first(g)["len"]
-    no = F.lit(False)
-    rows = near.select(
-        "chrom", "site", "qname", "mate_chrom", F.coalesce(full, no).alias("full"), F.coalesce(full & (F.abs(F.col("pos") - site) < BORDER), no).alias("full_r"), F.coalesce(full & ~(F.abs(F.col("pos") - site) < BORDER) & (F.abs(end - site) < BORDER), no).alias("full_l"),
-        (l_ok & (F.abs(F.col("pos") - site) < config.tsd_cutoff)).alias("l_raw"), (r_ok & (F.abs(place - site) < config.tsd_cutoff)).alias("r_raw"), F.when(l_ok & (F.abs(F.col("pos") - site) < config.exact_clip_slack), C.first(g)["len"]).alias("l_exact"),
-        F.when(r_ok & (F.abs(place - site) < config.exact_clip_slack), C.last(g)["len"]).alias("r_exact"), F.coalesce(S.consecutive_a_t(looked), no).alias("polya"), F.coalesce(mate, no).alias("mate"),
-        F.coalesce(mate & C.discordant(F.col("chrom"), place, F.col("mate_chrom"), F.col("mate_pos"), config.discordant_distance), no).alias("disc"), C.large_indel(g, config.large_indel).alias("indel"), (F.abs(place - site) <= config.insert_size).alias("close"),
-        F.coalesce(C.spans_site(F.col("chrom"), place, F.col("mate_chrom"), F.col("mate_pos"), site, config.read_length, config.insert_size), no).alias("spans"))
-    key = ["chrom", "site"]
+    mate = F.coalesce(goes_on & ~F.col("mate_is_unmapped") & F.col("mate_chrom").isNotNull() & ~S.is_decoy(F.coalesce("mate_chrom", F.lit("*"))), no)
+    disc = mate & F.coalesce(C.discordant(F.col("chrom"), place, F.col("mate_chrom"), F.col("mate_pos"), config.discordant_distance), no)
+    keep = [c for c in ("site", "start", "end") if c in reads.columns]
+    # a mate that can make a concordant pair, and the contig of any that counts
+    return reads.select(
+        *keep, "chrom", "pos", "qname", place.alias("place"), F.when(l_ok, C.first(g)["len"]).alias("l_len"), F.when(r_ok, C.last(g)["len"]).alias("r_len"), F.when(C.fully_mapped(g), C.first(g)["len"]).alias("full_len"), F.when(mate, F.col("mate_chrom")).alias("mate_chrom"),
+        F.when(mate & ~disc, F.col("mate_pos")).alias("mate_pos"), (mate & ~disc).alias("conc"), disc.alias("disc"), (disc & C.large_indel(g, config.large_indel)).alias("indel"),
+        F.coalesce(l_ok & S.consecutive_a_t(inner(left_part, True)), no).alias("l_polya"), F.coalesce(r_ok & S.consecutive_a_t(inner(right_part, False)), no).alias("r_polya"))
+
+
+def genotype_evidence(near: DataFrame, config: Config = Config()) -> DataFrame:
+    """scan.around() -> one row for each chrom and site: schema.FEATURES but for pos.
+
+    n_af_clip and clip_lens are of the side with more soft clips less than exact_clip_slack from the site (of equal ones the
+    left); n_full_map are fully mapped reads over the site, less those that lie nearly all on that side of it. n_l_raw and
+    n_r_raw are soft clips within tsd_cutoff. A read's place is its right breakpoint if it is clipped there. Discordant
+    pairs count within an insert size, those with an indel wherever they are; concordant ones span the site, and no read of
+    the pair is clipped near it. n_mate_chroms counts contigs of all mates but decoys. Clipped secondary and supplementary
+    reads tell nothing but whether they are fully mapped. clip_lens are in order, an empty list without any.
+    """
+    near = near if "l_polya" in near.columns else told(near, config)
+    pos, place, site, key, no = F.col("pos"), F.col("place"), F.col("site"), ["chrom", "site"], F.lit(False)
+    l_off, r_off = F.abs(pos - site), F.abs(place - site)
+    l_len, r_len, full_len = F.col("l_len"), F.col("r_len"), F.col("full_len")
+    raw = {"l": l_len.isNotNull() & (l_off < config.tsd_cutoff), "r": r_len.isNotNull() & (r_off < config.tsd_cutoff)}
+    exact = {"l": F.when(l_off < config.exact_clip_slack, l_len), "r": F.when(r_off < config.exact_clip_slack, r_len)}
+    full = full_len.isNotNull() & (site >= pos) & (site <= pos + full_len)
+    # a right part near the site takes the left one's place
+    polya = F.when(r_len.isNotNull() & (r_off < POLYA_NEAR), F.col("r_polya")).otherwise(F.col("l_polya") & (l_off < POLYA_NEAR))
+    spans = F.coalesce(F.col("conc") & C.spans_site(F.col("chrom"), place, F.col("mate_chrom"), F.col("mate_pos"), site, config.read_length, config.insert_size), no)
     # concordant pairs by name: none of a name that is clipped near the site
-    names = rows.groupBy(*key, "qname").agg(F.bool_or(F.col("l_raw") | F.col("r_raw")).alias("clipped"), F.count_if(F.col("mate") & ~F.col("disc") & F.col("spans")).alias("k"))
-    conc = names.groupBy(*key).agg(F.sum(F.when(~F.col("clipped"), F.col("k")).otherwise(0)).alias("n_conc"))
-    mates = rows.filter("mate").groupBy(*key, "mate_chrom").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("n_mate_chroms"))
-    n = rows.groupBy(*key).agg(
-        F.count("l_exact").alias("nl"), F.count("r_exact").alias("nr"), F.count_if("full").alias("nf"), F.count_if("full_l").alias("nfl"), F.count_if("full_r").alias("nfr"), F.count_if("l_raw").alias("n_l_raw"), F.count_if("r_raw").alias("n_r_raw"),
-        F.count_if(F.col("disc") & F.col("close")).alias("n_disc"), F.count_if(F.col("disc") & F.col("indel")).alias("n_large_indel"), F.count_if("polya").alias("n_polya"))
-    # lengths by how often each occurs, then the list
-    lens = rows.select(*key, F.inline(F.array(F.struct(F.lit("L").alias("s"), F.col("l_exact").alias("len")), F.struct(F.lit("R").alias("s"), F.col("r_exact").alias("len"))))).filter("len is not null")
-    lens = lens.groupBy(*key, "s", "len").agg(F.count("*").alias("k")).groupBy(*key).agg(*(F.sort_array(F.collect_list(F.when(F.col("s") == s, F.struct("len", "k")))).alias(f"lens_{s}") for s in "LR"))
-    out = n.join(conc, key).join(mates, key, "left").join(lens, key, "left")
+    names = near.filter(raw["l"] | raw["r"] | spans).groupBy(*key, "qname").agg(F.bool_or(raw["l"] | raw["r"]).alias("clipped"), F.count_if(spans).alias("k"))
+    conc = names.filter(~F.col("clipped")).groupBy(*key).agg(F.sum("k").alias("n_conc"))
+    # the lists of lengths are the result's own, contigs of mates are few
+    n = near.groupBy(*key).agg(
+        F.count(exact["l"]).alias("nl"), F.count(exact["r"]).alias("nr"), F.count_if(full).alias("nf"), F.count_if(full & ~(l_off < BORDER) & (F.abs(pos + full_len - site) < BORDER)).alias("nfl"), F.count_if(full & (l_off < BORDER)).alias("nfr"), F.count_if(raw["l"]).alias("n_l_raw"), F.count_if(raw["r"]).alias("n_r_raw"),
+        F.count_if(F.col("disc") & (r_off <= config.insert_size)).alias("n_disc"), F.count_if("indel").alias("n_large_indel"), F.count_if(polya).alias("n_polya"), F.size(F.collect_set("mate_chrom")).alias("n_mate_chroms"), *(F.collect_list(exact[x]).alias(f"lens_{x}") for x in "lr"))
+    out = n.join(conc, key, "left")
     right = F.col("nl") < F.col("nr")
-    chosen = F.coalesce(F.when(right, F.col("lens_R")).otherwise(F.col("lens_L")), F.array().cast("array<struct<len:int,k:bigint>>"))
-    lengths = F.flatten(F.transform(chosen, lambda x: F.array_repeat(x["len"], x["k"].cast("int"))))
-    return out.select(*key, F.greatest("nl", "nr").alias("n_af_clip"), (F.col("nf") - F.when(right, F.col("nfr")).otherwise(F.col("nfl"))).alias("n_full_map"), "n_l_raw", "n_r_raw", "n_disc", "n_conc", "n_large_indel", lengths.alias("clip_lens"), "n_polya", F.coalesce("n_mate_chroms", F.lit(0)).alias("n_mate_chroms"))
+    return out.select(*key, F.greatest("nl", "nr").alias("n_af_clip"), (F.col("nf") - F.when(right, F.col("nfr")).otherwise(F.col("nfl"))).alias("n_full_map"), "n_l_raw", "n_r_raw", "n_disc", F.coalesce("n_conc", F.lit(0)).alias("n_conc"), "n_large_indel",
+                      F.sort_array(F.when(right, F.col("lens_r")).otherwise(F.col("lens_l"))).alias("clip_lens"), "n_polya", F.col("n_mate_chroms").cast("long").alias("n_mate_chroms"))

@@ -89,6 +89,31 @@ def overlaps(a: DataFrame, b: DataFrame, bin_: int = 128) -> DataFrame:
     return out.select(*a.columns, *(f"{c}_b" for c in b.columns))
 
 
+def met(regions: DataFrame, rows: DataFrame, longest: int) -> DataFrame:
+    """rows (chrom, start, end, ...) with the other columns of the regions they overlap, each pair once; start and end go.
+
+    For many rows and few regions, of up to `longest` each: a row stays one row, in the bin of its start at the level of its
+    length, and regions make a row for each bin in which a row that reaches them may start, three or so a level.
+    """
+    width = max(128, 1 << (longest - 1).bit_length())
+    levels = sorted(r[0] for r in rows.filter("end > start").select(_level(F.col("end") - F.col("start"), width / SPREAD).alias("l")).distinct().collect()) or [0]
+    more = [c for c in regions.columns if c not in ("chrom", "start", "end")]
+
+    def cells(k: int) -> Column:
+        w = width * SPREAD**k
+        first = _cell(F.col("start") - w, w)
+        return F.transform(F.sequence(first, _cell(F.col("end") - 1, w)), lambda b: F.struct(F.lit(k).alias("_level"), b.alias("_bin")))
+
+    if levels[-1] == LEVELS - 1:  # of any length: the usual join
+        out = overlaps(regions, rows)
+        return out.select(*more, *(F.col(f"{c}_b").alias(c) for c in rows.columns if c not in ("start", "end")))
+    cut = regions.filter("end > start").select(F.col("chrom").alias("_chrom"), F.col("start").alias("_start"), F.col("end").alias("_end_"), *more, F.inline(F.concat(*map(cells, levels))))
+    level = _level(F.col("end") - F.col("start"), width / SPREAD) if len(levels) > 1 else F.lit(levels[0])
+    dealt = rows.filter("end > start").withColumns({"_l": level, "_b": _cell(F.col("start"), _width(width, level))})
+    meet = (F.col("chrom") == F.col("_chrom")) & (F.col("_l") == F.col("_level")) & (F.col("_b") == F.col("_bin")) & (F.col("start") < F.col("_end_")) & (F.col("_start") < F.col("end"))
+    return dealt.join(cut, meet).select(*more, *(c for c in rows.columns if c not in ("start", "end")))
+
+
 def neighbours(df: DataFrame, value: Column, order: list[str], key: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """df with `_before` and `_after`: value of the row before and of the row after, by the key, in that order (its first column is a position).
 

@@ -11,19 +11,32 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import cigar as C
 from ..functions import seq as S
-from .intervals import overlaps, points_in
+from .intervals import met, points_in
 
 #: Lengths of clipped parts that need nearly only A or T, mapping qualities, and how near a poorly placed clip counts.
 SHORT, LONG_ENOUGH, POOR, NEAR_POOR = 7, 9, 5, 35
 
 
+def placed(reads: DataFrame, duplicates: bool = False) -> DataFrame:
+    """Usable reads with start and end: what sites look at. Whatever a read tells by itself is best told before at()."""
+    usable = reads.filter((F.lit(duplicates) | ~F.col("is_duplicate")) & ~F.col("is_unmapped") & (F.size("cigar") > 0))
+    return usable.withColumns({"start": F.col("pos"), "end": F.greatest(C.reference_end(F.col("pos"), F.col("cigar")), F.col("pos") + 1)})
+
+
+def at(rows: DataFrame, sites: DataFrame, extend: int) -> DataFrame:
+    """rows (chrom, start, end, ...) that overlap [site - extend, site + extend), with the site's position for start and end."""
+    regions = sites.select("chrom", F.col("pos").alias("site"), (F.col("pos") - extend).alias("start"), (F.col("pos") + extend).alias("end")).distinct()
+    return met(regions, rows, 2 * extend)
+
+
 def around(reads: DataFrame, sites: DataFrame, extend: int, duplicates: bool = False) -> DataFrame:
     """reads that overlap [site - extend, site + extend), with the site's position; a read may be at several sites."""
-    regions = sites.select("chrom", F.col("pos").alias("site"), (F.col("pos") - extend).alias("start"), (F.col("pos") + extend).alias("end")).distinct()
-    usable = reads.filter((F.lit(duplicates) | ~F.col("is_duplicate")) & ~F.col("is_unmapped") & (F.size("cigar") > 0))
-    whole = usable.withColumns({"start": F.col("pos"), "end": F.greatest(C.reference_end(F.col("pos"), F.col("cigar")), F.col("pos") + 1)})
-    out = overlaps(regions, whole)
-    return out.select("site", *(F.col(f"{c}_b").alias(c) for c in reads.columns))
+    return at(placed(reads, duplicates), sites, extend).select("site", *reads.columns)
+
+
+def _where(near: DataFrame) -> list[str]:
+    """site after at(), start and end before."""
+    return [c for c in ("site", "start", "end") if c in near.columns]
 
 
 def _sides(config: Config) -> dict[str, Column]:
@@ -44,18 +57,22 @@ def _sides(config: Config) -> dict[str, Column]:
 
 
 def clipped_parts(near: DataFrame, config: Config = Config()) -> DataFrame:
-    """around() -> one row per clipped part to be realigned: site, chrom, breakpoint, side, is_rc, seq, qual.
+    """around() or placed() -> one row per clipped part to be realigned: site (or start and end), chrom, breakpoint, side, is_rc, seq, qual.
 
     Not those of reads that are clipped at both ends, poorly placed, secondary or supplementary; nor parts that are short
     (unless of A or T) or of low quality. Where a left part fails, the right one isn't looked at.
     """
-    rows = near.filter((F.col("mapq") >= config.clip_mapq) & ~C.both_sides_clipped(F.col("cigar"))).withColumns(_sides(config))
+    g = F.col("cigar")
+    clipped = C.left_clipped(g, hard=False) | C.right_clipped(g, hard=False)
+    rows = near.filter((F.col("mapq") >= config.clip_mapq) & clipped & ~C.both_sides_clipped(g))
+    # what reads are asked for again and again stands in one row first
+    rows = rows.select(F.inline(F.array(F.struct(*_where(near), "chrom", "qname", "pos", "is_reverse", "cigar", *(v.alias(k) for k, v in _sides(config).items())))))
 
     def part(side: str, at: Column, x: str) -> Column:
         return F.struct(F.lit(side).alias("side"), at.alias("breakpoint"), F.col(f"_{x}seq").alias("part"), F.col(f"_{x}qual").alias("part_qual"))
 
     parts = F.array_compact(F.array(F.when(F.col("_lok"), part("L", F.col("pos"), "l")), F.when(F.col("_rok") & (~F.col("_l") | F.col("_lok")), part("R", C.right_breakpoint(F.col("pos"), F.col("cigar")), "r"))))
-    return rows.select("site", "chrom", "qname", F.col("is_reverse").alias("is_rc"), F.inline(parts)).withColumnsRenamed({"part": "seq", "part_qual": "qual"})
+    return rows.select(*_where(near), "chrom", "qname", F.col("is_reverse").alias("is_rc"), F.inline(parts)).withColumnsRenamed({"part": "seq", "part_qual": "qual"})
 
 
 def all_clipped_parts(reads: DataFrame, config: Config = Config()) -> DataFrame:
@@ -76,7 +93,7 @@ def all_clipped_parts(reads: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def discordant_pairs(near: DataFrame, config: Config = Config()) -> DataFrame:
-    """around() -> one row per discordant read: its anchor (the breakpoint of a right clip), its mate's place, strands, and which ends are clipped.
+    """around() or placed() -> one row per discordant read: its anchor (the breakpoint of a right clip), its mate's place, strands, and which ends are clipped.
 
     Reads with a clipped part that fails, with a poor mapping quality or with a mate on a decoy contig are left out.
     """
@@ -84,15 +101,21 @@ def discordant_pairs(near: DataFrame, config: Config = Config()) -> DataFrame:
     rows = rows.filter((~F.col("_l") | F.col("_lok")) & (~F.col("_r") | F.col("_rok")) & F.col("mate_chrom").isNotNull() & ~S.is_decoy(F.col("mate_chrom")))
     rows = rows.withColumn("anchor", F.when(F.col("_r"), C.right_breakpoint(F.col("pos"), F.col("cigar"))).otherwise(F.col("pos")))
     rows = rows.filter(C.discordant(F.col("chrom"), F.col("anchor"), F.col("mate_chrom"), F.col("mate_pos"), config.discordant_distance))
-    return rows.select("site", "chrom", "anchor", F.col("is_reverse").alias("is_rc"), F.col("mate_is_reverse").alias("mate_rc"), "mate_chrom", "mate_pos", "qname", (~F.col("is_read1")).alias("mate_is_read1"), F.col("_lok").alias("anchor_lclip"), F.col("_rok").alias("anchor_rclip"))
+    return rows.select(*_where(near), "chrom", "anchor", F.col("is_reverse").alias("is_rc"), F.col("mate_is_reverse").alias("mate_rc"), "mate_chrom", "mate_pos", "qname", (~F.col("is_read1")).alias("mate_is_read1"), F.col("_lok").alias("anchor_lclip"), F.col("_rok").alias("anchor_rclip"))
 
 
 def poor_clips(near: DataFrame, config: Config = Config()) -> DataFrame:
     """around() -> chrom, site, n_low: clipped reads of very low mapping quality with their clip near the site; sites without any have no row."""
+    near = near if "clip_at" in near.columns else poorly_placed(near, config)
+    return near.filter(F.abs(F.col("clip_at") - F.col("site")) < NEAR_POOR).groupBy("chrom", "site").agg(F.count("*").alias("n_low"))
+
+
+def poorly_placed(near: DataFrame, config: Config = Config()) -> DataFrame:
+    """around() or placed() -> where clipped reads of very low mapping quality are clipped."""
     g = F.col("cigar")
     l, r = C.left_clipped(g, hard=False), C.right_clipped(g, hard=False)
-    at = F.when(l, F.col("pos")).when(r, F.col("pos") + config.read_length - C.last(g)["len"])
-    return near.filter((F.col("mapq") < POOR) & (F.abs(at - F.col("site")) < NEAR_POOR)).groupBy("chrom", "site").agg(F.count("*").alias("n_low"))
+    clip = F.when(l, F.col("pos")).when(r, F.col("pos") + config.read_length - C.last(g)["len"])
+    return near.filter((F.col("mapq") < POOR) & clip.isNotNull()).select(*_where(near), "chrom", clip.alias("clip_at"))
 
 
 def window_statistics(reads: DataFrame, sites: DataFrame, window: int, most: int = 2000) -> DataFrame:
@@ -100,19 +123,20 @@ def window_statistics(reads: DataFrame, sites: DataFrame, window: int, most: int
 
     Secondary and supplementary reads don't count.
     """
-    near = around(reads.filter(~F.col("is_secondary") & ~F.col("is_supplementary")), sites, window).withColumn("_end", C.reference_end(F.col("pos"), F.col("cigar")))
-
-    def depth(a: Column, b: Column) -> Column:
-        return F.sum(F.greatest(F.least(F.col("_end"), b) - F.greatest(F.col("pos"), a), F.lit(0))) / window
-
     apart = F.abs(F.col("pos") - F.col("mate_pos"))
-    ok = (F.col("chrom") == F.col("mate_chrom")) & (apart <= most)
-    lengths = near.groupBy("chrom", "site", F.length("seq").alias("len")).agg(F.count("*").alias("k")).groupBy("chrom", "site").agg(F.max_by("len", F.struct("k", F.negate("len"))).alias("read_length"))
-    x = apart + F.col("read_length")
-    sums = near.join(lengths, ["chrom", "site"]).groupBy("chrom", "site").agg(
-        depth(F.col("site") - window, F.col("site")).alias("lcov"), depth(F.col("site"), F.col("site") + window).alias("rcov"), F.max("read_length").alias("read_length"), F.count_if(ok).alias("n_pairs"),
-        F.coalesce(F.sum(F.when(ok, x)), F.lit(0)).alias("sum_x"), F.coalesce(F.sum(F.when(ok, x * x)), F.lit(0)).alias("sum_xx"))
-    return sums
+    told = placed(reads.filter(~F.col("is_secondary") & ~F.col("is_supplementary")))
+    told = told.select("chrom", "start", "end", "pos", C.reference_end(F.col("pos"), F.col("cigar")).alias("_end"), F.length("seq").alias("len"), F.when((F.col("chrom") == F.col("mate_chrom")) & (apart <= most), apart).alias("apart"))
+    near, site = at(told, sites, window), F.col("site")
+
+    def covered(a: Column, b: Column) -> Column:
+        return F.sum(F.greatest(F.least(F.col("_end"), b) - F.greatest(F.col("pos"), a), F.lit(0)))
+
+    # sums of x and x**2 come from those without the read length, which is known after all reads are counted
+    sums = near.groupBy("chrom", "site", "len").agg(
+        covered(site - window, site).alias("lcov"), covered(site, site + window).alias("rcov"), F.count("*").alias("k"), F.count("apart").alias("n"), F.coalesce(F.sum("apart"), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col("apart") * F.col("apart")), F.lit(0)).alias("q"))
+    out = sums.groupBy("chrom", "site").agg(F.max_by("len", F.struct("k", F.negate("len"))).alias("read_length"), *(F.sum(c).alias(c) for c in ("lcov", "rcov", "n", "s", "q")))
+    n, length = F.col("n"), F.col("read_length")
+    return out.select("chrom", "site", (F.col("lcov") / window).alias("lcov"), (F.col("rcov") / window).alias("rcov"), "read_length", n.alias("n_pairs"), (F.col("s") + n * length).alias("sum_x"), (F.col("q") + 2 * length * F.col("s") + n * length * length).alias("sum_xx"))
 
 
 def library(statistics: DataFrame, least: float = 5) -> DataFrame:

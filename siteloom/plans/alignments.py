@@ -52,10 +52,6 @@ def binary_region(spark, d):
     return bam.alignments(spark, _binary(spark, d), "c5:200-9000", columns=("qname", "pos", "cigar")).select("qname", "pos", _spelled(F.col("cigar")).alias("cigar"))
 
 
-def _near(spark, d):
-    return scan.around(reads(spark, d), view(spark, d, "places"), WINDOW)
-
-
 #: Reads at the places that their aligned bases come near to, with what both ends' clipped parts are like.
 _AROUND = f"""SELECT *, lead > 0 AS l, tail > 0 AS r, lead > 8 AND tail > 8 AS both_ends, substr(seq, 1, lead) AS lseq, substr(seq, 101 - tail) AS rseq,
   NOT sup AND NOT sec AND lead >= 7 AND (lead > 9 OR greatest(length(replace(substr(seq, 1, lead), 'A', '')), 0) <= 1 OR length(replace(substr(seq, 1, lead), 'T', '')) <= 1) AND q >= 15 AS lok,
@@ -66,7 +62,7 @@ _AROUND = f"""SELECT *, lead > 0 AS l, tail > 0 AS r, lead > 8 AND tail > 8 AS b
 @query(f"""WITH n AS ({_AROUND}), t AS (SELECT * FROM n WHERE mapq >= 12 AND NOT both_ends)
   SELECT site, chrom, qname, rev AS is_rc, 'L' AS side, pos AS breakpoint, lseq AS seq FROM t WHERE l AND lok UNION ALL SELECT site, chrom, qname, rev, 'R', pos + m + del, rseq FROM t WHERE r AND rok AND (NOT l OR lok)""", "alns", "places")
 def clipped_parts(spark, d):
-    return scan.clipped_parts(_near(spark, d)).drop("qual")
+    return scan.at(scan.clipped_parts(scan.placed(reads(spark, d))).drop("qual"), view(spark, d, "places"), WINDOW)
 
 
 @query("""SELECT chrom, qname, rev AS is_rc, 'L' AS side, pos AS breakpoint, substr(seq, 1, lead) AS seq FROM alns WHERE lead > 0 AND NOT dup AND mapq >= 12 AND q >= 15 AND (lead >= 10 OR (lead >= 7 AND regexp_full_match(substr(seq, 1, lead), 'A+|T+')))
@@ -78,12 +74,12 @@ def all_clipped_parts(spark, d):
 @query(f"""WITH n AS ({_AROUND}) SELECT site, chrom, anchor, rev AS is_rc, mate_rev AS mate_rc, mate_chrom, mate_pos, qname, false AS mate_is_read1, l AND lok AS anchor_lclip, r AND rok AS anchor_rclip
   FROM (SELECT *, CASE WHEN r THEN pos + m + del ELSE pos END AS anchor FROM n) WHERE mapq >= 20 AND NOT both_ends AND NOT mate_lost AND (NOT l OR lok) AND (NOT r OR rok) AND mate_chrom <> 'hs37d5' AND (chrom <> mate_chrom OR abs(mate_pos - anchor) > 2000)""", "alns", "places")
 def discordant_pairs(spark, d):
-    return scan.discordant_pairs(_near(spark, d))
+    return scan.at(scan.discordant_pairs(scan.placed(reads(spark, d))), view(spark, d, "places"), WINDOW)
 
 
 @query(f"""WITH n AS ({_AROUND}) SELECT chrom, site, count(*) AS n_low FROM n WHERE mapq < 5 AND abs(CASE WHEN l THEN pos WHEN r THEN pos + 100 - tail END - site) < 35 GROUP BY ALL""", "alns", "places")
 def poor_clips(spark, d):
-    return scan.poor_clips(_near(spark, d))
+    return scan.poor_clips(scan.at(scan.poorly_placed(scan.placed(reads(spark, d))), view(spark, d, "places"), WINDOW))
 
 
 @query(f"""WITH n AS (SELECT *, pos + m + del AS e, abs(pos - mate_pos) AS apart, coalesce(chrom = mate_chrom AND abs(pos - mate_pos) <= 2000, false) AS ok FROM ({_AROUND}) WHERE NOT sup AND NOT sec)

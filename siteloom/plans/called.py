@@ -82,5 +82,5 @@ def called_records(spark, d):
 
 @query(f"WITH near_reads AS ({_AROUND}) SELECT * FROM {_FEATURES}", "alns", "places")
 def genotype_evidence(spark, d):
-    found = features.genotype_evidence(scan.around(reads(spark, d), view(spark, d, "places"), 50))
+    found = features.genotype_evidence(scan.at(features.told(scan.placed(reads(spark, d))), view(spark, d, "places"), 50))
     return found.withColumn("clip_lens", F.array_join(F.transform("clip_lens", lambda x: x.cast("string")), ":"))

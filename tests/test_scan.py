@@ -10,6 +10,8 @@ from siteloom.config import GERMLINE_CUTOFFS
 from siteloom.functions import cigar as C
 from siteloom.functions import seq as S
 from siteloom.operators import consistency, genotype, parameters, population, rules, scan, transduction
+from siteloom.operators.intervals import met
+from siteloom.plans.queries import QUERIES
 
 OPS = {"M": 0, "I": 1, "D": 2, "S": 4, "H": 5}
 
@@ -131,3 +133,20 @@ def test_fractions_and_presence(spark):
     df = spark.createDataFrame([(0.1, 0.2), (0.05, 0.2), (0.1, None)], "a double, b double")
     assert population.within_fractions(df, ["a", "b"], 0.1, 0.2).count() == 1
     assert [r.dosage for r in population.presence(spark.createDataFrame([("s", "p", "1", 5, 2)], "sample string, population string, chrom string, site long, dosage int")).collect()] == [1]
+
+
+def test_rows_meet_regions_once(spark):
+    """Rows of any length, each one row on its way to the regions, against all pairs."""
+    rng = random.Random(5)
+    lengths = [0, 1, 40, 100, 127, 128, 129, 1000, 1024, 5000, 70_000]
+    rows = [(rng.choice("ab"), (s := rng.randint(-300, 6000)), s + rng.choice(lengths), k) for k in range(400)]
+    regions = [(rng.choice("ab"), (s := rng.randint(-200, 6000)), s + rng.choice([0, 1, 60, 100]), k) for k in range(60)]
+    got = met(spark.createDataFrame(regions, "chrom string, start long, `end` long, site int"), spark.createDataFrame(rows, "chrom string, start long, `end` long, k int"), 100)
+    want = sorted((r[3], x[3]) for r in regions for x in rows if r[0] == x[0] and r[1] < x[2] and x[1] < r[2] and r[1] < r[2] and x[1] < x[2])
+    assert sorted((r.site, r.k) for r in got.collect()) == want and want
+
+
+def test_genotypes_exchange_reads_once(spark):
+    """One aggregation of the reads around sites and one of names, instead of five that each joined reads with sites."""
+    plan = QUERIES["genotype_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 2, plan.count("Join Inner")
