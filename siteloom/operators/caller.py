@@ -17,7 +17,7 @@ from ..config import Config
 from ..functions import seq as S
 from ..shared import written
 from . import consistency, realigned, rules, scan
-from .features import genotype_evidence
+from .features import genotype_evidence, told
 
 KEY = ["chrom", "site"]
 
@@ -46,19 +46,20 @@ def records(reads: DataFrame, sites: DataFrame, clip_hits: DataFrame, pair_hits:
     refined position is the left breakpoint, or the right one where there is no left one or the right side has more clips.
     polyA counts are negative where most are of T. Copy label, gene and genotype are left null.
     """
-    near = written(scan.around(reads, sites, call.extend), "near")
-    parts = scan.clipped_parts(near).select(*KEY, "qname", "side", F.col("breakpoint").alias("ref_pos"), "seq").join(clip_hits, ["qname", "side"])
+    # each of these is told by the reads before they meet the sites, so that few and short rows do
+    whole = scan.placed(reads)
+    parts = scan.at(scan.clipped_parts(whole).drop("qual"), sites, call.extend).select(*KEY, "qname", "side", F.col("breakpoint").alias("ref_pos"), "seq").join(clip_hits, ["qname", "side"])
     as_aligned = F.when(F.col("is_rc"), S.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     clips = written(realigned.clips_on_consensus(parts.withColumns({"seq": as_aligned, "sample": F.lit("")}), config), "clips")
     sides = [consistency.clip_side(clips.filter(F.col("side") == s).select(*KEY, F.col("ref_pos").alias("ref"), "cns"), KEY) for s in "LR"]
-    alone = written(consistency.clips_alone(*sides, KEY, call.clips, scan.poor_clips(near)), "clip-sites")
-    pairs = scan.discordant_pairs(near, config).select(*KEY, "qname", "anchor", F.col("is_rc").alias("anchor_rc"), "mate_rc", "anchor_lclip", "anchor_rclip").join(pair_hits, "qname")
+    alone = written(consistency.clips_alone(*sides, KEY, call.clips, scan.poor_clips(scan.at(scan.poorly_placed(whole), sites, call.extend))), "clip-sites")
+    pairs = scan.at(scan.discordant_pairs(whole, config), sites, call.extend).select(*KEY, "qname", "anchor", F.col("is_rc").alias("anchor_rc"), "mate_rc", "anchor_lclip", "anchor_rclip").join(pair_hits, "qname")
     mates = realigned.pairs_on_consensus(pairs.withColumn("sample", F.lit("")), config)
     mates = mates.join(alone.select(*KEY, F.coalesce("l_peak", "r_peak").alias("clip_pos")), KEY)
     clusters = consistency.pair_clusters(mates, KEY, call.spread, call.share, call.pairs)
     depths = scan.window_statistics(reads, sites, call.window)
     out = consistency.assemble(alone, clusters, depths, KEY, config.tsd_cutoff)
-    out = out.join(realigned.polya_counts(clips), KEY, "left").join(genotype_evidence(near, config), KEY)
+    out = out.join(realigned.polya_counts(clips), KEY, "left").join(genotype_evidence(scan.at(told(whole, config), sites, call.extend), config), KEY)
     zero = F.lit(0)
     for s in "lr":
         n, forward = F.coalesce(f"n_{s}polya", zero), F.coalesce(f"n_{s}polya_forward", zero)
