@@ -152,7 +152,7 @@ def genotype_features(sites: DataFrame, reads: DataFrame, extend: int, slack: in
     return hits.groupBy("chrom", F.col("site").alias("pos")).agg(
         F.count_if(exact & clip).alias("n_af_clip"), F.count_if(exact & ~clip).alias("n_full_map"), F.count_if((F.col("side") == "L")).alias("n_l_raw"), F.count_if((F.col("side") == "R")).alias("n_r_raw"),
         F.count_if(disc).alias("n_disc"), F.count_if(~disc).alias("n_conc"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(exact & clip, F.col("clip_len")))), lambda x: x.cast("string")), ":").alias("clip_lens"),
-        F.count_distinct(F.when(disc, F.col("mate_chrom"))).alias("n_mate_chroms"))
+        F.size(F.collect_set(F.when(disc, F.col("mate_chrom")))).cast("long").alias("n_mate_chroms"))  # contigs are few: no grouping by each
 
 
 def merge_features(parts: DataFrame) -> DataFrame:
