@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import points_in
+from .intervals import SPREAD, _cell, _level, _levels_of, points_in
 
 NONE, UP, DOWN = "not_gene_region", "up_stream", "down_stream"
 
@@ -36,3 +36,28 @@ def annotated(sites: DataFrame, genes: DataFrame, regions: DataFrame, extend: in
     listed = F.sort_array(F.collect_list(F.struct("gene_start", "gene_id", "region")))
     by = found.groupBy(F.col("chrom").alias("_c"), F.col("pos").alias("_p")).agg(F.array_join(F.transform(listed, lambda x: x["region"]), "/").alias("_gene"))
     return sites.join(by, (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")), "left").select(*sites.columns, F.coalesce("_gene", F.lit(NONE)).alias("gene"))
+
+
+def listed_at(sites: DataFrame, genes: DataFrame, extend: int = 1500, bin_: int = 512) -> DataFrame:
+    """sites (chrom, pos, ...) with `gene`, the names of the genes (chrom, start, end, name) there, extended to both sides, by start and name and joined with "/", or NONE, and `last_gene`.
+
+    A bin's genes are one sorted array, from which each of its sites takes those that hold it: sites are dealt once for each
+    level of lengths, and no pair is grouped again. Genes longer than a bin hold one of its ends, so that an array has no
+    more than the results of two sites.
+    """
+    wide = genes.filter("name is not null").select("chrom", F.col("start").alias("_gs"), "name", (F.col("start") - extend).alias("start"), (F.col("end") + extend).alias("end"))
+    n = F.col("end") - F.col("start")
+    out, held = sites, []
+    for k in _levels_of(wide, bin_, "start", "end"):
+        w = bin_ * SPREAD**k
+        cut = wide.filter((n > 0) & (_level(n, bin_) == k)).withColumn("_bin", F.explode(F.sequence(_cell(F.col("start"), w), _cell(F.col("end") - 1, w))))
+        lists = cut.groupBy(F.col("chrom").alias("_c"), "_bin").agg(F.sort_array(F.collect_list(F.struct("_gs", "name", "start", "end"))).alias(f"_of{k}"))
+        out = out.join(lists, (F.col("chrom") == F.col("_c")) & (_cell(F.col("pos"), w) == F.col("_bin")), "left").drop("_c", "_bin")
+        every = F.coalesce(f"_of{k}", F.array().cast(lists.schema[f"_of{k}"].dataType))
+        held.append(F.filter(every, lambda x: (x["start"] <= F.col("pos")) & (F.col("pos") < x["end"])))
+    if not held:
+        return sites.select("*", F.lit(NONE).alias("gene"), F.lit(None).cast("string").alias("last_gene"))
+    every = held[0] if len(held) == 1 else F.sort_array(F.concat(*held))
+    out = out.withColumn("_names", F.transform(every, lambda x: x["name"]))
+    some = F.size("_names") > 0
+    return out.select(*sites.columns, F.when(some, F.array_join("_names", "/")).otherwise(NONE).alias("gene"), F.when(some, F.element_at("_names", -1)).alias("last_gene"))
