@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import cigar as C
-from .intervals import overlaps, points_in
+from .intervals import TILE, overlaps, points_in
 
 
 def mate_in_repeat(reads: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def candidate_filter(sums: DataFrame, clip: int, mate: int, both: bool = False)
 def discordant_sides(sites: DataFrame, reads: DataFrame, extend: int, far: int, mapq: int = 20, bin_: int = 256) -> DataFrame:
     """Discordant reads in [pos - extend, pos) and [pos + 1, pos + extend) of each site; distance is from the region's start."""
     region = sites.select("chrom", F.col("pos").alias("site"), (F.col("pos") - extend).alias("start"), (F.col("pos") + extend).alias("end"))
-    hits = points_in(reads.filter(F.col("mapq") >= mapq).select("chrom", "pos", "mate_chrom", "mate_pos"), region, "pos", bin_)
+    hits = points_in(reads.filter(F.col("mapq") >= mapq).select("chrom", "pos", "mate_chrom", "mate_pos"), region, "pos", bin_, longest=2 * extend)
     begin = F.when(F.col("pos") < F.col("site"), F.col("start")).otherwise(F.col("site") + 1)
     apart = (F.col("mate_chrom") != F.col("chrom")) | (F.abs(F.col("mate_pos") - begin) > far)
     left, right = apart & (F.col("pos") < F.col("site")), apart & (F.col("pos") > F.col("site"))
@@ -127,19 +127,32 @@ def most_frequent(df: DataFrame, value: str, key: list[str]) -> DataFrame:
     return counts.groupBy(*key).agg(F.max_by(value, F.struct("n", F.negate(F.col(value)))).alias("mode"), F.max("n").alias("n"))
 
 
+def _windows(sites: DataFrame, reads: DataFrame, extend: int, sets: dict[str, tuple[int, int]], tile: int = TILE) -> DataFrame:
+    """Distinct sites (chrom, pos) that have reads in [pos - extend, pos + extend), with sets of the barcodes (as structs, so that null is one) in ranges around pos.
+
+    Sites and reads are sorted together, per tile: a site's reads lie next to it, so that no pair of them is made or dealt out.
+    """
+    own = F.floor(F.col("pos") / tile)
+    cells = F.array_distinct(F.array(own, F.floor((F.col("pos") + extend) / tile), F.floor((F.col("pos") - extend + 1) / tile)))
+    told = reads.filter("chrom is not null and pos is not null").select("chrom", "pos", F.struct("bx").alias("_bx"), F.explode(cells).alias("_tile"))
+    asked = sites.filter("chrom is not null and pos is not null").select("chrom", "pos").distinct()
+    rows = told.unionByName(asked.withColumn("_tile", own), allowMissingColumns=True)
+    by = Window.partitionBy("chrom", "_tile").orderBy("pos")
+    found = rows.withColumns({name: F.collect_set("_bx").over(by.rangeBetween(first, last)) for name, (first, last) in sets.items()})
+    return found.filter(F.col("_bx").isNull() & (sum((F.size(name) for name in sets), F.lit(0)) > 0)).select("chrom", "pos", *sets)
+
+
 def barcode_counts(sites: DataFrame, reads: DataFrame, extend: int, most: int) -> DataFrame:
     """Distinct barcodes within extend of a site, where there are no more than `most`."""
-    region = sites.select("chrom", F.col("pos").alias("site"), (F.col("pos") - extend).alias("start"), (F.col("pos") + extend).alias("end"))
-    hits = points_in(reads.select("chrom", "pos", "bx"), region)
-    return hits.groupBy("chrom", F.col("site").alias("pos")).agg(F.count_distinct("bx").alias("n_bx")).filter(F.col("n_bx") <= most)
+    near = _windows(sites, reads, extend, {"_b": (-extend, extend - 1)})
+    return near.select("chrom", "pos", F.size(F.filter("_b", lambda x: x["bx"].isNotNull())).cast("long").alias("n_bx")).filter(F.col("n_bx") <= most)
 
 
 def barcode_overlap(sites: DataFrame, reads: DataFrame, extend: int) -> DataFrame:
     """How many barcodes the left and right neighbourhoods of a site share, and how many only one has."""
-    region = sites.select("chrom", F.col("pos").alias("site"), (F.col("pos") - extend).alias("start"), (F.col("pos") + extend).alias("end"))
-    hits = points_in(reads.select("chrom", "pos", "bx"), region)
-    sides = hits.groupBy("chrom", "site", "bx").agg(F.bool_or(F.col("pos") < F.col("site")).alias("l"), F.bool_or(F.col("pos") >= F.col("site")).alias("r"))
-    return sides.groupBy("chrom", F.col("site").alias("pos")).agg(F.count_if(F.col("l") & F.col("r")).alias("n_shared"), F.count_if(F.col("l") != F.col("r")).alias("n_different"))
+    near = _windows(sites, reads, extend, {"_l": (-extend, -1), "_r": (0, extend - 1)})
+    both = F.size(F.array_intersect("_l", "_r")).cast("long")
+    return near.select("chrom", "pos", both.alias("n_shared"), (F.size("_l") + F.size("_r") - 2 * both).alias("n_different"))
 
 
 def genotype_features(sites: DataFrame, reads: DataFrame, extend: int, slack: int = 3) -> DataFrame:
