@@ -77,29 +77,27 @@ def qualified_share(cigar: Column) -> Column:
     return F.coalesce(mapped_ratio(cigar), F.lit(0.0))
 
 
-def _steps(cigar: Column) -> Column:
-    """The elements with where each begins in the sequence and, from 0, on the reference: (op, len, at, on)."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("on"), F.array().cast("array<struct<op:int,len:int,at:int,on:int>>").alias("done"))
+def _place(cigar: Column, asked: Column, of: str, to: str) -> Column:
+    """What lies at a place of `of`, told in `to`, for at (bases of the sequence) and on (of the reference, from 0); null outside of matches. The first element that holds it counts."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("on"), F.lit(None).cast("long").alias("hit"))
 
     def step(s: Column, x: Column) -> Column:
+        here = x["op"].isin(0, 7, 8) & (s[of] <= asked) & (asked < s[of] + x["len"])
         return F.struct(
             (s["at"] + F.when(x["op"].isin(0, 1, 4, 7, 8), x["len"]).otherwise(0)).alias("at"), (s["on"] + F.when(x["op"].isin(0, 2, 3, 7, 8), x["len"]).otherwise(0)).alias("on"),
-            F.concat(s["done"], F.array(F.struct(x["op"].alias("op"), x["len"].alias("len"), s["at"].alias("at"), s["on"].alias("on")))).alias("done"))
+            F.coalesce(s["hit"], F.when(here, (s[to] + asked - s[of]).cast("long"))).alias("hit"))
 
-    return F.aggregate(cigar, start, step, lambda s: s["done"])
+    return F.aggregate(cigar, start, step, lambda s: s["hit"])
 
 
 def to_reference(pos: Column, cigar: Column, at: Column) -> Column:
     """Where a base of the sequence (from 0) lies on the reference; null for clipped and inserted bases and beyond the ends."""
-    hit = F.get(F.filter(_steps(cigar), lambda x: x["op"].isin(0, 7, 8) & (x["at"] <= at) & (at < x["at"] + x["len"])), F.lit(0))
-    return pos + hit["on"] + at - hit["at"]
+    return pos + _place(cigar, at, "at", "on")
 
 
 def to_sequence(pos: Column, cigar: Column, on: Column) -> Column:
     """Which base of the sequence (from 0) lies at a place of the reference; null for deleted bases and beyond the ends."""
-    off = on - pos
-    hit = F.get(F.filter(_steps(cigar), lambda x: x["op"].isin(0, 7, 8) & (x["on"] <= off) & (off < x["on"] + x["len"])), F.lit(0))
-    return hit["at"] + off - hit["on"]
+    return _place(cigar, on - pos, "on", "at")
 
 
 def nearly_full(cigar: Column, n: int) -> Column:
