@@ -38,6 +38,19 @@ def test_layers_on_held_out_records(records):
     assert genotype.predict_layers(model, rest.limit(0)).count() == 0
 
 
+def test_records_are_dealt_once(records, monkeypatch):
+    """Forests of all levels and folds read rows that are kept: no fit deals them anew."""
+    plans, fit = [], genotype.RandomForestClassifier.fit
+
+    def seen(self, df, *more):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return fit(self, df, *more)
+
+    monkeypatch.setattr(genotype.RandomForestClassifier, "fit", seen)
+    genotype.train_layers(records, levels=2, trees=3, depth=2)
+    assert len(plans) == 12 and all("Repartition" not in p.split("InMemoryRelation")[0] and "InMemoryRelation" in p for p in plans)
+
+
 def test_unknown_labels_and_zero_coverage(records, spark):
     odd = records.limit(20).withColumns({"lcov": F.lit(0.0), "genotype": F.lit("?")})
     model = genotype.train_layers(records.filter("pos < 300").unionByName(odd), levels=1, trees=5, depth=3)
