@@ -82,3 +82,12 @@ def test_a_query_of_frequent_seeds_only(spark):
     assert used.count() == 2  # its rarest, though all are frequent
     n = np.array([r.n for r in seeds.hits(used, seeds.seeds(t)).collect()])
     assert len(n) == 300 and (n == 2).all()
+
+
+def test_targets_are_read_once(spark):
+    """Only seeds that a query has too are counted and hit; what finds them isn't part of later plans."""
+    t = spark.createDataFrame([("a", "ACGTTGCATTGACCAGTATTACGGATCCAGTTTGACA" * 2), ("b", "TTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTTT")], "id string, seq string")
+    for df in (seeds.placed(t.limit(1), t), seeds.exact_places(t.limit(1), t)):
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    q, kept = seeds.met(t.limit(1), t, 15, 10, False)
+    assert {r.id for r in kept.collect()} == {"a"} and kept.count() == q.count()
