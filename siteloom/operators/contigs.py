@@ -8,7 +8,7 @@ inserted bases are cut out after one join with the contigs: nothing is paired up
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
@@ -81,7 +81,8 @@ def inserted(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
     left = cut("left", "l", F.when(F.col("l.is_rc"), 0).otherwise(F.col("l.start") + F.col("l.n")), F.when(F.col("l.is_rc"), F.col("l.start")).otherwise(end))
     right = cut("right", "r", F.when(F.col("r.is_rc"), F.col("r.start") + F.col("r.n")).otherwise(0), F.when(F.col("r.is_rc"), end).otherwise(F.col("r.start")))
     cuts = F.when(F.col("verdict") == "strict", F.array(cut("whole", "l", F.col("first"), F.col("last")))).when(F.col("verdict") == "loose", F.array_compact(F.array(left, right)))
-    parts = pairs.select(*SITE, "group", F.inline(cuts)).join(contigs.select(*SITE, "group", "contig", F.col("seq").alias("_seq")), [*SITE, "group", "contig"])
+    # the cuts are hashed, so that contigs pass by unsorted
+    parts = contigs.select(*SITE, "group", "contig", F.col("seq").alias("_seq")).join(pairs.select(*SITE, "group", F.inline(cuts)).hint("shuffle_hash"), [*SITE, "group", "contig"])
     seq = F.substring(F.col("_seq"), (F.col("first") + 1).cast("int"), (F.coalesce("last", F.length("_seq")) - F.col("first")).cast("int"))
     return parts.select(*SITE, "group", "part", "contig", seq.alias("seq")).filter(F.col("seq") != "")
 
@@ -94,12 +95,13 @@ def labelled(parts: DataFrame, groups: DataFrame) -> DataFrame:
     """
     long = parts.join(groups.select(*SITE).distinct(), SITE, "left_semi").filter(F.length("seq") >= LEAST_INSERT)
     first = F.col("group").eqNullSafe("all") & (F.col("part") == "whole")
-    ended = long.filter(first).select(*SITE).distinct().withColumn("_both", F.lit(True))
+    # a window, as it reads the cut parts once
+    long = long.withColumn("_both", F.max(first).over(Window.partitionBy(*SITE)))
     order = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("group"))
     side = F.when(F.col("part") == "left", "L").when(F.col("part") == "right", "R").otherwise("")
     label = F.when(first, WHOLE).otherwise(F.concat(F.element_at(F.create_map(*(F.lit(x) for kv in GROUPS.items() for x in kv)), F.col("group")), side))
     rank = order * 3 + F.when(F.col("part") == "left", 1).when(F.col("part") == "right", 2).otherwise(0)
-    return long.join(ended, SITE, "left").filter(F.col("_both").isNull() | first).select(*SITE, label.alias("label"), rank.cast("int").alias("rank"), "seq")
+    return long.filter(~F.coalesce("_both", F.lit(False)) | first).select(*SITE, label.alias("label"), rank.cast("int").alias("rank"), "seq")
 
 
 def called(labels: DataFrame, copies: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..operators import contigs
+from ..shared import written
 from .queries import query
 from .virtual import view
 
@@ -69,9 +70,9 @@ def contig_labels(spark, d):
 
 @query(f"""SELECT chrom, pos, arg_max(label, rank) AS label, arg_max(m, rank)::INT AS n, right(arg_max(label, rank), 1) NOT IN ('L', 'R') AS "both" FROM (SELECT *, length(seq) - length(seq) * (pos % 7) // 8 AS m FROM {_LABELLED}) WHERE m / length(seq) >= 0.5 GROUP BY chrom, pos""", "flanks", "contigs")
 def contig_calls(spark, d):
-    labels = _labels(spark, d)
-    off = F.floor(F.length("seq") * (F.col("pos") % 7) / 8).cast("int")
-    parts = F.filter(F.array(F.struct(F.lit(0).alias("op"), (F.length("seq") - off).alias("len")), F.struct(F.lit(4).alias("op"), off.alias("len"))), lambda x: x["len"] > 0)
+    labels = written(_labels(spark, d).select("chrom", "pos", "label", "rank", F.length("seq").alias("n")), "labels")  # read twice
+    off = F.floor(F.col("n") * (F.col("pos") % 7) / 8).cast("int")
+    parts = F.filter(F.array(F.struct(F.lit(0).alias("op"), (F.col("n") - off).alias("len")), F.struct(F.lit(4).alias("op"), off.alias("len"))), lambda x: x["len"] > 0)
     none = F.lit(False)
     copies = labels.select("chrom", "pos", "label", parts.alias("cigar"), none.alias("is_secondary"), none.alias("is_supplementary"), none.alias("is_unmapped"), none.alias("is_duplicate"))
     return contigs.called(labels, copies)

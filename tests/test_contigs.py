@@ -96,3 +96,10 @@ def test_walk_both_ways(spark):
     back = {v: k for k, v in want.items() if v is not None} | {99: None, 120: None, 122: None, 133: None}
     row = df.select(*(C.to_sequence(F.col("pos"), F.col("cigar"), F.lit(k)).alias(str(k)) for k in back)).first()
     assert row.asDict() == {str(k): v for k, v in back.items()}
+
+
+def test_parts_are_read_once(spark):
+    parts = spark.createDataFrame([("1", 5, "all", "whole", "a", "A" * 40), ("1", 5, "hap1", "left", "a", "A" * 40), ("1", 9, "hap1", "left", "a", "A" * 40), ("1", 9, None, "left", "a", "A" * 40)], "chrom string, pos long, group string, part string, contig string, seq string")
+    got = contigs.labelled(parts, parts.select("chrom", "pos"))
+    assert sorted((r.pos, r.label or "") for r in got.collect()) == [(5, "homoTEI"), (9, ""), (9, "hap1L")]
+    assert "Join LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
