@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -143,6 +144,14 @@ def bin_of(start: int, end: int) -> int:
     return 0
 
 
+def bins_of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """bin_of() of many."""
+    out, last = np.zeros(len(start), np.int64), np.maximum(end, start + 1) - 1
+    for first, shift in LEVELS:
+        out = np.where(start >> shift == last >> shift, first + (start >> shift), out)
+    return out
+
+
 class Index:
     """For each contig the ranges of virtual offsets by bin, and the least offset of reads that overlap each window."""
 
@@ -522,6 +531,25 @@ class BlockWriter:
             self.held = rest
         return begin
 
+    def add_all(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each record begins and where the next may; data holds records, record k from offsets[k] on."""
+        n = len(offsets) - 1
+        begin, after, i = np.empty(n, np.int64), np.empty(n, np.int64), 0
+        while i < n:
+            j = int(np.searchsorted(offsets, offsets[i] + BLOCK - len(self.held), "right")) - 1
+            if j > i:
+                here = self.place() - int(offsets[i])
+                begin[i:j], after[i:j] = offsets[i:j] + here, offsets[i + 1 : j + 1] + here
+                self.held += data[offsets[i] : offsets[j]]
+                i = j
+            elif self.held:
+                self.flush()
+            else:  # longer than a block
+                begin[i] = self.add(data[offsets[i] : offsets[i + 1]])
+                after[i] = self.place()
+                i += 1
+        return begin, after
+
     def flush(self) -> None:
         if self.held:
             z = zlib.compressobj(6, zlib.DEFLATED, -15)
@@ -540,15 +568,26 @@ class IndexWriter:
     def __init__(self, n: int):
         self.contigs: list[tuple[dict[int, list[list[int]]], dict[int, int]]] = [({}, {}) for _ in range(n)]
 
-    def add(self, ref: int, start: int, end: int, begin: int, after: int) -> None:
-        found, windows = self.contigs[ref]
-        chunks = found.setdefault(bin_of(start, end), [])
-        if chunks and begin >> 16 == chunks[-1][1] >> 16:
-            chunks[-1][1] = after
-        else:
-            chunks.append([begin, after])
-        for w in range(start >> 14, (max(end, start + 1) - 1 >> 14) + 1):
-            windows.setdefault(w, begin)
+    def add(self, ref: np.ndarray, start: np.ndarray, end: np.ndarray, begin: np.ndarray, after: np.ndarray) -> None:
+        """Records in their order: a chunk for each run of one bin within a block."""
+        some = (ref >= 0) & (start >= 0)
+        ref, start, end, begin, after = (x[some] for x in (ref, start, end, begin, after))
+        if not len(ref):
+            return
+        bins = bins_of(start, end)
+        new = np.flatnonzero(np.concatenate([[True], (ref[1:] != ref[:-1]) | (bins[1:] != bins[:-1]) | (begin[1:] >> 16 != begin[:-1] >> 16)]))
+        for r, number, x, y in zip(ref[new].tolist(), bins[new].tolist(), begin[new].tolist(), after[np.append(new[1:], len(ref)) - 1].tolist()):
+            chunks = self.contigs[r][0].setdefault(number, [])
+            if chunks and x >> 16 == chunks[-1][1] >> 16:
+                chunks[-1][1] = y
+            else:
+                chunks.append([x, y])
+        first = start >> 14
+        many = (np.maximum(end, start + 1) - 1 >> 14) - first + 1
+        window, of = _ragged(first, many), np.repeat(np.arange(len(ref)), many)
+        _, at = np.unique(ref[of] << 32 | window, return_index=True)  # the first record of each
+        for r, w, x in zip(ref[of[at]].tolist(), window[at].tolist(), begin[of[at]].tolist()):
+            self.contigs[r][1].setdefault(w, x)
 
     def data(self) -> bytes:
         out = [b"BAI\1", struct.pack("<i", len(self.contigs))]
@@ -597,6 +636,91 @@ def encode(row: dict, ref: dict[str, int]) -> tuple[bytes, int, int, int]:
     return struct.pack("<i", len(body)) + body, r, pos, end
 
 
+_CODES = np.array([_NIBBLE.get(chr(k).upper(), 15) for k in range(128)], np.uint8)
+_RECORD = np.dtype([("size", "<i4"), *((name, _FIXED[name].str) for name in _FIXED.names)])
+
+
+def _ragged(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (many[0] numbers), first[1], ..."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+
+
+def _sums(values: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The sums of so many successive values each."""
+    till = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    ends = np.cumsum(many)
+    return till[ends] - till[ends - many]
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the elements of a column of lists or maps stand among its values, and how many each row has; a null has none."""
+    at = np.asarray(column.offsets).astype(np.int64)
+    many = np.where(np.asarray(column.is_valid()), np.diff(at), 0)
+    return _ragged(at[:-1], many), many
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings in a row, and how many each has."""
+    column = column.fill_null("").cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], np.diff(at)
+
+
+def encoded(batch: pa.RecordBatch, ref: dict[str, int]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of schema.READ as encode() has them: all bytes, where records begin and the last ends, their contigs, starts and ends."""
+    col = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+    n = batch.num_rows
+
+    def numbers(name: str, missing: int) -> np.ndarray:
+        return col[name].cast(pa.int64()).fill_null(missing).to_numpy(zero_copy_only=False)
+
+    def contigs(name: str) -> np.ndarray:
+        return pc.index_in(col[name].cast(pa.string()), pa.array(list(ref), pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    is_true = {c: np.asarray(col[c].fill_null(False)) for c in _FLAGS}
+    paired = np.asarray(col["mate_chrom"].is_valid()) | is_true["mate_is_unmapped"]
+    flag = sum(bit * is_true[c].astype(np.int64) for c, bit in _FLAGS.items()) | np.where(paired, np.where(is_true["is_read1"], 1, 129), 0)
+    name, n_name = _texts(col["qname"])
+    bases, n_bases = _texts(pc.if_else(pc.equal(col["seq"], "*"), "", col["seq"]))
+    at, n_cigar = _lists(col["cigar"])
+    op, length = (x.cast(pa.int64()).to_numpy(zero_copy_only=False)[at] for x in col["cigar"].values.flatten())
+    r, pos, mapq, tlen, next_pos = contigs("chrom"), numbers("pos", -1), numbers("mapq", 0), numbers("tlen", 0), numbers("mate_pos", -1)
+    wide = any(len(x) and (x.min() < -1 << 31 or x.max() >= 1 << 31) for x in (pos, tlen, next_pos))
+    if wide or col["qname"].null_count or (n and (n_name.max() > 254 or mapq.min() < 0 or mapq.max() > 255 or n_cigar.max() > 65535)) or (len(bases) and bases.max() > 127) or len(op) and (op.min() < 0 or op.max() > 15 or length.min() < 0 or length.max() >= 1 << 28):
+        each = [encode(row, ref) for row in batch.to_pylist()]  # tells what can't be written
+        offsets = np.cumsum([0, *(len(x[0]) for x in each)])
+        return b"".join(x[0] for x in each), offsets, *(np.array([x[k] for x in each], np.int64) for k in (1, 2, 3))
+    end = pos + _sums(np.where(np.isin(op, (0, 2, 3, 7, 8)), length, 0), n_cigar)
+    n_packed = n_bases + 1 >> 1
+    halves = np.zeros(2 * int(n_packed.sum()), np.uint8)
+    halves[_ragged(2 * (np.cumsum(n_packed) - n_packed), n_bases)] = _CODES[bases]
+    at, known = _lists(col["qual"])
+    n_qual = np.where(known > 0, known, n_bases)
+    qual = np.full(int(n_qual.sum()), 255, np.uint8)
+    qual[_ragged(np.cumsum(n_qual) - n_qual, known)] = (col["qual"].values.cast(pa.int64()).to_numpy(zero_copy_only=False)[at] & 255).astype(np.uint8)
+    # each tag is spelled once
+    at, n_tags = _lists(col["tags"])
+    pairs = pc.binary_join_element_wise(col["tags"].keys.take(at), col["tags"].items.take(at), "\0").dictionary_encode()
+    spelled = [_tag_bytes([tuple(x.split("\0", 1))]) for x in pairs.dictionary.to_pylist()]
+    sizes, which = np.array([len(x) for x in spelled], np.int64), pairs.indices.to_numpy(zero_copy_only=False)
+    tags = np.frombuffer(b"".join(spelled), np.uint8)[_ragged((np.cumsum(sizes) - sizes)[which], sizes[which])] if spelled else np.empty(0, np.uint8)
+    n_tag = _sums(sizes[which], n_tags) if spelled else np.zeros(n, np.int64)
+
+    size = 33 + n_name + 4 * n_cigar + n_packed + n_qual + n_tag
+    offsets = np.concatenate([[0], np.cumsum(size + 4)])
+    fixed = np.zeros(n, _RECORD)
+    values = {"size": size, "ref": r, "pos": pos, "l_name": n_name + 1, "mapq": mapq, "bin": np.where(r >= 0, bins_of(np.maximum(pos, 0), np.maximum(end, pos + 1)), 4680), "n_cigar": n_cigar, "flag": flag, "l_seq": n_bases, "next_ref": contigs("mate_chrom"), "next_pos": next_pos, "tlen": tlen}
+    for k, v in values.items():
+        fixed[k] = v
+    out = np.zeros(int(offsets[-1]), np.uint8)
+    place = offsets[:-1]
+    cigar = (length << 4 | op).astype("<u4").view(np.uint8)
+    for part, many, gap in ((fixed.view(np.uint8), np.full(n, 36), 0), (name, n_name, 1), (cigar, 4 * n_cigar, 0), (halves[::2] << 4 | halves[1::2], n_packed, 0), (qual, n_qual, 0), (tags, n_tag, 0)):
+        out[_ragged(place, many)] = part
+        place = place + many + gap
+    return out.tobytes(), offsets, r, pos, end
+
+
 class Writer(DataSourceArrowWriter):
     """A file for each task. Files whose rows come in the order of contig and position get an index."""
 
@@ -614,22 +738,23 @@ class Writer(DataSourceArrowWriter):
         name = f"part-{uuid.uuid4().hex}.bam"
         ref = {c: k for k, (c, _) in enumerate(self.contigs)}
         text = "".join(["@HD\tVN:1.6\tSO:unknown\n", *(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in self.contigs)]).encode()
-        index, last, records = IndexWriter(len(self.contigs)), (-1, -1), 0
+        index, last, records = IndexWriter(len(self.contigs)), -1, 0
         with fs.open_output_stream(f"{folder}/.{name}") as stream:
             out = BlockWriter(stream)
             head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.contigs))
             out.add(head + b"".join(struct.pack("<i", len(c.encode()) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in self.contigs))
             out.flush()
             for batch in iterator:
-                for row in batch.to_pylist():
-                    data, r, start, end = encode(row, ref)
-                    begin = out.add(data)
-                    records += 1
-                    here = (r if r >= 0 else 1 << 31, start)
-                    index = index if last <= here else None
-                    last = here
-                    if index and r >= 0 and start >= 0:
-                        index.add(r, start, end, begin, out.place())
+                if not batch.num_rows:
+                    continue
+                data, offsets, r, start, end = encoded(batch, ref)
+                begin, after = out.add_all(data, offsets)
+                records += batch.num_rows
+                here = np.where(r >= 0, r, 1 << 29) << 33 | start + 1
+                index = index if last <= here[0] and (here[1:] >= here[:-1]).all() else None
+                last = int(here[-1])
+                if index:
+                    index.add(r, start, end, begin, after)
             out.close()
         if index:
             with fs.open_output_stream(f"{folder}/.{name}.bai") as stream:

@@ -1,11 +1,14 @@
 """Binary alignments against their text form, by ranges, regions and filters."""
 
+import io
 import random
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siteloom import schema
 from siteloom.sources import bam, text
@@ -155,3 +158,46 @@ def test_edges(spark, tmp_path):
     (tmp_path / "bad.bam").write_bytes(b"not binary alignments at all")
     with pytest.raises(Exception, match="no whole block"):
         bam.alignments(spark, str(tmp_path / "bad.bam")).count()
+
+
+def test_rows_are_encoded_together(spark, monkeypatch):
+    """All of a batch's records at once, byte for byte those of single rows; blocks and index too."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(3000):
+        ops = [{"op": rng.randint(0, 8), "len": rng.randint(1, 40_000 if rng.random() < 0.02 else 60)} for _ in range(rng.randint(0, 4))]
+        seq = rng.choice([None, "*", "", "".join(rng.choices("ACGTNacgtnRX=", k=rng.randint(1, 90_000 if k % 999 == 7 else 120)))])
+        qual = rng.choice([None, [], [rng.randint(0, 60) for _ in range(len(seq or ""))]])
+        tags = rng.choice([None, {}, {"NM": str(rng.randint(-5, 99_999_999_999))}, {"RG": "a b", "XA": "é,1;", "XB": "-12", "XC": ""}])
+        flags = {c: rng.choice([True, False, None]) for c in bam._FLAGS}
+        rows.append({"sample": "s", "qname": f"read é {k}"[: rng.randint(1, 12)], "chrom": rng.choice(["chr1", "chr2", "chr9", None]), "pos": rng.choice([None, k * 900, k * 900]), "mapq": rng.choice([None, 3, 255]), "mate_chrom": rng.choice([None, "chr2", "chr8"]), "mate_pos": rng.choice([None, 7]), "tlen": rng.choice([None, -4]), "cigar": rng.choice([None, ops, ops]), "seq": seq, "qual": qual, "tags": tags, **flags})
+    ref = {c: k for k, (c, _) in enumerate(CONTIGS)}
+    batch = pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema.READ))
+    one = [bam.encode(row, ref) for row in batch.to_pylist()]
+    monkeypatch.setattr(bam, "encode", None)
+    for a, b in ((0, 3000), (17, 900), (5, 6)):
+        data, offsets, *more = bam.encoded(batch.slice(a, b - a), ref)
+        assert [data[x:y] for x, y in zip(offsets, offsets[1:])] == [x[0] for x in one[a:b]]
+        assert [tuple(x) for x in zip(*more)] == [x[1:] for x in one[a:b]]
+    streams = [io.BytesIO(), io.BytesIO()]
+    singly, together = map(bam.BlockWriter, streams)
+    data, offsets, *more = bam.encoded(batch, ref)
+    want = [(singly.add(x[0]), singly.place()) for x in one]
+    got = together.add_all(data, offsets)
+    assert [tuple(x) for x in zip(*(x.tolist() for x in got))] == want
+    singly.close(), together.close()
+    assert streams[0].getvalue() == streams[1].getvalue()
+    found, windows = {}, {}
+    for (_, r, start, end), (begin, after) in zip(one, want):
+        if r >= 0 and start >= 0:
+            chunks = found.setdefault((r, bam.bin_of(start, end)), [])
+            if chunks and begin >> 16 == chunks[-1][1] >> 16:
+                chunks[-1][1] = after
+            else:
+                chunks.append([begin, after])
+            for w in range(start >> 14, (max(end, start + 1) - 1 >> 14) + 1):
+                windows.setdefault((r, w), begin)
+    index = bam.IndexWriter(len(CONTIGS))
+    index.add(*more, *got)
+    assert {(r, k): v for r, (x, _) in enumerate(index.contigs) for k, v in x.items()} == found
+    assert {(r, k): v for r, (_, x) in enumerate(index.contigs) for k, v in x.items()} == windows
