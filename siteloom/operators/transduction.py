@@ -136,11 +136,13 @@ def unique_cluster(df: DataFrame, key: list[str], half: int, ratio: float = 0.45
 
     over `half` of them, over that ratio of all, and over the share of them within reach of the median.
     """
-    at = df.groupBy(*key, "chrom", "pos").agg(F.count("*").alias("k"))
+    # dealt by the key and sorted once: windows and both groupings (of structs, hence by order) go through in that order
+    at = df.groupBy(*key, "chrom", "pos").agg(F.count("*").alias("k")).repartition(*key)
     w = Window.partitionBy(*key, "chrom")
-    at = at.withColumn("_n", F.sum("k").over(w)).withColumn("_till", F.sum("k").over(w.orderBy("pos")))
+    at = at.withColumn("_till", F.sum("k").over(w.orderBy("pos"))).withColumn("_n", F.max("_till").over(w))
     at = at.withColumn("_mid", F.min(F.when(F.col("_till") > F.floor(F.col("_n") / 2), F.col("pos"))).over(w))
-    each = at.groupBy(*key, "chrom").agg(F.max("_n").alias("n"), F.max("_mid").alias("mid"), F.sum(F.when(F.abs(F.col("pos") - F.col("_mid")) < reach, F.col("k")).otherwise(0)).alias("within"))
+    each = at.groupBy(*key, "chrom").agg(F.max(F.struct(F.col("_n").alias("n"), F.col("_mid").alias("mid"))).alias("x"), F.sum(F.when(F.abs(F.col("pos") - F.col("_mid")) < reach, F.col("k")).otherwise(0)).alias("within"))
+    each = each.select(*key, "chrom", "x.n", "x.mid", "within")
     best = each.groupBy(*key).agg(F.min_by(F.struct("chrom", "n", "mid", "within"), F.struct(F.negate("n"), "chrom")).alias("b"), F.sum("n").alias("total"))
     ok = (F.col("total") >= half) & (F.col("b.n") > half) & (F.col("b.n") > ratio * F.col("total")) & (F.col("b.within") > share * F.col("b.n"))
     return best.select(*key, F.col("b.chrom").alias("mate_chrom"), F.col("b.mid").alias("mate_pos"), F.col("b.n").alias("n"), "total", ok.alias("is_cluster"))

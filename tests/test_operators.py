@@ -166,3 +166,13 @@ def test_sessions_hold_every_event(spark):
 
     path = "/root/testdata/sf0.001/events.parquet"
     assert sessions_of(spark, path).agg(F.sum("n")).first()[0] == spark.read.parquet(path).count()
+
+
+def test_clusters_of_mates_sort_once(spark):
+    from siteloom.operators.transduction import unique_cluster
+
+    mates = spark.createDataFrame([("a", 1, c, p) for c, p in [("x", 5), ("x", 5), ("x", 9), ("y", 7), ("y", 8), ("y", 9000)]] + [("b", 1, None, 4)], "c string, site long, chrom string, pos long")
+    found = unique_cluster(mates, ["c", "site"], 1, 0.4, 0.45)
+    assert sorted((r.c, r.mate_chrom, r.mate_pos, r.n, r.total, r.is_cluster) for r in found.collect()) == [("a", "x", 5, 3, 6, True), ("b", None, 4, 1, 1, False)]
+    plan = unique_cluster(mates, ["c", "site"], 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
