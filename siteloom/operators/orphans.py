@@ -7,6 +7,7 @@ reads; clusters of mates are found over counts by position, so no list of a site
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -184,19 +185,30 @@ def sources_among(found: DataFrame) -> DataFrame:
     return found.filter(~F.col("inner")).select("sample", "chrom", "site")
 
 
-def matched(edges: DataFrame) -> DataFrame:
+#: Edges that a task of a grouping holds, while DEALT tasks are enough: up to that many Spark writes a shuffle without holding its rows.
+EDGES, DEALT = 1 << 17, 200
+
+
+def _dealt(edges: DataFrame, n: int, *by: str) -> DataFrame:
+    """n edges over so many tasks that none groups many; nearly all keys differ, so grouping them before a shuffle saves nothing."""
+    return edges.repartition(min(DEALT, max(1, -(-n // EDGES))), *by)
+
+
+def matched(edges: DataFrame, repeated: Callable[[str], Column] = F.max) -> DataFrame:
     """edges (source, insertion, support) -> pairs in which each source and each insertion is once, the best supported first.
 
     As if edges were taken in the order of support (greatest first), then of their hash, and dropped where either end is
     taken. A round takes all edges that come first at both of their ends; as the hash is like a random order, rounds are few
-    even where all supports are equal. Edges with a null are left out, of repeated ones the greatest support counts.
+    even where all supports are equal. Edges with a null are left out, of repeated ones the greatest support counts (or what
+    `repeated` makes of it). A pass over the edges tells how many there are.
     """
     order = F.struct(F.negate("support").alias("m"), F.xxhash64("source", "insertion").alias("h"), F.col("source").alias("a"), F.col("insertion").alias("b"))
-    rest = written(edges.dropna(subset=["source", "insertion", "support"]).groupBy("source", "insertion").agg(F.max("support").alias("support")), "edges")
+    whole = edges.dropna(subset=["source", "insertion", "support"])
+    rest = written(_dealt(whole, edges.count(), "source", "insertion").groupBy("source", "insertion").agg(repeated("support").alias("support")), "edges")
     taken = []
-    while not rest.isEmpty():
-        best = {c: rest.groupBy(c).agg(F.min(order).alias("x")).select("x.a", "x.b") for c in ("source", "insertion")}
-        now = written(best["source"].join(best["insertion"], ["a", "b"]).withColumnsRenamed({"a": "source", "b": "insertion"}).join(rest, ["source", "insertion"]), "matched")
+    while n := rest.count():
+        best = {c: _dealt(rest, n, c).groupBy(c).agg(F.min(order).alias("x")).select("x.a", "x.b", F.negate("x.m").alias("support")) for c in ("source", "insertion")}
+        now = written(best["source"].join(best["insertion"].drop("support"), ["a", "b"]).select(F.col("a").alias("source"), F.col("b").alias("insertion"), "support"), "matched")
         taken.append(now)
         for c in ("source", "insertion"):
             rest = rest.join(now.select(c), c, "left_anti")

@@ -102,4 +102,5 @@ def orphan_sources(spark, d):
 def source_matching(spark, d):
     e = view(spark, d, "evidence")
     region = lambda c, p: F.concat_ws(":", c, F.floor(p / 100))
-    return orphans.matched(e.groupBy(region("mate_chrom", F.col("mate_pos")).alias("source"), region("chrom", F.col("site")).alias("insertion")).agg(F.count("*").alias("support")))
+    one = F.lit(1).cast("long").alias("support")
+    return orphans.matched(e.select(region("mate_chrom", F.col("mate_pos")).alias("source"), region("chrom", F.col("site")).alias("insertion"), one), F.sum)

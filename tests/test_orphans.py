@@ -103,6 +103,20 @@ def test_matching(spark):
     assert orphans.matched(df.limit(0)).count() == 0
 
 
+def test_matching_deals_edges(spark, monkeypatch):
+    """However many edges there are, no task groups many; supports of repeated edges can be added up."""
+    tables = []
+    monkeypatch.setattr(orphans, "EDGES", 100)
+    monkeypatch.setattr(orphans, "written", lambda df, name: tables.append(df) or df.localCheckpoint())
+    edges = [(f"s{k % 57}", f"i{k % 64}", 1) for k in range(3000)] + [("s0", "i0", 1), ("s0", "i1", 1)]
+    df = spark.createDataFrame(edges, "source string, insertion string, support long").repartition(2)
+    got = sorted((r.source, r.insertion, r.support) for r in orphans.matched(df, F.sum).collect())
+    sums = df.groupBy("source", "insertion").agg(F.sum("support").alias("support"), F.xxhash64("source", "insertion").alias("h"))
+    assert got == greedy([(-r.support, r.h, r.source, r.insertion) for r in sums.collect()])
+    first = [r["count"] for r in tables[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(first) > 20 and max(first) < 300
+
+
 def test_sites_where_mates_lie(spark, tmp_path):
     """Keys beyond 150,000 put sites where other reads' mates lie: these aren't reads around the sites."""
     db = duckdb.connect()
