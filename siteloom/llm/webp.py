@@ -81,7 +81,8 @@ class Reader:
     def __init__(self, data: bytes):
         self.data = data + b"\0" * 16
         self.at = 0
-        self.last: dict[int, tuple] = {}
+        self.last: tuple = (0, 0, 0, 0, None)
+        self.spelled = 0
 
     def bits(self, n: int) -> int:
         k = self.at >> 3
@@ -105,20 +106,22 @@ class Reader:
         return ((2 + (prefix & 1)) << extra) + self.bits(extra) + 1
 
     def code(self, size: int) -> Code:
-        """The code at the reader. One that is spelled like the last one, for as many symbols, is that one."""
-        bits, spelling, code = self.last.get(size, (0, 0, None))
+        """The code at the reader. One that is spelled like the last one is that one, for as many symbols or if the spelling doesn't hang on their number."""
+        bits, spelling, of, symbols, code = self.last
         k = self.at >> 3
-        if code and int.from_bytes(self.data[k : k + (bits >> 3) + 2], "little") >> (self.at & 7) & (1 << bits) - 1 == spelling:
+        if code and (size == of or 0 < symbols <= size) and int.from_bytes(self.data[k : k + (bits >> 3) + 2], "little") >> (self.at & 7) & (1 << bits) - 1 == spelling:
             self.at += bits
             return code
         begin = self.at
         code = self._read_code(size)
         bits = self.at - begin
         k = begin >> 3
-        self.last[size] = (bits, int.from_bytes(self.data[k : k + (bits >> 3) + 2], "little") >> (begin & 7) & (1 << bits) - 1, code)
+        self.last = (bits, int.from_bytes(self.data[k : k + (bits >> 3) + 2], "little") >> (begin & 7) & (1 << bits) - 1, size, self.spelled, code)
         return code
 
     def _read_code(self, size: int) -> Code:
+        """A code; `spelled` is how many symbols its spelling told of, 0 if it ended with the alphabet."""
+        self.spelled = 256
         lengths = np.zeros(size, np.int64)
         if self.bits(1):
             two, wide = self.bits(1), self.bits(1)
@@ -162,6 +165,7 @@ class Reader:
                 n += 7
             fresh -= n
             self.at += n
+        self.spelled = 0 if left else len(out)
         lengths[: len(out)] = out[:size]
         return Code(lengths)
 
@@ -178,19 +182,24 @@ def _pixel_lengths(codes: list[Code], w: np.ndarray, count: int) -> tuple[np.nda
     """For each bit place: the bits of a literal pixel there, and the green symbol."""
     green, red, blue, alpha = codes[:4]
     far = len(w) - 1
-    total = None
-    for code in (alpha, blue, red, green):
-        if not code.bits:
-            if total is None:
-                total = np.zeros(len(w), np.int32)
-            continue
-        n = code.length.take(w & ((1 << code.bits) - 1))
+
+    def then(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        at = first + _PLACES[: len(w)]
+        np.minimum(at, far, out=at)
+        return first + second.take(at)
+
+    if green is red is blue is alpha and green.bits:
+        one = green.length.take(w & ((1 << green.bits) - 1))
+        two = then(one, one)
+        total = then(two, two)
+    else:
+        total = n = last = None
+        for code in (alpha, blue, red, green):
+            if code.bits:
+                n = n if code is last else code.length.take(w & ((1 << code.bits) - 1))
+                total, last = n if total is None else then(n, total), code
         if total is None:
-            total = n
-        else:
-            at = n + _PLACES[: len(w)]
-            np.minimum(at, far, out=at)
-            total = n + total.take(at)
+            total = np.zeros(len(w), np.int32)
     if green.bits:
         symbol = green.symbol.take(w[:count] & ((1 << green.bits) - 1))
     else:
@@ -203,6 +212,20 @@ _PLACES = np.arange(BLOCK + 128, dtype=np.int32)
 _BEYOND = np.full(64, -1, np.int32)
 
 
+def _literals(codes: list[Code], w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The pixels that start at the bit places b of a block with the windows w."""
+    channel = []
+    for code in codes[:4]:
+        if not code.bits:
+            channel.append(np.uint32(code.symbol[0]))
+            continue
+        x = w.take(b) & ((1 << code.bits) - 1)
+        channel.append(code.symbol.take(x).view(np.uint32))
+        b = b + code.length.take(x)
+    green, red, blue, alpha = channel
+    return np.broadcast_to(alpha << 24 | red << 16 | green << 8 | blue, len(b))
+
+
 def _pixels(r: Reader, w: int, h: int, main: bool) -> np.ndarray:
     """The entropy-coded image at the reader: w * h packed pixels."""
     cache_bits = r.bits(4) if r.bits(1) else 0
@@ -222,12 +245,37 @@ def _pixels(r: Reader, w: int, h: int, main: bool) -> np.ndarray:
     places: list[int] = []  # first literal of each run of them, and how many there are
     counts: list[int] = []
     events: list[tuple[int, int, int]] = []  # (place, length, distance), or (place, 0, cache index)
-    done, at, base, held = 0, r.at, None, 0
+    done, at, base, held, only = 0, r.at, None, 0, None
     if all(not c.bits for c in codes[0][:4]) and groups == 1 and codes[0][0].symbol[0] < 256:
-        places, counts, starts, done = [0], [total], [np.array([at])], total
+        c = codes[0]
+        places, counts, done = [0], [total], total
+        only = np.full(total, c[3].symbol[0] << 24 | c[1].symbol[0] << 16 | c[0].symbol[0] << 8 | c[2].symbol[0], np.uint32)
     follow: list[memoryview] = []
+    values: list[np.ndarray] = []  # pixels of the blocks that are done
+    padded = read = None
+
+    def block() -> None:
+        """The pixels at the starts found in the block, by its windows."""
+        nonlocal starts, read
+        if not starts:
+            return
+        b = np.concatenate(starts) if len(starts) > 1 else starts[0]
+        starts = []
+        if groups == 1:
+            x = _literals(codes[0], padded, b)
+        else:
+            of, x = np.array(read), np.empty(len(b), np.uint32)
+            read = []
+            for k, c in enumerate(codes):
+                mine = np.flatnonzero(of == k)
+                if len(mine):
+                    x[mine] = _literals(c, padded, b[mine])
+        values.append(x)
+
+    read = []
     while done < total:
         if base is None or at >= base + held:
+            block()
             base = at & ~7
             held = min(BLOCK, max(8, 8 * len(data) - 64 - base))
             padded = _windows(np.concatenate([data[: (base + held + 256 >> 3) + 3], np.zeros(40, np.uint8)]) if base + held + 256 >> 3 >= len(data) - 3 else data, base, held + 64)
@@ -250,18 +298,19 @@ def _pixels(r: Reader, w: int, h: int, main: bool) -> np.ndarray:
                 p = q
             done += len(taken)
             if taken:
-                starts.append(np.array(taken, np.int64) + base)
+                starts.append(np.array(taken, np.int32))
         else:
             taken = []
             while done < total:
                 q = follow[group_of[done]][p]
                 if q < 0:
                     break
-                taken.append(p + base)
+                taken.append(p)
+                read.append(group_of[done])
                 p = q
                 done += 1
             if taken:
-                starts.append(np.array(taken, np.int64))
+                starts.append(np.array(taken, np.int32))
         if done > first:
             places.append(first)
             counts.append(done - first)
@@ -287,31 +336,17 @@ def _pixels(r: Reader, w: int, h: int, main: bool) -> np.ndarray:
                 events.append((done, n, d))
                 done += n
             at = r.at
+    block()
     r.at = at
+    if only is not None:
+        return only
+    if len(counts) == 1 and not events:
+        return values[0] if len(values) == 1 else np.concatenate(values)
 
     out = np.zeros(total, np.uint32)
     if counts:
-        where = np.repeat(np.array(places) - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(sum(counts)) if len(counts) > 1 else np.arange(places[0], places[0] + counts[0])
-        bit = np.concatenate(starts)
-        wide = data[: len(data)].astype(np.uint32)
-        fixed = len(bit) == 1 < len(where)
-        if fixed:
-            bit = np.repeat(bit, len(where))
-        for k, c in enumerate(codes):
-            mine = slice(None) if groups == 1 else np.flatnonzero(np.array(group_of)[where] == k)
-            b, channel = bit[mine], []
-            for code in c[:4]:
-                if not code.bits:
-                    channel.append(np.full(len(b), code.symbol[0], np.uint32))
-                    continue
-                byte = b >> 3
-                x = (wide[byte] | wide[byte + 1] << 8 | wide[byte + 2] << 16) >> (b & 7).astype(np.uint32) & ((1 << code.bits) - 1)
-                channel.append(code.symbol.take(x).astype(np.uint32))
-                b = b + code.length.take(x)
-            green, red, blue, alpha = channel
-            out[where[mine]] = alpha << 24 | red << 16 | green << 8 | blue
-            if groups == 1 and len(where) and not events and done == total and not fixed:
-                r.at = int(b[-1])
+        where = np.repeat(np.array(places) - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(sum(counts))
+        out[where] = np.concatenate(values)
     cache, put = np.zeros(1 << cache_bits, np.uint32), 0
     for place, n, d in events:
         if n:
@@ -662,23 +697,30 @@ def _put_pixels(out: Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0
     for g in range(n_groups):
         mine = np.ones(len(at), bool) if of is None else of == g
         lit, mine_run = mine & literal, mine & run
-        channels = [(symbol, mine, sizes), (b[:, 2], lit, 256), (b[:, 0], lit, 256), (b[:, 3], lit, 256)]
+        every = n_groups == 1 and bool(literal.all())  # then all arrays are taken whole
+        mine_, lit_ = (slice(None), slice(None)) if every else (mine, lit)
+        channels = [(symbol, mine_, sizes), (b[:, 2], lit_, 256), (b[:, 0], lit_, 256), (b[:, 3], lit_, 256)]
         common = None
         for values, where, size in channels:
-            v = values[where] if not where.all() else values
+            v = values[where]
             if common is None or not alike or size != 256:
-                share = b[lit] if alike and literal.all() else b[lit][:, [0, 2, 3]] if alike and size == 256 else v
+                share = b[lit_] if alike and every else b[lit_][:, [0, 2, 3]] if alike and size == 256 else v
                 n = code_lengths(np.bincount(share.reshape(-1), minlength=size))
                 written = Writer()
                 _put_code(written, n)
                 words = codewords(n)
                 if np.count_nonzero(n) == 1:
                     n = np.zeros_like(n)
-                if size == 256 or literal.all():
+                n = n.astype(np.uint64)
+                if size == 256 or every:
                     common = n
             out.put(written.value, written.n)
-            word[where] |= words[v] << bits[where]
-            bits[where] += n[v].astype(np.uint64)
+            if every:
+                word |= words.take(v) << bits
+                bits += n.take(v)
+            else:
+                word[where] |= words[v] << bits[where]
+                bits[where] += n[v]
         if runs:
             k = mine_run[index]
             n = code_lengths(np.bincount(dp[k], minlength=40))
@@ -800,8 +842,9 @@ def _feature(images: list[np.ndarray]) -> str:
     """A few numbers on pixel arrays, as text."""
     every = np.concatenate([x.reshape(-1) for x in images])
     b = _bytes_of(every)
-    step = np.abs(np.diff(b[:, 1].astype(np.int16))).mean() if len(b) > 1 else 0.0
-    return f"images={len(images)};size={ROW}x{sum(len(x) for x in images)};mean=" + ",".join(f"{x:.3f}" for x in b.mean(axis=0)) + f";step={step:.3f};first={every[0]:08x}"
+    green = b[:, 1].astype(np.int16)
+    step = np.abs(green[1:] - green[:-1]).sum() / (len(b) - 1) if len(b) > 1 else 0.0
+    return f"images={len(images)};size={ROW}x{sum(len(x) for x in images)};mean=" + ",".join(f"{int((every >> k & 255).sum()) / len(b):.3f}" for k in (0, 8, 16, 24)) + f";step={step:.3f};first={every[0]:08x}"
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

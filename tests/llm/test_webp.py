@@ -109,3 +109,13 @@ def test_a_file_put_together_by_hand():
     (image,) = webp.decode(media)
     # codes of equal length go to the symbols in order, so 0x10 and 0x80 are the bit 0
     assert [f"{x:08x}" for x in image[0]] == ["80302001", "ff301001"]
+
+
+def test_codes_spelled_alike():
+    """A code spelled as the one before is taken over only where its spelling doesn't end with the alphabet."""
+    rng = np.random.default_rng(2)
+    for top in (200, 256):
+        image = np.frombuffer(rng.integers(0, top, 576 * 8).astype(np.uint8).tobytes(), "<u4").reshape(-1, 144)
+        for alike in (False, True):
+            assert (webp.decode(webp.encode(image, alike=alike))[0] == image).all()
+            assert (webp.decode(webp.encode(np.tile(image, (3, 1)), alike=alike))[0] == np.tile(image, (3, 1))).all()
