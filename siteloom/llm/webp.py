@@ -823,18 +823,125 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return raw + b"\xff" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw)), len(raw)
 
 
-def store(payload: bytes) -> bytes:
-    """The payload as lossless images of 144 four-channel pixels a row, MOST_ROWS rows each.
+#: Modes that are tried as an image's predictor, the shift of blocks (one holds 512 x 512 pixels), a symbol's share of a code's spelling in bits, and the pixels looked at together.
+TRIED, WIDEST, SPELLED, TOGETHER = (1, 2, 7, 12), 9, 5, 1 << 18
+
+
+def _residuals(v: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(mode, residuals) of images in one array of pixels (n, 4), rows of ROW; first: the rows that images begin with."""
+    flat = np.concatenate([np.zeros((ROW + 1, 4), np.uint8), v])
+    n = len(v)
+    l, t, tl = (flat[ROW + 1 - d : ROW + 1 - d + n] for d in (1, ROW, ROW + 1))
+    for mode in TRIED:
+        if mode in (1, 2):
+            guess = (l, t)[mode - 1].copy()
+        elif mode == 7:
+            guess = (l & t) + ((l ^ t) >> 1)  # the average, rounded down
+        else:
+            guess = np.clip(l.astype(np.int16) + t - tl, 0, 255).astype(np.uint8)
+        rows = guess.reshape(-1, ROW, 4)
+        rows[:, 0] = t.reshape(-1, ROW, 4)[:, 0]
+        rows[first] = l.reshape(-1, ROW, 4)[first]
+        rows[first, 0] = (0, 0, 0, 255)
+        yield mode, v - guess
+
+
+class Several:
+    """Images in one array of pixels (n, 4), looked at together: `count` pixels each."""
+
+    def __init__(self, images: list[np.ndarray]):
+        self.count = np.array([x.size for x in images])
+        self.first = (np.cumsum(self.count) - self.count) // ROW
+        self.cell = np.repeat(np.arange(len(images)) << 8, self.count)
+        self.pixels = _bytes_of(np.concatenate([x.reshape(-1) for x in images]))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x.reshape(len(self.pixels) // ROW, -1).sum(axis=1, dtype=np.int64), self.first)
+
+    def counts(self, channel: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cell + channel, minlength=len(self.count) << 8)
+
+    def bits(self, counts: np.ndarray) -> np.ndarray:
+        """For each image the bits of these symbols and of their code's spelling."""
+        n, used = len(self.count), np.flatnonzero(counts)
+        c, of = counts[used].astype(np.float64), used >> 8
+        total = np.bincount(of, c, n)
+        return total * np.log2(total) - np.bincount(of, c * np.log2(c), n) + SPELLED * np.bincount(of, minlength=n)
+
+    def slope(self, of: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """For each image how a channel follows another, in 32nds, as a signed byte."""
+        a, b = (x.view(np.int8).astype(np.int32) for x in (of, by))
+        return np.clip(np.rint(32 * self.sums(a * b) / np.maximum(self.sums(b * b), 1)), -128, 127).astype(np.int64)
+
+    def less(self, of: np.ndarray, by: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        return of - (np.repeat(slope.astype(np.int16), self.count) * by.view(np.int8) >> 5).astype(np.uint8)
+
+    def predicted(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each image the mode of least absolute residuals among TRIED; these residuals."""
+        best = mode = rest = None
+        for m, r in _residuals(self.pixels, self.first):
+            size = self.sums(np.minimum(r, -r))
+            if best is None:
+                best, mode, rest = size, np.full(len(size), m), r
+            else:
+                better = size < best
+                rows = np.repeat(better, self.count // ROW)
+                best, mode = np.where(better, size, best), np.where(better, m, mode)
+                rest.reshape(-1, 4 * ROW)[rows] = r.reshape(-1, 4 * ROW)[rows]
+        return mode, rest
+
 
-    Up to 256 colours, if a quarter of the pixels at most, make a palette; small images use a colour cache of 64.
+def choose_transforms(images: list[np.ndarray]) -> list[tuple]:
+    """For each image, rows of ROW pixels, the transforms that promise the fewest bits: none, or subtract-green, a predictor, cross-colour.
+
+    Pixels count as literals, by the entropy of their channels. A predictor's mode is the one of least absolute residuals
+    among TRIED; subtract-green or cross-colour may follow it, the latter as fitted to its residuals.
     """
+    out: list[tuple] = []
+    k = 0
+    while k < len(images):
+        n, j = images[k].size, k + 1
+        while j < len(images) and n + images[j].size <= TOGETHER:
+            n, j = n + images[j].size, j + 1
+        x = Several(images[k:j])
+        mode, rest = x.predicted()
+        channels = [[np.ascontiguousarray(v[:, c]) for c in range(4)] for v in (x.pixels, rest)]
+        plain, left = ([x.counts(c) for c in v] for v in channels)
+        (blue, green, red, _), (l_blue, l_green, l_red, _) = channels
+        of_red, of_blue = x.slope(l_red, l_green), x.slope(l_blue, l_green)
+
+        def bits(counts: list[np.ndarray], *more: np.ndarray) -> np.ndarray:
+            """Four codes: of all channels, or of green, alpha and these two."""
+            return sum(map(x.bits, (counts[1], counts[3], *map(x.counts, more)) if more else counts))
+
+        sizes = np.stack([x.bits(sum(plain)), bits(plain, blue - green, red - green), bits(left), bits(left, l_blue - l_green, l_red - l_green), bits(left, x.less(l_blue, l_green, of_blue), x.less(l_red, l_green, of_red))])
+        for image, which, m, a, b in zip(images[k:j], sizes.argmin(axis=0).tolist(), mode.tolist(), of_red.tolist(), of_blue.tolist()):
+            blocks = (-(-len(image) >> WIDEST), 1)
+            predict = ("predictor", WIDEST, np.full(blocks, m))
+            cross = ("cross", WIDEST, np.full(blocks, 0xFF000000 | (b & 255) << 8 | a & 255, np.uint32))
+            out.append(((), (("subtract",),), (predict,), (predict, ("subtract",)), (predict, cross))[which])
+        k = j
+    return out
+
+
+def images_of(payload: bytes) -> list[np.ndarray]:
+    """The payload as images of ROW pixels a row, MOST_ROWS rows each."""
     pixels = np.frombuffer(payload, "<u4").reshape(-1, ROW)
-    out = []
-    for k in range(0, len(pixels), MOST_ROWS):
-        image = pixels[k : k + MOST_ROWS]
+    return [pixels[k : k + MOST_ROWS] for k in range(0, len(pixels), MOST_ROWS)]
+
+
+def store(payload: bytes, transforms: list[tuple] | None = None) -> bytes:
+    """The payload as lossless images, one for each of images_of().
+
+    Up to 256 colours, if a quarter of the pixels at most, make a palette; small images use a colour cache of 64. Where
+    transforms (by default of choose_transforms()) promise fewer bits, both ways are tried and the shorter one is kept.
+    """
+    images, out = images_of(payload), []
+    for image, chosen in zip(images, choose_transforms(images) if transforms is None else transforms):
         most = min(256, image.size // 4)  # a palette has to be worth its table
         few = image.size > 4 * ROW and len(np.unique(image[:4])) <= most and len(np.unique(image)) <= most
-        out.append(encode(image, (("palette",),) if few else (), 6 if len(payload) <= CACHED_UP_TO and not few else 0, alike=not few))
+        plain = encode(image, (("palette",),) if few else (), 6 if len(payload) <= CACHED_UP_TO and not few else 0, alike=not few)
+        out.append(min(plain, encode(image, chosen), key=len) if chosen else plain)
     return b"".join(out)
 
 
@@ -850,10 +957,10 @@ def _feature(images: list[np.ndarray]) -> str:
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> doc_id, n_bytes, media; some MB at once."""
     for part in _some(batches, "text"):
-        n, media = [], []
-        for value in part.column("text"):
-            payload, size = padded(value.as_py())
-            n.append(size), media.append(store(payload))
+        payloads, n = zip(*(padded(value.as_py()) for value in part.column("text")))
+        images = [images_of(x) for x in payloads]
+        chosen = iter(choose_transforms([x for several in images for x in several]))
+        media = [store(x, [next(chosen) for _ in several]) for x, several in zip(payloads, images)]
         yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 

@@ -111,6 +111,27 @@ def test_a_file_put_together_by_hand():
     assert [f"{x:08x}" for x in image[0]] == ["80302001", "ff301001"]
 
 
+def test_transforms_are_chosen():
+    """Payloads that a predictor, subtract-green or cross-colour suits take them, and get shorter; the choice hangs on the image alone."""
+    rng = np.random.default_rng(1)
+    slope = (np.arange(576 * 40) // 4 * 3 + rng.integers(0, 3, 576 * 40)) % 128
+    walk = 64 + np.cumsum(rng.integers(-1, 2, (144 * 40, 1)), axis=0) % 50 + np.arange(4)
+    g = rng.integers(0, 128, 144 * 40)
+    grey = np.stack([g + 5, g, g + 9, g * 0 + 60], axis=1)
+    tied = np.stack([g // 2 + rng.integers(0, 2, g.size) + 3, g, g // 2 + 9, g * 0 + 60], axis=1)
+    payloads = [np.asarray(x, np.uint8).tobytes() for x in (slope, walk, grey, tied)] + [webp.padded("".join(rng.choice(list("etaoin shrdlu"), 3000)))[0]]
+    images = [x for p in payloads for x in webp.images_of(p)]
+    chosen = webp.choose_transforms(images)
+    assert [[t[0] for t in webp.choose_transforms([x])[0]] for x in images] == [[t[0] for t in c] for c in chosen]
+    assert {t[0] for c in chosen for t in c} == {"predictor", "subtract", "cross"} and chosen[-1] == ()
+    shorter = 0
+    for p, c in zip(payloads, chosen):
+        media = webp.store(p)
+        assert pixels(media) == p and media == webp.store(p, [c]) and len(media) <= len(webp.store(p, [()]))
+        shorter += len(media) < len(webp.store(p, [()]))
+    assert shorter >= 2
+
+
 def test_codes_spelled_alike():
     """A code spelled as the one before is taken over only where its spelling doesn't end with the alphabet."""
     rng = np.random.default_rng(2)
