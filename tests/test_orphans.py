@@ -130,3 +130,19 @@ def test_sites_where_mates_lie(spark, tmp_path):
     cur = db.execute(ORACLES["orphan_evidence"])
     got = rows(df.columns, df.collect())
     assert got and got == rows([x[0] for x in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["orphan_evidence", "orphan_candidates"])
+def test_rows_where_mates_lie(spark, tmp_path, name):
+    """More orders on both sides of 150,000, so that candidates too have other reads' mates around them."""
+    db = duckdb.connect()
+    for p in (Path("/root/testdata/sf0.001") / f"{x}.parquet" for x in ("lineitem", "part")):
+        if p.stem == "lineitem":
+            db.execute(f"COPY (SELECT t.* REPLACE (l_orderkey + k AS l_orderkey) FROM '{p}' t, (VALUES (0), (1500), (3000), (4500), (148500), (150000), (151500), (153000)) x(k)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+        else:
+            shutil.copyfile(p, tmp_path / p.name)
+        db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{tmp_path}/{p.name}'")
+    df = QUERIES[name](spark, str(tmp_path))
+    cur = db.execute(ORACLES[name])
+    got = rows(df.columns, df.collect())
+    assert len(got) > 30 and got == rows([x[0] for x in cur.description], cur.fetchall())
