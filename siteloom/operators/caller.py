@@ -17,7 +17,7 @@ from ..config import Config
 from ..functions import seq as S
 from ..shared import written
 from . import consistency, realigned, rules, scan
-from .features import genotype_evidence, told
+from .features import genotype_evidence
 
 KEY = ["chrom", "site"]
 
@@ -46,20 +46,31 @@ def records(reads: DataFrame, sites: DataFrame, clip_hits: DataFrame, pair_hits:
     refined position is the left breakpoint, or the right one where there is no left one or the right side has more clips.
     polyA counts are negative where most are of T. Copy label, gene and genotype are left null.
     """
-    # each of these is told by the reads before they meet the sites, so that few and short rows do
-    whole = scan.placed(reads)
-    parts = scan.at(scan.clipped_parts(whole).drop("qual"), sites, call.extend).select(*KEY, "qname", "side", F.col("breakpoint").alias("ref_pos"), "seq").join(clip_hits, ["qname", "side"])
+    # reads are looked at once; all that is asked of them comes from short rows, and aligned parts meet the sites as numbers
+    told = written(scan.summary(reads, config), "reads")
+    wide = max(call.extend, call.window)
+    levels = {x: scan.levels_at(told, x) for x in {call.extend, wide}}
+    read = {"begins": F.col("start"), "ends": F.col("end"), "sample": F.lit("")}
+
+    def met(rows: DataFrame) -> DataFrame:
+        return scan.at(rows.withColumnsRenamed({"begins": "start", "ends": "end"}), sites, call.extend, levels[call.extend])
+
+    ends = F.array_compact(F.array(*(F.when(F.col(x).isNotNull(), F.struct(F.lit(s).alias("side"), at.alias("ref_pos"), F.col(x).alias("seq"))) for s, at, x in (("L", F.col("pos"), "l_part"), ("R", F.col("place"), "r_part")))))
+    parts = told.filter("l_part is not null or r_part is not null").select("chrom", "qname", *(v.alias(k) for k, v in read.items()), F.inline(ends)).join(clip_hits, ["qname", "side"])
     as_aligned = F.when(F.col("is_rc"), S.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    clips = written(realigned.clips_on_consensus(parts.withColumns({"seq": as_aligned, "sample": F.lit("")}), config), "clips")
+    clips = met(realigned.clips_on_consensus(parts.withColumn("seq", as_aligned), config)).filter(F.abs(F.col("ref_pos") - F.col("site")) <= realigned.NEAR)
+    clips = written(clips, "clips")
+    near = written(scan.at(told.drop("l_part", "r_part", "paired", "is_rc", "mate_rc", "anchor_lclip", "anchor_rclip").withColumns({"begins": F.col("start"), "ends": F.col("end")}), sites, wide, levels[wide]), "near")
+    within = near.filter((F.col("begins") < F.col("site") + call.extend) & (F.col("ends") > F.col("site") - call.extend))
     sides = [consistency.clip_side(clips.filter(F.col("side") == s).select(*KEY, F.col("ref_pos").alias("ref"), "cns"), KEY) for s in "LR"]
-    alone = written(consistency.clips_alone(*sides, KEY, call.clips, scan.poor_clips(scan.at(scan.poorly_placed(whole), sites, call.extend))), "clip-sites")
-    pairs = scan.at(scan.discordant_pairs(whole, config), sites, call.extend).select(*KEY, "qname", "anchor", F.col("is_rc").alias("anchor_rc"), "mate_rc", "anchor_lclip", "anchor_rclip").join(pair_hits, "qname")
-    mates = realigned.pairs_on_consensus(pairs.withColumn("sample", F.lit("")), config)
+    alone = written(consistency.clips_alone(*sides, KEY, call.clips, scan.poor_clips(within.filter("clip_at is not null"))), "clip-sites")
+    pairs = told.filter("paired").select("chrom", "qname", *(v.alias(k) for k, v in read.items()), F.col("place").alias("anchor"), F.col("is_rc").alias("anchor_rc"), "mate_rc", "anchor_lclip", "anchor_rclip").join(pair_hits, "qname")
+    mates = met(realigned.pairs_on_consensus(pairs, config))
     mates = mates.join(alone.select(*KEY, F.coalesce("l_peak", "r_peak").alias("clip_pos")), KEY)
     clusters = consistency.pair_clusters(mates, KEY, call.spread, call.share, call.pairs)
-    depths = scan.window_statistics(reads, sites, call.window)
+    depths = scan.depths(near, call.window)
     out = consistency.assemble(alone, clusters, depths, KEY, config.tsd_cutoff)
-    out = out.join(realigned.polya_counts(clips), KEY, "left").join(genotype_evidence(scan.at(told(whole, config), sites, call.extend), config), KEY)
+    out = out.join(realigned.polya_counts(clips), KEY, "left").join(genotype_evidence(within, config), KEY)
     zero = F.lit(0)
     for s in "lr":
         n, forward = F.coalesce(f"n_{s}polya", zero), F.coalesce(f"n_{s}polya_forward", zero)

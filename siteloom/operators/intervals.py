@@ -89,14 +89,24 @@ def overlaps(a: DataFrame, b: DataFrame, bin_: int = 128) -> DataFrame:
     return out.select(*a.columns, *(f"{c}_b" for c in b.columns))
 
 
-def met(regions: DataFrame, rows: DataFrame, longest: int) -> DataFrame:
+def _met_width(longest: int) -> int:
+    return max(128, 1 << (longest - 1).bit_length())
+
+
+def met_levels(rows: DataFrame, longest: int) -> list[int]:
+    """The levels of the rows' lengths, as met() deals them: a pass over start and end."""
+    return sorted(r[0] for r in rows.filter("end > start").select(_level(F.col("end") - F.col("start"), _met_width(longest) / SPREAD).alias("l")).distinct().collect()) or [0]
+
+
+def met(regions: DataFrame, rows: DataFrame, longest: int, levels: list[int] | None = None) -> DataFrame:
     """rows (chrom, start, end, ...) with the other columns of the regions they overlap, each pair once; start and end go.
 
     For many rows and few regions, of up to `longest` each: a row stays one row, in the bin of its start at the level of its
-    length, and regions make a row for each bin in which a row that reaches them may start, three or so a level.
+    length, and regions make a row for each bin in which a row that reaches them may start, three or so a level. levels:
+    met_levels() of these rows or of more, where they are known.
     """
-    width = max(128, 1 << (longest - 1).bit_length())
-    levels = sorted(r[0] for r in rows.filter("end > start").select(_level(F.col("end") - F.col("start"), width / SPREAD).alias("l")).distinct().collect()) or [0]
+    width = _met_width(longest)
+    levels = levels or met_levels(rows, longest)
     more = [c for c in regions.columns if c not in ("chrom", "start", "end")]
 
     def cells(k: int) -> Column:

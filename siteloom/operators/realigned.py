@@ -25,7 +25,13 @@ def _usable(parts: DataFrame, ratio: float) -> DataFrame:
 
 
 def _clips(parts: DataFrame, ratio: float) -> DataFrame:
-    return _usable(parts.filter(F.abs(F.col("ref_pos") - F.col("site")) <= NEAR), ratio).withColumn("_left", F.col("side") == "L")
+    near = parts.filter(F.abs(F.col("ref_pos") - F.col("site")) <= NEAR) if "site" in parts.columns else parts
+    return _usable(near, ratio).withColumn("_left", F.col("side") == "L")
+
+
+def _where(parts: DataFrame) -> list[str]:
+    """The site; parts that haven't met sites have where their read begins and ends."""
+    return SITE if "site" in parts.columns else ["chrom", "begins", "ends"]
 
 
 def _inner() -> Column:
@@ -55,9 +61,12 @@ def _source() -> Column:
 
 
 def clips_on_consensus(parts: DataFrame, config: Config = Config()) -> DataFrame:
-    """Clips aligned to the consensus -> (SITE, sample, side, ref_pos, cns, polya, forward): polya tells of A next to the breakpoint."""
+    """Clips aligned to the consensus -> (SITE, sample, side, ref_pos, cns, polya, forward): polya tells of A next to the breakpoint.
+
+    Parts without a site have chrom, begins and ends instead; whether they are NEAR it is left to where they meet one.
+    """
     rows = _clips(parts, config.clip_mapped_ratio)
-    return rows.select(*SITE, "sample", "side", "ref_pos", _breakpoint().cast("long").alias("cns"), S.has_any(_inner(), S.POLY_A).alias("polya"), (~F.col("is_rc")).alias("forward"))
+    return rows.select(*_where(parts), "sample", "side", "ref_pos", _breakpoint().cast("long").alias("cns"), S.has_any(_inner(), S.POLY_A).alias("polya"), (~F.col("is_rc")).alias("forward"))
 
 
 def clips_on_copies(parts: DataFrame, repeats: DataFrame, flank: int, config: Config = Config()) -> DataFrame:
@@ -80,7 +89,7 @@ def pairs_on_consensus(parts: DataFrame, config: Config = Config()) -> DataFrame
     """Mates aligned to the consensus (with anchor, anchor_rc, mate_rc, anchor_lclip, anchor_rclip) -> those, cns (the middle), polya and same_ori: whether mate and anchor point the same way."""
     rows = _usable(parts, config.disc_mapped_ratio)
     middle = F.col("start") + F.floor(F.length("seq") / 2)
-    return rows.select(*SITE, "sample", "anchor", "anchor_lclip", "anchor_rclip", "anchor_rc", middle.cast("long").alias("cns"), C.same_orientation(F.col("is_rc"), F.col("mate_rc"), F.col("anchor_rc")).alias("same_ori"), S.consecutive_a_t(F.col("seq")).alias("polya"))
+    return rows.select(*_where(parts), "sample", "anchor", "anchor_lclip", "anchor_rclip", "anchor_rc", middle.cast("long").alias("cns"), C.same_orientation(F.col("is_rc"), F.col("mate_rc"), F.col("anchor_rc")).alias("same_ori"), S.consecutive_a_t(F.col("seq")).alias("polya"))
 
 
 def pairs_on_copies(parts: DataFrame, repeats: DataFrame, flank: int, config: Config = Config()) -> DataFrame:

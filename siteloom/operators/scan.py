@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import cigar as C
 from ..functions import seq as S
-from .intervals import met, points_in
+from .features import told_columns
+from .intervals import met, met_levels, points_in
 
 #: Lengths of clipped parts that need nearly only A or T, mapping qualities, and how near a poorly placed clip counts.
 SHORT, LONG_ENOUGH, POOR, NEAR_POOR = 7, 9, 5, 35
@@ -23,10 +24,18 @@ def placed(reads: DataFrame, duplicates: bool = False) -> DataFrame:
     return usable.withColumns({"start": F.col("pos"), "end": F.greatest(C.reference_end(F.col("pos"), F.col("cigar")), F.col("pos") + 1)})
 
 
-def at(rows: DataFrame, sites: DataFrame, extend: int) -> DataFrame:
-    """rows (chrom, start, end, ...) that overlap [site - extend, site + extend), with the site's position for start and end."""
+def at(rows: DataFrame, sites: DataFrame, extend: int, levels: list[int] | None = None) -> DataFrame:
+    """rows (chrom, start, end, ...) that overlap [site - extend, site + extend), with the site's position for start and end.
+
+    levels: levels_at() of these rows or of more, where they are known; else a pass over the rows tells.
+    """
     regions = sites.select("chrom", F.col("pos").alias("site"), (F.col("pos") - extend).alias("start"), (F.col("pos") + extend).alias("end")).distinct()
-    return met(regions, rows, 2 * extend)
+    return met(regions, rows, 2 * extend, levels)
+
+
+def levels_at(rows: DataFrame, extend: int) -> list[int]:
+    """Which levels of lengths at() meets in rows (chrom, start, end)."""
+    return met_levels(rows, 2 * extend)
 
 
 def around(reads: DataFrame, sites: DataFrame, extend: int, duplicates: bool = False) -> DataFrame:
@@ -56,22 +65,31 @@ def _sides(config: Config) -> dict[str, Column]:
     return {"_l": l, "_r": r, "_lok": l & F.coalesce(lok, F.lit(False)), "_rok": r & F.coalesce(rok, F.lit(False)), "_lseq": lseq, "_rseq": rseq, "_lqual": lqual, "_rqual": rqual}
 
 
+def _clip_counts(config: Config) -> Column:
+    """Whether clipped parts of a read are looked at."""
+    g = F.col("cigar")
+    return (F.col("mapq") >= config.clip_mapq) & (C.left_clipped(g, hard=False) | C.right_clipped(g, hard=False)) & ~C.both_sides_clipped(g)
+
+
+def _right_counts() -> Column:
+    """Where a left part fails, the right one isn't looked at."""
+    return F.col("_rok") & (~F.col("_l") | F.col("_lok"))
+
+
 def clipped_parts(near: DataFrame, config: Config = Config()) -> DataFrame:
     """around() or placed() -> one row per clipped part to be realigned: site (or start and end), chrom, breakpoint, side, is_rc, seq, qual.
 
     Not those of reads that are clipped at both ends, poorly placed, secondary or supplementary; nor parts that are short
     (unless of A or T) or of low quality. Where a left part fails, the right one isn't looked at.
     """
-    g = F.col("cigar")
-    clipped = C.left_clipped(g, hard=False) | C.right_clipped(g, hard=False)
-    rows = near.filter((F.col("mapq") >= config.clip_mapq) & clipped & ~C.both_sides_clipped(g))
+    rows = near.filter(_clip_counts(config))
     # what reads are asked for again and again stands in one row first
     rows = rows.select(F.inline(F.array(F.struct(*_where(near), "chrom", "qname", "pos", "is_reverse", "cigar", *(v.alias(k) for k, v in _sides(config).items())))))
 
     def part(side: str, at: Column, x: str) -> Column:
         return F.struct(F.lit(side).alias("side"), at.alias("breakpoint"), F.col(f"_{x}seq").alias("part"), F.col(f"_{x}qual").alias("part_qual"))
 
-    parts = F.array_compact(F.array(F.when(F.col("_lok"), part("L", F.col("pos"), "l")), F.when(F.col("_rok") & (~F.col("_l") | F.col("_lok")), part("R", C.right_breakpoint(F.col("pos"), F.col("cigar")), "r"))))
+    parts = F.array_compact(F.array(F.when(F.col("_lok"), part("L", F.col("pos"), "l")), F.when(_right_counts(), part("R", C.right_breakpoint(F.col("pos"), F.col("cigar")), "r"))))
     return rows.select(*_where(near), "chrom", "qname", F.col("is_reverse").alias("is_rc"), F.inline(parts)).withColumnsRenamed({"part": "seq", "part_qual": "qual"})
 
 
@@ -92,13 +110,21 @@ def all_clipped_parts(reads: DataFrame, config: Config = Config()) -> DataFrame:
     return rows.select("chrom", "qname", F.col("is_reverse").alias("is_rc"), F.inline(parts)).withColumnsRenamed({"part": "seq", "part_qual": "qual"})
 
 
+def _mate_counts(config: Config) -> Column:
+    return (F.col("mapq") >= config.disc_mapq) & ~C.both_sides_clipped(F.col("cigar")) & ~F.col("mate_is_unmapped") & F.col("mate_chrom").isNotNull() & ~S.is_decoy(F.col("mate_chrom"))
+
+
+def _ends_count() -> Column:
+    """No clipped part of a read fails."""
+    return (~F.col("_l") | F.col("_lok")) & (~F.col("_r") | F.col("_rok"))
+
+
 def discordant_pairs(near: DataFrame, config: Config = Config()) -> DataFrame:
     """around() or placed() -> one row per discordant read: its anchor (the breakpoint of a right clip), its mate's place, strands, and which ends are clipped.
 
     Reads with a clipped part that fails, with a poor mapping quality or with a mate on a decoy contig are left out.
     """
-    rows = near.filter((F.col("mapq") >= config.disc_mapq) & ~C.both_sides_clipped(F.col("cigar")) & ~F.col("mate_is_unmapped")).withColumns(_sides(config))
-    rows = rows.filter((~F.col("_l") | F.col("_lok")) & (~F.col("_r") | F.col("_rok")) & F.col("mate_chrom").isNotNull() & ~S.is_decoy(F.col("mate_chrom")))
+    rows = near.filter(_mate_counts(config)).withColumns(_sides(config)).filter(_ends_count())
     rows = rows.withColumn("anchor", F.when(F.col("_r"), C.right_breakpoint(F.col("pos"), F.col("cigar"))).otherwise(F.col("pos")))
     rows = rows.filter(C.discordant(F.col("chrom"), F.col("anchor"), F.col("mate_chrom"), F.col("mate_pos"), config.discordant_distance))
     return rows.select(*_where(near), "chrom", "anchor", F.col("is_reverse").alias("is_rc"), F.col("mate_is_reverse").alias("mate_rc"), "mate_chrom", "mate_pos", "qname", (~F.col("is_read1")).alias("mate_is_read1"), F.col("_lok").alias("anchor_lclip"), F.col("_rok").alias("anchor_rclip"))
@@ -112,10 +138,35 @@ def poor_clips(near: DataFrame, config: Config = Config()) -> DataFrame:
 
 def poorly_placed(near: DataFrame, config: Config = Config()) -> DataFrame:
     """around() or placed() -> where clipped reads of very low mapping quality are clipped."""
+    clip = _poor_clip(config)
+    return near.filter(clip.isNotNull()).select(*_where(near), "chrom", clip.alias("clip_at"))
+
+
+def _poor_clip(config: Config) -> Column:
     g = F.col("cigar")
     l, r = C.left_clipped(g, hard=False), C.right_clipped(g, hard=False)
-    clip = F.when(l, F.col("pos")).when(r, F.col("pos") + config.read_length - C.last(g)["len"])
-    return near.filter((F.col("mapq") < POOR) & clip.isNotNull()).select(*_where(near), "chrom", clip.alias("clip_at"))
+    return F.when(F.col("mapq") < POOR, F.when(l, F.col("pos")).when(r, F.col("pos") + config.read_length - C.last(g)["len"]))
+
+
+def summary(reads: DataFrame, config: Config = Config()) -> DataFrame:
+    """Usable reads with all that site records ask of a read by itself, in short columns, so that reads are looked at once.
+
+    features.told(); start and end, and _end, which is end but for reads without a base of the reference; counts: neither
+    secondary nor supplementary; clip_at as poorly_placed(); l_part and r_part, the sequences of clipped_parts(); paired: of
+    discordant_pairs(), place its anchor, is_rc, mate_rc, anchor_lclip and anchor_rclip.
+    """
+    # what is asked for again and again stands in a row first, so that no cigar is made or walked twice
+    rows = reads.filter(~F.col("is_duplicate") & ~F.col("is_unmapped")).select(F.inline(F.array(F.struct(*(c for c in reads.columns if c not in ("sample", "tags", "tlen", "is_duplicate", "is_unmapped"))))))
+    g, pos = F.col("cigar"), F.col("pos")
+    sides = {k: v for k, v in _sides(config).items() if not k.endswith("qual")}
+    rows = rows.filter(F.size(g) > 0).select(F.inline(F.array(F.struct(*rows.columns, C.reference_end(pos, g).alias("_end"), C.right_breakpoint(pos, g).alias("_right"), *(v.alias(k) for k, v in sides.items())))))
+    place = F.when(F.col("_r"), F.col("_right")).otherwise(pos)
+    clip, no = _clip_counts(config), F.lit(False)
+    paired = _mate_counts(config) & _ends_count() & C.discordant(F.col("chrom"), place, F.col("mate_chrom"), F.col("mate_pos"), config.discordant_distance)
+    return rows.select(
+        *told_columns(config, place), pos.alias("start"), F.greatest("_end", pos + 1).alias("end"), "_end", F.coalesce(~F.col("is_secondary") & ~F.col("is_supplementary"), no).alias("counts"), _poor_clip(config).alias("clip_at"),
+        F.when(clip & F.col("_lok"), F.col("_lseq")).alias("l_part"), F.when(clip & _right_counts(), F.col("_rseq")).alias("r_part"),
+        F.coalesce(paired, no).alias("paired"), F.col("is_reverse").alias("is_rc"), F.col("mate_is_reverse").alias("mate_rc"), F.col("_lok").alias("anchor_lclip"), F.col("_rok").alias("anchor_rclip"))
 
 
 def window_statistics(reads: DataFrame, sites: DataFrame, window: int, most: int = 2000) -> DataFrame:
@@ -139,6 +190,17 @@ def window_statistics(reads: DataFrame, sites: DataFrame, window: int, most: int
     return out.select("chrom", "site", (F.col("lcov") / window).alias("lcov"), (F.col("rcov") / window).alias("rcov"), "read_length", n.alias("n_pairs"), (F.col("s") + n * length).alias("sum_x"), (F.col("q") + 2 * length * F.col("s") + n * length * length).alias("sum_xx"))
 
 
+def depths(near: DataFrame, window: int) -> DataFrame:
+    """at() of summary() rows, with begins and ends -> chrom, site and the mean depths of window_statistics(), for the same sites."""
+    site = F.col("site")
+    rows = near.filter(F.col("counts") & (F.col("begins") < site + window) & (F.col("ends") > site - window))
+
+    def covered(a: Column, b: Column) -> Column:
+        return F.sum(F.greatest(F.least(F.col("_end"), b) - F.greatest(F.col("pos"), a), F.lit(0))) / window
+
+    return rows.groupBy("chrom", "site").agg(covered(site - window, site).alias("lcov"), covered(site, site + window).alias("rcov"))
+
+
 def library(statistics: DataFrame, least: float = 5) -> DataFrame:
     """window_statistics() -> one row: coverage (the upper median of sites with a depth from `least` on), read length, insert size and its deviation.
 

@@ -76,6 +76,31 @@ def test_reads_to_records(insertion):
     assert caller.records(insertion[0].limit(0), *insertion[1:]).count() == 0
 
 
+def test_reads_are_looked_at_once(insertion, spark):
+    """Whatever records ask of reads comes from one pass over them."""
+    reads_, *rest = insertion
+    rows, seen = reads_.collect(), spark.sparkContext.accumulator(0)
+
+    def count(r):
+        seen.add(1)
+        return r
+
+    counted = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(count), schema.READ)
+    assert caller.records(counted, *rest, caller.Call(extend=400, window=200)).count() == 1
+    assert seen.value == len(rows)
+
+
+@pytest.mark.parametrize("extend, window", [(400, 200), (150, 300)])
+def test_depths_have_their_own_window(insertion, extend, window):
+    """The one join with sites is as wide as the wider of both; neither sees the other's reads."""
+    reads_, sites, clips, mates = insertion
+    got = caller.records(reads_, sites, clips, mates, caller.Call(extend=extend, window=window)).first()
+    want = scan.window_statistics(reads_, sites, window).filter("chrom = '1' and site = 5001").first()
+    assert (got.lcov, got.rcov) == (want.lcov, want.rcov)
+    told = features.genotype_evidence(scan.around(reads_, sites, extend)).filter("chrom = '1' and site = 5001").first()
+    assert (got.n_full_map, got.n_conc, got.n_disc, got.n_l_raw) == (told.n_full_map, told.n_conc, told.n_disc, told.n_l_raw)
+
+
 def test_polya_only_counts_for_types_that_have_it(insertion, spark):
     reads_, sites, clips, mates = insertion
     none = reads_.withColumn("seq", F.regexp_replace("seq", "CAAAAA", "CGCGCG"))
