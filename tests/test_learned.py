@@ -51,6 +51,20 @@ def test_records_are_dealt_once(records, monkeypatch):
     assert len(plans) == 12 and all("Repartition" not in p.split("InMemoryRelation")[0] and "InMemoryRelation" in p for p in plans)
 
 
+def test_kept_rows_are_dealt_by_their_number(records, monkeypatch):
+    """More rows make more partitions, not larger ones."""
+    sizes, fit = [], genotype.RandomForestClassifier.fit
+
+    def seen(self, df, *more):
+        sizes.append(df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        return fit(self, df, *more)
+
+    monkeypatch.setattr(genotype, "PART_ROWS", 50, raising=False)
+    monkeypatch.setattr(genotype.RandomForestClassifier, "fit", seen)
+    genotype.train_layers(records, levels=1, trees=2, depth=2)
+    assert all(len(x) == 30 and max(x) < 100 for x in sizes)
+
+
 def test_unknown_labels_and_zero_coverage(records, spark):
     odd = records.limit(20).withColumns({"lcov": F.lit(0.0), "genotype": F.lit("?")})
     model = genotype.train_layers(records.filter("pos < 300").unionByName(odd), levels=1, trees=5, depth=3)
